@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, quality
+from . import bpe, exact_dedup, packing, quality, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -51,8 +51,12 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pack_documents, op2_quality_rules, op3_bpe_encode_decode, op4_exact_dedup)
+    f.__name__: f for f in (op1_pack_documents, op2_quality_rules, op3_bpe_encode_decode, op4_exact_dedup, op10_toxicity)
 }
 
 #: DuckDB SQL for the queries that SQL can express.
