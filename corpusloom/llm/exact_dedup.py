@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import lower_ascii, materialize, maybe_in
+from .shared import free_name, lower_ascii, materialize, maybe_in, split_by
 
 #: Distinct keys in a bucket at most.
 BUCKET_KEYS = 50_000
@@ -81,3 +81,22 @@ def exact_dedup(docs: DataFrame, capacity: int = BUCKET_KEYS) -> DataFrame:
         (single | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("stays"),
         "text_sha256",
     ).select("doc_id", "keep_id", "group_size", (F.col("stays") & (F.col("copy") == 1)).alias("kept"), "text_sha256")
+
+
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that :func:`exact_dedup` keeps.
+
+    Rows whose doc_id no dropped row has are not moved.
+    """
+    found = materialize(exact_dedup(docs).select("doc_id", "text_sha256", "kept"), "dedup")
+    dropped = found.where("not kept").select("doc_id", "text_sha256").distinct()
+    verdict = found.join(dropped, (found.doc_id.eqNullSafe(dropped.doc_id)) & (found.text_sha256 == dropped.text_sha256), "left_semi").groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"))
+    key, id_, digest, kept = (free_name(docs, x) for x in ("_key", "_id", "_sha", "_kept"))
+    keyed = docs.withColumn(key, F.col("doc_id").cast("long"))
+    sure, others = split_by(keyed, dropped.select(F.col("doc_id").alias(key)), key)
+    others = others.withColumn(digest, F.sha2(lower_ascii(F.col("text")), 256))
+    verdict = verdict.select(F.col("doc_id").alias(id_), F.col("text_sha256").alias("_of"), F.col("kept").alias(kept))
+    judged = others.join(verdict, others[key].eqNullSafe(verdict[id_]) & (others[digest] == verdict["_of"]), "left").drop("_of")
+    alone = judged.where(F.col(kept).isNull())
+    repeated = judged.where(kept).dropDuplicates([key, digest])  # rows that repeat doc_id and text
+    return sure.drop(key).unionByName(alone.unionByName(repeated).select(*docs.columns))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import discard, materialize, maybe_in
+from .shared import discard, free_name, materialize, maybe_in, split_by
 
 WIDTH = 5
 PERCENT = 80
@@ -352,3 +352,13 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     found = sizes.join(of_class, ["b", "c", "n"], "left")
     component = F.coalesce("component", "doc_id")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(component < NO_ID, component).alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, with one document of each component:
+    the one with the smallest doc_id.  Rows without doc_id stay."""
+    found = materialize(ngram_components(docs), "ngram")
+    key = free_name(docs, "_key")
+    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    sure, others = split_by(docs.withColumn(key, F.col("doc_id").cast("long")), dropped, key)
+    return sure.unionByName(others.join(dropped, key, "left_anti").select(*sure.columns)).drop(key)

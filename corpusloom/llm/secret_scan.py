@@ -104,12 +104,11 @@ def redact(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:
     return "".join([*out, text[at:]])
 
 
-def secret_scan(docs: DataFrame, redacted: bool = False) -> DataFrame:
+def secret_scan(docs: DataFrame) -> DataFrame:
     """Find the secrets of every whole text.
 
     Returns doc_id and spans, an array of (kind, start, end) by start, then
-    kind; with ``redacted`` also text, the secrets masked, null where it was.
-    Null and empty texts have no spans; repeated rows each get their own; a
+    kind.  Null and empty texts have no spans; repeated rows each get their own; a
     null doc_id stays null; an empty table gives no rows; other columns are
     not read.
     """
@@ -119,12 +118,29 @@ def secret_scan(docs: DataFrame, redacted: bool = False) -> DataFrame:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             found = [scan(t or "") for t in texts]
-            columns = [batch.column(0), pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in x] for x in found], pa.list_(kind))]
-            if redacted:
-                columns.append(pa.array([t and redact(t, s) for t, s in zip(texts, found, strict=True)], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "spans", "text"][: len(columns)])
+            spans = pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in x] for x in found], pa.list_(kind))
+            yield pa.RecordBatch.from_arrays([batch.column(0), spans], ["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, spans array<struct<kind string, start long, end long>>" + ", text string" * redacted)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, spans array<struct<kind string, start long, end long>>")
+
+
+def mask_secrets(docs: DataFrame) -> DataFrame:
+    """``docs``, all rows and columns, with the secrets in text masked and
+    n_chars, if there, counted anew where text changed."""
+    place = docs.columns.index("text")
+    size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, old = list(batch.columns), batch.column(place).to_pylist()
+            new = [t and redact(t, scan(t)) for t in old]
+            columns[place] = pa.array(new, batch.schema.field(place).type)
+            if size is not None:
+                counts = [n if a == b else len(b) for n, a, b in zip(columns[size].to_pylist(), old, new, strict=True)]
+                columns[size] = pa.array(counts, batch.schema.field(size).type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def listed(spans: Column) -> Column:

@@ -74,23 +74,40 @@ def member_bitmap(ids: DataFrame, *columns: str) -> DataFrame:
     )
 
 
+def _flagged(df: DataFrame, ids: DataFrame, name: str, *columns: str) -> DataFrame:
+    """``df`` with a column ``name``: whether its ``columns`` may occur in ``ids``."""
+    bit = F.pmod(F.xxhash64(*columns), F.lit(1 << MEMBER_BITS))
+    bucket, bits = free_name(df, "_bucket"), free_name(df, "_bits")
+    bitmap = member_bitmap(ids, *columns).withColumnsRenamed({"bucket": bucket, "bits": bits})
+    position = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring(bits, (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.call_function("shiftright", byte, (position % 8).cast("int")).bitwiseAND(1) != 0, F.lit(False))
+    joined = df.withColumn(bucket, F.bitmap_bucket_number(bit)).join(F.broadcast(bitmap), bucket, "left")
+    return joined.withColumn(name, hit).drop(bucket, bits)
+
+
 def maybe_in(df: DataFrame, ids: DataFrame, *columns: str) -> DataFrame:
     """Rows of ``df`` whose ``columns`` may occur in ``ids``: all that do, and
     few others.  The broadcast side is a bitmap of at most 16 MiB, so no row of
     ``df`` is shuffled.  Use it before an exact join to keep the rest at home.
     """
-    bit = F.pmod(F.xxhash64(*columns), F.lit(1 << MEMBER_BITS))
-    position = F.bitmap_bit_position(bit)
-    byte = F.conv(F.hex(F.substring("bits", (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.expr("_byte & (1 << _shift)") != 0
-    return (
-        df.withColumn("_bucket", F.bitmap_bucket_number(bit))
-        .withColumn("_shift", (position % 8).cast("int"))
-        .join(F.broadcast(member_bitmap(ids, *columns).withColumnRenamed("bucket", "_bucket")), "_bucket")
-        .withColumn("_byte", byte)
-        .where(hit)
-        .drop("_bucket", "_shift", "_byte", "bits")
-    )
+    hit = free_name(df, "_hit")
+    return _flagged(df, ids, hit, *columns).where(hit).drop(hit)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it."""
+    while name.lower() in map(str.lower, df.columns):
+        name = "_" + name
+    return name
+
+
+def split_by(df: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose ``column`` is surely not in ``ids``, which stay
+    where they are, and the others."""
+    hit = free_name(df, "hit")
+    flagged = _flagged(df, ids, hit, column)
+    return flagged.where(~F.col(hit)).drop(hit), flagged.where(hit).drop(hit)
 
 
 def lower_ascii(text: Column) -> Column:

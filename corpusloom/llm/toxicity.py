@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import discard, materialize
+from .shared import discard, free_name, materialize
 
 #: Labelled rows that the model is fitted on at most, chosen by hash.
 SAMPLE = 8000
@@ -331,14 +332,28 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     table gives no rows; other columns are not read.
     """
     model = fit_toxicity(docs, labels, sample)
+    rows = docs.select(F.col("doc_id").cast("long"), held_out("doc_id").alias("held_out"), "text")
+    found = with_scores(rows, model, "score")
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def with_scores(rows: DataFrame, model: ToxicityModel, name: str) -> DataFrame:
+    """``rows`` with the score of their text in a further column."""
+    place = rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model.landmarks)
         for batch in batches:
+            score: list[float] = []
+            texts = batch.column(place)
             for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                score = model.scores(matcher.describe(part.column(2).to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
+                score += model.scores(matcher.describe([t or "" for t in texts.slice(at, 128).to_pylist()]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, name])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(name, DoubleType())]))
+
 
-    rows = docs.select(F.col("doc_id").cast("long"), held_out("doc_id").alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+def reject_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs``, all columns, that are not predicted to be toxic."""
+    name = free_name(docs, "score")
+    return with_scores(docs, fit_toxicity(docs, labels, sample), name).where(F.col(name) < 0.5).drop(name)
