@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, ngram_join, packing, quality, secret_scan, toxicity
+from . import bpe, exact_dedup, ngram_join, packing, pii, quality, secret_scan, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -59,12 +59,20 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
 
 
+#: The key of op9's pseudonyms; ``CORPUSLOOM_PII_KEY`` sets another.
+PII_KEY = "corpusloom"
+
+
+def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), os.environ.get("CORPUSLOOM_PII_KEY", PII_KEY))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pack_documents, op2_quality_rules, op3_bpe_encode_decode, op4_exact_dedup, op5_secret_scan, op7_ngram_jaccard_join, op10_toxicity)
+    f.__name__: f for f in (op1_pack_documents, op2_quality_rules, op3_bpe_encode_decode, op4_exact_dedup, op5_secret_scan, op7_ngram_jaccard_join, op9_pii_pseudonyms, op10_toxicity)
 }
 
 #: DuckDB SQL for the queries that SQL can express.
