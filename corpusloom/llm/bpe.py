@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
+
 #: Chunks that a worker remembers: those it sees first, frequent ones among them.
 KNOWN_CHUNKS = 300_000
 #: Characters of text that are split into chunks at once.
@@ -184,6 +186,7 @@ def encode_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
     and repeated doc_ids included.  Other columns are not read.
     """
 
+    @lean("bpe", byte_bpe.cache_clear)
     def run(batches):
         bpe = byte_bpe(vocabulary)
         for batch in batches:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, ngram_join, packing, pii, quality, secret_scan, toxicity
+from . import bpe, exact_dedup, ngram_join, packing, pii, quality, secret_scan, token_counts, toxicity, url_filter
 
 
 def tokenizer_file(name: str) -> str:
@@ -59,6 +59,15 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(table(spark, sf_dir, "pages"))
+
+
+def op8_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = token_counts.with_sample_edits(table(spark, sf_dir, "documents"))
+    return token_counts.count_with_edits(documents, tokenizer_file("byte_bpe_50k.json"))
+
+
 #: The key of op9's pseudonyms; ``CORPUSLOOM_PII_KEY`` sets another.
 PII_KEY = "corpusloom"
 
@@ -72,7 +81,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pack_documents, op2_quality_rules, op3_bpe_encode_decode, op4_exact_dedup, op5_secret_scan, op7_ngram_jaccard_join, op9_pii_pseudonyms, op10_toxicity)
+    f.__name__: f for f in (op1_pack_documents, op2_quality_rules, op3_bpe_encode_decode, op4_exact_dedup, op5_secret_scan, op6_url_filter, op7_ngram_jaccard_join, op8_edit_token_counts, op9_pii_pseudonyms, op10_toxicity)
 }
 
 #: DuckDB SQL for the queries that SQL can express.

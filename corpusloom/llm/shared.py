@@ -4,8 +4,13 @@ there, and a bounded prefilter for semi-joins."""
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,3 +121,36 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
         F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     )
+
+
+_owner: tuple[str, Callable[[], None] | None] = ("", None)
+
+
+def lean(name: str, forget: Callable[[], None] | None = None):
+    """For functions of mapInArrow: a worker process that comes from another
+    operator first drops what it remembers for that one, and after each task
+    gives free memory back; Spark keeps idle workers beside its own heap."""
+
+    def wrap(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+        def leaner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            global _owner
+            if _owner[0] != name:
+                if _owner[1]:
+                    _owner[1]()
+                _owner = (name, forget)
+                trim()
+            yield from run(batches)
+            trim()
+
+        return leaner
+
+    return wrap
+
+
+def trim() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
