@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,20 +28,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import discard, free_name, materialize, maybe_in, split_by
+from .shared import discard, free_name, lean, materialize, maybe_in, split_by
 
 WIDTH = 5
 PERCENT = 80
-#: Smallest hashes by which near copies are gathered.
-MINS = 6
+#: Smallest hashes by which near copies are gathered, and how many of them a
+#: text shares with the one that it is compared with.
+MINS, AGREE = 6, 2
 #: Shingles that a text set's task has seen this often are frequent; the most
 #: frequent of them, at most so many, are put last in the common order.  This
 #: bounds what is broadcast, and decides only how fast the join is.
-LOCAL_COUNT, FREQUENT = 3, 1 << 17
+LOCAL_COUNT, FREQUENT = 2, 1 << 17
 #: Shingles that are counted at once in a task.
-COUNTED = 1 << 22
+COUNTED = 1 << 21
 #: Texts that one tree holds; a shingle with more is split into tiles of pairs.
 TREE = 512
+#: Sets that need no inner nodes.
+FEW = 12
+#: Bits of a signature.
+BITS = 512
 #: Node pairs whose bitmaps are compared at once.
 FRONTIER = 4096
 #: Nodes for rows without doc_id are numbered from here on.
@@ -49,17 +55,6 @@ NO_ID = 1 << 62
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _WordHashes()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -69,7 +64,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     """For each text the sorted distinct 64-bit hashes of its word shingles."""
     split = [(t or "").encode().lower().split() for t in texts]
-    flat = np.fromiter((h for words in split for h in map(_hashes.__getitem__, words)), dtype=np.uint64)
+    flat = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(split)), dtype=np.uint64, count=sum(map(len, split)))
     out, at = [], 0
     with np.errstate(over="ignore"):
         n = max(0, len(flat) - WIDTH + 1)
@@ -81,7 +76,8 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
         for words in split:
             end = at + len(words)
             if len(words) >= WIDTH:
-                out.append(np.unique(grams[at : end - WIDTH + 1]))
+                own = np.sort(grams[at : end - WIDTH + 1])
+                out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
             elif words:
                 whole = np.full(1, np.uint64(len(words)))
                 for h in flat[at:end]:
@@ -109,11 +105,12 @@ def links(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both) and both > 0
 
 
-def prefix_size(n: int) -> int:
+def prefix_size(n):
     """Shingles of a set of which a similar set must have one."""
     return n - -(-PERCENT * n // 100) + 1
 
 
+@lean("ngram")
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kind 0: doc_id, size, sums.  Kind 1: shingles frequent in this task."""
     held: list[np.ndarray] = []
@@ -154,33 +151,47 @@ def order_keys(shingles: np.ndarray, frequent: np.ndarray, level: np.ndarray) ->
     return grade << 58 | (shingles >> np.uint64(6)).view(np.int64)
 
 
+def signature(prefix: np.ndarray) -> bytes:
+    """The bitmap of a prefix's shingles; each has one of BITS bits."""
+    with np.errstate(over="ignore"):
+        bit = (prefix.view(np.uint64) * MULTIPLY) >> np.uint64(64 - BITS.bit_length() + 1)
+    member = np.zeros(BITS, dtype=np.uint8)
+    member[bit.astype(np.int64)] = 1
+    return np.packbits(member, bitorder="little").tobytes()
+
+
 class Tree:
-    """A signature tree over sets that share a shingle, all levels as arrays:
-    level 0 has the sets, each further level half as many nodes."""
+    """A signature tree over sets that share a shingle, each level as arrays:
+    level 0 has the sets, each further level half as many nodes.
+
+    A node has the OR of the bitmaps below it, their AND, the range of sizes
+    and, if there is but one, the group that its sets are in.
+    """
 
-    def __init__(self, bits: np.ndarray, size: np.ndarray, rest: np.ndarray, group: np.ndarray):
-        self.levels = [(bits, size, size, rest, group, group)]
+    def __init__(self, bits: np.ndarray, size: np.ndarray, group: np.ndarray):
+        self.levels = [(bits, bits, size, size, group, group)]
         while len(self.levels[-1][0]) > 1:
-            bits, low, high, rest, first, last = self.levels[-1]
-            pad = len(bits) % 2
-            pair = lambda x, fill: np.concatenate([x, np.full((pad, *x.shape[1:]), fill, x.dtype)]).reshape(-1, 2, *x.shape[1:])  # noqa: E731, B023
-            b, lo, hi, r = pair(bits, 0), pair(low, np.iinfo(np.int64).max), pair(high, 0), pair(rest, 0)
-            f, g = pair(first, np.iinfo(np.int64).max), pair(last, np.iinfo(np.int64).min)
-            self.levels.append((b[:, 0] | b[:, 1], lo.min(1), hi.max(1), r.max(1), f.min(1), g.max(1)))
+            some, every, low, high, first, last = self.levels[-1]
+            if len(some) % 2:  # the last node is its own neighbour
+                some, every, low, high, first, last = (np.concatenate([x, x[-1:]]) for x in self.levels[-1])
+            self.levels.append((some[::2] | some[1::2], every[::2] & every[1::2], np.minimum(low[::2], low[1::2]), np.maximum(high[::2], high[1::2]), np.minimum(first[::2], first[1::2]), np.maximum(last[::2], last[1::2])))
 
     def possible(self, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether node pairs may hold a pair of sets that link: sizes within
-        the ratio, more than one group, and the shared bits plus what lies
-        beyond the prefixes enough for the least overlap."""
-        bits, low, high, rest, first, last = self.levels[level]
+        the ratio, not all of one group, and enough shingles that may be shared."""
+        some, every, low, high, first, last = self.levels[level]
         ok = (100 * high[a] >= PERCENT * low[b]) & (100 * high[b] >= PERCENT * low[a])
         ok &= ~((first[a] == last[a]) & (first[b] == last[b]) & (first[a] == first[b]))
         at = np.flatnonzero(ok)
         for s in range(0, len(at), FRONTIER):
             i = at[s : s + FRONTIER]
-            shared = np.bitwise_count(bits[a[i]] & bits[b[i]]).sum(axis=1, dtype=np.int64)
-            least = PERCENT * (low[a[i]] + low[b[i]]) // (100 + PERCENT)
-            ok[i] = shared + np.maximum(rest[a[i]], rest[b[i]]) >= least
+            x, y = a[i], b[i]
+            alone_x = np.bitwise_count(every[x] & ~some[y]).sum(axis=1, dtype=np.int64)
+            alone_y = np.bitwise_count(every[y] & ~some[x]).sum(axis=1, dtype=np.int64)
+            shared = np.minimum(prefix_size(high[x]) - alone_x, prefix_size(high[y]) - alone_y)
+            overlap = (PERCENT * (low[x] + low[y]) + 99 + PERCENT) // (100 + PERCENT)
+            rest = np.maximum(high[x] - prefix_size(high[x]), high[y] - prefix_size(high[y]))
+            ok[i] = shared >= np.maximum(overlap - rest, 1)
         return ok
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
@@ -189,74 +200,84 @@ class Tree:
         for level in range(len(self.levels) - 2, -1, -1):
             n = len(self.levels[level][0])
             a, b = np.concatenate([2 * a, 2 * a, 2 * a + 1, 2 * a + 1]), np.concatenate([2 * b, 2 * b + 1, 2 * b, 2 * b + 1])
-            keep = (a <= b) & (b < n)
+            keep = (a < b if level == 0 else a <= b) & (b < n)
             a, b = a[keep], b[keep]
-            if level == 0:
-                a, b = a[a < b], b[a < b]
             keep = self.possible(level, a, b)
             a, b = a[keep], b[keep]
         return a, b
 
 
-def tree_pairs(token: int, node: np.ndarray, group: np.ndarray, size: np.ndarray, salt: np.ndarray, prefixes: list[np.ndarray], one: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs among the sets with ``token`` in their prefixes: those of
-    different groups whose first common shingle it is.  Unless the tile is
-    ``one`` part with itself, only pairs across its two parts."""
-    order = np.lexsort([node, size, group])
-    node, group, size, salt = node[order], group[order], size[order], salt[order]
-    prefixes = [prefixes[i] for i in order]
-    tokens, count = np.unique(np.concatenate(prefixes), return_counts=True)
-    tokens = tokens[count > 1]
-    member = np.zeros((len(node), -(-max(1, len(tokens)) // 64) * 64), dtype=np.uint8)
-    for i, p in enumerate(prefixes):
-        member[i, np.flatnonzero(np.isin(tokens, p, assume_unique=True))] = 1
-    bits = np.packbits(member, axis=1, bitorder="little").view(np.uint64)
-    rest = size - np.array([len(p) for p in prefixes])
-    a, b = Tree(bits, size, rest, group).pairs()
+def tree_pairs(node: np.ndarray, group: np.ndarray, size: np.ndarray, salt: np.ndarray, bits: np.ndarray, one: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs among sets that share a shingle, of different groups.
+    Unless the tile is ``one`` part with itself, only pairs across its parts."""
+    if len(node) <= FEW:  # all leaves of one node
+        whole = [int.from_bytes(x.tobytes(), "little") for x in bits]
+        found = [(i, j) for i in range(len(node)) for j in range(i) if group[i] != group[j] and _leaves_may_link(int(size[i]), int(size[j]), whole[i], whole[j])]
+        a, b = (np.array(x, dtype=np.int64) for x in (zip(*found, strict=True) if found else ((), ())))
+    else:
+        order = np.lexsort([node, size, group])
+        node, group, size, salt, bits = node[order], group[order], size[order], salt[order], bits[order]
+        a, b = Tree(bits, size, group).pairs()
     keep = (group[a] != group[b]) & (node[a] != node[b])
     if not one:
         keep &= salt[a] != salt[b]
-    a, b = a[keep], b[keep]
-    # The first common shingle decides in which of several trees the pair counts.
-    before = int(np.searchsorted(tokens, token))
-    earlier = np.zeros(member.shape[1], dtype=np.uint8)
-    earlier[:before] = 1
-    early = np.packbits(earlier, bitorder="little").view(np.uint64)
-    keep = np.array([not (bits[i] & bits[j] & early).any() for i, j in zip(a, b, strict=True)], dtype=bool)
     return node[a[keep]], node[b[keep]]
 
 
+def _leaves_may_link(nx: int, ny: int, x: int, y: int) -> bool:
+    if 100 * nx < PERCENT * ny or 100 * ny < PERCENT * nx:
+        return False
+    px, py = prefix_size(nx), prefix_size(ny)
+    shared = min(px - (x & ~y).bit_count(), py - (y & ~x).bit_count())
+    return shared >= max(-(-PERCENT * (nx + ny) // (100 + PERCENT)) - max(nx - px, ny - py), 1)
+
+
+@lean("ngram")
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs the trees of the tiles in a task, whose rows lie together."""
+    names = ("token", "i", "j", "node", "component", "n", "salt")
+    held: list[np.ndarray] = []
 
-    def run(rows: pa.Table):
-        key = (rows["token"][0].as_py(), rows["i"][0].as_py(), rows["j"][0].as_py())
-        number = lambda c: rows[c].to_numpy().astype(np.int64)
-        prefixes = [np.asarray(p.values) for p in rows["prefix"]]
-        a, b = tree_pairs(key[0], number("node"), number("component"), number("n"), number("salt"), prefixes, key[1] == key[2])
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    def run(token, i, j, node, component, n, salt, bits):
+        cuts = np.flatnonzero((np.diff(token) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+        ends = [0, *cuts.tolist(), len(token)]
+        found = [tree_pairs(node[s:e], component[s:e], n[s:e], salt[s:e], bits[s:e], i[s] == j[s]) for s, e in zip(ends, ends[1:], strict=False) if e - s > 1]
+        pairs = [np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found, strict=True)] or [np.zeros(0, np.int64)] * 2
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(*pairs)), pa.array(np.maximum(*pairs))], ["a", "b"])
 
-    held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = [batch.column(batch.schema.names.index(c)).to_numpy() for c in ("token", "i", "j")]
-        change = np.zeros(batch.num_rows, dtype=bool)
-        for k in keys:
-            change[1:] |= k[1:] != k[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        table = pa.Table.from_batches([batch])
+        columns = [table[c].to_numpy().astype(np.int64) for c in names]
+        columns.append(np.frombuffer(b"".join(table["bits"].to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64))
         if held:
-            last = held[-1]
-            if any(last.column(last.schema.names.index(c))[-1].as_py() != k[0] for c, k in zip(("token", "i", "j"), keys, strict=True)):
-                yield run(pa.Table.from_batches(held))
-                held = []
-        for s, e in zip(cuts, cuts[1:], strict=False):
-            held.append(batch.slice(s, e - s))
-            if e < batch.num_rows:
-                yield run(pa.Table.from_batches(held))
-                held = []
+            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+        change = np.flatnonzero((np.diff(columns[0]) != 0) | (np.diff(columns[1]) != 0) | (np.diff(columns[2]) != 0))
+        cut = int(change[-1]) + 1 if len(change) else 0  # the last tile may go on in the next batch
+        held = [c[cut:] for c in columns]
+        if cut:
+            yield run(*(c[:cut] for c in columns))
     if held:
-        yield run(pa.Table.from_batches(held))
+        yield run(*held)
+
+
+def may_link(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> bool:
+    """The bound for two prefixes: up to the end of the one that ends first both
+    sets are known; beyond, at most what is left of either may be common."""
+    if x[-1] > y[-1]:
+        x, y, nx, ny = y, x, ny, nx
+    known = int(np.searchsorted(y, x[-1], "right"))
+    shared = len(np.intersect1d(x, y[:known], assume_unique=True))
+    return (100 + PERCENT) * (shared + min(nx - len(x), ny - known)) >= PERCENT * (nx + ny) and shared > 0
+
+
+@lean("ngram")
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x, y, nx, ny = batch.column(2), batch.column(3), batch.column(4).to_numpy(), batch.column(5).to_numpy()
+        ok = [may_link(x[k].values.to_numpy(), y[k].values.to_numpy(), int(nx[k]), int(ny[k])) for k in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
 
 def _nameless(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,6 +286,7 @@ def _nameless(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), batch.column(1)], ["node", "text"])
 
 
+@lean("ngram")
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
@@ -298,6 +320,7 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     level = np.minimum(np.log2(np.maximum(table["n"].to_numpy(), 1)).astype(np.int64), 30)[by_value] if len(frequent) else by_value
     shipped = docs.sparkSession.sparkContext.broadcast((frequent, level))
 
+    @lean("ngram")
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, grade = shipped.value
         for batch in batches:
@@ -310,11 +333,12 @@ def ngram_components(docs: DataFrame) -> DataFrame:
                 with np.errstate(over="ignore"):
                     mins = [np.sort(mix(sets[i] ^ np.uint64(0x5851F42D4C957F2D)))[:MINS].view(np.int64) for i in some]
                 columns = [pa.array([found[i][k] for i in some], pa.int64()) for k in range(4)]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.list_(pa.int64())) for x in (first, mins))], ["node", "n", "b", "c", "prefix", "mins"])
+                lists = [pa.array(x, pa.list_(pa.int64())) for x in (first, mins)]
+                yield pa.RecordBatch.from_arrays([*columns, *lists, pa.array([signature(x) for x in first], pa.binary())], ["node", "n", "b", "c", "prefix", "mins", "bits"])
 
     one_of_each = maybe_in(source.withColumn("_id", F.coalesce("doc_id", F.lit(-1))), classes.select(F.col("rep").alias("_id")).unionByName(docs.sparkSession.range(1).select(F.lit(-1).cast("long").alias("_id"))), "_id")
-    made = one_of_each.select("doc_id", "text").mapInArrow(prefixes, "node long, n long, b long, c long, prefix array<long>, mins array<long>")
-    reps = materialize(made.join(classes.withColumnRenamed("rep", "node"), ["b", "c", "n", "node"]).select("node", "n", "prefix", "mins"), "prefixes")
+    made = one_of_each.select("doc_id", "text").mapInArrow(prefixes, "node long, n long, b long, c long, prefix array<long>, mins array<long>, bits binary")
+    reps = materialize(made.join(classes.withColumnRenamed("rep", "node"), ["b", "c", "n", "node"]).select("node", "n", "prefix", "mins", "bits"), "prefixes")
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
         pairs = materialize(pairs.distinct(), f"{label}-pairs")
@@ -330,23 +354,27 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     gathered = reps.select("node", "n", F.explode("mins").alias("m"), band.alias("band")).select("node", "n", "m", F.explode(F.array(F.floor("band") * 2, F.floor(F.col("band") + 0.5) * 2 + 1)).alias("band"))
     pivot = gathered.groupBy("m", "band").agg(F.min(F.struct("node", "n")).alias("p"), F.count("*").alias("k")).where("k > 1").select("m", "band", "p.*").withColumnsRenamed({"node": "pivot", "n": "size"})
     alike = (100 * F.least("n", "size") >= PERCENT * F.greatest("n", "size")) & (F.col("node") != F.col("pivot"))
-    first = verified(gathered.join(pivot, ["m", "band"]).where(alike).select(F.col("pivot").alias("a"), F.col("node").alias("b")), "near")
+    agreed = gathered.join(pivot, ["m", "band"]).where(alike).groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.countDistinct("m").alias("k"))
+    first = verified(agreed.where(F.col("k") >= AGREE).select("a", "b"), "near")
     known = materialize(components(first), "components")
 
     # Shingles that different components share.
-    placed = reps.join(known, "node", "left").select("node", "n", "prefix", F.coalesce("component", "node").alias("component"))
-    entries = placed.select("node", "n", "component", F.explode("prefix").alias("token"))
-    open_ = materialize(entries.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k")).where("low < high").select("token", "k"), "tokens")
+    placed = reps.join(known, "node", "left").select("node", "n", "prefix", "bits", F.coalesce("component", "node").alias("component"))
+    open_ = materialize(placed.select("component", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k")).where("low < high").select("token", "k"), "tokens")
+    entries = placed.select("node", "n", "component", "bits", F.explode("prefix").alias("token"))
     split = maybe_in(entries, open_, "token").join(open_, "token").withColumn("parts", F.ceil(F.col("k") / TREE).cast("int"))
-    split = materialize(split.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "entries")
+    split = split.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    tiles = split.select("*", other).select("token", "node", "component", "n", "salt", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"))
-    needed = maybe_in(reps.select("node", "prefix"), split.select("node"), "node")
-    tiles = tiles.join(needed, "node").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    candidates = tiles.select("token", "i", "j", "node", "component", "n", "salt", "prefix").mapInArrow(_tiles, "a long, b long")
-    rest = verified(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "tree")
+    tiles = split.select("*", other).select("token", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "node", "component", "n", "salt", "bits")
+    tiles = tiles.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    candidates = materialize(tiles.mapInArrow(_tiles, "a long, b long").distinct(), "candidates")
+    ends = candidates.select(F.col("a").alias("node")).union(candidates.select("b"))
+    known_sets = maybe_in(reps.select("node", "n", "prefix"), ends, "node")
+    x, y = (known_sets.select(F.col("node").alias(k), F.col("prefix").alias(p), F.col("n").alias(n)) for k, p, n in (("a", "x", "nx"), ("b", "y", "ny")))
+    bounded = candidates.join(x, "a").join(y, "b").select("a", "b", "x", "y", "nx", "ny").mapInArrow(_bounded, "a long, b long")
+    rest = verified(bounded, "tree")
     final = materialize(components(first.unionByName(rest)), "components")
-    discard(known, open_, split)
+    discard(known, open_, candidates)
 
     of_class = classes.join(final.withColumnsRenamed({"node": "rep"}), "rep", "left").select("b", "c", "n", F.coalesce("component", "rep").alias("component"))
     found = sizes.join(of_class, ["b", "c", "n"], "left")
