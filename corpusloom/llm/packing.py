@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
 from .tokens import word_ids
 
 CAPACITY = 2048
@@ -175,6 +176,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
     not read.
     """
 
+    @lean("packing", word_ids.cache_clear)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import lean, materialize
 
 # The base rules' symbols, white space and limits.
 SYMBOLS = b"#*$%&|<>"
@@ -103,6 +103,7 @@ def text_features(texts: list[str | None]) -> np.ndarray:
 def measure(docs: DataFrame) -> DataFrame:
     """The features of every whole text, with doc_id, lang and source."""
 
+    @lean("quality")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in FEATURES.split(", ")]
         for batch in batches:

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
+
 #: Code points between parts of one credential at most.
 SCOPE = 400
 #: Bits per character that a blob has at least.
@@ -114,6 +116,7 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     """
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
+    @lean("secrets")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -130,6 +133,7 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
     place = docs.columns.index("text")
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
+    @lean("secrets")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns, old = list(batch.columns), batch.column(place).to_pylist()

@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Chunks that a worker remembers.
-KNOWN_CHUNKS = 500_000
+KNOWN_CHUNKS = 400_000
 
 
 @lru_cache(maxsize=2)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import discard, free_name, materialize
+from .shared import discard, free_name, lean, materialize
 
 #: Labelled rows that the model is fitted on at most, chosen by hash.
 SAMPLE = 8000
@@ -39,7 +39,7 @@ LEAST_MATCH = 0.55
 #: The power of the kernel beside the kernel itself.
 POWER = 8
 PREFIXES = range(4, 9)
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 #: How often disguised insults are repeated among the labelled texts.
 TAUGHT = 1
 LEAST_SHARE = 0.05
@@ -341,6 +341,7 @@ def with_scores(rows: DataFrame, model: ToxicityModel, name: str) -> DataFrame:
     """``rows`` with the score of their text in a further column."""
     place = rows.columns.index("text")
 
+    @lean("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model.landmarks)
         for batch in batches:
