@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lean
+from .shared import lean, parts
 
 #: Chunks that a worker remembers: those it sees first, frequent ones among them.
 KNOWN_CHUNKS = 300_000
@@ -190,8 +190,7 @@ def encode_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches):
         bpe = byte_bpe(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for part in parts(batch, 1, 128):
                 texts = part.column(1).to_pylist()
                 # All new chunks of a part in one batch of merge rounds.
                 new = set()

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import lean, materialize
+from .shared import lean, materialize, parts
 
 # The base rules' symbols, white space and limits.
 SYMBOLS = b"#*$%&|<>"
@@ -107,8 +107,7 @@ def measure(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in FEATURES.split(", ")]
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in parts(batch, 3):
                 found = text_features(part.column(3).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array(found[:, k]) for k in range(8))], names)
 

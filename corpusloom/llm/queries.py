@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, ngram_join, packing, pii, quality, secret_scan, token_counts, toxicity, url_filter
+from . import bpe, exact_dedup, ngram_join, oracles, packing, pii, quality, secret_scan, token_counts, toxicity, url_filter
 
 
 def tokenizer_file(name: str) -> str:
@@ -41,16 +41,6 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-OP4_SQL = """
-WITH d AS (
-  SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
-  FROM documents
-)
-SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
-       doc_id = max(doc_id) OVER g AS kept, text_sha256
-FROM d WINDOW g AS (PARTITION BY text_sha256)
-"""
-
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secret_scan(table(spark, sf_dir, "documents")))
 
@@ -85,4 +75,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL}
+ORACLES: dict[str, str] = oracles.ORACLES

@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,6 +124,20 @@ def lower_ascii(text: Column) -> Column:
     )
 
 
+def parts(batch: pa.RecordBatch, text: int, rows: int = 256, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ``rows`` rows and, but for single rows,
+    ``size`` bytes of the column ``text``, so that long texts don't add up."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+    start = total = 0
+    for i, n in enumerate(lengths):
+        if i > start and (i - start == rows or total + n > size):
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 _owner: tuple[str, Callable[[], None] | None] = ("", None)
 
 

@@ -203,7 +203,9 @@ def test_bpe_forgets(monkeypatch):
 
 def test_bpe_query(spark, docs):
     lib = library(BYTE)
-    for r in Q.op3_bpe_encode_decode(spark, SF).collect():
+    rows = Q.op3_bpe_encode_decode(spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    for r in rows:
         ids = lib.encode(docs[r.doc_id], add_special_tokens=False).ids
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
@@ -247,7 +249,9 @@ def test_edit_is_local():
 def test_token_counts_query(spark, docs):
     lib = library(BYTE)
     count = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
-    for r in Q.op8_edit_token_counts(spark, SF).collect():
+    rows = Q.op8_edit_token_counts(spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    for r in rows:
         t = docs[r.doc_id]
         assert r.n_tokens == count(t)
         n = len(t)
@@ -362,7 +366,9 @@ def test_near_is_an_interval_join():
 
 
 def test_secret_query(spark, docs):
-    for r in Q.op5_secret_scan(spark, SF).collect():
+    rows = Q.op5_secret_scan(spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    for r in rows:
         base = brute_spans(docs[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[0] == k for s in base) for k in ("assign", "access", "hex"))
