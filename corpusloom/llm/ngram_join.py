@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -28,13 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import discard, free_name, lean, materialize, maybe_in, split_by
+from .shared import free_name, lean, materialize, maybe_in, parts, short_batches, split_by
 
 WIDTH = 5
 PERCENT = 80
 #: Smallest hashes by which near copies are gathered, and how many of them a
 #: text shares with the one that it is compared with.
 MINS, AGREE = 6, 2
+#: Texts of such a group that the others are compared with.
+PIVOTS = 3
+#: Such rounds go on while they find as many links.
+FEW_LINKS = 1000
 #: Shingles that a text set's task has seen this often are frequent; the most
 #: frequent of them, at most so many, are put last in the common order.  This
 #: bounds what is broadcast, and decides only how fast the join is.
@@ -129,8 +134,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return rows(1, token[often].view(np.int64), count[often], zero, zero)
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
+        for part in parts(batch, 1):
             ids, sets = part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist())
             found = identify(ids, sets)
             for f, s in zip(found, sets, strict=True):
@@ -207,9 +211,10 @@ class Tree:
         return a, b
 
 
-def tree_pairs(node: np.ndarray, group: np.ndarray, size: np.ndarray, salt: np.ndarray, bits: np.ndarray, one: bool) -> tuple[np.ndarray, np.ndarray]:
+def tree_pairs(node: np.ndarray, group: np.ndarray, size: np.ndarray, salt: np.ndarray, bits: np.ndarray, one: bool, every: bool = True, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs among sets that share a shingle, of different groups.
-    Unless the tile is ``one`` part with itself, only pairs across its parts."""
+    Unless the tile is ``one`` part with itself, only pairs across its parts;
+    unless ``every`` pair is asked for, one for two groups, by ``seed``."""
     if len(node) <= FEW:  # all leaves of one node
         whole = [int.from_bytes(x.tobytes(), "little") for x in bits]
         found = [(i, j) for i in range(len(node)) for j in range(i) if group[i] != group[j] and _leaves_may_link(int(size[i]), int(size[j]), whole[i], whole[j])]
@@ -221,7 +226,15 @@ def tree_pairs(node: np.ndarray, group: np.ndarray, size: np.ndarray, salt: np.n
     keep = (group[a] != group[b]) & (node[a] != node[b])
     if not one:
         keep &= salt[a] != salt[b]
-    return node[a[keep]], node[b[keep]]
+    a, b = a[keep], b[keep]
+    if not every and len(a) > 1:
+        x, y = np.minimum(group[a], group[b]), np.maximum(group[a], group[b])
+        with np.errstate(over="ignore"):
+            turn = mix(node[a].astype(np.uint64) * MULTIPLY + node[b].astype(np.uint64) + np.uint64(seed))
+        order = np.lexsort([turn, y, x])
+        new = np.concatenate([[True], (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)])
+        a, b = a[order[new]], b[order[new]]
+    return node[a], node[b]
 
 
 def _leaves_may_link(nx: int, ny: int, x: int, y: int) -> bool:
@@ -232,16 +245,16 @@ def _leaves_may_link(nx: int, ny: int, x: int, y: int) -> bool:
     return shared >= max(-(-PERCENT * (nx + ny) // (100 + PERCENT)) - max(nx - px, ny - py), 1)
 
 
-@lean("ngram")
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs the trees of the tiles in a task, whose rows lie together."""
+def _tiles(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
+    """Runs the trees of the tiles in a task, whose rows lie together.  Unless
+    ``every`` pair is asked for, two components get one pair in a tile."""
     names = ("token", "i", "j", "node", "component", "n", "salt")
     held: list[np.ndarray] = []
 
     def run(token, i, j, node, component, n, salt, bits):
         cuts = np.flatnonzero((np.diff(token) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
         ends = [0, *cuts.tolist(), len(token)]
-        found = [tree_pairs(node[s:e], component[s:e], n[s:e], salt[s:e], bits[s:e], i[s] == j[s]) for s, e in zip(ends, ends[1:], strict=False) if e - s > 1]
+        found = [tree_pairs(node[s:e], component[s:e], n[s:e], salt[s:e], bits[s:e], bool(i[s] == j[s]), every, int(token[s]) & 0xFFFFFFFF) for s, e in zip(ends, ends[1:], strict=False) if e - s > 1]
         pairs = [np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found, strict=True)] or [np.zeros(0, np.int64)] * 2
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(*pairs)), pa.array(np.maximum(*pairs))], ["a", "b"])
 
@@ -289,8 +302,7 @@ def _nameless(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @lean("ngram")
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            part = batch.slice(at, 64)
+        for part in parts(batch, 2, 64):
             sets = shingle_sets([*part.column(2).to_pylist(), *part.column(3).to_pylist()])
             ok = [links(x, y) for x, y in zip(sets, sets[part.num_rows :], strict=False)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in part.columns[:2]], ["a", "b"])
@@ -307,6 +319,7 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     else null; rows that repeat a doc_id count as one document; an empty table
     gives no rows; other columns are not read.
     """
+    short_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     measured = materialize(source.mapInArrow(_measure, "kind int, a long, n long, b long, c long"), "shingles")
     sizes = measured.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "b", "c", F.coalesce("a", F.lit(NO_ID) + F.pmod("b", F.lit(1 << 60))).alias("node"))
@@ -324,8 +337,7 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, grade = shipped.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in parts(batch, 1):
                 sets = shingle_sets(part.column(1).to_pylist())
                 found = identify(part.column(0).to_pylist(), sets)
                 some = [i for i, s in enumerate(sets) if len(s)]
@@ -349,32 +361,47 @@ def ngram_components(docs: DataFrame) -> DataFrame:
         joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
         return materialize(joined.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long").distinct(), f"{label}-links")
 
-    # Near copies: texts that share a small hash and are about as long.
+    # Near copies: texts that share a small hash and are about as long meet a few
+    # of their group.  Large groups whose texts are only just alike take several
+    # rounds; they end once few links are left to find, the trees find those.
     band = F.log(F.col("n")) / math.log(1.25)
     gathered = reps.select("node", "n", F.explode("mins").alias("m"), band.alias("band")).select("node", "n", "m", F.explode(F.array(F.floor("band") * 2, F.floor(F.col("band") + 0.5) * 2 + 1)).alias("band"))
-    pivot = gathered.groupBy("m", "band").agg(F.min(F.struct("node", "n")).alias("p"), F.count("*").alias("k")).where("k > 1").select("m", "band", "p.*").withColumnsRenamed({"node": "pivot", "n": "size"})
-    alike = (100 * F.least("n", "size") >= PERCENT * F.greatest("n", "size")) & (F.col("node") != F.col("pivot"))
-    agreed = gathered.join(pivot, ["m", "band"]).where(alike).groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.countDistinct("m").alias("k"))
-    first = verified(agreed.where(F.col("k") >= AGREE).select("a", "b"), "near")
-    known = materialize(components(first), "components")
-
-    # Shingles that different components share.
-    placed = reps.join(known, "node", "left").select("node", "n", "prefix", "bits", F.coalesce("component", "node").alias("component"))
+    alike = (100 * F.least("n", "size") >= PERCENT * F.greatest("n", "size")) & (F.col("component") != F.col("other"))
+    first, known, turn = None, None, 0
+    while True:
+        placed = gathered.withColumn("component", F.col("node")) if known is None else gathered.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        pivots = F.array(*(F.min(F.struct(F.xxhash64("node", F.lit(turn + k)).alias("h"), F.col("node").alias("pivot"), F.col("n").alias("size"), F.col("component").alias("other"))) for k in range(PIVOTS)))
+        pivot = placed.groupBy("m", "band").agg(pivots.alias("p"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        pivot = pivot.select("m", "band", F.explode("p").alias("p")).select("m", "band", "p.pivot", "p.size", "p.other").distinct()
+        agreed = placed.join(pivot, ["m", "band"]).where(alike).groupBy(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).agg(F.countDistinct("m").alias("k"))
+        new = verified(agreed.where(F.col("k") >= AGREE).select("a", "b"), "near")
+        first = new if first is None else first.unionByName(new)
+        known = materialize(components(first), "components")
+        turn += PIVOTS
+        if new.count() < FEW_LINKS:
+            break
+
+    # Shingles that different components share, and the texts that have them.
+    placed = reps.join(known, "node", "left").select("node", "n", "prefix", F.coalesce("component", "node").alias("component"))
     open_ = materialize(placed.select("component", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k")).where("low < high").select("token", "k"), "tokens")
-    entries = placed.select("node", "n", "component", "bits", F.explode("prefix").alias("token"))
-    split = maybe_in(entries, open_, "token").join(open_, "token").withColumn("parts", F.ceil(F.col("k") / TREE).cast("int"))
-    split = split.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    tiles = split.select("*", other).select("token", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "node", "component", "n", "salt", "bits")
-    tiles = tiles.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    candidates = materialize(tiles.mapInArrow(_tiles, "a long, b long").distinct(), "candidates")
-    ends = candidates.select(F.col("a").alias("node")).union(candidates.select("b"))
-    known_sets = maybe_in(reps.select("node", "n", "prefix"), ends, "node")
-    x, y = (known_sets.select(F.col("node").alias(k), F.col("prefix").alias(p), F.col("n").alias(n)) for k, p, n in (("a", "x", "nx"), ("b", "y", "ny")))
-    bounded = candidates.join(x, "a").join(y, "b").select("a", "b", "x", "y", "nx", "ny").mapInArrow(_bounded, "a long, b long")
-    rest = verified(bounded, "tree")
-    final = materialize(components(first.unionByName(rest)), "components")
-    discard(known, open_, candidates)
+    entries = reps.select("node", "n", F.explode("prefix").alias("token"))
+    entries = materialize(maybe_in(entries, open_, "token").join(open_, "token"), "entries")
+    tried = None
+    for every in (False, True):  # first one pair for two components, which may make them one; then all that are left
+        cut = entries.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")).join(reps.select("node", "bits"), "node")
+        cut = cut.withColumn("parts", F.ceil(F.col("k") / TREE).cast("int")).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        tiles = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select("token", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "node", "component", "n", "salt", "bits")
+        tiles = tiles.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+        candidates = tiles.mapInArrow(lean("ngram")(partial(_tiles, every=every)), "a long, b long").distinct()
+        candidates = materialize(candidates if tried is None else candidates.join(tried, ["a", "b"], "left_anti"), "candidates")
+        tried = candidates
+        ends = candidates.select(F.col("a").alias("node")).union(candidates.select("b"))
+        sets = maybe_in(reps.select("node", "n", "prefix"), ends, "node")
+        x, y = (sets.select(F.col("node").alias(c), F.col("prefix").alias(p), F.col("n").alias(n)) for c, p, n in (("a", "x", "nx"), ("b", "y", "ny")))
+        bounded = candidates.join(x, "a").join(y, "b").select("a", "b", "x", "y", "nx", "ny").mapInArrow(_bounded, "a long, b long")
+        first = first.unionByName(verified(bounded, "tree"))
+        known = materialize(components(first), "components")
+    final = known
 
     of_class = classes.join(final.withColumnsRenamed({"node": "rep"}), "rep", "left").select("b", "c", "n", F.coalesce("component", "rep").alias("component"))
     found = sizes.join(of_class, ["b", "c", "n"], "left")
