@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lean, parts
+from .shared import lean, parts, short_batches
 
 #: Chunks that a worker remembers: those it sees first, frequent ones among them.
 KNOWN_CHUNKS = 300_000
@@ -205,6 +205,7 @@ def encode_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
+    short_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lean
+from .shared import lean, parts, short_batches
 from .tokens import word_ids
 
 CAPACITY = 2048
@@ -193,12 +193,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
             )
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in parts(batch, 1):
                 for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
                     packer.add(doc_id, np.concatenate([ids, end]))
             yield rows()
         packer.flush()
         yield rows()
 
+    short_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, PIECES)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import lean, materialize, parts
+from .shared import lean, materialize, parts, short_batches
 
 # The base rules' symbols, white space and limits.
 SYMBOLS = b"#*$%&|<>"
@@ -111,6 +111,7 @@ def measure(docs: DataFrame) -> DataFrame:
                 found = text_features(part.column(3).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array(found[:, k]) for k in range(8))], names)
 
+    short_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), "text").mapInArrow(run, FEATURES)
 
 

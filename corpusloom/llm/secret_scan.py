@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lean
+from .shared import lean, short_batches
 
 #: Code points between parts of one credential at most.
 SCOPE = 400
@@ -124,6 +124,7 @@ def secret_scan(docs: DataFrame) -> DataFrame:
             spans = pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in x] for x in found], pa.list_(kind))
             yield pa.RecordBatch.from_arrays([batch.column(0), spans], ["doc_id", "spans"])
 
+    short_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, spans array<struct<kind string, start long, end long>>")
 
 
@@ -144,6 +145,7 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
                 columns[size] = pa.array(counts, batch.schema.field(size).type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
+    short_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

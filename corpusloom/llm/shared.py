@@ -124,6 +124,14 @@ def lower_ascii(text: Column) -> Column:
     )
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Have Spark send at most ``rows`` rows at once to Python from now on, for
+    texts may be long; a smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def parts(batch: pa.RecordBatch, text: int, rows: int = 256, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """A batch in slices of at most ``rows`` rows and, but for single rows,
     ``size`` bytes of the column ``text``, so that long texts don't add up."""

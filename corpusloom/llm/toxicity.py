@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import discard, free_name, lean, materialize
+from .shared import discard, free_name, lean, materialize, parts, short_batches
 
 #: Labelled rows that the model is fitted on at most, chosen by hash.
 SAMPLE = 8000
@@ -272,6 +272,7 @@ def fit_platt(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     """Fit on at most ``sample`` labelled texts, none of them held out."""
+    short_batches(docs.sparkSession)
     chosen = (
         labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic"))
         .where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
@@ -284,8 +285,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
     def describe(batches):
         matcher = Matcher(landmarks)
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for part in parts(batch, 0, 128):
                 found = matcher.describe([t or "" for t in part.column(0).to_pylist()])
                 yield pa.RecordBatch.from_arrays([pa.array([list(d) for d in found], pa.list_(pa.int32())), pa.array([list(d.values()) for d in found], pa.list_(pa.float64())), part.column(1)], ["j", "v", "toxic"])
 
@@ -340,15 +340,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 def with_scores(rows: DataFrame, model: ToxicityModel, name: str) -> DataFrame:
     """``rows`` with the score of their text in a further column."""
     place = rows.columns.index("text")
+    short_batches(rows.sparkSession)
 
     @lean("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model.landmarks)
         for batch in batches:
             score: list[float] = []
-            texts = batch.column(place)
-            for at in range(0, batch.num_rows, 128):
-                score += model.scores(matcher.describe([t or "" for t in texts.slice(at, 128).to_pylist()]))
+            for part in parts(batch, place, 128):
+                score += model.scores(matcher.describe([t or "" for t in part.column(place).to_pylist()]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, name])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(name, DoubleType())]))
