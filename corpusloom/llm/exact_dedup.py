@@ -91,12 +91,12 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     found = materialize(exact_dedup(docs).select("doc_id", "text_sha256", "kept"), "dedup")
     dropped = found.where("not kept").select("doc_id", "text_sha256").distinct()
     verdict = found.join(dropped, (found.doc_id.eqNullSafe(dropped.doc_id)) & (found.text_sha256 == dropped.text_sha256), "left_semi").groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"))
-    key, id_, digest, kept = (free_name(docs, x) for x in ("_key", "_id", "_sha", "_kept"))
+    key, id_, digest, of, kept = (free_name(docs, x) for x in ("_key", "_id", "_sha", "_of", "_kept"))
     keyed = docs.withColumn(key, F.col("doc_id").cast("long"))
     sure, others = split_by(keyed, dropped.select(F.col("doc_id").alias(key)), key)
     others = others.withColumn(digest, F.sha2(lower_ascii(F.col("text")), 256))
-    verdict = verdict.select(F.col("doc_id").alias(id_), F.col("text_sha256").alias("_of"), F.col("kept").alias(kept))
-    judged = others.join(verdict, others[key].eqNullSafe(verdict[id_]) & (others[digest] == verdict["_of"]), "left").drop("_of")
+    verdict = verdict.select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(of), F.col("kept").alias(kept))
+    judged = others.join(verdict, others[key].eqNullSafe(verdict[id_]) & (others[digest] == verdict[of]), "left")
     alone = judged.where(F.col(kept).isNull())
     repeated = judged.where(kept).dropDuplicates([key, digest])  # rows that repeat doc_id and text
     return sure.drop(key).unionByName(alone.unionByName(repeated).select(*docs.columns))
