@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import ByteBPE, byte_bpe
-from .shared import lean
+from .shared import lean, parts, short_batches
 
 Edit = tuple[int, int, str]
 
@@ -28,62 +28,70 @@ _WHITE = {c for part in (range(9, 14), (32, 0x85, 0xA0, 0x1680, 0x2028, 0x2029,
 class TokenTree:
     """A text's chunks with the sums of their characters and tokens."""
 
-    def __init__(self, text: str, bpe: ByteBPE):
+    def __init__(self, text: str, bpe: ByteBPE, chunks: list[str] | None = None):
         self.bpe = bpe
-        self.slots: list[str] = []
-        counts: list[int] = []
-        for found in bpe.chunks(text):
-            self.slots += found
-            counts += self._counts(found)
+        self.slots = [c for found in bpe.chunks(text) for c in found] if chunks is None else chunks
         self.size = 1 << max(0, (len(self.slots) - 1).bit_length())
-        level = np.zeros((self.size, 2), dtype=np.int64)
-        level[: len(self.slots), 0] = list(map(len, self.slots))
-        level[: len(self.slots), 1] = counts
-        levels = [level]
+        #: Characters and tokens below each node; node 1 is the root, node
+        #: 2 * i and 2 * i + 1 are below node i, the slots begin at ``size``.
+        self.chars, self.counts = self._sums(list(map(len, self.slots))), self._sums(self._counts(self.slots))
+
+    def _sums(self, leaves: list[int]) -> list[int]:
+        levels = [np.zeros(self.size, dtype=np.int64)]
+        levels[0][: len(leaves)] = leaves
         while len(levels[-1]) > 1:
             levels.append(levels[-1][::2] + levels[-1][1::2])
-        self.sums = np.concatenate([np.zeros((1, 2), np.int64), *reversed(levels)])  # node 1 is the root
+        return [0, *np.concatenate(levels[::-1]).tolist()]
 
     def _counts(self, chunks: list[str]) -> list[int]:
-        new = set(chunks).difference(self.bpe.known)
-        self.bpe.learn(new)
-        out = [self.bpe.known[c][1] for c in chunks]
-        self.bpe.forget(new)
-        return out
+        try:
+            return [x[1] for x in map(self.bpe.known.__getitem__, chunks)]
+        except KeyError:
+            new = set(chunks).difference(self.bpe.known)
+            self.bpe.learn(new)
+            out = [self.bpe.known[c][1] for c in chunks]
+            self.bpe.forget(new)
+            return out
 
     @property
     def characters(self) -> int:
-        return int(self.sums[1, 0])
+        return self.chars[1]
 
     @property
     def tokens(self) -> int:
-        return int(self.sums[1, 1])
+        return self.counts[1]
 
     def find(self, position: int) -> tuple[int, int]:
         """The slot that holds a character, and the slot's first position."""
         node, start = 1, 0
         while node < self.size:
             node *= 2
-            if position - start >= self.sums[node, 0]:
-                start += int(self.sums[node, 0])
+            if position - start >= self.chars[node]:
+                start += self.chars[node]
                 node += 1
         return node - self.size, start
 
     def put(self, slot: int, text: str, tokens: int) -> None:
         self.slots[slot] = text
         node = slot + self.size
-        change = np.array([len(text), tokens]) - self.sums[node]
-        while node:
-            self.sums[node] += change
+        longer, more = len(text) - self.chars[node], tokens - self.counts[node]
+        while node and (longer or more):
+            self.chars[node] += longer
+            self.counts[node] += more
             node //= 2
 
     def edit(self, start: int, end: int, new: str) -> int:
         """Replace the characters from ``start`` to ``end`` (both cut to the
         text); returns how many chunks were encoded for it."""
+        return self.commit(*self.prepare(start, end, new))
+
+    def prepare(self, start: int, end: int, new: str) -> tuple[int, int, list[str]]:
+        """The slots that an edit touches, first and behind the last, and the
+        chunks that take their place; nothing is changed yet."""
         start = min(max(start, 0), self.characters)
         end = min(max(end, start), self.characters)
         if not self.slots:
-            self.slots, self.size, self.sums = [""], 1, np.zeros((2, 2), np.int64)
+            self.slots, self.size, self.chars, self.counts = [""], 1, [0, 0], [0, 0]
         first, at = self.find(start) if start < self.characters else (len(self.slots) - 1, self.characters - len(self.slots[-1]))
         # Back to where white space that stays follows something else that stays:
         # what is before such a place is chunked alike whatever comes after it.
@@ -102,7 +110,9 @@ class TokenTree:
             last += 1
         whole = "".join(self.slots[first:last])
         whole = whole[: start - at] + new + whole[end - at :]
-        chunks = [c for found in self.bpe.chunks(whole) for c in found]
+        return first, last, [c for found in self.bpe.chunks(whole) for c in found]
+
+    def commit(self, first: int, last: int, chunks: list[str]) -> int:
         # The slots stay in number: the last gets what the others do not hold.
         counts = self._counts(chunks)
         room = last - first
@@ -136,26 +146,30 @@ def count_with_edits(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for part in parts(batch, 1, 128):
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                new: set[str] = set()
-                for t in texts:
-                    if len(t) <= 1 << 20:
-                        new.update(*bpe.chunks(t))
-                bpe.learn(new := new.difference(bpe.known))  # in one batch of merge rounds
-                rows = []
-                for text, edits in zip(texts, part.column(2).to_pylist(), strict=True):
-                    tree = TokenTree(text, bpe)
-                    before, chunks, redone = tree.tokens, len(tree.slots), 0
-                    for e in edits or ():
-                        n = tree.characters
-                        redone += tree.edit(n if e["start"] is None else e["start"], n if e["end"] is None else e["end"], e["replacement"] or "")
-                    rows.append((before, chunks, len(edits or ()), tree.tokens, tree.characters, redone))
+                split = [[c for found in bpe.chunks(t) for c in found] for t in texts]
+                bpe.learn(new := set().union(*split).difference(bpe.known))  # in one batch of merge rounds
+                trees = [TokenTree(t, bpe, chunks) for t, chunks in zip(texts, split, strict=True)]
+                edits = [list(e or ()) for e in part.column(2).to_pylist()]
+                rows = [[t.tokens, len(t.slots), len(e)] for t, e in zip(trees, edits, strict=True)]
+                redone = [0] * len(trees)
+                for turn in range(max(map(len, edits), default=0)):  # the documents' first edits, then their second ones
+                    now = [i for i, e in enumerate(edits) if turn < len(e)]
+                    plans = []
+                    for i in now:
+                        n, e = trees[i].characters, edits[i][turn]
+                        plans.append(trees[i].prepare(n if e["start"] is None else e["start"], n if e["end"] is None else e["end"], e["replacement"] or ""))
+                    bpe.learn(more := set().union(*(p[2] for p in plans)).difference(bpe.known))
+                    new |= more
+                    for i, p in zip(now, plans, strict=True):
+                        redone[i] += trees[i].commit(*p)
+                rows = [[*r, t.tokens, t.characters, k] for r, t, k in zip(rows, trees, redone, strict=True)]
                 bpe.forget(new)
                 columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n_tokens", "n_chunks", "n_edits", "n_tokens_edited", "n_chars_edited", "n_reencoded"])
 
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), "edits")
     return rows.mapInArrow(run, "doc_id long, n_tokens long, n_chunks long, n_edits long, n_tokens_edited long, n_chars_edited long, n_reencoded long")
 
