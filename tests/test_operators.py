@@ -174,7 +174,7 @@ def test_passages(spark):
 
 PLANTED = [
     ("projects/p1", ["ai", "agents", "retrieval"]), ("areas/a1", ["ai", "agents", "memory"]), ("resources/r1", ["ai", "ai-agents", "retrieval"]),
-    ("resources/r2", ["ai", "ai-agents", "memory"]), ("archive/arc1", ["ai", "create_second_brain"]),
+    ("resources/r2", ["ai", "ai-agents", "memory"]), ("archive/arc1", ["ai", "leaked_note_title"]),
 ]
 
 
@@ -182,8 +182,8 @@ def test_planted_tags(spark):
     notes = spark.createDataFrame(PLANTED, "source_file string, tags array<string>")
     found = sorted((r.kind, r.tag, r.other) for r in tags.hygiene_report(notes).collect())
     assert found == [
-        ("format_lint", "create_second_brain", "underscore"), ("near_miss", "agents", "ai-agents"),
-        ("near_universal", "ai", None), ("singleton", "create_second_brain", "archive/arc1"),
+        ("format_lint", "leaked_note_title", "underscore"), ("near_miss", "agents", "ai-agents"),
+        ("near_universal", "ai", None), ("singleton", "leaked_note_title", "archive/arc1"),
     ]
     changed = tags.apply_mapping(notes, {"ai-agents": "agents"}).collect()
     assert sorted(r.source_file for r in changed) == ["resources/r1", "resources/r2"]
