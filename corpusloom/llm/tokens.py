@@ -7,7 +7,6 @@ bound; frequent ones are among them.
 from __future__ import annotations
 
 import os
-import re
 from array import array
 from collections.abc import Callable
 from functools import lru_cache
@@ -15,10 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Chunks that a worker remembers.
-KNOWN_CHUNKS = 250_000
-
-#: A single mark behind a letter at a chunk's end.
-LAST_MARK = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|\Z)")
+KNOWN_CHUNKS = 320_000
 
 
 @lru_cache(maxsize=2)
@@ -38,19 +34,23 @@ def word_ids(path: str) -> Callable[[list[str]], list[np.ndarray]]:
 
     def chunks(text: str) -> list[bytes]:
         data = text.encode()
-        if b"<|" in data:  # perhaps an added token, whose name is told apart by case
-            return data.split()
-        # The vocabulary is of lower case, and letters never share a pre-token with a mark.
-        return LAST_MARK.sub(rb" \1", data.lower()).split()
+        # The vocabulary is of lower case; only the added tokens' names are told apart by it.
+        return (data if b"<|" in data else data.lower()).split()
 
     def encode(texts: list[str]) -> list[np.ndarray]:
         split = [chunks(t) for t in texts]
-        new = list(set().union(*split).difference(known))
-        found = tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        known.update((w, array("I", e.ids).tobytes()) for w, e in zip(new, found, strict=True))
+        new = set().union(*split).difference(known)
+        # A single mark behind a letter is a pre-token of its own: those chunks are two known ones.
+        marked = [w for w in new if w[-1] in b".," and w[-2:-1].islower()]
+        new.difference_update(marked)
+        new.update({w[:-1] for w in marked}.difference(known), {b".", b","}.difference(known))
+        asked = list(new)
+        found = tokenizer.encode_batch_fast([w.decode() for w in asked], add_special_tokens=False)
+        known.update((w, array("I", e.ids).tobytes()) for w, e in zip(asked, found, strict=True))
+        known.update((w, known[w[:-1]] + known[w[-1:]]) for w in marked)
         out = [np.frombuffer(b"".join(map(known.__getitem__, words)), dtype="<u4") for words in split]
         if len(known) > KNOWN_CHUNKS:
-            for w in new:
+            for w in (*new, *marked):
                 del known[w]
         return out
 
