@@ -57,8 +57,9 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, query_id: str = "query_
     Blocks of queries meet blocks of vectors, each pair keeps its own k best,
     and the best of those are ranked; no pair of vectors leaves its task.
     """
-    q = in_blocks(queries, query_id, vector, ("qb", "qids", "qm"))
-    b = in_blocks(base, base_id, vector, ("bb", "bids", "bm"))
+    # An exchange of the blocks: a side's vectors are made once, not once for each partition of the other.
+    q = in_blocks(queries, query_id, vector, ("qb", "qids", "qm")).repartition("qb")
+    b = in_blocks(base, base_id, vector, ("bb", "bids", "bm")).repartition("bb")
     pairs = q.crossJoin(b).select("qids", "qm", "bids", "bm")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

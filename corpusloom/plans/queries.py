@@ -155,13 +155,14 @@ def bm25_within_source(spark, sf_dir):
 
 @query
 def rrf_hybrid_search(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    # Embedding a text costs far more than moving it: the rows are spread out first.
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").repartition("id")
     embedded = HashEmbedder().embed(docs, "text", "vector").select("id", "vector")
     return search.search(benchmark_queries(spark, sf_dir), embedded, document_index(spark, sf_dir))
 
 
 def passages(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
-    chunks = HashEmbedder().embed(document_chunks(spark, sf_dir), "text", "vector")
+    chunks = HashEmbedder().embed(document_chunks(spark, sf_dir).repartition("id"), "text", "vector")
     index = lexical.build_index(chunks, "id", "text")
     return search.search_passages(benchmark_queries(spark, sf_dir), chunks, index, **how).drop("page")
 
