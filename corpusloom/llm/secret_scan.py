@@ -31,10 +31,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "id", "blob", "endpoint")
 
-# Weak candidates.
-IDENTIFIER = re.compile(r"""\b(client_?id|(?:access_)?key_?id|account(?:_?id)?|user(?:_?name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@_.+-]{3,})""", re.IGNORECASE | re.ASCII)
-BLOB = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=])")
-ENDPOINT = re.compile(r"""\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]+|\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+(?::[0-9]+)?""", re.IGNORECASE | re.ASCII)
+# Weak candidates.  Names may follow a prefix and its _, blobs an =, as in GCP_CLIENT_ID=...
+IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(client_?id|(?:access_)?key_?id|account(?:_?id)?|user(?:_?name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@_.+-]{3,})""", re.IGNORECASE | re.ASCII)
+BLOB = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=])")
+ENDPOINT = re.compile(r"""\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]+|(?<![A-Za-z0-9])(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+(?::[0-9]+)?""", re.IGNORECASE | re.ASCII)
 
 Span = tuple[str, int, int]
 
