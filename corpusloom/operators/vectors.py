@@ -50,9 +50,16 @@ def in_blocks(df: DataFrame, id_: str, vector: str, names: tuple[str, str, str],
     return df.where(F.col(vector).isNotNull()).select(F.col(id_).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(run, f"{block} long, {ids} array<long>, {matrix} binary")
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, query_id: str = "query_id", base_id: str = "id", vector: str = "vector", exclude_self: bool = False) -> DataFrame:
-    """The ``k`` nearest base vectors of every query: (query_id, rank, id,
-    distance), distance rounded, ties by id.
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Rounded cosine distances of all rows of ``x`` to all of ``y``; infinite where a vector has no direction."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        d = np.round(1 - (x @ y.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(y, axis=1)[None, :], DIGITS)
+    return np.where(np.isnan(d), np.inf, d)
+
+
+def nearest(queries: DataFrame, base: DataFrame, k: int | None, query_id: str = "query_id", base_id: str = "id", vector: str = "vector", exclude_self: bool = False) -> DataFrame:
+    """The ``k`` nearest base vectors of every query, or all of them without
+    ``k``: (query_id, rank, id, distance), distance rounded, ties by id.
 
     Blocks of queries meet blocks of vectors, each pair keeps its own k best,
     and the best of those are ranked; no pair of vectors leaves its task.
@@ -68,9 +75,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, query_id: str = "query_
                 qi, bi = np.array(row["qids"], dtype=np.int64), np.array(row["bids"], dtype=np.int64)
                 x = np.frombuffer(row["qm"]).reshape(len(qi), -1)
                 y = np.frombuffer(row["bm"]).reshape(len(bi), -1)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    d = np.round(1 - (x @ y.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(y, axis=1)[None, :], DIGITS)
-                d = np.where(np.isnan(d), np.inf, d)
+                d = distances(x, y)
                 if exclude_self:
                     d[qi[:, None] == bi[None, :]] = np.inf
                 by_id = np.argsort(bi, kind="stable")
@@ -81,7 +86,41 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, query_id: str = "query_
 
     found = pairs.mapInArrow(run, "query_id long, id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+    found = found.withColumn("rank", rank)
+    return (found if k is None else found.where(F.col("rank") <= k)).select("query_id", "rank", "id", "distance")
+
+
+def ranks_among(queries: DataFrame, some: DataFrame, others: DataFrame, query_id: str = "query_id", base_id: str = "id", vector: str = "vector") -> DataFrame:
+    """The rank that every vector of ``some`` has for each query among those of
+    ``some`` and ``others`` together: (query_id, rank, id, distance), as
+    :func:`nearest` over all of them would give.
+
+    A block of ``others`` only counts how many of its vectors come before each
+    of ``some``; no other vector is listed, and none is left out.
+    """
+    own = nearest(queries, some, None, query_id, base_id, vector)
+    q = in_blocks(queries, query_id, vector, ("qb", "qids", "qm"))
+    s = in_blocks(some, base_id, vector, ("sb", "sids", "sm"))
+    asked = q.crossJoin(s).repartition("qb", "sb")
+    b = in_blocks(others, base_id, vector, ("bb", "bids", "bm")).repartition("bb")
+    met = asked.crossJoin(b).select("qids", "qm", "sids", "sm", "bids", "bm")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                qi, si, bi = (np.array(row[name], dtype=np.int64) for name in ("qids", "sids", "bids"))
+                x, y, z = (np.frombuffer(row[name]).reshape(len(ids), -1) for name, ids in (("qm", qi), ("sm", si), ("bm", bi)))
+                mine, theirs = distances(x, y), distances(x, z)
+                ids, is_mine = np.concatenate([si, bi]), np.arange(len(si) + len(bi)) < len(si)
+                for i, asked_by in enumerate(qi):
+                    order = np.lexsort((ids, np.concatenate([mine[i], theirs[i]])))
+                    at = np.flatnonzero(is_mine[order])
+                    before = at - np.arange(len(at))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), asked_by)), pa.array(ids[order[at]]), pa.array(before.astype(np.int64))], ["query_id", "id", "before"])
+
+    before = met.mapInArrow(run, "query_id long, id long, before long").groupBy("query_id", "id").agg(F.sum("before").alias("before"))
+    rank = (F.col("rank") + F.coalesce("before", F.lit(0))).cast("int").alias("rank")
+    return own.join(before, ["query_id", "id"], "left").select("query_id", rank, "id", "distance")
 
 
 def nearest_lsh(queries: DataFrame, base: DataFrame, k: int, query_id: str = "query_id", base_id: str = "id", vector: str = "vector", bits: int = 8, tables: int = 12, dim: int = 64, seed: int = 7) -> DataFrame:

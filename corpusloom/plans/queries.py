@@ -179,7 +179,7 @@ def passage_all_chunks(spark, sf_dir):
 
 @query
 def passage_within_document(spark, sf_dir):
-    return passages(spark, sf_dir, mode="all_chunks", source=3, pool=1_000_000)
+    return passages(spark, sf_dir, mode="all_chunks", source=3)
 
 
 @query

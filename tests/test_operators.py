@@ -172,6 +172,21 @@ def test_passages(spark):
         search.search_passages(ask, chunks, index, mode="odd")
 
 
+def test_passages_within_a_source_have_no_pool(spark):
+    rows = [(i, "B" if i % 20 == 7 else "A", i, 1, f"piece {i} of text") for i in range(60)] + [(60, None, 0, 1, "no source")]
+    chunks = HashEmbedder(64).embed(spark.createDataFrame(rows, "id long, source_file string, chunk_id int, page int, text string").repartition(3), "text", "vector")
+    ask = HashEmbedder(64).embed(spark.createDataFrame([(0, "piece"), (1, "text")], "query_id long, text string"), "text", "vector")
+    all_ = {(r.query_id, r.id): (r["rank"], r.distance) for r in vectors.nearest(ask, chunks, 100).collect()}
+    mine, theirs = chunks.where("source_file = 'B'"), chunks.where("source_file is distinct from 'B'")
+    among = {(r.query_id, r.id): (r["rank"], r.distance) for r in vectors.ranks_among(ask, mine, theirs).collect()}
+    assert among == {k: v for k, v in all_.items() if k[1] in (7, 27, 47)} and max(r for r, _ in among.values()) > 20
+    within = search.search_passages(ask, chunks, None, mode="all_chunks", source="B").collect()
+    want = {(q, i): round(1 / (60 + r), 6) for (q, i), (r, _) in among.items()}
+    assert {(h.query_id, h.chunk_id): h.score for h in within} == want
+    # Every passage is the base's only one, or the source's only one.
+    assert vectors.ranks_among(ask, chunks, chunks.limit(0)).count() == 122 and vectors.ranks_among(ask, chunks.limit(0), chunks).count() == 0
+
+
 PLANTED = [
     ("projects/p1", ["ai", "agents", "retrieval"]), ("areas/a1", ["ai", "agents", "memory"]), ("resources/r1", ["ai", "ai-agents", "retrieval"]),
     ("resources/r2", ["ai", "ai-agents", "memory"]), ("archive/arc1", ["ai", "leaked_note_title"]),
