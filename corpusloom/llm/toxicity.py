@@ -32,8 +32,9 @@ LANDMARKS = 128
 CANDIDATES = 1500
 #: Toxic sample texts that a landmark must explain beyond those before it.
 LEAST_SUPPORT = 3
-#: Decay of a subsequence's weight per letter of span, and its widest span.
-DECAY, SPAN = 0.75, 5
+#: Decay of a subsequence's weight per letter of span, and its widest span: at 7, two letters
+#: put in anywhere leave every word of four letters or more above LEAST_MATCH.
+DECAY, SPAN = 0.75, 7
 #: A word matches a landmark from this share of the landmark's own kernel on.
 LEAST_MATCH = 0.55
 #: The power of the kernel beside the kernel itself.
@@ -235,8 +236,13 @@ class ToxicityModel:
 
 
 def disguised(s: str) -> list[str]:
-    """A string, and it with a strange letter put in at each inner place."""
-    return [s] * len(s) + [s[:i] + "x" + s[i:] for i in range(1, len(s))]
+    """A string, and it with one or two strange letters put in at inner places,
+    and with each letter up to three times."""
+    put = lambda t, at: t[:at] + "x" + t[at:]
+    one = [put(s, i) for i in range(1, len(s))]
+    two = [put(put(s, j), i) for j in range(1, len(s)) for i in range(1, j + 1)]
+    repeated = [s[:i] + c * n + s[i:] for i, c in enumerate(s) for n in (1, 2)]
+    return [s] * len(s) + one + two + repeated
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 0.1) -> tuple[np.ndarray, float]:

@@ -667,6 +667,19 @@ def test_disguises():
     assert share("idixot") >= toxicity.LEAST_MATCH and share("the cat") == 0
 
 
+def test_two_letters_put_in(spark):
+    forms = {"loser": "loooser", "clown": "clooown", "trash": "traaash", "idiot": "idxixot", "stupid": "stxupxid", "scum": "sxcuxm"}
+    m = toxicity.Matcher(list(forms))
+    for j, (word, form) in enumerate(forms.items()):
+        assert m.describe([form])[0].get(j, 0) >= toxicity.LEAST_MATCH
+        put = [word[:a] + "q" + word[a:b] + "z" + word[b:] for a in range(1, len(word)) for b in range(a, len(word))]
+        assert all(d.get(j, 0) >= toxicity.LEAST_MATCH for d in m.describe(put))
+    rows = [(i, f"clean words here n{i}" if i % 2 else f"you {list(forms)[i // 2 % 6]} n{i}") for i in range(400)]
+    model = toxicity.fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id long, toxic int"))
+    scores = model.scores(toxicity.Matcher(model.landmarks).describe([f"you {f}" for f in forms.values()] + ["clean words", "stash and crown", "audio of the studio"]))
+    assert [s >= 0.5 for s in scores] == [True] * 6 + [False] * 3
+
+
 def test_toxicity_query(spark):
     sf = "/root/testdata/sf0.01"
     rows = Q.op10_toxicity(spark, sf).collect()
