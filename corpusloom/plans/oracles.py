@@ -174,6 +174,8 @@ SELECT c.src AS conv_id, chunk_id, page, char_start, char_end FROM chunks c ASOF
     "parse_tags": "SELECT doc_id AS id, lang || '|' || source AS tags, 2 AS n FROM documents UNION ALL SELECT -p_partkey - 1, p_type || '|' || p_brand, 2 FROM part",
     "slugify_titles": r"SELECT p_partkey, trim(regexp_replace(lower(t), '[^a-z0-9]+', '-', 'g'), '-') AS slug, t AS display FROM (SELECT p_partkey, p_name || ' & Co.! ' || p_brand AS t FROM part)",
     "normalize_keys": f"""WITH d AS (SELECT doc_id, {KEY.format(t="' What is ' || substr(text, 1, 30) || '?'")} AS key, {TAG.format(t='substr(text, 1, 30)')} AS tag FROM documents)
+SELECT doc_id, key, {BARE.format(t='key')} AS bare, tag FROM d""",
+    "normalize_whole_keys": f"""WITH d AS (SELECT doc_id, {KEY.format(t="' What is ' || text || '?'")} AS key, {TAG.format(t='text')} AS tag FROM documents)
 SELECT doc_id, key, {BARE.format(t='key')} AS bare, tag FROM d""",
     "snippets": rf"SELECT doc_id, {SNIPPET} AS snippet FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS f FROM documents)",
     "long_documents": r"SELECT doc_id, n_lines FROM (SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S'))) AS n_lines FROM documents) WHERE n_lines > 20",

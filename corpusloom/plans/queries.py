@@ -255,6 +255,14 @@ def normalize_keys(spark, sf_dir):
     return d.select("doc_id", T.normalise_key(term).alias("key"), T.strip_lead_in(T.normalise_key(term)).alias("bare"), T.normalise_tag(F.substring("text", 1, 30)).alias("tag"))
 
 
+@query
+def normalize_whole_keys(spark, sf_dir):
+    """As normalize_keys, over whole texts."""
+    d = table(spark, sf_dir, "documents")
+    term = F.concat(F.lit(" What is "), F.col("text"), F.lit("?"))
+    return d.select("doc_id", T.normalise_key(term).alias("key"), T.strip_lead_in(T.normalise_key(term)).alias("bare"), T.normalise_tag(F.col("text")).alias("tag"))
+
+
 @query
 def snippets(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.snippet(F.col("text")).alias("snippet"))

@@ -41,6 +41,14 @@ def test_queries_equal_their_sql(spark, name):
     assert key(got.select(columns).collect()) == key(want.select(*(duckdb.ColumnExpression(c) for c in columns)).fetchall())
 
 
+def test_keys_of_whole_texts(spark):
+    test_queries_equal_their_sql(spark, "normalize_whole_keys")
+    from corpusloom.plans import queries as Q
+
+    rows = Q.QUERIES["normalize_whole_keys"](spark, SF).collect()
+    assert max(len(r.tag) for r in rows) > 30 and max(len(r.bare) for r in rows) > 30
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
