@@ -66,10 +66,12 @@ class NoteIndex:
 
     def apply(self, feed: DataFrame, notes: DataFrame, embedder: Embedder = HashEmbedder()) -> None:
         """Follow a change feed (status, path, new_path, seq); ``notes`` has the
-        present texts.  A changed note without text loses its lexical row."""
+        present texts.  A changed note without text loses its lexical row; its
+        vector row stays until it is deleted or has a text again."""
         net = changes.net_changes(feed).withColumnRenamed("path", "source_file")
-        touched = notes.join(net.where("op = 'upsert'").select("source_file"), "source_file", "left_semi")
-        self.vectors.apply(net, embed_notes(touched, embedder=embedder), "source_file")
+        touched = notes.join(net.where("op = 'upsert'").select("source_file"), "source_file", "left_semi").where("text is not null")
+        gone = net.where("op = 'delete'").unionByName(net.join(touched.select("source_file"), "source_file", "left_semi"))
+        self.vectors.apply(gone.dropDuplicates(["source_file"]), embed_notes(touched, embedder=embedder), "source_file")
         self.bodies.apply(net, self._rows(touched), "source_file")
 
     def search(self, queries: DataFrame, settings: Settings = Settings(), embedder: Embedder = HashEmbedder()) -> DataFrame:

@@ -40,6 +40,16 @@ def test_index(spark, notes, tmp_path):
     assert [h.source_file for h in index.search(ask, Settings(k=1), SMALL).collect()] == ["projects/c.md"]
 
 
+def test_a_changed_note_without_text_keeps_its_vector(spark, tmp_path):
+    notes = spark.createDataFrame([("areas/a.md", "zephyr wind"), ("areas/b.md", "other words"), ("areas/c.md", "third note")], "source_file string, text string")
+    index = api.NoteIndex(spark, f"file://{tmp_path}/i")
+    index.build(notes, api.embed_notes(notes, embedder=SMALL), dim=32)
+    feed = spark.createDataFrame([("M", "areas/a.md", None, 1), ("M", "areas/b.md", None, 2), ("D", "areas/c.md", None, 3)], "status string, path string, new_path string, seq long")
+    index.apply(feed, notes.where("source_file = 'areas/b.md'").withColumn("text", F.lit("changed")), SMALL)
+    names = lambda table: sorted(r.source_file for r in table.read().collect())
+    assert names(index.vectors) == ["areas/a.md", "areas/b.md"] and names(index.bodies) == ["areas/b.md"]
+
+
 def test_paged_sources(spark):
     pages = spark.createDataFrame([("x.pdf", 1, "alpha beta gamma delta"), ("x.pdf", 2, "epsilon zeta eta theta")], "source_file string, page int, text string")
     s = Settings(chunk_tokens=4, chunk_overlap=0.0)
