@@ -1,59 +1,50 @@
 """Jaccard join on word shingles, exact, by signature trees.
 
 Texts with the same shingle set form a class, and only one of each class is
-compared.  Two sets that are similar enough share one of the first fifth of
-their shingles in any common order; frequent shingles come last in it, so
-passages that many texts share rarely lead anywhere.
-
-Texts that share one of a few smallest shingle hashes are compared with one of
-them, and so near copies gather in components without comparing all pairs.
-What is left are shingles that texts of different components share.  Over the
-texts of each a signature tree is built, whose nodes hold the OR of the token
-bitmaps below and the range of sizes; a traversal of node pairs from the root
-drops those whose largest possible overlap is too small.  Surviving pairs are
-verified on their texts.  Pairs within a component need no comparison: they
-cannot change it.
+compared.  In a common order of shingles, rare ones first, two sets that link
+share one of the first fifth of the larger set, and that first common shingle
+is among the first ninth of the smaller one.  Sets of one range of sizes that
+share such a shingle form a tile; of tiles that hold the same sets one is kept.
+
+Over the sets of a tile a signature tree is built: a leaf is the bitmap of a
+set's shingles (one bit for each that the tile has twice), an inner node the OR
+of the bitmaps below and their range of sizes.  A traversal of node pairs from
+the root drops those whose largest possible overlap is too small; what reaches
+the leaves is decided there, exactly.  A tile's links are given as a forest, a
+row for each set but one of a component, however many pairs link.
+
+A large tile is dealt out at random to trees of bounded size.  Most of what
+links is then connected.  What is left are pairs of different components that
+never met: the sets of small components meet the large ones, and each other,
+in further trees, block by block.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import partial
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import free_name, lean, materialize, maybe_in, parts, short_batches, split_by
+from .shared import discard, free_name, lean, materialize, maybe_in, parts, short_batches, split_by
 
 WIDTH = 5
 PERCENT = 80
-#: Smallest hashes by which near copies are gathered, and how many of them a
-#: text shares with the one that it is compared with.
-MINS, AGREE = 6, 2
-#: Texts of such a group that the others are compared with.
-PIVOTS = 3
-#: Such rounds go on while they find as many links.
-FEW_LINKS = 1000
 #: Shingles that a text set's task has seen this often are frequent; the most
 #: frequent of them, at most so many, are put last in the common order.  This
 #: bounds what is broadcast, and decides only how fast the join is.
 LOCAL_COUNT, FREQUENT = 2, 1 << 17
 #: Shingles that are counted at once in a task.
 COUNTED = 1 << 21
-#: Texts that one tree holds; a shingle with more is split into tiles of pairs.
-TREE = 512
-#: Sets that need no inner nodes.
-FEW = 12
-#: Bits of a signature.
-BITS = 512
-#: Node pairs whose bitmaps are compared at once.
-FRONTIER = 4096
+#: Sets, and shingles in them, that one tree holds.
+TREE, TREE_SHINGLES = 512, 1 << 20
+#: Node pairs whose bitmaps are compared at once, in 64-bit words.
+FRONTIER = 1 << 20
 #: Nodes for rows without doc_id are numbered from here on.
 NO_ID = 1 << 62
 
@@ -105,16 +96,33 @@ def identify(doc_ids: list[int | None], sets: list[np.ndarray]) -> list[tuple[in
     return out
 
 
-def links(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both) and both > 0
+def size_bands(largest: int) -> np.ndarray:
+    """The least size of each band.  Sizes that can link lie in one band or two
+    that follow each other."""
+    low = [1]
+    while low[-1] <= largest:
+        low.append(low[-1] * 100 // PERCENT + 1)
+    return np.array(low, dtype=np.int64)
 
 
-def prefix_size(n):
-    """Shingles of a set of which a similar set must have one."""
+BANDS = size_bands(1 << 40)
+
+
+def long_prefix(n):
+    """Shingles of a set of which a similar set, no larger, must have one."""
     return n - -(-PERCENT * n // 100) + 1
 
 
+def short_prefix(n):
+    """The same for a similar set that is no smaller."""
+    return n - least_overlap(n, n) + 1
+
+
+def least_overlap(n, m):
+    """Shingles that sets of these sizes share at least if they link."""
+    return (PERCENT * (n + m) + 99 + PERCENT) // (100 + PERCENT)
+
+
 @lean("ngram")
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kind 0: doc_id, size, sums.  Kind 1: shingles frequent in this task."""
@@ -148,6 +156,27 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield frequent()
 
 
+def frequent_shingles(counted: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles (a, sorted) of the highest counts (n), at most ``most``,
+    and their grades.  A histogram of the counts gives the least one taken, so
+    no more rows than that reach the driver."""
+    often = counted.groupBy("a").agg(F.sum("n").alias("n"))
+    # Eight steps to a doubling: at most 504 rows.
+    step = F.floor(F.log2("n") * 8).cast("int")
+    total, least = 0, None
+    for r in often.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        total += r["count"]
+        if total > most:
+            break
+        least = r.step
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    table = often.where(step >= least).toArrow()
+    token = table["a"].to_numpy().view(np.uint64)
+    order = np.argsort(token)
+    return token[order], np.minimum(np.log2(table["n"].to_numpy()).astype(np.int64), 30)[order]
+
+
 def order_keys(shingles: np.ndarray, frequent: np.ndarray, level: np.ndarray) -> np.ndarray:
     """A shingle's place in the common order: 5 bits of frequency, 58 of hash."""
     at = np.minimum(np.searchsorted(frequent, shingles), max(len(frequent) - 1, 0))
@@ -155,157 +184,190 @@ def order_keys(shingles: np.ndarray, frequent: np.ndarray, level: np.ndarray) ->
     return grade << 58 | (shingles >> np.uint64(6)).view(np.int64)
 
 
-def signature(prefix: np.ndarray) -> bytes:
-    """The bitmap of a prefix's shingles; each has one of BITS bits."""
-    with np.errstate(over="ignore"):
-        bit = (prefix.view(np.uint64) * MULTIPLY) >> np.uint64(64 - BITS.bit_length() + 1)
-    member = np.zeros(BITS, dtype=np.uint8)
-    member[bit.astype(np.int64)] = 1
-    return np.packbits(member, bitorder="little").tobytes()
-
-
 class Tree:
-    """A signature tree over sets that share a shingle, each level as arrays:
-    level 0 has the sets, each further level half as many nodes.
+    """A signature tree over sets, each level as arrays: level 0 has the sets,
+    each further level half as many nodes.
 
-    A node has the OR of the bitmaps below it, their AND, the range of sizes
-    and, if there is but one, the group that its sets are in.
+    ``leaves`` are bitmaps with a bit for every shingle that may be shared, so
+    the bits that two nodes have in common bound the overlap of any two sets
+    below them, and are the overlap at the leaves.
     """
 
-    def __init__(self, bits: np.ndarray, size: np.ndarray, group: np.ndarray):
-        self.levels = [(bits, bits, size, size, group, group)]
+    def __init__(self, leaves: np.ndarray, size: np.ndarray):
+        self.levels = [(leaves, size, size)]
         while len(self.levels[-1][0]) > 1:
-            some, every, low, high, first, last = self.levels[-1]
-            if len(some) % 2:  # the last node is its own neighbour
-                some, every, low, high, first, last = (np.concatenate([x, x[-1:]]) for x in self.levels[-1])
-            self.levels.append((some[::2] | some[1::2], every[::2] & every[1::2], np.minimum(low[::2], low[1::2]), np.maximum(high[::2], high[1::2]), np.minimum(first[::2], first[1::2]), np.maximum(last[::2], last[1::2])))
-
-    def possible(self, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether node pairs may hold a pair of sets that link: sizes within
-        the ratio, not all of one group, and enough shingles that may be shared."""
-        some, every, low, high, first, last = self.levels[level]
-        ok = (100 * high[a] >= PERCENT * low[b]) & (100 * high[b] >= PERCENT * low[a])
-        ok &= ~((first[a] == last[a]) & (first[b] == last[b]) & (first[a] == first[b]))
-        at = np.flatnonzero(ok)
-        for s in range(0, len(at), FRONTIER):
-            i = at[s : s + FRONTIER]
-            x, y = a[i], b[i]
-            alone_x = np.bitwise_count(every[x] & ~some[y]).sum(axis=1, dtype=np.int64)
-            alone_y = np.bitwise_count(every[y] & ~some[x]).sum(axis=1, dtype=np.int64)
-            shared = np.minimum(prefix_size(high[x]) - alone_x, prefix_size(high[y]) - alone_y)
-            overlap = (PERCENT * (low[x] + low[y]) + 99 + PERCENT) // (100 + PERCENT)
-            rest = np.maximum(high[x] - prefix_size(high[x]), high[y] - prefix_size(high[y]))
-            ok[i] = shared >= np.maximum(overlap - rest, 1)
-        return ok
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of sets (places in level 0, a < b) that may link."""
-        a = b = np.zeros(1, dtype=np.int64)
-        for level in range(len(self.levels) - 2, -1, -1):
-            n = len(self.levels[level][0])
-            a, b = np.concatenate([2 * a, 2 * a, 2 * a + 1, 2 * a + 1]), np.concatenate([2 * b, 2 * b + 1, 2 * b, 2 * b + 1])
-            keep = (a < b if level == 0 else a <= b) & (b < n)
+            bits, low, high = self.levels[-1]
+            if len(bits) % 2:  # the last node is its own neighbour
+                bits, low, high = (np.concatenate([x, x[-1:]]) for x in (bits, low, high))
+            self.levels.append((bits[::2] | bits[1::2], np.minimum(low[::2], low[1::2]), np.maximum(high[::2], high[1::2])))
+
+    def level(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A level, where the root stands for all above it."""
+        return self.levels[min(k, len(self.levels) - 1)]
+
+    def below(self, k: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nodes of level k that are below ``node``, one level up, and for
+        each the place in ``node``."""
+        place = np.arange(len(node))
+        if k >= len(self.levels) - 1:
+            return node, place
+        child = np.concatenate([2 * node, 2 * node + 1])
+        inside = child < len(self.levels[k][0])
+        return child[inside], np.concatenate([place, place])[inside]
+
+
+def possible(x: Tree, y: Tree, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether node pairs may hold a pair of sets that link: sizes within the
+    ratio, and enough bits in common.  Exact for leaves."""
+    (bits, low, high), (bits_y, low_y, high_y) = x.level(level), y.level(level)
+    ok = (100 * high[a] >= PERCENT * low_y[b]) & (100 * high_y[b] >= PERCENT * low[a])
+    at = np.flatnonzero(ok)
+    step = max(1, FRONTIER // bits.shape[1])
+    for s in range(0, len(at), step):
+        i = at[s : s + step]
+        shared = np.bitwise_count(bits[a[i]] & bits_y[b[i]]).sum(axis=1, dtype=np.int64)
+        ok[i] = shared >= least_overlap(low[a[i]], low_y[b[i]])
+    return ok
+
+
+def tree_links(x: Tree, y: Tree) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of sets (places in level 0) that link, one of each tree; of a
+    tree with itself each pair once."""
+    a = b = np.zeros(1, dtype=np.int64)
+    top = max(len(x.levels), len(y.levels)) - 1
+    for level in range(top, -1, -1):
+        if level < top:
+            a, place = x.below(level, a)
+            b, other = y.below(level, b[place])
+            a = a[other]
+        if x is y:
+            keep = a < b if level == 0 else a <= b
             a, b = a[keep], b[keep]
-            keep = self.possible(level, a, b)
-            a, b = a[keep], b[keep]
-        return a, b
-
-
-def tree_pairs(node: np.ndarray, group: np.ndarray, size: np.ndarray, salt: np.ndarray, bits: np.ndarray, one: bool, every: bool = True, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs among sets that share a shingle, of different groups.
-    Unless the tile is ``one`` part with itself, only pairs across its parts;
-    unless ``every`` pair is asked for, one for two groups, by ``seed``."""
-    if len(node) <= FEW:  # all leaves of one node
-        whole = [int.from_bytes(x.tobytes(), "little") for x in bits]
-        found = [(i, j) for i in range(len(node)) for j in range(i) if group[i] != group[j] and _leaves_may_link(int(size[i]), int(size[j]), whole[i], whole[j])]
-        a, b = (np.array(x, dtype=np.int64) for x in (zip(*found, strict=True) if found else ((), ())))
-    else:
-        order = np.lexsort([node, size, group])
-        node, group, size, salt, bits = node[order], group[order], size[order], salt[order], bits[order]
-        a, b = Tree(bits, size, group).pairs()
-    keep = (group[a] != group[b]) & (node[a] != node[b])
-    if not one:
-        keep &= salt[a] != salt[b]
-    a, b = a[keep], b[keep]
-    if not every and len(a) > 1:
-        x, y = np.minimum(group[a], group[b]), np.maximum(group[a], group[b])
-        with np.errstate(over="ignore"):
-            turn = mix(node[a].astype(np.uint64) * MULTIPLY + node[b].astype(np.uint64) + np.uint64(seed))
-        order = np.lexsort([turn, y, x])
-        new = np.concatenate([[True], (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)])
-        a, b = a[order[new]], b[order[new]]
-    return node[a], node[b]
-
-
-def _leaves_may_link(nx: int, ny: int, x: int, y: int) -> bool:
-    if 100 * nx < PERCENT * ny or 100 * ny < PERCENT * nx:
-        return False
-    px, py = prefix_size(nx), prefix_size(ny)
-    shared = min(px - (x & ~y).bit_count(), py - (y & ~x).bit_count())
-    return shared >= max(-(-PERCENT * (nx + ny) // (100 + PERCENT)) - max(nx - px, ny - py), 1)
-
-
-def _tiles(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
-    """Runs the trees of the tiles in a task, whose rows lie together.  Unless
-    ``every`` pair is asked for, two components get one pair in a tile."""
-    names = ("token", "i", "j", "node", "component", "n", "salt")
-    held: list[np.ndarray] = []
+        keep = possible(x, y, level, a, b)
+        a, b = a[keep], b[keep]
+    return a, b
+
+
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of bits per set, a bit for each shingle that two of them have."""
+    size = [len(s) for s in sets]
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    bit = np.cumsum(count > 1) - 1
+    shared = (count > 1)[place]
+    member = np.zeros((len(sets), -(-max(1, int((count > 1).sum())) // 64) * 64), dtype=bool)
+    member[np.repeat(np.arange(len(sets)), size)[shared], bit[place[shared]]] = True
+    return np.packbits(member, axis=1, bitorder="little").view(np.uint64)
+
+
+def forest(node: np.ndarray, group: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A star for every component that the links in a tile make of its groups.
+    Sets of one group count as linked; those of side 1 are compared with those
+    of side 2 only, those of side 0 with all."""
+    order = np.lexsort([node, [len(s) for s in sets]])
+    group, side, sets = group[order], side[order], [sets[i] for i in order]
+    bits, size = bitmaps(sets), np.array([len(s) for s in sets])
+    if not side.any():
+        tree = Tree(bits, size)
+        return joined(group, *tree_links(tree, tree))
+    left, right = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
+    a, b = tree_links(Tree(bits[left], size[left]), Tree(bits[right], size[right]))
+    return joined(group, left[a], right[b])
+
+
+def joined(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A star for every component that the links (places a, b) make of the
+    groups: edges between groups only, one fewer than the groups it joins."""
+    names, g = np.unique(group, return_inverse=True)
+    least = np.arange(len(names))
+    a, b = g[a], g[b]
+    differ = a != b
+    a, b = a[differ], b[differ]
+    while len(a):
+        low = np.minimum(least[a], least[b])
+        new = least.copy()
+        for x in (a, b, least[a], least[b]):
+            np.minimum.at(new, x, low)
+        new = new[new]
+        if (new == least).all():
+            break
+        least = new
+    moved = np.flatnonzero(least != np.arange(len(names)))
+    return names[moved], names[least[moved]]
 
-    def run(token, i, j, node, component, n, salt, bits):
-        cuts = np.flatnonzero((np.diff(token) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-        ends = [0, *cuts.tolist(), len(token)]
-        found = [tree_pairs(node[s:e], component[s:e], n[s:e], salt[s:e], bits[s:e], bool(i[s] == j[s]), every, int(token[s]) & 0xFFFFFFFF) for s, e in zip(ends, ends[1:], strict=False) if e - s > 1]
-        pairs = [np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found, strict=True)] or [np.zeros(0, np.int64)] * 2
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(*pairs)), pa.array(np.maximum(*pairs))], ["a", "b"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        columns = [table[c].to_numpy().astype(np.int64) for c in names]
-        columns.append(np.frombuffer(b"".join(table["bits"].to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64))
-        if held:
-            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
-        change = np.flatnonzero((np.diff(columns[0]) != 0) | (np.diff(columns[1]) != 0) | (np.diff(columns[2]) != 0))
-        cut = int(change[-1]) + 1 if len(change) else 0  # the last tile may go on in the next batch
-        held = [c[cut:] for c in columns]
-        if cut:
-            yield run(*(c[:cut] for c in columns))
-    if held:
-        yield run(*held)
-
-
-def may_link(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> bool:
-    """The bound for two prefixes: up to the end of the one that ends first both
-    sets are known; beyond, at most what is left of either may be common."""
-    if x[-1] > y[-1]:
-        x, y, nx, ny = y, x, ny, nx
-    known = int(np.searchsorted(y, x[-1], "right"))
-    shared = len(np.intersect1d(x, y[:known], assume_unique=True))
-    return (100 + PERCENT) * (shared + min(nx - len(x), ny - known)) >= PERCENT * (nx + ny) and shared > 0
+@lean("ngram")
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Trees over the tiles of a task, whose rows (tile, node, group, side,
+    shingles) lie together; edges between groups."""
+    tile, held = None, []
 
+    def run() -> tuple:
+        if len(held) < 2 or len({r[1] for r in held}) < 2:
+            return [], []
+        *columns, sets = zip(*held, strict=True)
+        return forest(*map(np.array, columns), list(sets))
 
-@lean("ngram")
-def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x, y, nx, ny = batch.column(2), batch.column(3), batch.column(4).to_numpy(), batch.column(5).to_numpy()
-        ok = [may_link(x[k].values.to_numpy(), y[k].values.to_numpy(), int(nx[k]), int(ny[k])) for k in range(batch.num_rows)]
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+        found = []
+        column = batch.column(4)
+        values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+        for i, (t, *row) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
+            if t != tile:
+                found.append(run())
+                tile, held = t, []
+            held.append((*row, values[ends[i] : ends[i + 1]].view(np.uint64)))
+        yield _edges(found)
+    yield _edges([run()])
 
 
-def _nameless(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = identify([None] * batch.num_rows, shingle_sets(batch.column(1).to_pylist()))
-        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), batch.column(1)], ["node", "text"])
+def _edges(found: list) -> pa.RecordBatch:
+    columns = [np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in zip(*found, strict=True)] or [np.zeros(0, np.int64)] * 2
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b"])
 
 
 @lean("ngram")
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in parts(batch, 2, 64):
-            sets = shingle_sets([*part.column(2).to_pylist(), *part.column(3).to_pylist()])
-            ok = [links(x, y) for x, y in zip(sets, sets[part.num_rows :], strict=False)]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in part.columns[:2]], ["a", "b"])
+        for part in parts(batch, 1):
+            sets = shingle_sets(part.column(1).to_pylist())
+            found = identify(part.column(0).to_pylist(), sets)
+            columns = [pa.array([f[k] for f in found], pa.int64()) for k in (0, 2)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "b", "shingles"])
+
+
+def blocks(rows: DataFrame, key: str, left: Column, right: Column) -> DataFrame:
+    """Tiles in which each ``left`` row of a ``key`` meets each ``right`` one:
+    both sides are dealt out to blocks of TREE rows by hash, and every block of
+    one meets every block of the other."""
+    count = lambda c: F.greatest(F.ceil(F.count_if(c) / TREE), F.lit(1)).cast("int")
+    counts = rows.groupBy(key).agg(count(left).alias("pl"), count(right).alias("pr"), F.count_if(left).alias("kl"), F.count_if(right).alias("kr")).where("kl > 0 and kr > 0").drop("kl", "kr")
+    dealt = rows.join(counts, key)
+    place = lambda n: F.pmod(F.xxhash64("node", "b"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sides = dealt.where(left).select("*", place("pl").alias("i"), every("pr").alias("j"), F.lit(1).alias("side")).unionByName(dealt.where(right).select("*", every("pl").alias("i"), place("pr").alias("j"), F.lit(2).alias("side")))
+    return sides.select(F.xxhash64(key, "i", "j").alias("tile"), "node", "b", "group", "side")
+
+
+def left_over(placed: DataFrame) -> DataFrame:
+    """Tiles for the pairs of a large tile that have not met.
+
+    ``placed`` has the sets of large tiles (tile, node, b, group, s), s where
+    the smaller one of a pair has to be.  A group of more than TREE sets meets
+    each set once that shares a tile with it, however many tiles they share;
+    the sets of the other groups of a tile meet each other.
+    """
+    sized = placed.select("group", "node", "b").distinct().groupBy("group").agg(F.count("*").alias("k"))
+    large = materialize(sized.where(F.col("k") > TREE).select(F.col("group").alias("g")), "large")
+    marked = materialize(placed.join(large, F.col("group") == F.col("g"), "left"), "marked")
+    there = marked.where("g is not null").groupBy("tile", F.col("g").alias("key")).agg(F.max("s").alias("any"))
+    asked = marked.join(there, "tile").where((F.col("group") != F.col("key")) & (F.col("s") | F.col("any")) & (F.col("g").isNull() | (F.col("g") < F.col("key"))))
+    sides = asked.select("key", "node", "b", "group", F.lit(1).alias("of")).unionByName(marked.where("g is not null").select(F.col("g").alias("key"), "node", "b", "group", F.lit(2).alias("of"))).distinct()
+    rest = marked.where("g is null")
+    h = F.xxhash64("node", "b")
+    kept = rest.groupBy("tile").agg(F.count("*").alias("k"), F.bit_xor(h).alias("f1"), F.bit_xor(F.xxhash64(h, "s")).alias("f2"), F.max("s").alias("any"), F.min("group").alias("low"), F.max("group").alias("high"))
+    kept = kept.where("any and low < high").groupBy("k", "f1", "f2").agg(F.min("tile").alias("tile")).select("tile")
+    rest = rest.join(kept, "tile", "left_semi")
+    return blocks(sides, "key", F.col("of") == 1, F.col("of") == 2).unionByName(blocks(rest, "tile", F.col("s"), F.lit(True)))
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
@@ -317,21 +379,15 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     shingle; without words, or null, it has none, and its component is its own
     doc_id.  Rows without doc_id take part and may get the component of others,
     else null; rows that repeat a doc_id count as one document; an empty table
-    gives no rows; other columns are not read.
+    gives no rows; very long texts are read whole; other columns are not read.
     """
-    short_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    short_batches(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     measured = materialize(source.mapInArrow(_measure, "kind int, a long, n long, b long, c long"), "shingles")
     sizes = measured.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "b", "c", F.coalesce("a", F.lit(NO_ID) + F.pmod("b", F.lit(1 << 60))).alias("node"))
     classes = materialize(sizes.where("n > 0").groupBy("b", "c", "n").agg(F.min("node").alias("rep")), "classes")
-
-    often = measured.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n"))
-    table = often.orderBy(F.col("n").desc(), "a").limit(FREQUENT).toArrow()  # at most FREQUENT rows
-    frequent = table["a"].to_numpy().view(np.uint64)
-    by_value = np.argsort(frequent)
-    frequent = frequent[by_value]
-    level = np.minimum(np.log2(np.maximum(table["n"].to_numpy(), 1)).astype(np.int64), 30)[by_value] if len(frequent) else by_value
-    shipped = docs.sparkSession.sparkContext.broadcast((frequent, level))
+    shipped = spark.sparkContext.broadcast(frequent_shingles(measured.where("kind = 1"), FREQUENT))
 
     @lean("ngram")
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,69 +397,70 @@ def ngram_components(docs: DataFrame) -> DataFrame:
                 sets = shingle_sets(part.column(1).to_pylist())
                 found = identify(part.column(0).to_pylist(), sets)
                 some = [i for i, s in enumerate(sets) if len(s)]
-                first = [np.sort(order_keys(sets[i], often, grade))[: prefix_size(len(sets[i]))] for i in some]
-                with np.errstate(over="ignore"):
-                    mins = [np.sort(mix(sets[i] ^ np.uint64(0x5851F42D4C957F2D)))[:MINS].view(np.int64) for i in some]
-                columns = [pa.array([found[i][k] for i in some], pa.int64()) for k in range(4)]
-                lists = [pa.array(x, pa.list_(pa.int64())) for x in (first, mins)]
-                yield pa.RecordBatch.from_arrays([*columns, *lists, pa.array([signature(x) for x in first], pa.binary())], ["node", "n", "b", "c", "prefix", "mins", "bits"])
-
-    one_of_each = maybe_in(source.withColumn("_id", F.coalesce("doc_id", F.lit(-1))), classes.select(F.col("rep").alias("_id")).unionByName(docs.sparkSession.range(1).select(F.lit(-1).cast("long").alias("_id"))), "_id")
-    made = one_of_each.select("doc_id", "text").mapInArrow(prefixes, "node long, n long, b long, c long, prefix array<long>, mins array<long>, bits binary")
-    reps = materialize(made.join(classes.withColumnRenamed("rep", "node"), ["b", "c", "n", "node"]).select("node", "n", "prefix", "mins", "bits"), "prefixes")
-
-    def verified(pairs: DataFrame, label: str) -> DataFrame:
-        pairs = materialize(pairs.distinct(), f"{label}-pairs")
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        named = maybe_in(source.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text"), ends, "node")
-        texts = named.unionByName(source.where("doc_id is null").mapInArrow(_nameless, "node long, text string"))
-        texts = materialize(texts.join(ends, "node", "left_semi"), f"{label}-texts")
-        joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-        return materialize(joined.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long").distinct(), f"{label}-links")
-
-    # Near copies: texts that share a small hash and are about as long meet a few
-    # of their group.  Large groups whose texts are only just alike take several
-    # rounds; they end once few links are left to find, the trees find those.
-    band = F.log(F.col("n")) / math.log(1.25)
-    gathered = reps.select("node", "n", F.explode("mins").alias("m"), band.alias("band")).select("node", "n", "m", F.explode(F.array(F.floor("band") * 2, F.floor(F.col("band") + 0.5) * 2 + 1)).alias("band"))
-    alike = (100 * F.least("n", "size") >= PERCENT * F.greatest("n", "size")) & (F.col("component") != F.col("other"))
-    first, known, turn = None, None, 0
-    while True:
-        placed = gathered.withColumn("component", F.col("node")) if known is None else gathered.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pivots = F.array(*(F.min(F.struct(F.xxhash64("node", F.lit(turn + k)).alias("h"), F.col("node").alias("pivot"), F.col("n").alias("size"), F.col("component").alias("other"))) for k in range(PIVOTS)))
-        pivot = placed.groupBy("m", "band").agg(pivots.alias("p"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        pivot = pivot.select("m", "band", F.explode("p").alias("p")).select("m", "band", "p.pivot", "p.size", "p.other").distinct()
-        agreed = placed.join(pivot, ["m", "band"]).where(alike).groupBy(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).agg(F.countDistinct("m").alias("k"))
-        new = verified(agreed.where(F.col("k") >= AGREE).select("a", "b"), "near")
-        first = new if first is None else first.unionByName(new)
-        known = materialize(components(first), "components")
-        turn += PIVOTS
-        if new.count() < FEW_LINKS:
-            break
-
-    # Shingles that different components share, and the texts that have them.
-    placed = reps.join(known, "node", "left").select("node", "n", "prefix", F.coalesce("component", "node").alias("component"))
-    open_ = materialize(placed.select("component", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k")).where("low < high").select("token", "k"), "tokens")
-    entries = reps.select("node", "n", F.explode("prefix").alias("token"))
-    entries = materialize(maybe_in(entries, open_, "token").join(open_, "token"), "entries")
-    tried = None
-    for every in (False, True):  # first one pair for two components, which may make them one; then all that are left
-        cut = entries.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")).join(reps.select("node", "bits"), "node")
-        cut = cut.withColumn("parts", F.ceil(F.col("k") / TREE).cast("int")).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        tiles = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select("token", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "node", "component", "n", "salt", "bits")
-        tiles = tiles.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-        candidates = tiles.mapInArrow(lean("ngram")(partial(_tiles, every=every)), "a long, b long").distinct()
-        candidates = materialize(candidates if tried is None else candidates.join(tried, ["a", "b"], "left_anti"), "candidates")
-        tried = candidates
-        ends = candidates.select(F.col("a").alias("node")).union(candidates.select("b"))
-        sets = maybe_in(reps.select("node", "n", "prefix"), ends, "node")
-        x, y = (sets.select(F.col("node").alias(c), F.col("prefix").alias(p), F.col("n").alias(n)) for c, p, n in (("a", "x", "nx"), ("b", "y", "ny")))
-        bounded = candidates.join(x, "a").join(y, "b").select("a", "b", "x", "y", "nx", "ny").mapInArrow(_bounded, "a long, b long")
-        first = first.unionByName(verified(bounded, "tree"))
-        known = materialize(components(first), "components")
-    final = known
-
-    of_class = classes.join(final.withColumnsRenamed({"node": "rep"}), "rep", "left").select("b", "c", "n", F.coalesce("component", "rep").alias("component"))
+                n = np.array([len(sets[i]) for i in some], dtype=np.int64)
+                first = [np.sort(order_keys(sets[i], often, grade))[: long_prefix(len(sets[i]))] for i in some]
+                band = np.searchsorted(BANDS, n, "right") - 1
+                least = -(-PERCENT * n // 100)
+                # The last place in the prefix that counts for a pair with a set that is
+                # no smaller, for one of the same band, and for one of the band below.
+                own = n - least_overlap(n, np.maximum(least, BANDS[band]))
+                below = np.where((band > 0) & (least < BANDS[band]), n - least_overlap(n, np.maximum(least, BANDS[band - 1])), -1)
+                ids = [pa.array([found[i][k] for i in some], pa.int64()) for k in range(4)]
+                places = [pa.array(x, pa.int64()) for x in (band, short_prefix(n) - 1, own, below)]
+                yield pa.RecordBatch.from_arrays([*ids, *places, pa.array(first, pa.list_(pa.int64()))], ["node", "n", "b", "c", "band", "short", "own", "below", "prefix"])
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        """Rows of ``source`` whose doc_id may be among ``nodes``, and those without."""
+        ids = nodes.select(F.col("node").alias("_id")).unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("_id")))
+        return maybe_in(source.withColumn("_id", F.coalesce("doc_id", F.lit(-1))), ids, "_id").select("doc_id", "text")
+
+    kinds = "node long, n long, b long, c long, band long, short long, own long, below long, prefix array<long>"
+    made = texts_of(classes.select(F.col("rep").alias("node"))).mapInArrow(prefixes, kinds)
+    reps = materialize(made.join(classes.withColumnRenamed("rep", "node"), ["b", "c", "n", "node"]).dropDuplicates(["node", "b"]), "prefixes")
+
+    # Shingles that two sets have, one of them where the smaller one of a pair has to.
+    spread = reps.select("node", "b", "n", "band", "short", "own", "below", F.posexplode("prefix").alias("pos", "token"))
+    open_ = materialize(spread.groupBy("token").agg(F.count("*").alias("k"), F.max(F.col("pos") <= F.col("short")).alias("s")).where("k > 1 and s").select("token"), "tokens")
+    in_bands = F.array(
+        F.when(F.col("pos") <= F.col("own"), F.struct(F.col("band").alias("band"), (F.col("pos") <= F.col("short")).alias("s"))),
+        F.when(F.col("pos") <= F.col("below"), F.struct((F.col("band") - 1).alias("band"), F.lit(False).alias("s"))),
+    )
+    entries = maybe_in(spread, open_, "token").select("node", "b", "n", "token", F.explode(F.array_compact(in_bands)).alias("x"))
+    entries = materialize(entries.select(F.xxhash64("token", "x.band").alias("tile"), "node", "b", "n", "x.s"), "entries")
+    discard(open_, reps)
+
+    # Tiles with the same sets need one tree.
+    h = F.xxhash64("node", "b")
+    tiles = entries.groupBy("tile").agg(F.count("*").alias("k"), F.max("s").alias("any"), F.bit_xor(h).alias("f1"), F.bit_xor(F.xxhash64(h)).alias("f2"), F.sum("n").alias("weight"), F.min("n").alias("low"), F.max("n").alias("high"))
+    tiles = tiles.where((F.col("k") > 1) & F.col("any") & ((F.col("k") > 2) | (100 * F.col("low") >= PERCENT * F.col("high"))))
+    tiles = tiles.groupBy("k", "f1", "f2").agg(F.min("tile").alias("tile"), F.min("weight").alias("weight"))
+    parts_ = F.greatest(F.ceil(F.col("k") / TREE), F.ceil(F.col("weight") / TREE_SHINGLES)).cast("int")
+    members = materialize(entries.join(tiles.select("tile", parts_.alias("parts")), "tile"), "members")
+    discard(entries)
+    sets = texts_of(members.select("node")).mapInArrow(_sets, "node long, b long, shingles array<long>")
+    sets = materialize(sets.join(members.select("node", "b").distinct(), ["node", "b"], "left_semi").dropDuplicates(["node", "b"]), "sets")
+
+    def solved(tiles: DataFrame, label: str) -> DataFrame:
+        rows = tiles.join(sets, ["node", "b"]).select("tile", "node", "group", "side", "shingles")
+        return materialize(rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_solve, "a long, b long").distinct(), label)
+
+    part = F.pmod(F.xxhash64("node", "b", "tile"), F.col("parts"))
+    dealt = members.select(F.when(F.col("parts") > 1, F.xxhash64("tile", part)).otherwise(F.col("tile")).alias("tile"), "node", "b", F.col("node").alias("group"), F.lit(0).alias("side"))
+    edges = solved(dealt, "links")
+    known = materialize(components(edges), "components")
+    discard(edges)
+    if members.where("parts > 1").limit(1).count():
+        placed = members.where("parts > 1").join(known, "node", "left").select("tile", "node", "b", "s", F.coalesce("component", "node").alias("group"))
+        still = placed.groupBy("tile").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("tile")
+        placed = materialize(placed.join(still, "tile", "left_semi"), "placed")
+        edges = solved(left_over(placed), "links")
+        first = known
+        known = materialize(components(edges.unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b")))), "components")
+        discard(edges, first, placed)
+    discard(members, sets)
+    shipped.destroy()
+
+    of_class = classes.join(known.withColumnsRenamed({"node": "rep"}), "rep", "left").select("b", "c", "n", F.coalesce("component", "rep").alias("component"))
     found = sizes.join(of_class, ["b", "c", "n"], "left")
     component = F.coalesce("component", "doc_id")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(component < NO_ID, component).alias("component_id"))
@@ -411,7 +468,9 @@ def ngram_components(docs: DataFrame) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, with one document of each component:
-    the one with the smallest doc_id.  Rows without doc_id stay."""
+    the one with the smallest doc_id.  Rows without doc_id stay, and so do
+    texts without words; rows that repeat a doc_id stay or go together; an
+    empty table gives no rows; other columns, whatever their names, pass."""
     found = materialize(ngram_components(docs), "ngram")
     key = free_name(docs, "_key")
     dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()

@@ -491,44 +491,71 @@ def near_copies(seed, n=120, copies=6, words=40):
     return out
 
 
-@pytest.mark.parametrize(("seed", "mins"), [(1, 6), (2, 0), (3, 1)])
-def test_components_of_near_copies(spark, monkeypatch, seed, mins):
-    """Also with few or no hashes that gather near copies beforehand: the trees
-    alone must find every link."""
-    monkeypatch.setattr(ngram_join, "MINS", mins)
-    monkeypatch.setattr(ngram_join, "AGREE", min(mins, 2))
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_components_of_near_copies(spark, seed):
     rows = near_copies(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(df).collect()}
     assert got == brute_components(rows)
 
 
-@pytest.mark.parametrize("few", [0, 12])
-def test_tree_loses_no_pair(monkeypatch, few):
-    monkeypatch.setattr(ngram_join, "FEW", few)
+def similar(a, b):
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and 100 * both >= 80 * (len(a) + len(b) - both)
+
+
+def test_tree_finds_the_links():
+    """Of one tree with itself and of two trees, exactly the pairs that link."""
+    for seed in range(6):
+        sets = [s for s in ngram_join.shingle_sets([t for _, t in near_copies(10 + seed, n=90)]) if len(s)]
+        size, bits = np.array([len(s) for s in sets]), ngram_join.bitmaps(sets)
+        want = {(i, j) for j in range(len(sets)) for i in range(j) if similar(sets[i], sets[j])}
+        tree = ngram_join.Tree(bits, size)
+        found = list(zip(*(x.tolist() for x in ngram_join.tree_links(tree, tree)), strict=True))
+        assert len(found) == len(set(found)) and set(found) == want
+        for cut in (1, 30):
+            found = list(zip(*(x.tolist() for x in ngram_join.tree_links(ngram_join.Tree(bits[:cut], size[:cut]), ngram_join.Tree(bits[cut:], size[cut:]))), strict=True))
+            assert len(found) == len(set(found)) and {(i, j + cut) for i, j in found} == {(i, j) for i, j in want if i < cut <= j}
+
+
+def test_first_common_shingle():
+    """Sets that link share one within the long prefix of the larger and the
+    short one of the smaller, and lie in one band or in two that follow."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    seen = 0
     for seed in range(6):
-        rows = near_copies(10 + seed, n=90)
-        sets = ngram_join.shingle_sets([t for _, t in rows])
-        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        first = [np.sort(ngram_join.order_keys(s, *none))[: ngram_join.prefix_size(len(s))] for s in sets]
-        bits = np.frombuffer(b"".join(map(ngram_join.signature, first)), dtype=np.uint64).reshape(len(rows), -1)
-        number, size = np.arange(len(rows)), np.array([len(s) for s in sets])
-        a, b = ngram_join.tree_pairs(number, number.copy(), size, number * 0, bits, True)
-        found = {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist(), strict=True)}
-        for i in range(len(rows)):
-            for j in range(i):
-                if ngram_join.links(sets[i], sets[j]):
-                    assert (j, i) in found
-                    assert np.intersect1d(first[i], first[j]).size and ngram_join.may_link(first[i], first[j], len(sets[i]), len(sets[j]))
-
-
-def test_tiles_split_a_shingle(spark, monkeypatch):
+        sets = [s for s in ngram_join.shingle_sets([t for _, t in near_copies(30 + seed, n=90)]) if len(s)]
+        ordered = [np.sort(ngram_join.order_keys(s, *none)) for s in sets]
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                if i != j and len(x) <= len(y) and similar(x, y):
+                    first = np.intersect1d(ordered[i], ordered[j])[0]
+                    assert first in ordered[i][: ngram_join.short_prefix(len(x))] and first in ordered[j][: ngram_join.long_prefix(len(y))]
+                    band = np.searchsorted(ngram_join.BANDS, [len(x), len(y)], "right")
+                    assert 0 <= band[1] - band[0] <= 1
+                    seen += 1
+    assert seen > 100
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_large_tiles(spark, monkeypatch, seed):
+    """Tiles that no tree holds: what did not meet in the first trees does so
+    in the further ones, and each makes fewer edges than it has sets."""
     monkeypatch.setattr(ngram_join, "TREE", 8)
-    monkeypatch.setattr(ngram_join, "MINS", 0)
-    rows = near_copies(5, n=80, copies=40)
+    rows = near_copies(seed, n=160, copies=80)
+    made = []
+    solve = ngram_join.left_over
+    monkeypatch.setattr(ngram_join, "left_over", lambda placed: made.append(solve(placed)) or made[0])
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(df).collect()}
-    assert got == brute_components(rows)
+    assert got == brute_components(rows) and made
+
+
+def test_a_tile_gives_a_forest():
+    sets = ngram_join.shingle_sets([" ".join(f"w{i}" for i in range(200)) + f" e{k}" for k in range(300)])
+    node = np.arange(300)
+    a, b = ngram_join.forest(node, node, node * 0, sets)
+    assert a.tolist() == list(range(1, 300)) and set(b.tolist()) == {0}
 
 
 def test_ngram_query(spark, docs):
