@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import secrets
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,12 +60,16 @@ def op8_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_with_edits(documents, tokenizer_file("byte_bpe_50k.json"))
 
 
-#: The key of op9's pseudonyms; ``CORPUSLOOM_PII_KEY`` sets another.
-PII_KEY = "corpusloom"
+@cache
+def own_key() -> str:
+    """A key that lasts as long as this process."""
+    return secrets.token_hex(32)
 
 
 def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents"), os.environ.get("CORPUSLOOM_PII_KEY", PII_KEY))
+    """``CORPUSLOOM_PII_KEY`` has the key; without one, values are linked
+    within what this process writes."""
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), os.environ.get("CORPUSLOOM_PII_KEY") or own_key())
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
