@@ -335,6 +335,20 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*columns, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "b", "shingles"])
 
 
+def without_parts_of_others(members: DataFrame) -> DataFrame:
+    """``members`` (tile, k, parts, node, b) without tiles whose sets are all in
+    one larger tile that a single tree holds.
+
+    Each set names the largest such tile that it is in; if all sets of a tile
+    name one and the same other tile, that one has them all.  It stays itself,
+    since those sets name it.
+    """
+    whole = members.where("parts = 1")
+    largest = whole.groupBy("node", "b").agg(F.max(F.struct("k", "tile"))["tile"].alias("largest"))
+    named = whole.join(largest, ["node", "b"]).groupBy("tile").agg(F.min("largest").alias("low"), F.max("largest").alias("high"))
+    return members.join(named.where("low = high and low <> tile").select("tile"), "tile", "left_anti")
+
+
 def blocks(rows: DataFrame, key: str, left: Column, right: Column) -> DataFrame:
     """Tiles in which each ``left`` row of a ``key`` meets each ``right`` one:
     both sides are dealt out to blocks of TREE rows by hash, and every block of
@@ -429,16 +443,18 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     entries = materialize(entries.select(F.xxhash64("token", "x.band").alias("tile"), "node", "b", "n", "x.s"), "entries")
     discard(open_, reps)
 
-    # Tiles with the same sets need one tree.
+    # Tiles with the same sets need one tree; in a large one, which of them are
+    # the smaller ones of pairs matters too.
     h = F.xxhash64("node", "b")
-    tiles = entries.groupBy("tile").agg(F.count("*").alias("k"), F.max("s").alias("any"), F.bit_xor(h).alias("f1"), F.bit_xor(F.xxhash64(h)).alias("f2"), F.sum("n").alias("weight"), F.min("n").alias("low"), F.max("n").alias("high"))
+    tiles = entries.groupBy("tile").agg(F.count("*").alias("k"), F.max("s").alias("any"), F.bit_xor(h).alias("f1"), F.bit_xor(F.xxhash64(h)).alias("f2"), F.bit_xor(F.xxhash64(h, "s")).alias("f3"), F.sum("n").alias("weight"), F.min("n").alias("low"), F.max("n").alias("high"))
     tiles = tiles.where((F.col("k") > 1) & F.col("any") & ((F.col("k") > 2) | (100 * F.col("low") >= PERCENT * F.col("high"))))
-    tiles = tiles.groupBy("k", "f1", "f2").agg(F.min("tile").alias("tile"), F.min("weight").alias("weight"))
     parts_ = F.greatest(F.ceil(F.col("k") / TREE), F.ceil(F.col("weight") / TREE_SHINGLES)).cast("int")
-    members = materialize(entries.join(tiles.select("tile", parts_.alias("parts")), "tile"), "members")
+    tiles = tiles.withColumn("parts", parts_).groupBy("k", "parts", "f1", "f2", F.when(F.col("parts") > 1, F.col("f3"))).agg(F.min("tile").alias("tile"))
+    every = materialize(entries.join(tiles.select("tile", "k", "parts"), "tile"), "members")
     discard(entries)
-    sets = texts_of(members.select("node")).mapInArrow(_sets, "node long, b long, shingles array<long>")
-    sets = materialize(sets.join(members.select("node", "b").distinct(), ["node", "b"], "left_semi").dropDuplicates(["node", "b"]), "sets")
+    members = materialize(without_parts_of_others(every), "members")
+    discard(every)
+    sets = texts_of(members.select("node")).mapInArrow(_sets, "node long, b long, shingles array<long>").dropDuplicates(["node", "b"])
 
     def solved(tiles: DataFrame, label: str) -> DataFrame:
         rows = tiles.join(sets, ["node", "b"]).select("tile", "node", "group", "side", "shingles")
@@ -457,7 +473,7 @@ def ngram_components(docs: DataFrame) -> DataFrame:
         first = known
         known = materialize(components(edges.unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b")))), "components")
         discard(edges, first, placed)
-    discard(members, sets)
+    discard(members)
     shipped.destroy()
 
     of_class = classes.join(known.withColumnsRenamed({"node": "rep"}), "rep", "left").select("b", "c", "n", F.coalesce("component", "rep").alias("component"))
