@@ -7,11 +7,12 @@ is among the first ninth of the smaller one.  Sets of one range of sizes that
 share such a shingle form a tile; of tiles that hold the same sets one is kept.
 
 Over the sets of a tile a signature tree is built: a leaf is the bitmap of a
-set's shingles (one bit for each that the tile has twice), an inner node the OR
-of the bitmaps below and their range of sizes.  A traversal of node pairs from
-the root drops those whose largest possible overlap is too small; what reaches
-the leaves is decided there, exactly.  A tile's links are given as a forest, a
-row for each set but one of a component, however many pairs link.
+set, an inner node the OR and the AND of the bitmaps below and their range of
+sizes.  A traversal of node pairs from the root drops those whose largest
+possible overlap is too small.  This is done twice.  First the bitmaps are short
+signatures, and the sets of which a pair is left go on.  For those the bitmaps have one bit for each shingle that the tile has twice, so what
+reaches the leaves is decided there, exactly.  A tile's links are given as a
+forest, a row for each set but one of a component, however many pairs link.
 
 A large tile is dealt out at random to trees of bounded size.  Most of what
 links is then connected.  What is left are pairs of different components that
@@ -21,7 +22,8 @@ in further trees, block by block.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -186,22 +188,18 @@ def order_keys(shingles: np.ndarray, frequent: np.ndarray, level: np.ndarray) ->
 
 class Tree:
     """A signature tree over sets, each level as arrays: level 0 has the sets,
-    each further level half as many nodes.
-
-    ``leaves`` are bitmaps with a bit for every shingle that may be shared, so
-    the bits that two nodes have in common bound the overlap of any two sets
-    below them, and are the overlap at the leaves.
-    """
+    each further level half as many nodes.  A node has the OR and the AND of
+    the bitmaps below it and their range of sizes."""
 
     def __init__(self, leaves: np.ndarray, size: np.ndarray):
-        self.levels = [(leaves, size, size)]
+        self.levels = [(leaves, leaves, size, size)]
         while len(self.levels[-1][0]) > 1:
-            bits, low, high = self.levels[-1]
-            if len(bits) % 2:  # the last node is its own neighbour
-                bits, low, high = (np.concatenate([x, x[-1:]]) for x in (bits, low, high))
-            self.levels.append((bits[::2] | bits[1::2], np.minimum(low[::2], low[1::2]), np.maximum(high[::2], high[1::2])))
+            some, every, low, high = self.levels[-1]
+            if len(some) % 2:  # the last node is its own neighbour
+                some, every, low, high = (np.concatenate([x, x[-1:]]) for x in (some, every, low, high))
+            self.levels.append((some[::2] | some[1::2], every[::2] & every[1::2], np.minimum(low[::2], low[1::2]), np.maximum(high[::2], high[1::2])))
 
-    def level(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def level(self, k: int) -> tuple[np.ndarray, ...]:
         """A level, where the root stands for all above it."""
         return self.levels[min(k, len(self.levels) - 1)]
 
@@ -216,23 +214,25 @@ class Tree:
         return child[inside], np.concatenate([place, place])[inside]
 
 
-def possible(x: Tree, y: Tree, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether node pairs may hold a pair of sets that link: sizes within the
-    ratio, and enough bits in common.  Exact for leaves."""
-    (bits, low, high), (bits_y, low_y, high_y) = x.level(level), y.level(level)
-    ok = (100 * high[a] >= PERCENT * low_y[b]) & (100 * high_y[b] >= PERCENT * low[a])
-    at = np.flatnonzero(ok)
-    step = max(1, FRONTIER // bits.shape[1])
-    for s in range(0, len(at), step):
-        i = at[s : s + step]
-        shared = np.bitwise_count(bits[a[i]] & bits_y[b[i]]).sum(axis=1, dtype=np.int64)
-        ok[i] = shared >= least_overlap(low[a[i]], low_y[b[i]])
-    return ok
+def enough_shared(x: tuple, y: tuple) -> np.ndarray:
+    """For bitmaps with a bit for every shingle that may be shared: the bits in
+    common bound the overlap of any two sets below, and are it at the leaves."""
+    shared = np.bitwise_count(x[0] & y[0]).sum(axis=1, dtype=np.int64)
+    return shared >= least_overlap(x[2], y[2])
+
+
+def signatures_allow(x: tuple, y: tuple) -> np.ndarray:
+    """For bitmaps in which shingles share bits: bits that all sets of one side
+    have and none of the other are shingles that are not shared."""
+    alone_x = np.bitwise_count(x[1] & ~y[0]).sum(axis=1, dtype=np.int64)
+    alone_y = np.bitwise_count(y[1] & ~x[0]).sum(axis=1, dtype=np.int64)
+    return np.minimum(x[3] - alone_x, y[3] - alone_y) >= least_overlap(x[2], y[2])
 
 
-def tree_links(x: Tree, y: Tree) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of sets (places in level 0) that link, one of each tree; of a
-    tree with itself each pair once."""
+def tree_pairs(x: Tree, y: Tree, bound=enough_shared) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of sets (places in level 0), one of each tree, that neither
+    their sizes nor the bound of any nodes above them rule out; of a tree with
+    itself each pair once."""
     a = b = np.zeros(1, dtype=np.int64)
     top = max(len(x.levels), len(y.levels)) - 1
     for level in range(top, -1, -1):
@@ -243,11 +243,32 @@ def tree_links(x: Tree, y: Tree) -> tuple[np.ndarray, np.ndarray]:
         if x is y:
             keep = a < b if level == 0 else a <= b
             a, b = a[keep], b[keep]
-        keep = possible(x, y, level, a, b)
-        a, b = a[keep], b[keep]
+        nx, ny = x.level(level), y.level(level)
+        ok = (100 * nx[3][a] >= PERCENT * ny[2][b]) & (100 * ny[3][b] >= PERCENT * nx[2][a])
+        at = np.flatnonzero(ok)
+        step = max(1, FRONTIER // nx[0].shape[1])
+        for i in (at[s : s + step] for s in range(0, len(at), step)):
+            ok[i] = bound(tuple(c[a[i]] for c in nx), tuple(c[b[i]] for c in ny))
+        a, b = a[ok], b[ok]
     return a, b
 
 
+def signature(shingles: np.ndarray) -> bytes:
+    """A bitmap in which each shingle has one bit, of four to eight for each
+    shingle, a power of two."""
+    bits = max(64, 4 << (len(shingles) - 1).bit_length())
+    member = np.zeros(bits, dtype=np.uint8)
+    member[(shingles & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(member, bitorder="little").tobytes()
+
+
+def folded(signatures: list[bytes]) -> np.ndarray:
+    """Signatures of several widths as rows of the least one."""
+    words = [np.frombuffer(x, dtype=np.uint64) for x in signatures]
+    width = min(map(len, words))
+    return np.stack([np.bitwise_or.reduce(w.reshape(-1, width)) for w in words])
+
+
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     """A row of bits per set, a bit for each shingle that two of them have."""
     size = [len(s) for s in sets]
@@ -259,19 +280,34 @@ def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(member, axis=1, bitorder="little").view(np.uint64)
 
 
-def forest(node: np.ndarray, group: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """A star for every component that the links in a tile make of its groups.
-    Sets of one group count as linked; those of side 1 are compared with those
-    of side 2 only, those of side 0 with all."""
-    order = np.lexsort([node, [len(s) for s in sets]])
-    group, side, sets = group[order], side[order], [sets[i] for i in order]
-    bits, size = bitmaps(sets), np.array([len(s) for s in sets])
+def dual(bits: np.ndarray, size: np.ndarray, side: np.ndarray, bound) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a tile's sets: of side 1 with those of side 2, else of all."""
     if not side.any():
         tree = Tree(bits, size)
-        return joined(group, *tree_links(tree, tree))
+        return tree_pairs(tree, tree, bound)
     left, right = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
-    a, b = tree_links(Tree(bits[left], size[left]), Tree(bits[right], size[right]))
-    return joined(group, left[a], right[b])
+    a, b = tree_pairs(Tree(bits[left], size[left]), Tree(bits[right], size[right]), bound)
+    return left[a], right[b]
+
+
+def may_link(node: np.ndarray, group: np.ndarray, side: np.ndarray, size: np.ndarray, signatures: list[bytes]) -> np.ndarray:
+    """Which of a tile's sets may link with one of another group, by their
+    signatures."""
+    order = np.lexsort([node, size])
+    a, b = dual(folded([signatures[i] for i in order]), size[order], side[order], signatures_allow)
+    a, b = order[a], order[b]
+    apart = group[a] != group[b]
+    out = np.zeros(len(node), dtype=bool)
+    out[a[apart]] = out[b[apart]] = True
+    return out
+
+
+def forest(node: np.ndarray, group: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A star for every component that the links in a tile make of its groups.
+    Sets of one group count as linked."""
+    order = np.lexsort([node, [len(s) for s in sets]])
+    sets = [sets[i] for i in order]
+    return joined(group[order], *dual(bitmaps(sets), np.array([len(s) for s in sets]), side[order], enough_shared))
 
 
 def joined(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -295,44 +331,73 @@ def joined(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return names[moved], names[least[moved]]
 
 
-@lean("ngram")
-def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Trees over the tiles of a task, whose rows (tile, node, group, side,
-    shingles) lie together; edges between groups."""
-    tile, held = None, []
+def _by_tile(batches: Iterator[pa.RecordBatch], payload: Callable, run: Callable) -> Iterator[pa.RecordBatch]:
+    """``run`` with the rows of each tile, which lie together, the last column
+    read by ``payload``: a batch of what it gives for each batch of rows."""
+    tile, held, found = None, [], []
 
-    def run() -> tuple:
-        if len(held) < 2 or len({r[1] for r in held}) < 2:
-            return [], []
-        *columns, sets = zip(*held, strict=True)
-        return forest(*map(np.array, columns), list(sets))
+    def end() -> None:
+        if len(held) > 1 and len({r[1] for r in held}) > 1:
+            found.append(run(tile, *zip(*held, strict=True)))
 
     for batch in batches:
-        found = []
-        column = batch.column(4)
-        values, ends = column.values.to_numpy(), column.offsets.to_numpy()
-        for i, (t, *row) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
+        values = payload(batch.column(batch.num_columns - 1))
+        for t, *row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns - 1)), values, strict=True):
             if t != tile:
-                found.append(run())
+                end()
                 tile, held = t, []
-            held.append((*row, values[ends[i] : ends[i + 1]].view(np.uint64)))
-        yield _edges(found)
-    yield _edges([run()])
+            held.append(row)
+        if found:
+            yield _rows(found)
+            found.clear()
+    end()
+    if found:
+        yield _rows(found)
+
+
+def _rows(found: list[tuple[list, np.ndarray]]) -> pa.RecordBatch:
+    names = found[0][0]
+    columns = [np.concatenate(c).astype(np.int64) for c in zip(*(x[1] for x in found), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+
+@lean("ngram")
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the rows (tile, node, group, side, n, b, signature), those that may link."""
 
+    def run(tile, node, group, side, n, b, signatures):
+        columns = [np.full(len(node), tile), *map(np.array, (node, group, side, b))]
+        ok = may_link(*columns[1:4], np.array(n), list(signatures))
+        return ["tile", "node", "group", "side", "b"], [c[ok] for c in columns]
 
-def _edges(found: list) -> pa.RecordBatch:
-    columns = [np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in zip(*found, strict=True)] or [np.zeros(0, np.int64)] * 2
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b"])
+    return _by_tile(batches, lambda c: c.to_pylist(), run)
 
 
 @lean("ngram")
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the rows (tile, node, group, side, shingles), edges between groups."""
+
+    def sets(column: pa.Array) -> list[np.ndarray]:
+        values, ends = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+        return [values[s:e] for s, e in zip(ends, ends[1:], strict=False)]
+
+    def run(tile, node, group, side, shingles):
+        return ["a", "b"], forest(*map(np.array, (node, group, side)), list(shingles))
+
+    return _by_tile(batches, sets, run)
+
+
+def _sets(batches: Iterator[pa.RecordBatch], short: bool) -> Iterator[pa.RecordBatch]:
+    """(node, b, n, signature) of texts, or (node, b, shingles)."""
     for batch in batches:
         for part in parts(batch, 1):
             sets = shingle_sets(part.column(1).to_pylist())
             found = identify(part.column(0).to_pylist(), sets)
-            columns = [pa.array([f[k] for f in found], pa.int64()) for k in (0, 2)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "b", "shingles"])
+            node, n, b = (pa.array([f[k] for f in found], pa.int64()) for k in range(3))
+            if short:
+                yield pa.RecordBatch.from_arrays([node, b, n, pa.array([signature(s) if len(s) else b"" for s in sets], pa.binary())], ["node", "b", "n", "bits"])
+            else:
+                yield pa.RecordBatch.from_arrays([node, b, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "b", "shingles"])
 
 
 def without_parts_of_others(members: DataFrame) -> DataFrame:
@@ -358,7 +423,7 @@ def blocks(rows: DataFrame, key: str, left: Column, right: Column) -> DataFrame:
     dealt = rows.join(counts, key)
     place = lambda n: F.pmod(F.xxhash64("node", "b"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    sides = dealt.where(left).select("*", place("pl").alias("i"), every("pr").alias("j"), F.lit(1).alias("side")).unionByName(dealt.where(right).select("*", every("pl").alias("i"), place("pr").alias("j"), F.lit(2).alias("side")))
+    sides = dealt.where(left).select("*", place("pl").alias("i"), every("pr").alias("j"), F.lit(1).cast("long").alias("side")).unionByName(dealt.where(right).select("*", every("pl").alias("i"), place("pr").alias("j"), F.lit(2).cast("long").alias("side")))
     return sides.select(F.xxhash64(key, "i", "j").alias("tile"), "node", "b", "group", "side")
 
 
@@ -454,14 +519,22 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     discard(entries)
     members = materialize(without_parts_of_others(every), "members")
     discard(every)
-    sets = texts_of(members.select("node")).mapInArrow(_sets, "node long, b long, shingles array<long>").dropDuplicates(["node", "b"])
+
+    def read(tiles: DataFrame, short: bool, schema: str) -> DataFrame:
+        return texts_of(tiles.select("node")).mapInArrow(lean("ngram")(partial(_sets, short=short)), schema).dropDuplicates(["node", "b"])
 
     def solved(tiles: DataFrame, label: str) -> DataFrame:
-        rows = tiles.join(sets, ["node", "b"]).select("tile", "node", "group", "side", "shingles")
+        """The edges of tiles (tile, node, b, group, side): trees of signatures
+        tell which sets may link, and trees of the whole sets which do."""
+        marks = read(tiles, True, "node long, b long, n long, bits binary")
+        rows = tiles.join(marks, ["node", "b"]).select("tile", "node", "group", "side", "n", "b", "bits")
+        rows = rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_possible, "tile long, node long, group long, side long, b long")
+        rows = materialize(rows, "possible")
+        rows = rows.join(read(rows, False, "node long, b long, shingles array<long>"), ["node", "b"]).select("tile", "node", "group", "side", "shingles")
         return materialize(rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_solve, "a long, b long").distinct(), label)
 
     part = F.pmod(F.xxhash64("node", "b", "tile"), F.col("parts"))
-    dealt = members.select(F.when(F.col("parts") > 1, F.xxhash64("tile", part)).otherwise(F.col("tile")).alias("tile"), "node", "b", F.col("node").alias("group"), F.lit(0).alias("side"))
+    dealt = members.select(F.when(F.col("parts") > 1, F.xxhash64("tile", part)).otherwise(F.col("tile")).alias("tile"), "node", "b", F.col("node").alias("group"), F.lit(0).cast("long").alias("side"))
     edges = solved(dealt, "links")
     known = materialize(components(edges), "components")
     discard(edges)

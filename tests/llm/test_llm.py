@@ -513,10 +513,14 @@ def test_tree_finds_the_links():
         size, bits = np.array([len(s) for s in sets]), ngram_join.bitmaps(sets)
         want = {(i, j) for j in range(len(sets)) for i in range(j) if similar(sets[i], sets[j])}
         tree = ngram_join.Tree(bits, size)
-        found = list(zip(*(x.tolist() for x in ngram_join.tree_links(tree, tree)), strict=True))
+        found = list(zip(*(x.tolist() for x in ngram_join.tree_pairs(tree, tree)), strict=True))
         assert len(found) == len(set(found)) and set(found) == want
+        marks = ngram_join.folded([ngram_join.signature(s) for s in sets])
+        marked = ngram_join.Tree(marks, size)
+        may = set(zip(*(x.tolist() for x in ngram_join.tree_pairs(marked, marked, ngram_join.signatures_allow)), strict=True))
+        assert want <= may and len(may) < len(sets) * (len(sets) - 1) // 4
         for cut in (1, 30):
-            found = list(zip(*(x.tolist() for x in ngram_join.tree_links(ngram_join.Tree(bits[:cut], size[:cut]), ngram_join.Tree(bits[cut:], size[cut:]))), strict=True))
+            found = list(zip(*(x.tolist() for x in ngram_join.tree_pairs(ngram_join.Tree(bits[:cut], size[:cut]), ngram_join.Tree(bits[cut:], size[cut:]))), strict=True))
             assert len(found) == len(set(found)) and {(i, j + cut) for i, j in found} == {(i, j) for i, j in want if i < cut <= j}
 
 
