@@ -27,11 +27,11 @@ SELECT doc_id, n.n AS n_shingles, component_id FROM n JOIN (SELECT doc_id, min(o
 
 def quality_rules() -> str:
     """The base rules and, from the same sketches, the fences."""
-    from .quality import FENCE_RANGES, LEAST_GROUP, METRICS, PRECISION
+    from .quality import LEAST_APART, METRICS, PRECISION, PRIOR
 
     ratio = {"symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "stutter": ("n_stutter", "n_words"), "upper": ("n_upper", "word_chars")}
     values = ", ".join(f"(1000 * {a}) // greatest({b}, 1) AS {m}" for m, (a, b) in ratio.items())
-    long = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{m}' AS metric, {m} AS v, {METRICS[m]} AS slack FROM r" for m in METRICS)
+    long = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{m}' AS metric, {m} AS v FROM r" for m in METRICS)
     order = " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(METRICS))
     return rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
@@ -50,16 +50,22 @@ f AS (
   FROM d JOIN w USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN again USING (doc_id) LEFT JOIN stutter USING (doc_id)),
 r AS (SELECT *, {values}, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f),
 m AS (SELECT *, v - v % (1 << greatest(length(bin(v)) - {PRECISION}, 0)) AS b FROM ({long})),
-q AS (
-  SELECT metric, lang, source, any_value(slack) AS slack, count(*) AS docs, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM m GROUP BY metric, lang, source
-  UNION ALL SELECT metric, lang, '*', any_value(slack), count(*), quantile_disc(b, 0.25), quantile_disc(b, 0.75) FROM m GROUP BY metric, lang
-  UNION ALL SELECT metric, '*', '*', any_value(slack), count(*), quantile_disc(b, 0.25), quantile_disc(b, 0.75) FROM m GROUP BY metric),
-fence AS (SELECT *, q3 + {FENCE_RANGES} * (q3 - q1) + slack AS most FROM q),
+own AS (SELECT lang, source, metric, b, count(*) AS n FROM m GROUP BY ALL),
+merged AS (SELECT lang, metric, b, n * {PRIOR}::DOUBLE / sum(n) OVER (PARTITION BY lang, metric) AS share FROM (SELECT lang, metric, b, sum(n) AS n FROM own GROUP BY ALL)),
+pooled AS (
+  SELECT g.lang, g.source, p.metric, p.b, p.share + coalesce(own.n, 0) AS w FROM (SELECT DISTINCT lang, source FROM own) g
+  JOIN merged p ON p.lang IS NOT DISTINCT FROM g.lang
+  LEFT JOIN own ON own.lang IS NOT DISTINCT FROM g.lang AND own.source IS NOT DISTINCT FROM g.source AND own.metric = p.metric AND own.b = p.b),
+moments AS (
+  SELECT lang, source, metric, b, sum(w) OVER u AS c, sum(w * sqrt(b)) OVER u AS s, sum(w) OVER g AS wt, sum(w * sqrt(b)) OVER g AS st, sum(w * b) OVER g AS qt, max(b) OVER g AS last
+  FROM pooled WINDOW g AS (PARTITION BY lang, source, metric), u AS (PARTITION BY lang, source, metric ORDER BY b)),
+split AS (
+  SELECT *, round(pow(s / c - (st - s) / (wt - c), 2) * c * (wt - c) / wt / (qt - st * st / wt), 9) AS apart FROM moments WHERE b < last
+  QUALIFY row_number() OVER (PARTITION BY lang, source, metric ORDER BY apart DESC, b) = 1),
 failed AS (
   SELECT m.doc_id, string_agg(m.metric, ',' ORDER BY CASE m.metric {order} END) AS names
-  FROM m JOIN fence a ON a.metric = m.metric AND a.lang = m.lang AND a.source = m.source
-  JOIN fence l ON l.metric = m.metric AND l.lang = m.lang AND l.source = '*' JOIN fence o ON o.metric = m.metric AND o.lang = '*'
-  WHERE m.v > CASE WHEN a.docs >= {LEAST_GROUP} THEN a.most WHEN l.docs >= {LEAST_GROUP} THEN l.most ELSE o.most END GROUP BY m.doc_id)
+  FROM m JOIN split f ON f.metric = m.metric AND f.lang IS NOT DISTINCT FROM m.lang AND f.source IS NOT DISTINCT FROM m.source
+  WHERE f.apart >= {LEAST_APART} AND m.b > f.b GROUP BY m.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND names IS NULL AS kept, coalesce(names, '') AS failed_fences
 FROM r LEFT JOIN failed USING (doc_id)
 """

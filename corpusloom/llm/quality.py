@@ -2,8 +2,10 @@
 
 Each metric's distribution is kept per language and source in a histogram
 sketch: values fall in buckets of at most 1/64 relative width, and sketches
-merge by adding counts, in any order and with the same result.  Sources with
-few documents use the merged sketch of their language, or of all documents.
+merge by adding counts, in any order and with the same result.  A language's
+merged sketch is part of each of its sources', with the weight of a bounded
+number of documents, so the fewer documents a source has the more it counts.
+The fence is where a sketch falls into two classes that lie far apart.
 """
 
 from __future__ import annotations
@@ -24,13 +26,13 @@ LEAST_WORDS = 20
 WINDOW = 8
 MOST_REPEATED_PERCENT = 30
 
-#: Metrics in thousandths, each with the slack its fence gets at least, so
-#: that where nearly all values are equal, slightly larger ones still pass.
-METRICS = {"symbols": 50, "dup_lines": 400, "repeats": 250, "stutter": 100, "upper": 200}
-#: A fence lies this many quartile ranges above the upper quartile.
-FENCE_RANGES = 3
-#: Documents that a group needs for thresholds of its own.
-LEAST_GROUP = 200
+#: Metrics, in thousandths.
+METRICS = ("symbols", "dup_lines", "repeats", "stutter", "upper")
+#: The weight, in documents, that a language's sketch has in those of its sources.
+PRIOR = 100
+#: Share of a sketch's variance that lies between its two classes, at least, for
+#: it to have an upper class that is apart from the rest.
+LEAST_APART = 0.9
 #: Leading bits that a bucket keeps of a value.
 PRECISION = 7
 
@@ -121,45 +123,46 @@ def bucket(value: Column) -> Column:
     return F.floor(value / F.pow(F.lit(2), drop)) * F.pow(F.lit(2), drop).cast("long")
 
 
-def sketches(rows: DataFrame, metrics: list[str]) -> DataFrame:
-    """Rows (lang, source, level, metric, bucket, n): level 0 for one language
-    and source, 1 for a language, 3 for all."""
-    long = rows.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), bucket(F.col(m)).alias("bucket")) for m in metrics))).alias("m"))
-    own = long.groupBy("lang", "source", F.col("m.metric"), F.col("m.bucket")).agg(F.count("*").alias("n"))
-    # Levels are merges of the sketches, not of the documents.
-    level = F.explode(F.array(F.lit(0), F.lit(1), F.lit(3))).alias("level")
-    return (
-        own.select("lang", "source", "metric", "bucket", "n", level)
-        .withColumn("source", F.when(F.col("level") == 0, F.col("source")))
-        .withColumn("lang", F.when(F.col("level") < 3, F.col("lang")))
-        .groupBy("lang", "source", "level", "metric", "bucket")
-        .agg(F.sum("n").alias("n"))
-    )
+def sketches(rows: DataFrame) -> DataFrame:
+    """Rows (lang, source, metric, bucket, n) of the sketches of one language
+    and source each."""
+    long = rows.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), bucket(F.col(m)).alias("bucket")) for m in METRICS))).alias("m"))
+    return long.groupBy("lang", "source", F.col("m.metric").alias("metric"), F.col("m.bucket").alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def quantiles(sketch: DataFrame, probs: dict[str, float]) -> DataFrame:
-    """Rows (lang, source, level, metric, docs, and a column for each of
-    ``probs``); a group has at most a few hundred buckets."""
-    keys = ["lang", "source", "level", "metric"]
-    group = Window.partitionBy(*keys)
-    below = sketch.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("docs", F.sum("n").over(group))
-    return below.groupBy(*keys).agg(F.max("docs").alias("docs"), *(F.min(F.when(F.col("upto") >= F.col("docs") * p, F.col("bucket"))).alias(name) for name, p in probs.items()))
-
-
-def fences(rows: DataFrame, metrics: dict[str, int]) -> DataFrame:
-    """A row per language and source: the most that each metric may be there."""
-    found = quantiles(sketches(rows, list(metrics)), {"q1": 0.25, "q3": 0.75})
-    slack = F.create_map(*(F.lit(x) for kv in metrics.items() for x in kv))[F.col("metric")]
-    found = found.withColumn("most", F.col("q3") + FENCE_RANGES * (F.col("q3") - F.col("q1")) + slack)
-    wide = found.groupBy("lang", "source", "level").agg(F.max("docs").alias("docs"), *(F.max(F.when(F.col("metric") == m, F.col("most"))).alias(f"most_{m}") for m in metrics))
-    most = [f"most_{m}" for m in metrics]
-    own, by_lang, overall = (
-        wide.where(F.col("level") == k).select(*keys, F.col("docs").alias(f"docs{k}"), *(F.col(m).alias(f"{m}_{k}") for m in most))
-        for k, keys in ((0, ["lang", "source"]), (1, [F.col("lang").alias("lang1")]), (3, []))
-    )
-    joined = own.join(by_lang, F.col("lang").eqNullSafe(F.col("lang1")), "left").join(overall, how="cross")  # one row
-    pick = lambda m: F.when(F.col("docs0") >= LEAST_GROUP, F.col(f"{m}_0")).when(F.col("docs1") >= LEAST_GROUP, F.col(f"{m}_1")).otherwise(F.col(f"{m}_3"))
-    return joined.select("lang", "source", *(pick(m).alias(m) for m in most))
+def with_prior(sketch: DataFrame) -> DataFrame:
+    """``sketch`` with a weight w for each bucket: its own documents, and the
+    PRIOR documents' worth of the language's merged sketch."""
+    merged = sketch.groupBy("lang", "metric", "bucket").agg(F.sum("n").alias("n"))
+    share = F.col("n") * float(PRIOR) / F.sum("n").over(Window.partitionBy("lang", "metric"))
+    merged = merged.select(F.col("lang").alias("of"), "metric", "bucket", share.alias("share"))
+    groups = sketch.select("lang", "source").distinct()
+    pooled = groups.join(merged, F.col("lang").eqNullSafe(F.col("of"))).select("lang", "source", "metric", "bucket", F.col("share").alias("w"))
+    # Both have a row at most for a bucket: two terms, whose order does not matter.
+    return pooled.unionByName(sketch.withColumn("w", F.col("n").cast("double")).drop("n")).groupBy("lang", "source", "metric", "bucket").agg(F.sum("w").alias("w"))
+
+
+def fences(weighted: DataFrame) -> DataFrame:
+    """A row per language and source: the highest bucket that each metric may
+    have there, null where all may.
+
+    On the scale of square roots a sketch is split in two where the variance
+    between the classes is largest; the split is a fence if that is nearly all
+    variance there is.  A group has at most a few hundred buckets.
+    """
+    group = Window.partitionBy("lang", "source", "metric")
+    upto = group.orderBy("bucket")
+    root = F.sqrt("bucket")
+    moments = weighted.select(
+        "lang", "source", "metric", "bucket",
+        F.sum("w").over(upto).alias("c"), F.sum(F.col("w") * root).over(upto).alias("s"),
+        F.sum("w").over(group).alias("wt"), F.sum(F.col("w") * root).over(group).alias("st"), F.sum(F.col("w") * F.col("bucket")).over(group).alias("qt"),
+        F.max("bucket").over(group).alias("last"),
+    ).where("bucket < last")
+    between = F.expr("pow(s / c - (st - s) / (wt - c), 2) * c * (wt - c) / wt / (qt - st * st / wt)")
+    best = moments.groupBy("lang", "source", "metric").agg(F.max(F.struct(F.round(between, 9).alias("apart"), (-F.col("bucket")).alias("b"))).alias("x"))
+    fence = best.where(F.col("x.apart") >= LEAST_APART).select("lang", "source", "metric", (-F.col("x.b")).alias("most"))
+    return fence.groupBy("lang", "source").agg(*(F.max(F.when(F.col("metric") == m, F.col("most"))).alias(f"most_{m}") for m in METRICS))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -167,8 +170,9 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, and ``failed_fences`` (the metrics that
-    lie above their fence).  A null or empty text has no words and fails the
-    base rules; null languages and sources are groups of their own; repeated
+    lie above their fence; a group without an upper class apart has none).  A
+    null or empty text has no words and fails the base rules; texts of any length
+    are read whole; null languages and sources are groups of their own; repeated
     rows are judged alike, each with a row; an empty table gives no rows; other
     columns are not read.
     """
@@ -184,8 +188,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
             "base_failed": (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words")),
         }
     )
-    most = fences(rows, METRICS).withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    over = F.array_compact(F.array(*(F.when(F.col(m) > F.col(f"most_{m}"), F.lit(m)) for m in METRICS)))
+    most = fences(with_prior(sketches(rows))).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    over = F.array_compact(F.array(*(F.when(bucket(F.col(m)) > F.col(f"most_{m}"), F.lit(m)) for m in METRICS)))
     return (
         rows.join(most, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
         .withColumn("failed_fences", over)

@@ -165,15 +165,37 @@ def test_quality_awkward(awkward, empty):
     assert quality.quality_rules(empty).count() == 0
 
 
-def test_sketches_merge(spark):
+def brute_fence(own, merged):
+    """Where the weighted buckets split in two, by trying every place."""
+    weight = Counter(own)
+    for k, n in Counter(merged).items():
+        weight[k] += quality.PRIOR * n / len(merged)
+    x = np.sqrt(sorted(weight))
+    w = np.array([weight[k] for k in sorted(weight)])
+    total = (w * (x - np.average(x, weights=w)) ** 2).sum()
+    best = (0, None)
+    for i in range(1, len(x)):
+        inner = sum((w[c] * (x[c] - np.average(x[c], weights=w[c])) ** 2).sum() for c in (slice(0, i), slice(i, None)))
+        best = max(best, (1 - inner / total, -sorted(weight)[i - 1]))
+    return None if best[0] < quality.LEAST_APART else -best[1]
+
+
+def test_fences_against_brute_force(spark):
     rng = random.Random(2)
-    rows = [("en", f"s{i % 3}", int(rng.expovariate(0.01))) for i in range(3000)]
-    df = spark.createDataFrame(rows, "lang string, source string, m long")
-    found = quality.quantiles(quality.sketches(df.repartition(5), ["m"]), {"q": 0.75})
-    for r in found.collect():
-        own = sorted(v for lang, s, v in rows if r.level or s == r.source)
-        exact = own[int(np.ceil(0.75 * len(own))) - 1]
-        assert r.docs == len(own) and exact * (1 - 1 / 64) <= r.q <= exact
+    values = lambda k: [0, int(rng.expovariate(0.05)), int(rng.gauss(300 + 50 * k, 20)) if rng.random() < 0.1 else int(rng.gauss(20, 4))]
+    rows = [(rng.choice(("en", None)), f"s{i % 4}" if i % 7 else None, *values(i % 4)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "lang string, source string, symbols long, dup_lines long, repeats long").withColumns({"stutter": F.lit(0).cast("long"), "upper": F.col("repeats")})
+    sketch = quality.sketches(df.repartition(5))
+    found = {(r.lang, r.source): r for r in quality.fences(quality.with_prior(sketch)).collect()}
+    cut = lambda v: v >> max(v.bit_length() - 7, 0) << max(v.bit_length() - 7, 0)
+    for lang, source in {r[:2] for r in rows}:
+        for k, m in ((2, "symbols"), (3, "dup_lines"), (4, "repeats")):
+            merged = [cut(r[k]) for r in rows if r[0] == lang]
+            own = [cut(r[k]) for r in rows if r[:2] == (lang, source)]
+            want = brute_fence(own, merged)
+            assert found[lang, source][f"most_{m}"] == want
+        assert found[lang, source].most_symbols is None and found[lang, source].most_stutter is None
+    assert all(r.most_repeats is not None for r in found.values())
 
 
 # BPE and token counts
