@@ -327,15 +327,39 @@ def test_dedup_awkward(awkward, empty):
 
 def test_directory_doubles(spark):
     keys = spark.range(5000).select(F.xxhash64("id").alias("key"))
-    slots = exact_dedup.build_directory(keys, capacity=200).collect()
-    size, width = Counter(), 1 << exact_dedup.MOST_BITS
-    place = {r.slot: (r.depth, r.bucket) for r in slots}
+    bits, slots = exact_dedup.build_directory(keys, capacity=200)
+    assert sorted(slot for slot, *_ in slots) == list(range(1 << bits)) and max(own for *_, own in slots) == bits > 3
+    place, size, width = {slot: (bucket, own) for slot, bucket, own in slots}, Counter(), 1 << exact_dedup.MOST_BITS
     for r in keys.collect():
-        size[place[(r.key % (1 << 64)) >> (64 - exact_dedup.MOST_BITS)]] += 1
+        size[place[(r.key % (1 << 64)) >> (64 - bits)]] += 1
     assert max(size.values()) <= 200 and sum(size.values()) == 5000
-    for (depth, bucket), n in size.items():  # a bucket is no deeper than it must be
-        step = width >> depth
-        assert bucket % step == 0 and (depth == 0 or n + sum(v for (_, b), v in size.items() if b // (2 * step) == bucket // (2 * step) and b // step != bucket // step) > 200)
+    for bucket, own in set(place.values()):  # only overfull buckets were split
+        parent = bucket - bucket % (2 * (width >> own))
+        assert own == 0 or sum(n for (start, _), n in size.items() if parent <= start < parent + 2 * (width >> own)) > 200
+    assert exact_dedup.build_directory(keys.limit(0)) == (0, [(0, 0, 0)])
+
+
+def test_texts_that_share_a_key(spark, monkeypatch):
+    """Keys of two bits: the chains tell the texts apart by their bytes."""
+    monkeypatch.setattr(exact_dedup, "key_of", lambda c: F.pmod(F.xxhash64(c), F.lit(4)) * F.lit(1 << 61))
+    rows = [(i, f"Text {i % 37}" if i % 3 else f"alone {i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    check_dedup(exact_dedup.exact_dedup(df, capacity=2).collect(), rows)
+
+
+def test_groups_come_from_the_index(spark, monkeypatch):
+    """Without its entries no document finds a group."""
+    build = exact_dedup.build_index
+
+    def without(*args):
+        index, find = build(*args)
+        links = index.groupBy("bucket", "key").agg(F.max("link").alias("n"), F.count("*").alias("k"))
+        assert links.where("n <> k").count() == 0 and index.select("bucket").distinct().count() > 4
+        return index.where("group_size = 1"), find
+
+    monkeypatch.setattr(exact_dedup, "build_index", without)
+    df = spark.createDataFrame([(i, f"t{i % 90}") for i in range(100)], "doc_id long, text string")
+    assert {r.doc_id for r in exact_dedup.exact_dedup(df, capacity=10).collect()} == set(range(10, 90))
 
 
 def test_one_key_for_all(spark):
