@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 ROOTS = ("projects", "areas", "resources", "archive")
 
-# Patterns (Java's dialect).
-FRONTMATTER = r"\A---(?:\r\n|\n|\r)(?:[^\r\n]*(?:\r\n|\n|\r))*?---(?:\r\n|\n|\r|\z)"
+# Patterns (Java's dialect).  Groups that repeat without bound are
+# possessive: the engine loops over those and recurses on others, once a line.
+FRONTMATTER = r"\A---(?:\r\n|\n|\r)(?:(?!---(?:[\r\n]|\z))[^\r\n]*+(?:\r\n|\n|\r))*+---(?:\r\n|\n|\r|\z)"
 WIKILINK = r"!?\[\[(?:[^\[\]|]+?\|\s*([^\[\]]+?)\s*|\s*([^\[\]|]+?)\s*)\]\]"
 LEAD_IN = r"^(?:what-is|what-are|whats|what-does|define|definition-of|meaning-of)-"
 TRAILER = r"-(?:mean|means|defined)$"
@@ -31,6 +32,18 @@ def frontmatter_inner(text: Column) -> Column:
     return F.when(head != "", inner)
 
 
+def frontmatter_parts(text: Column) -> Column:
+    """(open, inner, close, body), which make up the text again: the opening
+    line, the lines between the fences, the closing line and what follows; all
+    but the body are null without a closed block."""
+    head = F.regexp_extract(text, FRONTMATTER, 0)
+    found = head != ""
+    open_, close = F.regexp_extract(head, r"\A---(?:\r\n|\n|\r)", 0), F.regexp_extract(head, r"---(?:\r\n|\n|\r)?\z", 0)
+    inner = F.substring(head, F.length(open_) + 1, F.length(head) - F.length(open_) - F.length(close))
+    body = F.substring(text, F.length(head) + 1, F.length(text))
+    return F.struct(F.when(found, open_).alias("open"), F.when(found, inner).alias("inner"), F.when(found, close).alias("close"), body.alias("body"))
+
+
 def split_frontmatter_strict(text: Column) -> Column:
     """(head, body) by the literal fences only; head is null without them."""
     end = F.locate("\n---\n", text, 4)
@@ -70,7 +83,7 @@ def parse_tags(text: Column) -> Column:
     line = r"(?m)^[ \t]*tags:[ \t]*"
     rest = F.trim(F.regexp_extract(inner, line + r"([^\r\n]*)$", 1))
     inline = F.filter(F.split(F.regexp_extract(rest, r"^\[(.*)\]$", 1), ","), lambda t: F.trim(t) != "")
-    block = F.regexp_extract(inner, line + r"\r?\n((?:[ \t]*- [^\r\n]*(?:\r?\n|\z)|[ \t]*\r?\n)*)", 1)
+    block = F.regexp_extract(inner, line + r"\r?\n((?:[ \t]*- [^\r\n]*(?:\r?\n|\z)|[ \t]*\r?\n)*+)", 1)
     items = F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]*- ([^\r\n]*)$"), F.lit(1))
     empty = F.array().cast("array<string>")
     return (
@@ -87,7 +100,7 @@ def parse_aliases(text: Column) -> Column:
     inner = F.regexp_replace(F.regexp_replace(head, r"\A---\n", ""), r"\n---\n?\z", "\n")
     inline = F.regexp_extract(inner, r"(?m)^aliases:\s*\[(.*?)\]\s*$", 1)
     has_inline = inner.rlike(r"(?m)^aliases:\s*\[(.*?)\]\s*$")
-    block = F.regexp_extract(inner, r"(?m)^aliases:\s*\n((?:[ \t]*-[ \t]*.+\n?)+)", 1)
+    block = F.regexp_extract(inner, r"(?m)^aliases:\s*\n((?:[ \t]*-[ \t]*.+\n?)++)", 1)
     items = F.transform(F.filter(F.split(block, "\n"), lambda s: F.trim(s) != ""), lambda s: F.regexp_replace(s, r"^[ \t]*-[ \t]*", ""))
     chosen = F.when(has_inline, F.filter(F.split(inline, ","), lambda t: F.trim(t) != "")).otherwise(items)
     return F.transform(chosen, unquote)

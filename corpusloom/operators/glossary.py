@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -73,37 +74,43 @@ def suggest(asked: DataFrame, keys: DataFrame, term: str = "term", n: int = SUGG
     return best.withColumn("rank", rank).where(F.col("rank") <= n).select(term, "rank", "display")
 
 
-LINK = re.compile(r"\[\[\s*([^\]|]+?)\s*(?:\|[^\]]*)?\]\]")
-INSIDE = re.compile(r"\[\[[^\]]*\]\]")
+# A link and its target; a phrase stands as whole words, in any case.
+LINKED = re.compile(r"\[\[([^\]|]*)[^\]]*\]\]")
+PHRASE = r"(?<!\w){}(?!\w)"
 
 
-def linked_targets(body: str) -> set[str]:
-    return {m[1].lower() for m in LINK.finditer(body)}
-
-
-def first_unlinked(body: str, surface: str) -> tuple[int, int] | None:
-    """Where a phrase first stands as whole words outside links, in any case."""
-    closed = [m.span() for m in INSIDE.finditer(body)]
-    for m in re.finditer(rf"(?<!\w){re.escape(surface)}(?!\w)", body, re.IGNORECASE):
-        if not any(a <= m.start() < b for a, b in closed):
-            return m.span()
-    return None
+@lru_cache(maxsize=4096)
+def phrase(surface: str) -> re.Pattern:
+    return re.compile(PHRASE.format(re.escape(surface)), re.IGNORECASE)
 
 
 def link_terms_in(body: str, terms: list[tuple[str, str]]) -> tuple[str, list[str]]:
     """The body with each term (slug, surface) linked once, in order, each seeing
-    the links before it; and the slugs that were linked."""
-    done = []
+    the links before it; and the slugs that were linked.
+
+    Links are blanked in a copy of the body that keeps its length, in which the
+    phrases are sought; what is found is blanked too, and all links are put in
+    at the end.
+    """
+    targets, free, end = set(), [], 0
+    for m in LINKED.finditer(body):
+        targets.add(m[1].strip().lower())
+        free += [body[end : m.start()], "\0" * len(m[0])]
+        end = m.end()
+    open_ = "".join([*free, body[end:]])
+    found: dict[int, tuple[int, str]] = {}
     for slug, surface in terms:
-        if {slug.lower(), surface.lower()} & linked_targets(body):
-            continue
-        if (at := first_unlinked(body, surface)) is None:
-            continue
-        said = body[at[0] : at[1]]
-        link = f"[[{slug}]]" if said == slug else f"[[{slug}|{said}]]"
-        body = body[: at[0]] + link + body[at[1] :]
-        done.append(slug)
-    return body, done
+        if targets.isdisjoint((slug.lower(), surface.lower())) and (m := phrase(surface).search(open_)):
+            found[m.start()] = (m.end(), slug)
+            targets.add(slug.lower())
+            open_ = open_[: m.start()] + "\0" * len(m[0]) + open_[m.end() :]
+    out, end = [], 0
+    for at in sorted(found):
+        stop, slug = found[at]
+        said = body[at:stop]
+        out += [body[end:at], f"[[{slug}]]" if said == slug else f"[[{slug}|{said}]]"]
+        end = stop
+    return "".join([*out, body[end:]]), [slug for _, slug in found.values()]
 
 
 def link_terms(notes: DataFrame, terms: list[tuple[str, str]], id_: str = "source_file", body: str = "body") -> DataFrame:

