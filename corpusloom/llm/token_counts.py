@@ -4,7 +4,9 @@ Each document has a segment tree over its chunks (runs between white space,
 each with the space before it), whose nodes hold sums of characters and of
 tokens.  An edit finds its chunks from the root, encodes anew only those that it
 touches plus the context at both ends that the pre-tokens may depend on, and
-updates the sums on the paths from them to the root.
+updates the sums on the paths from them to the root.  Where it brings many more
+chunks than it takes, they get slots of their own and the sums are added up
+anew; nothing else is encoded for that.
 """
 
 from __future__ import annotations
@@ -21,6 +23,10 @@ from .shared import lean, parts, short_batches
 
 Edit = tuple[int, int, str]
 
+#: Chunks that an edit may leave in one slot beside its own; with more, the tree
+#: gets further slots, and with more empty ones than others it gets rid of them.
+MOST_SHARED = 4
+
 # Unicode's White_Space, as in the chunks' pattern.
 _WHITE = {c for part in (range(9, 14), (32, 0x85, 0xA0, 0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000), range(0x2000, 0x200B)) for c in map(chr, part)}
 
@@ -35,6 +41,7 @@ class TokenTree:
         #: Characters and tokens below each node; node 1 is the root, node
         #: 2 * i and 2 * i + 1 are below node i, the slots begin at ``size``.
         self.chars, self.counts = self._sums(list(map(len, self.slots))), self._sums(self._counts(self.slots))
+        self.empty = 0
 
     def _sums(self, leaves: list[int]) -> list[int]:
         levels = [np.zeros(self.size, dtype=np.int64)]
@@ -91,7 +98,7 @@ class TokenTree:
         start = min(max(start, 0), self.characters)
         end = min(max(end, start), self.characters)
         if not self.slots:
-            self.slots, self.size, self.chars, self.counts = [""], 1, [0, 0], [0, 0]
+            self.slots, self.size, self.chars, self.counts, self.empty = [""], 1, [0, 0], [0, 0], 1
         first, at = self.find(start) if start < self.characters else (len(self.slots) - 1, self.characters - len(self.slots[-1]))
         # Back to where white space that stays follows something else that stays:
         # what is before such a place is chunked alike whatever comes after it.
@@ -113,14 +120,27 @@ class TokenTree:
         return first, last, [c for found in self.bpe.chunks(whole) for c in found]
 
     def commit(self, first: int, last: int, chunks: list[str]) -> int:
-        # The slots stay in number: the last gets what the others do not hold.
         counts = self._counts(chunks)
         room = last - first
+        if len(chunks) > room + MOST_SHARED:
+            self._rebuild(self.slots[:first] + chunks + self.slots[last:], self.counts[self.size :][:first] + counts + self.counts[self.size :][last : len(self.slots)])
+            return len(chunks)
+        # The slots stay in number: the last gets the few that the others do not hold.
         for k in range(room):
             tail = slice(k, None) if k == room - 1 else slice(k, k + 1)
+            self.empty += bool(self.slots[first + k]) - bool(chunks[tail])
             self.put(first + k, "".join(chunks[tail]), sum(counts[tail]))
+        if self.empty > max(MOST_SHARED, len(self.slots) // 2):
+            full = [i for i, c in enumerate(self.slots) if c]
+            self._rebuild([self.slots[i] for i in full], [self.counts[self.size + i] for i in full])
         return len(chunks)
 
+    def _rebuild(self, slots: list[str], counts: list[int]) -> None:
+        """Other slots, whose counts are known; only the sums are made anew."""
+        self.slots, self.size = slots, 1 << max(0, (len(slots) - 1).bit_length())
+        self.chars, self.counts = self._sums(list(map(len, slots))), self._sums(counts)
+        self.empty = slots.count("")
+
     def _before(self, slot: int) -> str:
         while slot > 0:
             slot -= 1
