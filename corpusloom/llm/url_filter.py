@@ -3,8 +3,11 @@
 Where a rule fits, the longest decides.  Other URLs are judged by
 gradient-boosted trees on lexical features (lengths, depth, digit ratio,
 entropy, parameters) and on suffix statistics: how often labelled URLs with the
-same host or file suffix are blocked.  The statistics cover all labelled URLs;
-the trees are fitted on a bounded sample of them.
+same top-level domain, domain, first directory or file suffix are blocked.  The
+statistics cover all labelled URLs, in a hashed table of fixed size; the trees
+are fitted on a bounded sample of them.  Hosts are dealt into folds: a URL's own
+fold never counts in the statistics that it teaches with, and scores of hosts
+that a model has not seen set the threshold.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .shared import lean
+from .shared import lean, short_batches
 
 # Fixed values: (verdict, host and path).
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -30,6 +33,10 @@ SAMPLE = 20_000
 TREES, DEPTH, RATE, BINS = 40, 3, 0.2, 32
 #: Weight of the overall rate in a suffix's rate.
 SMOOTHING = 20.0
+#: Places for suffixes of one kind in the statistics, and folds that hosts are dealt into.
+PLACES, FOLDS = 1 << 14, 5
+KINDS = 4
+LEXICAL = 15
 
 
 def host_of(url: Column) -> Column:
@@ -57,15 +64,19 @@ def rule_of(host: Column, path: Column, rules) -> Column:
     return F.coalesce(*(F.when(fits(host, path, r), r) for _, r in sorted(rules, key=lambda x: (-len(x[1]), x[1]))), F.lit(None).cast("string"))
 
 
-def host_suffix(host: Column) -> Column:
-    return F.regexp_extract(host, r"([^.]*)$", 1)
+def places(host: Column, path: Column) -> Column:
+    """The places of a URL's top-level domain, domain, first directory and file suffix in the statistics."""
+    file = F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})/?\z", 1)
+    suffixes = (F.substring_index(host, ".", -1), F.substring_index(host, ".", -2), F.regexp_extract(path, r"^/([^/]*)/", 1), file)
+    return F.array(*((F.crc32(x.cast("binary")) % PLACES).cast("int") for x in suffixes))
 
 
-def file_suffix(path: Column) -> Column:
-    return F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})/?$", 1)
+def fold(host: Column) -> Column:
+    return F.pmod(F.xxhash64(host), F.lit(FOLDS)).cast("int")
 
 
-def features(url: str, host: str, path: str, host_rate: float, file_rate: float) -> list[float]:
+def features(url: str, host: str, path: str) -> list[float]:
+    """The lexical features; the rates of the suffixes come behind them."""
     n = max(1, len(url))
     query = url.split("#")[0].partition("?")[2]
     counts = Counter(url)
@@ -74,7 +85,7 @@ def features(url: str, host: str, path: str, host_rate: float, file_rate: float)
         sum(c.isdigit() for c in url) / n, sum(c.isdigit() for c in host),
         -sum(k / n * math.log2(k / n) for k in counts.values()),
         query.count("&") + 1 if query else 0, len(query), "#" in url, url.startswith("https:"),
-        max(map(len, re.split(r"[./-]", host))), host.startswith("www."), host_rate, file_rate,
+        max(map(len, re.split(r"[./-]", host))), host.startswith("www."),
     ]
 
 
@@ -84,7 +95,7 @@ class BoostedTrees:
     def __init__(self, x: np.ndarray, y: np.ndarray):
         rate = min(max(y.mean() if len(y) else 0.0, 1e-3), 1 - 1e-3)
         self.start, self.trees = math.log(rate / (1 - rate)), []
-        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T] if len(x) else []
+        self.edges = [self.cuts(c) for c in x.T] if len(x) else []
         if len(set(y.tolist())) < 2:
             return
         bins, f = self.binned(x), np.full(len(y), self.start)
@@ -94,6 +105,14 @@ class BoostedTrees:
             self.trees.append(tree)
             f += RATE * self.walk(tree, bins)
 
+    @staticmethod
+    def cuts(column: np.ndarray) -> np.ndarray:
+        """Midways from a quantile to the next value, so that values between two seen ones go to the nearer."""
+        values = np.unique(column)
+        at = np.searchsorted(values, np.unique(np.quantile(column, np.linspace(0, 1, BINS + 1)[1:-1], method="lower")))
+        at = at[at + 1 < len(values)]
+        return (values[at] + values[at + 1]) / 2
+
     def binned(self, x: np.ndarray) -> np.ndarray:
         return np.column_stack([np.searchsorted(e, c, "left") for e, c in zip(self.edges, x.T, strict=True)])
 
@@ -141,60 +160,125 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-f))
 
 
-def described(urls: DataFrame, labelled: DataFrame) -> DataFrame:
-    """``urls`` (url, host, path) with _host_rate and _file_rate, the smoothed
-    share of blocked among labelled URLs (host, path, blocked) of one suffix."""
-    overall = labelled.agg((F.coalesce(F.sum("blocked"), F.lit(0)) + 1).alias("k"), (F.count("*") + 2).alias("m")).select((F.col("k") / F.col("m")).alias("_overall"))
-    out = urls.join(F.broadcast(overall), how="cross")  # one row
-    for name, of in (("host", host_suffix(F.col("host"))), ("file", file_suffix(F.col("path")))):
-        stats = labelled.select(of.alias(f"_{name}"), "blocked").groupBy(f"_{name}").agg(F.sum("blocked").alias("_k"), F.count("*").alias("_m"))
-        out = out.withColumn(f"_{name}", of).join(stats, f"_{name}", "left")
-        rate = (F.coalesce("_k", F.lit(0)) + SMOOTHING * F.col("_overall")) / (F.coalesce("_m", F.lit(0)) + SMOOTHING)
-        out = out.withColumn(f"_{name}_rate", rate).drop("_k", "_m", f"_{name}")
-    return out.drop("_overall")
-
-
-def _matrix(batch: pa.RecordBatch) -> np.ndarray:
-    names = ("url", "host", "path", "_host_rate", "_file_rate")
-    rows = zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in names), strict=True)
-    return np.array([features(u or "", h, p, a, b) for u, h, p, a, b in rows], dtype=np.float64).reshape(batch.num_rows, -1)
-
-
-def url_filter(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
+class UrlModel:
+    """Trees, the threshold from which a score means block, and the statistics:
+    blocked and all labelled URLs by kind of suffix, place and fold."""
+
+    def __init__(self, blocked: np.ndarray, total: np.ndarray):
+        self.blocked, self.total = blocked, total
+        self.trees, self.threshold, self.held_out = BoostedTrees(np.zeros((0, 0)), np.zeros(0)), 0.5, {}
+
+    def rates(self, at: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+        """A column per kind: the smoothed share of blocked URLs at places ``at``, without the folds ``own``."""
+        columns = []
+        for kind in range(KINDS):
+            k, m = self.blocked[kind].sum(axis=1)[at[:, kind]], self.total[kind].sum(axis=1)[at[:, kind]]
+            all_k, all_m = self.blocked[kind].sum(), self.total[kind].sum()
+            if own is not None:
+                k, m = k - self.blocked[kind][at[:, kind], own], m - self.total[kind][at[:, kind], own]
+                all_k, all_m = all_k - self.blocked[kind].sum(axis=0)[own], all_m - self.total[kind].sum(axis=0)[own]
+            columns.append((k + SMOOTHING * (all_k + 1) / (all_m + 2)) / (m + SMOOTHING))
+        return np.column_stack(columns)
+
+    def fit(self, lexical: np.ndarray, at: np.ndarray, own: np.ndarray, y: np.ndarray) -> UrlModel:
+        if not len(y):
+            self.threshold = 1.0  # nothing is known: allow
+            return self
+        x = np.column_stack([lexical, self.rates(at, own)])
+        self.trees = BoostedTrees(x, y)
+        if len(set(y.tolist())) == 2:
+            unseen = np.zeros(len(y))
+            for f in np.unique(own):
+                unseen[own == f] = BoostedTrees(x[own != f], y[own != f]).score(x[own == f])
+            self.threshold, self.held_out = best_threshold(unseen, y)
+        return self
+
+    def score(self, lexical: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return self.trees.score(np.column_stack([lexical, self.rates(at)]))
+
+
+def best_threshold(score: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, float]]:
+    """The threshold with the best balanced accuracy (of several, the one
+    nearest to the labels' rate), and the figures there.
+
+    Accuracy is balanced as the share of blocked URLs among those that the
+    rules happen to reach says nothing about the others.
+    """
+    values = np.unique(score)
+    cuts = np.concatenate([values[:1], (values[1:] + values[:-1]) / 2])
+    positive, negative = np.sort(score[y == 1]), np.sort(score[y == 0])
+    caught = 1 - np.searchsorted(positive, cuts) / len(positive)
+    spared = np.searchsorted(negative, cuts) / len(negative)
+    balanced = (caught + spared) / 2
+    best = np.flatnonzero(balanced >= balanced.max() - 1e-12)
+    i = best[np.abs(cuts[best] - y.mean()).argmin()]
+    below = np.searchsorted(negative, positive) + np.searchsorted(negative, positive, "right")
+    return float(cuts[i]), {"auc": float(below.mean() / 2 / len(negative)), "caught": float(caught[i]), "spared": float(spared[i])}
+
+
+def _described(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    rows = zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in ("url", "host", "path", "places")), strict=True)
+    rows = [(features(u or "", h, p), at) for u, h, p, at in rows]
+    return np.array([r[0] for r in rows], dtype=np.float64).reshape(-1, LEXICAL), np.array([r[1] for r in rows], dtype=np.int64).reshape(-1, KINDS)
+
+
+def fit_url_model(taught: DataFrame, sample: int = SAMPLE) -> UrlModel:
+    """Statistics over all of ``taught`` (url, host, path, blocked), and trees
+    on at most ``sample`` of its distinct URLs, those with the least hashes."""
+    taught = taught.select("url", "host", "path", "blocked", places(F.col("host"), F.col("path")).alias("places"), fold(F.col("host")).alias("fold"))
+    sums = taught.select("blocked", "fold", F.posexplode("places").alias("kind", "place")).groupBy("kind", "place", "fold").agg(F.sum("blocked").alias("k"), F.count("*").alias("m"))
+    rows = sums.toArrow()  # at most KINDS * PLACES * FOLDS
+    blocked, total = np.zeros((KINDS, PLACES, FOLDS)), np.zeros((KINDS, PLACES, FOLDS))
+    where = tuple(rows[c].to_numpy() for c in ("kind", "place", "fold"))
+    blocked[where], total[where] = rows["k"].to_numpy(), rows["m"].to_numpy()
+
+    # Rows are at least as many as distinct URLs, so about ``sample`` pass at most.
+    share = min(1.0, sample / max(1.0, float(total[0].sum())))
+    order = F.pmod(F.xxhash64("url"), F.lit(1 << 32))
+    chosen = taught.where(order < int(share * (1 << 32))).withColumn("order", order).distinct().toArrow()
+    chosen = chosen.sort_by([("order", "ascending"), ("url", "ascending"), ("blocked", "ascending")]).slice(0, sample)
+    lexical, at = _described(chosen)
+    return UrlModel(blocked, total).fit(lexical, at, chosen["fold"].to_numpy(), chosen["blocked"].to_numpy().astype(np.float64))
+
+
+def parsed(urls: DataFrame) -> DataFrame:
+    """``urls`` with host and path, empty where there is none."""
+    return urls.withColumns({"host": F.coalesce(host_of(F.col("url")), F.lit("")), "path": F.coalesce(path_of(F.col("url")), F.lit(""))})
+
+
+def url_filter(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, sample: int = SAMPLE, model: UrlModel | None = None) -> DataFrame:
     """Judge every URL.
 
     ``labelled`` has url and blocked (0 or 1); by default the URLs that a rule
-    fits are the labelled ones.  Returns page_id, host, path, rule (null where
-    none fits) and verdict: the rule's, else block where the trees' score is
-    one half or more.  A null url, or one without ``://``, has an empty host
-    and path, and the verdict of its features; repeated rows are judged alike;
-    without labels of both kinds the more frequent one decides, allow if there
-    are none.  An empty table gives no rows; other columns are not read.
+    fits are the labelled ones.  ``model`` is a fitted one to use instead.
+    Returns page_id, host, path, rule (null where none fits) and verdict: the
+    rule's, else block where the trees' score reaches the model's threshold.  A
+    null url, or one without ``://``, has an empty host and path, and the
+    verdict of its features; very long URLs are read whole; repeated rows are
+    judged alike, count each time in the statistics and once in the sample, and
+    URLs with both labels teach both; without labels of both kinds the more
+    frequent one decides, allow if there are none.  URLs whose hashes tie at the
+    sample's end go by URL.  Suffixes that share a place share a rate.  An empty
+    table gives no rows; other columns are not read.
     """
-    urls = pages.select(F.col("page_id").cast("long"), "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    urls = urls.withColumns({"host": F.coalesce("host", F.lit("")), "path": F.coalesce("path", F.lit(""))}).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    urls = parsed(pages.select(F.col("page_id").cast("long"), "url")).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     ruled = F.coalesce(*(F.when(F.col("rule") == r, v) for v, r in rules), F.lit(None).cast("string"))
-    if labelled is None:
-        taught = urls.where("rule is not null").select("url", "host", "path", (ruled == "block").cast("int").alias("blocked"))
-    else:
-        taught = labelled.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("blocked").cast("int").alias("blocked")).where("url is not null and blocked in (0, 1)")
-    chosen = described(taught.orderBy(F.xxhash64("url"), "url", "blocked").limit(sample), taught).orderBy(F.xxhash64("url"), "url", "blocked")
-    rows = chosen.toArrow().combine_chunks()  # at most the sample
-    x = np.concatenate([_matrix(b) for b in rows.to_batches()] or [np.zeros((0, 17))])
-    y = np.array(rows["blocked"].to_pylist(), dtype=np.float64)
-    model = BoostedTrees(x, y)
-    if not len(y):
-        model.start = -1.0
-
-    asked = described(urls, taught).select("page_id", "url", "host", "path", "rule", "_host_rate", "_file_rate")
+    if model is None:
+        if labelled is None:
+            taught = urls.where("rule is not null").withColumn("blocked", (ruled == "block").cast("int"))
+        else:
+            taught = parsed(labelled.select("url", F.col("blocked").cast("int").alias("blocked")).where("url is not null and blocked in (0, 1)"))
+        model = fit_url_model(taught, sample)
+    short_batches(pages.sparkSession)
+    asked = urls.withColumn("places", places(F.col("host"), F.col("path")))
+    kept = ["page_id", "host", "path", "rule"]
 
     @lean("urls")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            block = model.score(_matrix(batch)) >= 0.5
-            said = pa.array(np.where(block, "block", "allow").tolist(), pa.string())
-            keep = [batch.column(batch.schema.names.index(c)) for c in ("page_id", "host", "path", "rule")]
-            yield pa.RecordBatch.from_arrays([*keep, said], ["page_id", "host", "path", "rule", "said"])
+            if batch.num_rows:
+                said = np.where(model.score(*_described(batch)) >= model.threshold, "block", "allow")
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in kept), pa.array(said.tolist(), pa.string())], [*kept, "said"])
 
-    schema = StructType([*asked.select("page_id", "host", "path", "rule").schema.fields, StructField("said", StringType())])
-    return asked.mapInArrow(run, schema).select("page_id", "host", "path", "rule", F.coalesce(ruled, "said").alias("verdict"))
+    schema = StructType([*asked.select(kept).schema.fields, StructField("said", StringType())])
+    return asked.mapInArrow(run, schema).select(*kept, F.coalesce(ruled, "said").alias("verdict"))

@@ -4,6 +4,7 @@ labels, and on awkward tables."""
 import datetime
 import hashlib
 import hmac
+import math
 import os
 import random
 import re
@@ -515,6 +516,75 @@ def test_url_query(spark):
         assert r.verdict == verdicts[r.rule] if r.rule else r.verdict in ("allow", "block")
 
 
+def brute_places(host, path):
+    file = re.search(r"\.([A-Za-z0-9]{1,8})/?\Z", path)
+    return [host.split(".")[-1], ".".join(host.split(".")[-2:]), path.split("/")[1] if path.count("/") > 1 else "", file[1] if file else ""]
+
+
+def test_url_verdicts_against_brute_force(spark):
+    """Suffix rates from plain counts and every tree walked from its root give each page's verdict."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    urls = {r.page_id: r.url for r in pages.collect()}
+    verdicts = {r: v for v, r in url_filter.RULES}
+    seen = {i: brute_rule(u) for i, u in urls.items()}
+    counts = [{}, {}, {}, {}]
+    for host, path, rule in seen.values():
+        for kind, suffix in enumerate(brute_places(host, path) if rule else ()):
+            k, m = counts[kind].get(suffix, (0, 0))
+            counts[kind][suffix] = (k + (verdicts[rule] == "block"), m + 1)
+    taught = url_filter.parsed(pages.select("url")).withColumn("rule", url_filter.rule_of(F.col("host"), F.col("path"), url_filter.RULES)).where("rule is not null")
+    blocked = F.coalesce(*(F.when(F.col("rule") == r, int(v == "block")) for v, r in url_filter.RULES))
+    model = url_filter.fit_url_model(taught.withColumn("blocked", blocked))
+    labelled = [verdicts[rule] == "block" for _, _, rule in seen.values() if rule]
+    overall = (sum(labelled) + 1) / (len(labelled) + 2)
+
+    def brute_score(url, host, path):
+        x = url_filter.features(url or "", host, path)
+        for kind, suffix in enumerate(brute_places(host, path)):
+            k, m = counts[kind].get(suffix, (0, 0))
+            x.append((k + url_filter.SMOOTHING * overall) / (m + url_filter.SMOOTHING))
+        f = model.trees.start
+        for splits, values in model.trees.trees:
+            node = 0
+            while node < len(splits) and splits[node]:
+                j, b = splits[node]
+                node = 2 * node + 1 + (sum(e < x[j] for e in model.trees.edges[j]) > b)
+            f += url_filter.RATE * values[node]
+        return 1 / (1 + math.exp(-f))
+
+    said = Counter()
+    for r in Q.op6_url_filter(spark, SF).collect():
+        host, path, rule = seen[r.page_id]
+        score = brute_score(urls[r.page_id], host, path)
+        if not rule and abs(score - model.threshold) > 1e-9:
+            assert r.verdict == ("block" if score >= model.threshold else "allow")
+            said[r.verdict] += 1
+    assert set(said) == {"allow", "block"}
+
+
+def test_url_labels_do_not_leak():
+    """Suffixes that occur once say nothing about their own label; a feature that says it is found on unseen hosts."""
+    rng = np.random.default_rng(3)
+    n = 400
+    y, own = rng.integers(0, 2, n).astype(float), rng.integers(0, url_filter.FOLDS, n)
+    at = np.stack([np.arange(n)] * url_filter.KINDS, axis=1)
+    blocked, total = np.zeros((2, url_filter.KINDS, url_filter.PLACES, url_filter.FOLDS))
+    for kind in range(url_filter.KINDS):
+        blocked[kind, np.arange(n), own], total[kind, np.arange(n), own] = y, 1
+    rate = url_filter.UrlModel(blocked, total).rates(at, own)
+    assert all(len(np.unique(rate[own == f, 0])) == 1 for f in range(url_filter.FOLDS))
+    noise = url_filter.UrlModel(blocked, total).fit(rng.normal(size=(n, 3)), at, own, y)
+    assert noise.held_out["auc"] < 0.65
+    told = url_filter.UrlModel(blocked, total).fit(np.column_stack([y + rng.normal(scale=0.1, size=n), rng.normal(size=n)]), at, own, y)
+    assert told.held_out["auc"] > 0.95 and told.held_out["caught"] > 0.95 and told.held_out["spared"] > 0.95
+
+
+def test_url_sample_takes_a_hot_url_once(spark):
+    df = spark.createDataFrame([("http://hot.com/x", 1)] * 300 + [(f"http://h{i}.org/a{i}", i % 2) for i in range(300)], "url string, blocked int")
+    model = url_filter.fit_url_model(url_filter.parsed(df), sample=100)
+    assert model.total[0].sum() == 600 and model.blocked[0].sum() == 450
+
+
 def test_urls_awkward(spark):
     df = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string").withColumns({"host": F.lit("x"), "_host_rate": F.lit(1)})
     got = {r.page_id: (r.host, r.path, r.rule) for r in url_filter.url_filter(df).collect()}
