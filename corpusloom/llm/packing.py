@@ -22,6 +22,8 @@ from .tokens import word_ids
 CAPACITY = 2048
 #: Windows in a group that is differenced at once.
 GROUP_WINDOWS = 256
+#: Share of padding up to which the window count rises; beyond it, what is over is cut off.
+MOST_PADDING = 0.01
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -65,27 +67,32 @@ def karmarkar_karp(sizes: np.ndarray, k: int) -> np.ndarray:
     return np.array([windows[i][0] for i in range(n)], dtype=np.int64)
 
 
-def pack_items(sizes: list[int], capacity: int = CAPACITY, cut: bool = False) -> list[list[tuple[int, int, int]]]:
+def pack_items(sizes: list[int], capacity: int = CAPACITY, most_padding: float | None = None) -> list[list[tuple[int, int, int]]]:
     """Windows of (item, start, length), none over ``capacity``.
 
-    The count starts at the least possible.  Where a window exceeds the
-    capacity, the count rises; with ``cut``, what is over is first cut off and
-    moved to windows with room, and the count rises only if none is left.
-    Without ``cut`` each size must fit the capacity.
+    The count starts at the least possible and rises whenever a window exceeds
+    the capacity.  With ``most_padding`` it rises while no more than that share
+    of the windows is free; then what is still over is cut off and moved to
+    windows with room.  Without it, items stay whole, and each size must fit
+    the capacity.
     """
     sizes_ = np.asarray(sizes, dtype=np.int64)
     if not len(sizes_):
         return []
-    if not cut and sizes_.max() > capacity:
+    total, large = int(sizes_.sum()), int((2 * sizes_ > capacity).sum())
+    if most_padding is None and sizes_.max() > capacity:
         raise ValueError("an item is larger than a window")
-    k = max(1, -(-int(sizes_.sum()) // capacity))
+    k = max(1, -(-total // capacity), large if most_padding is None else 0)
     while True:
         window = karmarkar_karp(sizes_, k)
         load = np.bincount(window, weights=sizes_, minlength=k).astype(np.int64)
         over = np.maximum(load - capacity, 0).sum()
-        if not over or cut and over <= np.maximum(capacity - load, 0).sum():
+        more = k + max(1, int((load > capacity).sum()) // 8)  # in steps, as each count is differenced anew
+        if over and most_padding is not None:
+            more = min(more, int(total / capacity / (1 - most_padding)))
+        if not over or more <= k:
             break
-        k += 1
+        k = more
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(k)]
     for item, w in enumerate(window.tolist()):
         out[w].append((item, 0, int(sizes_[item])))
@@ -158,7 +165,7 @@ class _Packer:
                     items.append((doc_id, ids, start, length - take))
                 want -= take
             tails.append(parts)
-        for window in pack_items([x[3] for x in items], self.capacity, cut=True):
+        for window in pack_items([x[3] for x in items], self.capacity, MOST_PADDING):
             self.sequence([(*items[i][:2], items[i][2] + start, length) for i, start, length in window])
         for parts in tails:
             self.sequence(parts)
@@ -170,7 +177,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
     Returns the pieces: doc_id, start (of the document's ids), length,
     ids_crc32, doc_tokens, sequence_id, offset.  Every id lies in exactly one
     piece, pieces fill a sequence without gaps, no sequence is over
-    ``capacity``; all but those at a power of two are full.  Null and empty
+    ``capacity``; all but those at a power of two are full but for at most
+    ``MOST_PADDING`` of a group.  Very long texts are cut into whole windows and
+    a rest.  Null and empty
     texts have only ``end_id``.  A null doc_id stays null; repeated rows are
     documents of their own; an empty table gives no rows; other columns are
     not read.
