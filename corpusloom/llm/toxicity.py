@@ -277,15 +277,21 @@ def fit_platt(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
-    """Fit on at most ``sample`` labelled texts, none of them held out."""
+    """Fit on at most ``sample`` labelled texts, none of them held out.
+
+    A document counts once, as toxic if any of its labels says so; of rows that
+    share its doc_id the last text in order teaches."""
     short_batches(docs.sparkSession)
-    chosen = (
+    known = (
         labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic"))
         .where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-        .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
-    texts = materialize(docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic-sample")
+    # Rows are at least as many as distinct documents, so about the sample is left to be sorted.
+    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
+    share = min(1.0, sample / max(1, known.count()))
+    chosen = known.where(order < int(share * (1 << 32))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(order, "doc_id").limit(sample)
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")
+    texts = materialize(rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"), "toxic-sample")
     landmarks, pure = choose_landmarks(texts)
 
     def describe(batches):

@@ -1049,6 +1049,12 @@ def test_toxicity_awkward(awkward, empty, labels):
     assert toxicity.toxicity(empty, odd).count() == 0
 
 
+def test_repeated_rows_teach_once(spark, labels):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    once, again = toxicity.fit_toxicity(docs, labels), toxicity.fit_toxicity(docs.union(docs).union(docs), labels.union(labels))
+    assert once.landmarks == again.landmarks and np.allclose(once.alpha, again.alpha)
+
+
 def test_labels_of_held_out_rows_teach_nothing(spark):
     words = ["clean words here", "you vexor grum"]
     rows = [(i, f"{words[i % 2]} n{i}") for i in range(200)]
