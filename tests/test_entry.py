@@ -25,7 +25,7 @@ def test_entry_runs(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["knn_graph_neighbors", "bm25_topk", "rrf_hybrid_search", "chunk_offsets", "chunk_page_asof", "canonical_body", "parse_tags", "tag_near_miss", "tag_apply_mapping", "glossary_lookup", "layer_audit", "incremental_apply", "stream_apply_equals_batch"])
+@pytest.mark.parametrize("name", ["knn_graph_neighbors", "bm25_topk", "rrf_hybrid_search", "chunk_offsets", "chunk_page_asof", "canonical_body", "parse_tags", "tag_near_miss", "tag_apply_mapping", "glossary_lookup", "layer_audit", "incremental_apply", "stream_apply_equals_batch", "knn_graph_mutual_links", "tag_singletons", "passage_fetch", "layer_verdict", "repair_plan"])
 def test_queries_equal_their_sql(spark, name):
     import __spark_entry__
 
@@ -42,10 +42,10 @@ def test_queries_equal_their_sql(spark, name):
 
 
 def test_keys_of_whole_texts(spark):
-    test_queries_equal_their_sql(spark, "normalize_whole_keys")
+    test_queries_equal_their_sql(spark, "normalize_keys")
     from corpusloom.plans import queries as Q
 
-    rows = Q.QUERIES["normalize_whole_keys"](spark, SF).collect()
+    rows = Q.QUERIES["normalize_keys"](spark, SF).collect()
     assert max(len(r.tag) for r in rows) > 30 and max(len(r.bare) for r in rows) > 30
 
 
