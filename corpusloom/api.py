@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -13,9 +13,12 @@ from .operators import audit as _audit
 from .operators import changes, chunking, glossary, graph, lexical, tags
 from .operators import search as _search
 from .settings import Settings
-from .sources.index import VersionedTable
+from .sources.index import Draft, Part, VersionedTable
 
 VECTOR_ROWS = "source_file string, backend string, content_hash string, vector array<double>, embedded_at timestamp"
+PASSAGE_ROWS = "id long, source_file string, backend string, content_hash string, chunk_tokens int, chunk_overlap double, chunk_id int, page int, char_start int, char_end int, text string, vector array<double>"
+#: Decimals of a score as a user sees it.
+SCORE_DIGITS = 4
 
 
 def embed_notes(notes: DataFrame, stored: DataFrame | None = None, embedder: Embedder = HashEmbedder(), force: bool = False) -> DataFrame:
@@ -42,59 +45,190 @@ def ingest_paged_source(pages: DataFrame, stored: DataFrame | None = None, setti
     return embedder.embed(chunks, "text", "vector", "document")
 
 
+def numbered(rows: DataFrame, first: int = 0) -> DataFrame:
+    """``rows`` with a number of its own each, from ``first`` on, with gaps.
+    Write the result before use: a repeated task may number anew."""
+    return rows.withColumn("id", F.monotonically_increasing_id() + F.lit(first))
+
+
+def next_number(rows: DataFrame) -> int:
+    """The number after the largest ``id``; 0 for an empty table."""
+    return rows.agg(F.coalesce(F.max("id") + 1, F.lit(0))).first()[0]
+
+
+def put_postings(draft: Draft, fresh: DataFrame, *texts, gone: DataFrame | None = None) -> None:
+    """Write the inverted index: of ``fresh`` (id and the columns ``texts``)
+    alone or, given the ids that are ``gone``, with the old version's others."""
+    made = lexical.build_index(fresh, "id", *texts)
+    for part in ("postings", "lengths", "tokens"):
+        rows = getattr(made, part)
+        if gone is not None:
+            old = draft.table.read(part, draft.base).join(gone, "id", "left_anti")
+            rows = old.select(*rows.columns).unionByName(rows)
+        draft.put(part, rows)
+
+
+def stored_postings(table: VersionedTable) -> lexical.Index:
+    version = table.version
+    return lexical.Index(*(table.read(part, version) for part in ("postings", "lengths", "tokens")))
+
+
+def check_dimension(vectors: DataFrame, dim: int) -> None:
+    if vectors.where(F.size("vector") != dim).limit(1).count():
+        raise ValueError(f"a vector does not have {dim} values")
+
+
 @dataclass(frozen=True)
 class NoteIndex:
-    """Vectors and postings of notes, as versioned tables in one folder."""
+    """Vectors, bodies and postings of notes: parts of one version, which
+    readers see change together.  A note has a number, which it keeps."""
 
     spark: SparkSession
     path: str
 
     @property
-    def vectors(self) -> VersionedTable:
-        return VersionedTable(self.spark, f"{self.path}/vectors")
+    def table(self) -> VersionedTable:
+        return VersionedTable(self.spark, self.path)
+
+    @property
+    def vectors(self) -> Part:
+        return Part(self.table, "vectors")
 
     @property
-    def bodies(self) -> VersionedTable:
-        return VersionedTable(self.spark, f"{self.path}/bodies")
+    def bodies(self) -> Part:
+        return Part(self.table, "bodies")
 
     def build(self, notes: DataFrame, vectors: DataFrame, dim: int = 768) -> None:
         """Load everything anew; a vector of another length is refused."""
-        if vectors.where(F.size("vector") != dim).limit(1).count():
-            raise ValueError(f"a vector does not have {dim} values")
-        self.vectors.replace(vectors)
-        self.bodies.replace(self._rows(notes))
+        check_dimension(vectors, dim)
+        draft, rows = self.table.draft(), self._rows(notes)
+        keys = draft.put("keys", numbered(vectors.select("source_file").union(rows.select("source_file")).distinct()))
+        draft.put("vectors", vectors.join(keys, "source_file"))
+        bodies = draft.put("bodies", rows.join(keys, "source_file"))
+        put_postings(draft, bodies, "body", self._tags())
+        draft.commit()
 
     def apply(self, feed: DataFrame, notes: DataFrame, embedder: Embedder = HashEmbedder()) -> None:
         """Follow a change feed (status, path, new_path, seq); ``notes`` has the
         present texts.  A changed note without text loses its lexical row; its
-        vector row stays until it is deleted or has a text again."""
-        net = changes.net_changes(feed).withColumnRenamed("path", "source_file")
+        vector row stays until it is deleted or has a text again.  Only what
+        the feed touches is embedded and indexed again."""
+        draft = self.table.draft()
+        net = draft.put("changes", changes.net_changes(feed).withColumnRenamed("path", "source_file"))
         touched = notes.join(net.where("op = 'upsert'").select("source_file"), "source_file", "left_semi").where("text is not null")
-        gone = net.where("op = 'delete'").unionByName(net.join(touched.select("source_file"), "source_file", "left_semi"))
-        self.vectors.apply(gone.dropDuplicates(["source_file"]), embed_notes(touched, embedder=embedder), "source_file")
-        self.bodies.apply(net, self._rows(touched), "source_file")
+        fresh = draft.put("fresh", embed_notes(touched, embedder=embedder))
+        old = lambda part: self.table.read(part, draft.base)
+        known = old("keys")
+        new = fresh.select("source_file").distinct().join(known, "source_file", "left_anti")
+        keys = draft.put("keys", known.unionByName(numbered(new, next_number(known))))
+        gone = net.where("op = 'delete'").unionByName(net.join(fresh, "source_file", "left_semi")).select("source_file").distinct()
+        kept = old("vectors").join(gone, "source_file", "left_anti")
+        draft.put("vectors", kept.unionByName(fresh.join(keys, "source_file").select(*kept.columns)))
+        rows = self._rows(touched).join(keys, "source_file")
+        bodies = old("bodies").join(net, "source_file", "left_anti")
+        draft.put("bodies", bodies.unionByName(rows.select(*bodies.columns)))
+        put_postings(draft, rows, "body", self._tags(), gone=keys.join(net, "source_file", "left_semi").select("id"))
+        draft.commit()
 
     def search(self, queries: DataFrame, settings: Settings = Settings(), embedder: Embedder = HashEmbedder()) -> DataFrame:
-        """(query_id, rank, id, score) for queries (query_id, text)."""
-        rows = self.bodies.read()
-        index = lexical.build_index(rows, "source_file", "body", F.array_join("tags", " ")) if settings.hybrid else None
-        numbered = self.vectors.read().select("source_file", "vector", F.xxhash64("source_file").alias("id"))
-        if index is not None:
-            as_number = lambda df: df.withColumn("id", F.xxhash64("id"))
-            index = lexical.Index(*map(as_number, (index.postings, index.lengths, index.tokens)))
+        """(query_id, rank, source_file, score) for queries (query_id, text);
+        without an index an error."""
+        vectors = self.vectors.read()
+        index = stored_postings(self.table) if settings.hybrid else None
         asked = embedder.embed(queries.select("query_id", "text"), "text", "vector", "query")
-        hits = _search.search(asked, numbered.select("id", "vector"), index, settings)
-        return hits.join(numbered.select("id", "source_file"), "id").select("query_id", "rank", "source_file", "score")
+        hits = _search.search(asked, vectors.select("id", "vector"), index, settings)
+        return hits.join(vectors.select("id", "source_file"), "id").select("query_id", "rank", "source_file", F.round("score", SCORE_DIGITS).alias("score"))
 
     @staticmethod
     def _rows(notes: DataFrame) -> DataFrame:
         return notes.select("source_file", T.canonical_body(F.col("text")).alias("body"), T.parse_tags(F.col("text")).alias("tags"))
 
+    @staticmethod
+    def _tags() -> Column:
+        return F.array_join("tags", " ")
+
+
+@dataclass(frozen=True)
+class PassageIndex:
+    """Passages of chunked sources with their vectors and postings: parts of
+    one version.  Every passage has a number of its own."""
+
+    spark: SparkSession
+    path: str
+
+    @property
+    def table(self) -> VersionedTable:
+        return VersionedTable(self.spark, self.path)
+
+    def read(self) -> DataFrame:
+        """The passages; none before the first load."""
+        if self.table.version is None:
+            return self.spark.createDataFrame([], PASSAGE_ROWS)
+        return self.table.read("passages")
+
+    def load(self, rows: DataFrame, dim: int = 768) -> None:
+        """Load everything anew from rows as :func:`ingest_paged_source` gives
+        them; a vector of another length is refused."""
+        self._write(rows, None, dim)
+
+    def update(self, rows: DataFrame, dim: int = 768) -> None:
+        """Replace the passages of the sources that ``rows`` has."""
+        self._write(rows, rows.select("source_file").distinct(), dim)
+
+    def remove(self, sources: DataFrame) -> None:
+        """Take out the passages of sources (source_file)."""
+        self._write(self.read().drop("id").limit(0), sources.select("source_file").distinct(), None)
+
+    def clear(self) -> None:
+        self._write(self.read().drop("id").limit(0), None, None)
+
+    def sources(self) -> DataFrame:
+        return self.read().select("source_file").distinct()
+
+    def stats(self) -> DataFrame:
+        """(n_chunks, max_id) as one row; 0 and 0 for an empty index."""
+        return self.read().agg(F.count("*").alias("n_chunks"), F.coalesce(F.max("id"), F.lit(0)).alias("max_id"))
+
+    def fetch(self, source_file: str, chunk_id: int) -> DataFrame:
+        return _search.fetch_passage(self.read(), source_file, chunk_id).drop("vector", "id")
+
+    def search(self, queries: DataFrame, settings: Settings = Settings(), embedder: Embedder = HashEmbedder(), mode: str = "best_per_source", source: str | None = None) -> DataFrame:
+        """(query_id, rank, source_file, chunk_id, page, snippet, score) of the
+        best passages for queries (query_id, text); none without an index."""
+        asked = embedder.embed(queries.select("query_id", "text"), "text", "vector", "query")
+        index = stored_postings(self.table) if settings.hybrid and self.table.version else None
+        return _search.search_passages(asked, self.read(), index, settings, mode, source).withColumn("score", F.round("score", SCORE_DIGITS))
+
+    def _write(self, rows: DataFrame, replaced: DataFrame | None, dim: int | None) -> None:
+        if dim is not None:
+            check_dimension(rows, dim)
+        draft = self.table.draft()
+        names = [f.split()[0] for f in PASSAGE_ROWS.split(", ") if f != "id long"]
+        if replaced is None or draft.base is None:
+            passages = draft.put("passages", numbered(rows.select(*names), 1))
+            put_postings(draft, passages, "text")
+        else:
+            old = self.table.read("passages", draft.base)
+            first = next_number(old)
+            gone = old.join(replaced, "source_file", "left_semi").select("id")
+            kept = old.join(replaced, "source_file", "left_anti")
+            passages = draft.put("passages", kept.unionByName(numbered(rows.select(*names), max(first, 1))))
+            put_postings(draft, passages.where(F.col("id") >= first), "text", gone=gone)
+        draft.commit()
+
+
+def ingest_summary(pages: DataFrame, rows: DataFrame) -> DataFrame:
+    """(source_file, pages, chunks) of an ingest: counts of its pages and of
+    the passages made of them, 0 for a source without words."""
+    p = pages.groupBy("source_file").agg(F.count("*").alias("pages"))
+    c = rows.groupBy("source_file").agg(F.count("*").alias("chunks"))
+    return p.join(c, "source_file", "left").select("source_file", "pages", F.coalesce("chunks", F.lit(0)).cast("long").alias("chunks"))
+
 
 def link_notes(notes: DataFrame, vectors: DataFrame, settings: Settings = Settings(), mutual: bool = True) -> DataFrame:
     """(source_file, new_text) of the notes whose related block changes; notes
     without links lose theirs.  ``vectors`` has source_file, vector."""
-    v = vectors.select(F.xxhash64("source_file").alias("id"), "source_file", "vector")
+    v = numbered(vectors.select("source_file", "vector")).checkpoint()  # in the folder of spark.checkpoint.dir
     links = graph.select_links(graph.neighbors(v.select("id", "vector"), settings.neighbors), settings.max_distance, mutual)
     names = graph.link_names(links, v.select("id", T.stem(F.col("source_file")).alias("name"))).join(v.select(F.col("id").alias("src"), "source_file"), "src")
     all_ = notes.join(names.select("source_file", "names"), "source_file", "left")

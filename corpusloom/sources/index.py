@@ -1,13 +1,15 @@
 """The derived index on storage: versions that readers see all at once.
 
-A version is a folder; a small manifest names the current one.  Writers fill a
-new folder and then replace the manifest, so a reader has either the old state
-or the new one, and a failed write leaves the old one.
+A version is a folder, of one table or of several named parts; a small manifest
+names the current one.  Writers fill a new folder and then replace the manifest,
+so a reader has either the old state or the new one, and a failed write leaves
+the old one.
 """
 
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,15 +38,26 @@ class VersionedTable:
         finally:
             stream.close()
 
-    def read(self) -> DataFrame:
-        if (v := self.version) is None:
+    def folder(self, version: str, part: str = "") -> str:
+        return f"{self.path}/{version}/{part}" if part else f"{self.path}/{version}"
+
+    def read(self, part: str = "", version: str | None = None) -> DataFrame:
+        """A part of a version, by default of the current one."""
+        if (v := version or self.version) is None:
             raise FileNotFoundError(f"no version at {self.path}")
-        return self.spark.read.parquet(f"{self.path}/{v}")
+        return self.spark.read.parquet(self.folder(v, part))
+
+    def draft(self) -> Draft:
+        return Draft(self, self.version, f"v-{uuid.uuid4().hex}")
 
     def replace(self, rows: DataFrame) -> str:
         """Write a whole new version and make it the current one."""
-        name = f"v-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{name}")
+        draft = self.draft()
+        draft.put("", rows)
+        return draft.commit()
+
+    def point_to(self, name: str) -> None:
+        """Make a version the current one."""
         draft = self._at(f"CURRENT.{name}")
         out = self._fs.create(draft, True)
         out.write(bytearray(name.encode()))
@@ -54,7 +67,6 @@ class VersionedTable:
         options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
         options[0] = option
         context.rename(draft, self._at("CURRENT"), options)
-        return name
 
     def apply(self, net: DataFrame, fresh: DataFrame, key: str = "path") -> str:
         """The current rows after ``net`` changes, as a new version."""
@@ -74,3 +86,36 @@ class VersionedTable:
             name = status.getPath().getName()
             if name.startswith("v-") and name != now:
                 self._fs.delete(status.getPath(), True)
+
+
+@dataclass(frozen=True)
+class Draft:
+    """A version in the making; its parts become current together."""
+
+    table: VersionedTable
+    base: str | None
+    name: str
+
+    def put(self, part: str, rows: DataFrame) -> DataFrame:
+        """Write a part and read it back, so that what is derived from it
+        neither computes it again nor sees other values."""
+        rows.write.parquet(self.table.folder(self.name, part))
+        return self.table.read(part, self.name)
+
+    def commit(self) -> str:
+        """Refused if another writer was faster, as its rows would be lost."""
+        if self.table.version != self.base:
+            raise RuntimeError(f"{self.table.path} has changed since this version was begun")
+        self.table.point_to(self.name)
+        return self.name
+
+
+@dataclass(frozen=True)
+class Part:
+    """One part of the current version."""
+
+    table: VersionedTable
+    name: str
+
+    def read(self) -> DataFrame:
+        return self.table.read(self.name)

@@ -59,6 +59,90 @@ def test_paged_sources(spark):
     assert api.ingest_paged_source(pages, rows, Settings(chunk_tokens=2, chunk_overlap=0.0), SMALL).count() == 4
 
 
+def hits_of(index, ask, **how):
+    return [(h.source_file, h.chunk_id, h.page) for h in index.search(ask, Settings(k=5), SMALL, **how).orderBy("rank").collect()]
+
+
+def test_passage_index(spark, tmp_path):
+    index = api.PassageIndex(spark, f"file://{tmp_path}/p")
+    ask = spark.createDataFrame([(1, "zeta")], "query_id long, text string")
+    assert hits_of(index, ask) == [] and tuple(index.stats().first()) == (0, 0)
+    frame = lambda *rows: spark.createDataFrame(list(rows), "source_file string, page int, text string")
+    s = Settings(chunk_tokens=4, chunk_overlap=0.0)
+    pages = frame(("x.pdf", 1, "alpha beta gamma delta"), ("x.pdf", 2, "epsilon zeta eta theta"), ("y.pdf", 1, "iota kappa"), ("z.pdf", 1, ""))
+    rows = api.ingest_paged_source(pages, settings=s, embedder=SMALL)
+    with pytest.raises(ValueError):
+        index.load(rows)
+    index.load(rows, dim=32)
+    assert sorted(map(tuple, api.ingest_summary(pages, rows).collect())) == [("x.pdf", 2, 2), ("y.pdf", 1, 1), ("z.pdf", 1, 0)]
+    assert sorted(r[0] for r in index.sources().collect()) == ["x.pdf", "y.pdf"] and index.stats().first().n_chunks == 3
+    assert hits_of(index, ask)[0] == ("x.pdf", 1, 2) and {h[0] for h in hits_of(index, ask)} == {"x.pdf", "y.pdf"}
+    assert hits_of(index, ask, source="y.pdf") == [("y.pdf", 0, 1)]
+    assert [r.text for r in index.fetch("x.pdf", 0).collect()] == ["alpha beta gamma delta"]
+    top = index.stats().first().max_id
+    index.update(api.ingest_paged_source(frame(("y.pdf", 1, "zeta zeta zeta")), settings=s, embedder=SMALL), dim=32)
+    assert index.stats().first().n_chunks == 3 and index.stats().first().max_id > top
+    whole = api.PassageIndex(spark, f"file://{tmp_path}/w")
+    whole.load(index.read().drop("id"), dim=32)
+    assert hits_of(index, ask) == hits_of(whole, ask) and ("y.pdf", 0, 1) in hits_of(index, ask, mode="all_chunks")
+    index.remove(spark.createDataFrame([("x.pdf",)], "source_file string"))
+    assert hits_of(index, ask) == [("y.pdf", 0, 1)]
+    index.clear()
+    assert hits_of(index, ask) == [] and index.stats().first().n_chunks == 0
+
+
+def test_applied_index_equals_a_new_one(spark, tmp_path):
+    notes = spark.createDataFrame([*NOTES, ("areas/e.md", "zephyr zephyr e")], "source_file string, text string")
+    index, again = (api.NoteIndex(spark, f"file://{tmp_path}/{n}") for n in "iw")
+    index.build(notes, api.embed_notes(notes, embedder=SMALL), dim=32)
+    feed = spark.createDataFrame([("D", "areas/e.md", None, 1), ("M", "areas/b.md", None, 2), ("A", "areas/n.md", None, 3)], "status string, path string, new_path string, seq long")
+    now = spark.createDataFrame([NOTES[0], ("areas/b.md", "zephyr_again zephyr"), NOTES[2], ("areas/n.md", "new zephyr note")], "source_file string, text string")
+    index.apply(feed, now, SMALL)
+    again.build(now, api.embed_notes(now, embedder=SMALL), dim=32)
+    rows = lambda i, part, *c: sorted(map(tuple, i.table.read(part).join(i.table.read("keys"), "id").select("source_file", *c).collect()))
+    key = lambda i: i.table.read("keys").withColumnRenamed("source_file", "s")
+    for part, columns in (("postings", ("term", "tf")), ("lengths", ("dl",)), ("tokens", ("term", "pos"))):
+        assert rows(index, part, *columns) == rows(again, part, *columns)
+    assert key(index).select("id").distinct().count() == key(index).count()
+    ask = spark.createDataFrame([(1, "zephyr"), (2, "again")], "query_id long, text string")
+    hits = lambda i: {(h.query_id, h.source_file, h.score) for h in i.search(ask, Settings(k=5), SMALL).collect()}
+    assert {h[:2] for h in hits(index)} == {h[:2] for h in hits(again)}
+    assert all(h[2] == round(h[2], 4) for h in hits(index))
+
+
+def test_a_version_of_a_slower_writer_is_refused(spark, tmp_path):
+    from corpusloom.sources.index import VersionedTable
+
+    table = VersionedTable(spark, f"file://{tmp_path}/t")
+    slow = table.draft()
+    slow.put("a", spark.range(1))
+    table.replace(spark.range(2))
+    with pytest.raises(RuntimeError):
+        slow.commit()
+    assert table.read().count() == 2
+
+
+def test_sidecar_files(spark, tmp_path):
+    import json
+
+    from corpusloom.sources import sidecars
+
+    notes = spark.createDataFrame([("areas/a.md", "é wind")], "source_file string, text string")
+    rows = api.embed_notes(notes, embedder=SMALL)
+    made = sidecars.write_files(sidecars.note_sidecars(rows), f"file://{tmp_path}").collect()
+    (kept,) = rows.collect()
+    text = (tmp_path / "areas/.a.embed.json").read_text()
+    assert [m.path for m in made] == ["areas/.a.embed.json"] and made[0].n_bytes == len(text)
+    assert text == json.dumps({"source_file": "areas/a.md", "type": kept.backend, "content_hash": kept.content_hash, "vector": kept.vector}, indent=2) + "\n"
+    pages = spark.createDataFrame([("in/x.pdf", 1, "alpha beta gamma"), ("in/x.pdf", 2, "delta")], "source_file string, page int, text string")
+    chunks = api.ingest_paged_source(pages, settings=Settings(chunk_tokens=2, chunk_overlap=0.0), embedder=SMALL)
+    (file,) = sidecars.chunk_sidecars(chunks).collect()
+    payload = json.loads(file.content)
+    assert file.path == "in/.x.pdf.embed.json" and list(payload) == ["source_file", "type", "content_hash", "chunking", "chunks"]
+    assert payload["chunking"] == {"chunk_tokens": 2, "chunk_overlap": 0.0}
+    assert [(c["chunk_id"], c["page"], c["text"], len(c["vector"])) for c in payload["chunks"]] == [(0, 1, "alpha beta", 32), (1, 1, "gamma\n\ndelta", 32)]
+
+
 def test_links(spark):
     notes = spark.createDataFrame([("a.md", "---\ntags: [x]\n---\nbody"), ("b.md", "plain"), ("c.md", "far")], "source_file string, text string")
     vectors = spark.createDataFrame([("a.md", [1.0, 0.0]), ("b.md", [0.9, 0.1]), ("c.md", [-1.0, 0.2])], "source_file string, vector array<double>")
