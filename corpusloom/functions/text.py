@@ -230,6 +230,7 @@ def remove_block(text: Column, begin: str, end: str) -> Column:
 
 def term_note(term: Column) -> Column:
     """The text of a new term's note."""
+    # The head and the line for a definition.
     head = "---\ntype: glossary\naliases: []\ntags: [glossary]\n---\n\n# "
     return F.concat(F.lit(head), term, F.lit("\n\n"), term, F.lit(" ? A one-line definition — state the meaning atomically, one term, one idea.\n\n#flashcards/glossary\n"))
 

@@ -86,12 +86,31 @@ def change_gate(now: DataFrame, stored: DataFrame, keys: list[str], force: bool
     return now if force else now.join(stored.select(*keys).distinct(), keys, "left_anti")
 
 
-def long_documents(docs: DataFrame, text: str = "text", limit: int = 300, lines_name: str = "n_lines") -> DataFrame:
+def long_documents(docs: DataFrame, text: str = "text", limit: int = 300, lines_name: str = "n_lines", path: str | None = None) -> DataFrame:
+    """Documents with more than ``limit`` lines that aren't empty.  With their
+    ``path``, only notes (``.md``) count, but no README.md and nothing below a
+    folder named ``tasks``."""
     from ..functions.text import nonempty_lines
 
+    if path is not None:
+        p = F.split(path, "/")
+        docs = docs.where(F.col(path).endswith(".md") & (F.element_at(p, -1) != "README.md") & ~F.array_contains(p, "tasks"))
     return docs.withColumn(lines_name, nonempty_lines(F.col(text))).where(F.col(lines_name) > limit)
 
 
+def notes_under(notes: DataFrame, root: str, match: str = "", cap: int = 50, roots: list[str] | None = None) -> DataFrame:
+    """(title, source_file, total, truncated): the first ``cap`` notes by path
+    below ``root`` whose title, the file's name, has ``match`` in any case."""
+    from ..functions.text import ROOTS, stem
+    from .tags import capped
+
+    if root not in (roots or ROOTS):
+        raise ValueError(f"root is one of {roots or ROOTS}, not {root!r}")
+    path = F.col("source_file")
+    rows = notes.where(path.startswith(f"vault/{root}/") & path.endswith(".md")).select(stem(path).alias("title"), path)
+    return capped(rows.where(F.lower("title").contains(match.lower())), cap, path)
+
+
 def root_counts(notes: DataFrame, roots: list[str], root: str = "root") -> DataFrame:
     """(root, n) for every root, zero where it has no notes."""
     spark = notes.sparkSession

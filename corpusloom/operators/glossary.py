@@ -8,11 +8,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from ..functions.text import normalise_key, strip_lead_in
+from .tags import capped
 
 SUGGESTIONS, CUTOFF, FUZZY = 3, 0.6, 5
 
@@ -43,6 +44,14 @@ def lookup(asked: DataFrame, keys: DataFrame, term: str = "term") -> DataFrame:
     return found.select(term, F.coalesce("s1", "s2").alias("slug"), F.coalesce("d1", "d2").alias("display"))
 
 
+def listing(terms: DataFrame, match: str = "", cap: int = 50) -> DataFrame:
+    """(slug, display, aliases, total, truncated): the first ``cap`` terms by
+    slug of those that have ``match`` in the term or an alias, in any case."""
+    m = match.lower()
+    found = F.lower("display").contains(m) | F.exists(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.lower(a).contains(m))
+    return capped(terms.select("slug", "display", "aliases").where(found), cap, F.col("slug"))
+
+
 def suggest(asked: DataFrame, keys: DataFrame, term: str = "term", n: int = SUGGESTIONS) -> DataFrame:
     """(term, rank, display): the closest terms to one that is no key: those
     that begin alike, then those inside each other, then similar spellings.
@@ -126,13 +135,28 @@ def link_terms(notes: DataFrame, terms: list[tuple[str, str]], id_: str = "sourc
     return rows.mapInArrow(run, StructType([rows.schema.fields[0], StructField("new_body", StringType()), StructField("linked", ArrayType(StringType()))]))
 
 
+def meeting_words(text: Column) -> Column:
+    """The distinct words of a text and its distinct other marks, in one case:
+    letters that are one to a pattern in any case are one here too."""
+    folded = F.lower(F.upper(F.translate(text, "\u0130\u1e9e", "I\u00df")))
+    return F.array_distinct(F.regexp_extract_all(folded, F.lit(r"(?U)(\w+|[^\w\s])"), F.lit(1)))
+
+
 def unlinked_report(notes: DataFrame, terms: DataFrame, id_: str = "source_file", body: str = "body") -> DataFrame:
     """(id, slug): terms (slug, surface) that a note mentions and does not link,
-    each term on its own.  Links are taken out before the phrase is sought."""
+    each term on its own.  Links are taken out before the phrase is sought.
+
+    A phrase stands as whole words, so a note that mentions it has its first
+    word: notes and terms meet on that, and only those that meet are compared.
+    A note without id has no rows.
+    """
     b, s = F.col(body), F.col("surface")
     targets = F.regexp_extract_all(F.lower(b), F.lit(r"\[\[\s*([^\]|]+?)\s*(?:\|[^\]]*)?\]\]"), F.lit(1))
     bare = F.regexp_replace(b, r"\[\[[^\]]*\]\]", "[[]]")
     quoted = F.concat(F.lit(r"(?iU)(?<!\w)\Q"), s, F.lit(r"\E(?!\w)"))
-    met = notes.select(id_, targets.alias("targets"), bare.alias("bare")).crossJoin(terms.select("slug", "surface"))  # sent to the notes where Spark finds it small
+    words = notes.select(id_, F.explode(meeting_words(bare)).alias("word"))
+    first = terms.select("slug", "surface", F.try_element_at(meeting_words(s), F.lit(1)).alias("word"))
+    met = words.join(first, "word").groupBy(id_).agg(F.collect_set(F.struct("slug", "surface")).alias("met"))
+    rows = notes.select(id_, targets.alias("targets"), bare.alias("bare")).join(met, id_).withColumn("m", F.explode("met")).select(id_, "targets", "bare", "m.*")
     open_ = ~F.array_contains("targets", F.lower("slug")) & ~F.array_contains("targets", F.lower("surface"))
-    return met.where(open_ & F.regexp_like(F.col("bare"), quoted)).select(id_, "slug")
+    return rows.where(open_ & F.regexp_like(F.col("bare"), quoted)).select(id_, "slug")

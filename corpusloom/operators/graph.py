@@ -32,6 +32,15 @@ def distance_summary(edges: DataFrame) -> DataFrame:
     return edges.agg(F.count(d).alias("n"), F.min(d).alias("min_distance"), F.round(F.percentile(d, 0.5), 6).alias("median_distance"), F.max(d).alias("max_distance"))
 
 
+def calibrate(edges: DataFrame, names: DataFrame, max_distance: float | None = None) -> DataFrame:
+    """(src, src_name, rank, dst_name, distance, links): every directed edge
+    with its ends' names (id, name) and, given a distance, whether it would be
+    linked; sort it by distance for the sorted list."""
+    a, b = names.withColumnsRenamed({"id": "src", "name": "src_name"}), names.withColumnsRenamed({"id": "dst", "name": "dst_name"})
+    links = F.lit(None).cast("boolean") if max_distance is None else F.col("distance") < max_distance
+    return edges.join(a, "src").join(b, "dst").select("src", "src_name", "rank", "dst_name", "distance", links.alias("links"))
+
+
 def link_names(links: DataFrame, names: DataFrame) -> DataFrame:
     """(src, names): the sorted distinct names (id, name) that a source links to."""
     return links.join(names.withColumnsRenamed({"id": "dst"}), "dst").groupBy("src").agg(F.array_sort(F.collect_set("name")).alias("names"))

@@ -146,6 +146,7 @@ SELECT src, label, votes FROM (SELECT *, row_number() OVER (PARTITION BY src ORD
     "knn_graph_neighbors": f"WITH {EDGES} SELECT src, rank, dst, distance FROM edges",
     "knn_graph_mutual_links": f"WITH {EDGES}, {LINKS.format(t=0.9)} SELECT src, rank, dst, distance FROM links",
     "knn_distance_summary": f"WITH {EDGES} SELECT count(*) AS n, min(distance) AS min_distance, round(quantile_cont(distance, 0.5), 6) AS median_distance, max(distance) AS max_distance FROM edges",
+    "knn_calibration": f"WITH {EDGES} SELECT src, 'note-' || src AS src_name, rank, 'note-' || dst AS dst_name, distance, distance < 0.9 AS links FROM edges",
     "rrf_vector_only": f"WITH {PAIRS} SELECT src AS query_id, rank, dst AS id, round(1.0::DOUBLE / (60 + rank), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS rank FROM pairs) WHERE rank <= 5",
     "hash_embed": f"WITH {BENCH}, {hash_vectors('qv', 'bench')} SELECT id AS query_id, unnest(range(768)) AS place, unnest(v) AS value FROM qv",
     "tokens_postings": f"WITH {DOC_TOKENS}, {POSTINGS} SELECT term, id AS doc_id, tf FROM postings",
@@ -206,6 +207,15 @@ UNION ALL SELECT 'singleton', tag, min(source_file)::VARCHAR, 1.0 FROM carried G
 UNION ALL SELECT 'near_miss', x.tag, y.tag, NULL FROM v x JOIN v y ON x.tag < y.tag WHERE {near('x.tag', 'y.tag')}
 UNION ALL SELECT 'format_lint', tag, 'underscore', NULL FROM n WHERE contains(tag, '_')
 UNION ALL SELECT 'overlap', a, b, round(k / (x.n + y.n - k), 6) FROM both_ JOIN n x ON x.tag = a JOIN n y ON y.tag = b WHERE k / (x.n + y.n - k) >= 0.6 AND x.n + y.n - k >= 2""",
+    "tag_hygiene_lines": f"""WITH {RARE_TAGS}, {CARRIED}, t AS (SELECT count(*) AS total FROM notes), v AS (SELECT tag FROM n WHERE n / (SELECT total FROM t) < 0.8),
+both_ AS (SELECT a.tag AS a, b.tag AS b, count(*) AS k FROM carried a JOIN carried b USING (source_file) WHERE a.tag < b.tag GROUP BY ALL)
+SELECT 'near_universal' AS kind, tag, tag || '  (' || n || '/' || total || ', ' || round_even(100 * n / total, 0)::INT || '%)' AS line FROM n, t WHERE n / total >= 0.8
+UNION ALL SELECT 'singleton', tag, tag || '  (' || min(source_file) || ')' FROM carried GROUP BY tag HAVING count(*) = 1
+UNION ALL SELECT 'near_miss', x.tag, x.tag || '  ~  ' || y.tag FROM v x JOIN v y ON x.tag < y.tag WHERE {near('x.tag', 'y.tag')}
+UNION ALL SELECT 'format_lint', tag, tag || '  — underscore' FROM n WHERE contains(tag, '_')
+UNION ALL SELECT 'overlap', a, a || ' + ' || b || '  (Jaccard ' || round_even(100 * (k / (x.n + y.n - k)), 0)::INT || '%)' FROM both_ JOIN n x ON x.tag = a JOIN n y ON y.tag = b WHERE k / (x.n + y.n - k) >= 0.6 AND x.n + y.n - k >= 2""",
+    "glossary_listing": f"""WITH {TERMS}, f AS (SELECT slug, display, array_to_string(aliases, '|') AS aliases FROM terms WHERE contains(lower(display), 'an') OR len(list_filter(aliases, lambda a: contains(lower(a), 'an'))) > 0)
+SELECT *, (SELECT count(*) FROM f) AS total, (SELECT count(*) FROM f) > 10 AS truncated FROM f ORDER BY slug LIMIT 10""",
     "glossary_keys": f"WITH {TERMS} SELECT key, slug, display FROM keys",
     "glossary_collisions": f"WITH {TERMS} SELECT key, string_agg(DISTINCT slug, '|' ORDER BY slug) AS slugs FROM wanted GROUP BY key HAVING count(DISTINCT slug) > 1",
     "glossary_lookup": f"""WITH {TERMS}, {ASKED}, q AS (SELECT term, {KEY.format(t='term')} AS k1 FROM asked)
@@ -213,6 +223,11 @@ SELECT term, coalesce(a.slug, b.slug) AS slug, coalesce(a.display, b.display) AS
     "glossary_unlinked": unlinked(),
     "link_lines": f"""WITH {EDGES}, {LINKS.format(t=0.9)}, named AS (SELECT src, list_sort(list('note-' || dst)) AS names FROM links GROUP BY src)
 SELECT src, sha256(concat('---', chr(10), 'tags: [x]', chr(10), chr(10), '# >>> related (managed) >>>', chr(10), 'related_auto:', chr(10), array_to_string(list_transform(names, lambda x: '  - "[[' || x || ']]"'), chr(10)), chr(10), '# <<< related (managed) <<<', chr(10), '---', chr(10), 'body', chr(10))) AS note_sha256, array_to_string(names, '|') AS names FROM named""",
+    "notes_under_root": """WITH f AS (SELECT 'n' || doc_id AS title, 'vault/areas/' || source || '/n' || doc_id || '.md' AS source_file FROM documents WHERE doc_id % 4 = 1 AND contains(doc_id::VARCHAR, '7'))
+SELECT *, (SELECT count(*) FROM f) AS total, (SELECT count(*) FROM f) > 50 AS truncated FROM f ORDER BY source_file LIMIT 50""",
+    "ingest_summary": f"""WITH docs AS (SELECT conv_id AS src, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id), {chunks('docs', 20, 15)},
+c AS (SELECT src, count(*) AS chunks FROM chunks GROUP BY src)
+SELECT conv_id AS source_file, count(*) AS pages, coalesce(any_value(chunks), 0) AS chunks FROM conversations LEFT JOIN c ON src = conv_id GROUP BY conv_id""",
     "root_counts": "SELECT r AS root, count(source) AS n FROM (VALUES ('src0'), ('src1'), ('src2'), ('nowhere')) t(r) LEFT JOIN documents ON source = r GROUP BY r",
     "source_listing_paged": "SELECT doc_id, source, n_chars FROM documents ORDER BY n_chars DESC, doc_id DESC LIMIT 50 OFFSET 20",
     "change_gate": "SELECT doc_id, 'test' AS backend, 'sha256:' || sha256(text) AS content_hash FROM documents WHERE lang = 'fr' OR source = 'src5'",

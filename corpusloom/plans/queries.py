@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import api
 from ..functions import text as T
 from ..functions.embedding import HashEmbedder, let
 from ..operators import audit, changes, chunking, glossary, graph, lexical, search, tags, vectors
@@ -102,6 +103,13 @@ def knn_distance_summary(spark, sf_dir):
     return graph.distance_summary(graph.neighbors(embedding_vectors(spark, sf_dir), 5))
 
 
+@query
+def knn_calibration(spark, sf_dir):
+    v = embedding_vectors(spark, sf_dir)
+    names = v.select("id", F.concat(F.lit("note-"), F.col("id").cast("string")).alias("name"))
+    return graph.calibrate(graph.neighbors(v, 5), names, MAX_DISTANCE)
+
+
 @query
 def rrf_vector_only(spark, sf_dir):
     v = embedding_vectors(spark, sf_dir)
@@ -373,9 +381,21 @@ def tag_hygiene_report(spark, sf_dir):
     return tags.hygiene_report(rare_tags(spark, sf_dir)).withColumn("value", F.round("value", 6))
 
 
+@query
+def tag_hygiene_lines(spark, sf_dir):
+    notes = rare_tags(spark, sf_dir)
+    return tags.hygiene_lines(tags.hygiene_report(notes), notes)
+
+
 # Terms
 
 
+@query
+def glossary_listing(spark, sf_dir):
+    """The first ten nations and regions with "an" in the term or an alias."""
+    return glossary.listing(nation_terms(spark, sf_dir), "AN", 10).withColumn("aliases", F.array_join("aliases", "|"))
+
+
 @query
 def glossary_keys(spark, sf_dir):
     return glossary.key_index(nation_terms(spark, sf_dir))
@@ -435,6 +455,22 @@ def root_counts(spark, sf_dir):
     return audit.root_counts(table(spark, sf_dir, "documents").select(F.col("source").alias("root")), ["src0", "src1", "src2", "nowhere"])
 
 
+@query
+def notes_under_root(spark, sf_dir):
+    """The first 50 documents of a root with 7 in their title."""
+    root = F.element_at(F.array(*map(F.lit, T.ROOTS)), (F.col("doc_id") % len(T.ROOTS) + 1).cast("int"))
+    path = F.concat(F.lit("vault/"), root, F.lit("/"), F.col("source"), F.lit("/n"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return audit.notes_under(table(spark, sf_dir, "documents").select(path.alias("source_file")), "areas", "7")
+
+
+@query
+def ingest_summary(spark, sf_dir):
+    """Pages and passages of every conversation, a turn being a page."""
+    pages = conversation_pages(spark, sf_dir).withColumnRenamed("conv_id", "source_file")
+    docs = chunking.paged_documents(pages, "source_file", "page", "text").select("source_file", "text")
+    return api.ingest_summary(pages, chunking.chunk_documents(docs, tokens=20, overlap=0.25))
+
+
 @query
 def source_listing_paged(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").orderBy(F.col("n_chars").desc(), F.col("doc_id").desc()).offset(20).limit(50)

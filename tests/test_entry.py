@@ -25,7 +25,7 @@ def test_entry_runs(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["knn_graph_neighbors", "bm25_topk", "rrf_hybrid_search", "chunk_offsets", "chunk_page_asof", "canonical_body", "parse_tags", "tag_near_miss", "tag_apply_mapping", "glossary_lookup", "layer_audit", "incremental_apply", "stream_apply_equals_batch", "knn_graph_mutual_links", "tag_singletons", "passage_fetch", "layer_verdict", "repair_plan"])
+@pytest.mark.parametrize("name", ["knn_graph_neighbors", "bm25_topk", "rrf_hybrid_search", "chunk_offsets", "chunk_page_asof", "canonical_body", "parse_tags", "tag_near_miss", "tag_apply_mapping", "glossary_lookup", "layer_audit", "incremental_apply", "stream_apply_equals_batch", "knn_graph_mutual_links", "tag_singletons", "passage_fetch", "layer_verdict", "repair_plan", "knn_calibration", "tag_hygiene_lines", "glossary_listing", "glossary_unlinked", "notes_under_root", "ingest_summary", "long_documents"])
 def test_queries_equal_their_sql(spark, name):
     import __spark_entry__
 

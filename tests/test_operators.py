@@ -309,3 +309,25 @@ def test_settings(tmp_path):
     s = settings.load(str(tmp_path / "c.toml"), {"CORPUSLOOM_RRF_K": "7", "CORPUSLOOM_POOL": "x"})
     assert (s.rrf_k, s.hybrid, s.pool, s.chunk_tokens) == (7, False, 20, 512)
     assert settings.load("/nowhere", {}) == settings.Settings()
+
+
+def test_unlinked_terms_meet_on_words(spark):
+    notes = spark.createDataFrame([(1, "C++ and İstanbul; a straße (STRASSE), ++ x"), (2, "no [[c++]] links, c++"), (3, None)], "source_file long, body string")
+    terms = spark.createDataFrame([("cpp", "c++"), ("plus", "++"), ("ist", "istanbul"), ("str", "STRAẞE"), ("none", ""), ("x", "++ X"), ("part", "strass")], "slug string, surface string")
+    got = sorted(map(tuple, glossary.unlinked_report(notes, terms).collect()))
+    # Each phrase on its own, as a whole word, in any case; a linked surface is none.
+    assert got == [(1, "cpp"), (1, "ist"), (1, "plus"), (1, "str"), (1, "x")]
+
+
+def test_line_guard_skips(spark):
+    rows = spark.createDataFrame([("a/b.md", "x\n\ny"), ("README.md", "x\ny"), ("a/tasks/c.md", "x\ny"), ("d.txt", "x\ny")], "source_file string, text string")
+    assert [r.source_file for r in audit.long_documents(rows, limit=1, path="source_file").collect()] == ["a/b.md"]
+
+
+def test_hygiene_as_json(spark):
+    import json
+
+    notes = spark.createDataFrame([("a", ["x", "y_z"]), ("b", ["x", "w"]), ("c", ["x", "w2"])], "source_file string, tags array<string>")
+    got = {(r.kind, r.json) for r in tags.hygiene_json(tags.hygiene_report(notes)).collect()}
+    assert ("near_universal", json.dumps({"tag": "x", "fraction": 1.0}, separators=(",", ":"))) in got
+    assert ("singleton", '{"tag":"y_z","note":"a"}') in got and ("near_miss", '["w","w2"]') in got and ("format_lint", '{"tag":"y_z","reason":"underscore"}') in got
