@@ -71,4 +71,43 @@ FROM r LEFT JOIN failed USING (doc_id)
 """
 
 
-ORACLES = {"op2_quality_rules": quality_rules(), "op4_exact_dedup": EXACT_DEDUP, "op7_ngram_jaccard_join": NGRAM_JOIN}
+RANKED = rf"""
+WITH terms AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+d AS (SELECT doc_id, ts, len(ts) AS n FROM terms WHERE len(ts) > 0),
+stats AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM d),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+postings AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM postings, stats GROUP BY term),
+gains AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // total))) AS gain FROM postings JOIN weights USING (term), stats),
+scores AS (SELECT item_id, doc_id, sum(gain)::BIGINT AS score FROM asked JOIN gains USING (term) GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scores WHERE score > 0) WHERE rank <= 50
+"""
+
+
+def vector_codes() -> str:
+    """The rounds one after another, each by comparing every part with every entry."""
+    from .vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
+
+    assign = """a{i} AS MATERIALIZED (
+  SELECT vec_id, label, part, x, min(d * {entries} + entry) AS found FROM (
+    SELECT p.*, entry, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM p JOIN c{i} USING (part)) GROUP BY ALL)"""
+    update = """s{i} AS (SELECT part, entry, place, sum(v)::BIGINT AS s, count(*) AS n FROM (
+    SELECT part, found % {entries} AS entry, unnest(x) AS v, unnest(range(len(x))) AS place FROM a{i}) GROUP BY ALL),
+m{i} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY place) AS y FROM s{i} GROUP BY ALL),
+c{j} AS MATERIALIZED (SELECT part, entry, coalesce(y, c) AS c FROM c{i} LEFT JOIN m{i} USING (part, entry))"""
+    rounds = ",\n".join(assign.format(i=i, entries=ENTRIES) + ",\n" + update.format(i=i, j=i + 1, entries=ENTRIES) for i in range(ROUNDS))
+    return f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, label, part, q[part * (len(q) // {PARTS}) + 1 : (part + 1) * (len(q) // {PARTS})] AS x FROM v, range({PARTS}) r(part)),
+seeds AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v ORDER BY vec_id LIMIT {ENTRIES}),
+c0 AS MATERIALIZED (SELECT part, entry, x AS c FROM p JOIN seeds USING (vec_id)),
+{rounds},
+{assign.format(i=ROUNDS, entries=ENTRIES)},
+coded AS (SELECT vec_id, label, string_agg(printf('%02x', found % {ENTRIES}), '' ORDER BY part) AS code, sum(found // {ENTRIES})::BIGINT AS error FROM a{ROUNDS} GROUP BY ALL),
+book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{ROUNDS})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded, book
+"""
+
+
+ORACLES = {"op2_quality_rules": quality_rules(), "op4_exact_dedup": EXACT_DEDUP, "op7_ngram_jaccard_join": NGRAM_JOIN, "op11_ranked_search": RANKED, "op13_vector_codes": vector_codes()}

@@ -10,7 +10,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, ngram_join, oracles, packing, pii, quality, secret_scan, token_counts, toxicity, url_filter
+from . import bpe, exact_dedup, license_scan, ngram_join, oracles, packing, pii, quality, ranked_search, secret_scan, token_counts, toxicity, url_filter, vector_codes
 
 
 def tokenizer_file(name: str) -> str:
@@ -76,9 +76,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pack_documents, op2_quality_rules, op3_bpe_encode_decode, op4_exact_dedup, op5_secret_scan, op6_url_filter, op7_ngram_jaccard_join, op8_edit_token_counts, op9_pii_pseudonyms, op10_toxicity)
-}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.license_scan(table(spark, sf_dir, "documents")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+OPERATORS = (
+    op1_pack_documents, op2_quality_rules, op3_bpe_encode_decode, op4_exact_dedup, op5_secret_scan, op6_url_filter, op7_ngram_jaccard_join,
+    op8_edit_token_counts, op9_pii_pseudonyms, op10_toxicity, op11_ranked_search, op12_license_scan, op13_vector_codes,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = oracles.ORACLES
