@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions.embedding import Embedder, HashEmbedder
 from .operators import audit as _audit
-from .operators import changes, chunking, glossary, graph, lexical, tags
+from .operators import blocks, cells, changes, chunking, glossary, graph, tags
 from .operators import search as _search
 from .settings import Settings
 from .sources.index import Draft, Part, VersionedTable
@@ -58,19 +59,33 @@ def next_number(rows: DataFrame) -> int:
 
 def put_postings(draft: Draft, fresh: DataFrame, *texts, gone: DataFrame | None = None) -> None:
     """Write the inverted index: of ``fresh`` (id and the columns ``texts``)
-    alone or, given the ids that are ``gone``, with the old version's others."""
-    made = lexical.build_index(fresh, "id", *texts)
-    for part in ("postings", "lengths", "tokens"):
-        rows = getattr(made, part)
-        if gone is not None:
-            old = draft.table.read(part, draft.base).join(gone, "id", "left_anti")
-            rows = old.select(*rows.columns).unionByName(rows)
-        draft.put(part, rows)
+    alone or, given the ids that are ``gone``, with the old version's others,
+    whose terms are stored and whose texts are not read again."""
+    terms = blocks.listed(fresh, "id", *texts)
+    if gone is not None:
+        terms = draft.table.read("terms", draft.base).join(gone, "id", "left_anti").select("id", "terms").unionByName(terms)
+    blocks.build(terms, draft.put)
 
 
-def stored_postings(table: VersionedTable) -> lexical.Index:
+def stored_postings(table: VersionedTable) -> blocks.BlockIndex:
     version = table.version
-    return lexical.Index(*(table.read(part, version) for part in ("postings", "lengths", "tokens")))
+    return blocks.BlockIndex(*(table.read(part, version) for part in ("terms", "postings")))
+
+
+def put_cells(draft: Draft, vectors: DataFrame) -> None:
+    """Write the inverted file of vectors (id, vector).  The old version's
+    centroids serve until there are twice as many vectors as they were taught for."""
+    points = None
+    if draft.base is not None:
+        old = draft.table.read("centroids", draft.base).orderBy("cell").collect()  # at most cells.MOST_CELLS rows
+        if old and vectors.count() <= 2 * sum(r.n for r in old):
+            points = np.array([r.centroid for r in old])
+    cells.build(vectors.select("id", "vector"), draft.put, points)
+
+
+def stored_cells(table: VersionedTable) -> cells.VectorIndex:
+    version = table.version
+    return cells.VectorIndex(*(table.read(part, version) for part in ("centroids", "cells")))
 
 
 def check_dimension(vectors: DataFrame, dim: int) -> None:
@@ -103,7 +118,7 @@ class NoteIndex:
         check_dimension(vectors, dim)
         draft, rows = self.table.draft(), self._rows(notes)
         keys = draft.put("keys", numbered(vectors.select("source_file").union(rows.select("source_file")).distinct()))
-        draft.put("vectors", vectors.join(keys, "source_file"))
+        put_cells(draft, draft.put("vectors", vectors.join(keys, "source_file")))
         bodies = draft.put("bodies", rows.join(keys, "source_file"))
         put_postings(draft, bodies, "body", self._tags())
         draft.commit()
@@ -123,7 +138,7 @@ class NoteIndex:
         keys = draft.put("keys", known.unionByName(numbered(new, next_number(known))))
         gone = net.where("op = 'delete'").unionByName(net.join(fresh, "source_file", "left_semi")).select("source_file").distinct()
         kept = old("vectors").join(gone, "source_file", "left_anti")
-        draft.put("vectors", kept.unionByName(fresh.join(keys, "source_file").select(*kept.columns)))
+        put_cells(draft, draft.put("vectors", kept.unionByName(fresh.join(keys, "source_file").select(*kept.columns))))
         rows = self._rows(touched).join(keys, "source_file")
         bodies = old("bodies").join(net, "source_file", "left_anti")
         draft.put("bodies", bodies.unionByName(rows.select(*bodies.columns)))
@@ -136,7 +151,7 @@ class NoteIndex:
         vectors = self.vectors.read()
         index = stored_postings(self.table) if settings.hybrid else None
         asked = embedder.embed(queries.select("query_id", "text"), "text", "vector", "query")
-        hits = _search.search(asked, vectors.select("id", "vector"), index, settings)
+        hits = _search.search(asked, stored_cells(self.table), index, settings)
         return hits.join(vectors.select("id", "source_file"), "id").select("query_id", "rank", "source_file", F.round("score", SCORE_DIGITS).alias("score"))
 
     @staticmethod
@@ -196,8 +211,10 @@ class PassageIndex:
         """(query_id, rank, source_file, chunk_id, page, snippet, score) of the
         best passages for queries (query_id, text); none without an index."""
         asked = embedder.embed(queries.select("query_id", "text"), "text", "vector", "query")
-        index = stored_postings(self.table) if settings.hybrid and self.table.version else None
-        return _search.search_passages(asked, self.read(), index, settings, mode, source).withColumn("score", F.round("score", SCORE_DIGITS))
+        stored = self.table.version is not None
+        index = stored_postings(self.table) if settings.hybrid and stored else None
+        vectors = stored_cells(self.table) if stored else None
+        return _search.search_passages(asked, self.read(), index, settings, mode, source, vectors=vectors).withColumn("score", F.round("score", SCORE_DIGITS))
 
     def _write(self, rows: DataFrame, replaced: DataFrame | None, dim: int | None) -> None:
         if dim is not None:
@@ -206,6 +223,7 @@ class PassageIndex:
         names = [f.split()[0] for f in PASSAGE_ROWS.split(", ") if f != "id long"]
         if replaced is None or draft.base is None:
             passages = draft.put("passages", numbered(rows.select(*names), 1))
+            put_cells(draft, passages)
             put_postings(draft, passages, "text")
         else:
             old = self.table.read("passages", draft.base)
@@ -213,6 +231,7 @@ class PassageIndex:
             gone = old.join(replaced, "source_file", "left_semi").select("id")
             kept = old.join(replaced, "source_file", "left_anti")
             passages = draft.put("passages", kept.unionByName(numbered(rows.select(*names), max(first, 1))))
+            put_cells(draft, passages)
             put_postings(draft, passages.where(F.col("id") >= first), "text", gone=gone)
         draft.commit()
 

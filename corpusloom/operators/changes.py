@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import is_note_path
+
 
 def expand_changes(feed: DataFrame) -> DataFrame:
     """(path, op, seq) from (status, path, new_path, seq): added, copied and
@@ -23,6 +27,20 @@ def expand_changes(feed: DataFrame) -> DataFrame:
     return feed.select("seq", F.explode(ops).alias("o")).select("o.path", "o.op", "seq", "o.step")
 
 
+def in_scope(feed: DataFrame, scope: Callable[[Column], Column] | None = None) -> DataFrame:
+    """:func:`expand_changes` for the paths in scope, by default those of
+    notes: a file that moves out of it is deleted, one that moves in is new."""
+    return expand_changes(feed).where((scope or is_note_path)(F.col("path")))
+
+
+def staged_notes(feed: DataFrame, scope: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(path): the notes that the added, copied and modified files of a feed
+    (status, path, new_path) are; what is renamed or deleted is not staged."""
+    s = F.upper(F.substring("status", 1, 1))
+    path = F.when(s == "C", F.coalesce("new_path", "path")).otherwise(F.col("path"))
+    return feed.where(s.isin("A", "C", "M")).select(path.alias("path")).where((scope or is_note_path)(F.col("path"))).distinct()
+
+
 def net_changes(feed: DataFrame, path: str = "path") -> DataFrame:
     """(path, op): the last change of each path."""
     return expand_changes(feed).groupBy(path).agg(F.max_by("op", F.struct("seq", "step")).alias("op"))

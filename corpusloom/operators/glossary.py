@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
-import re
-from collections.abc import Iterator
-from functools import lru_cache
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
-from ..functions.text import normalise_key, strip_lead_in
+from ..functions.text import normalise_key, split_frontmatter_strict, strip_lead_in
+from . import spelling
 from .tags import capped
+from .terms import Vocabulary, link, unlinked
 
 SUGGESTIONS, CUTOFF, FUZZY = 3, 0.6, 5
 
@@ -56,24 +51,15 @@ def suggest(asked: DataFrame, keys: DataFrame, term: str = "term", n: int = SUGG
     """(term, rank, display): the closest terms to one that is no key: those
     that begin alike, then those inside each other, then similar spellings.
 
-    Each question meets every key, in Arrow batches; the vocabulary is what is
-    asked about, so it is the side that is sent to the questions' tasks.
+    Questions and keys meet only where one may be inside the other or their
+    letters allow for the similarity; see :mod:`.spelling`.
     """
     q = asked.select(term).distinct().withColumn("asked", strip_lead_in(normalise_key(F.col(term)))).where("asked <> ''")
-    pairs = q.crossJoin(keys.select("key", "display", F.struct("slug", "key").alias("place")))
-    place = pairs.columns.index
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            asked_, key = batch.column(place("asked")).to_pylist(), batch.column(place("key")).to_pylist()
-            # The word that is asked for is the second sequence, as its index is reused.
-            close = [difflib.SequenceMatcher(None, k, a).ratio() for a, k in zip(asked_, key, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(close, pa.float64())], [*batch.schema.names, "close"])
-
-    scored = pairs.mapInArrow(run, StructType([*pairs.schema.fields, StructField("close", DoubleType())]))
+    near = spelling.similar(q.select("asked").distinct(), keys.select("key").distinct(), CUTOFF)
+    found = q.join(near, "asked").join(keys.select("key", "display", F.struct("slug", "key").alias("place")), "key")
     a, k = F.col("asked"), F.col("key")
     by_close = Window.partitionBy(term).orderBy(F.col("close").desc(), F.col("key").desc())
-    tiers = scored.withColumn("near", F.row_number().over(by_close)).withColumn(
+    tiers = found.withColumn("near", F.row_number().over(by_close)).withColumn(
         "tier",
         F.when(k.startswith(a) | a.startswith(k), 1).when(k.contains(a) | a.contains(k), 2).when((F.col("close") >= CUTOFF) & (F.col("near") <= FUZZY), 3),
     )
@@ -83,80 +69,33 @@ def suggest(asked: DataFrame, keys: DataFrame, term: str = "term", n: int = SUGG
     return best.withColumn("rank", rank).where(F.col("rank") <= n).select(term, "rank", "display")
 
 
-# A link and its target; a phrase stands as whole words, in any case.
-LINKED = re.compile(r"\[\[([^\]|]*)[^\]]*\]\]")
-PHRASE = r"(?<!\w){}(?!\w)"
-
-
-@lru_cache(maxsize=4096)
-def phrase(surface: str) -> re.Pattern:
-    return re.compile(PHRASE.format(re.escape(surface)), re.IGNORECASE)
+def surfaces(terms: DataFrame) -> DataFrame:
+    """(slug, surface) of glossary terms (slug, display): what a text calls them."""
+    return terms.select("slug", F.col("display").alias("surface")).where("slug is not null and surface <> ''")
 
 
 def link_terms_in(body: str, terms: list[tuple[str, str]]) -> tuple[str, list[str]]:
-    """The body with each term (slug, surface) linked once, in order, each seeing
-    the links before it; and the slugs that were linked.
-
-    Links are blanked in a copy of the body that keeps its length, in which the
-    phrases are sought; what is found is blanked too, and all links are put in
-    at the end.
-    """
-    targets, free, end = set(), [], 0
-    for m in LINKED.finditer(body):
-        targets.add(m[1].strip().lower())
-        free += [body[end : m.start()], "\0" * len(m[0])]
-        end = m.end()
-    open_ = "".join([*free, body[end:]])
-    found: dict[int, tuple[int, str]] = {}
-    for slug, surface in terms:
-        if targets.isdisjoint((slug.lower(), surface.lower())) and (m := phrase(surface).search(open_)):
-            found[m.start()] = (m.end(), slug)
-            targets.add(slug.lower())
-            open_ = open_[: m.start()] + "\0" * len(m[0]) + open_[m.end() :]
-    out, end = [], 0
-    for at in sorted(found):
-        stop, slug = found[at]
-        said = body[at:stop]
-        out += [body[end:at], f"[[{slug}]]" if said == slug else f"[[{slug}|{said}]]"]
-        end = stop
-    return "".join([*out, body[end:]]), [slug for _, slug in found.values()]
-
-
-def link_terms(notes: DataFrame, terms: list[tuple[str, str]], id_: str = "source_file", body: str = "body") -> DataFrame:
-    """(id, new_body, linked): each note's body with the glossary's ``terms``
-    linked; order matters within a note, notes are independent."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [link_terms_in(b or "", terms) for b in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.list_(pa.string()))], [id_, "new_body", "linked"])
+    """One body with each term (slug, surface) linked once, in order, and the slugs that were linked."""
+    return Vocabulary(terms).link(body)
 
-    rows = notes.select(id_, body)
-    return rows.mapInArrow(run, StructType([rows.schema.fields[0], StructField("new_body", StringType()), StructField("linked", ArrayType(StringType()))]))
 
-
-def meeting_words(text: Column) -> Column:
-    """The distinct words of a text and its distinct other marks, in one case:
-    letters that are one to a pattern in any case are one here too."""
-    folded = F.lower(F.upper(F.translate(text, "\u0130\u1e9e", "I\u00df")))
-    return F.array_distinct(F.regexp_extract_all(folded, F.lit(r"(?U)(\w+|[^\w\s])"), F.lit(1)))
+def link_terms(notes: DataFrame, terms: DataFrame | list[tuple[str, str]], id_: str = "source_file", body: str = "body") -> DataFrame:
+    """(id, new_body, linked): each note's body with the glossary's ``terms``
+    (slug, surface) linked; order matters within a note, notes are independent.
+    A table of terms is taken by a column ``ord`` if it has one, then by slug."""
+    return link(notes, terms, id_, body)
 
 
-def unlinked_report(notes: DataFrame, terms: DataFrame, id_: str = "source_file", body: str = "body") -> DataFrame:
+def unlinked_report(notes: DataFrame, terms: DataFrame | list[tuple[str, str]], id_: str = "source_file", body: str = "body") -> DataFrame:
     """(id, slug): terms (slug, surface) that a note mentions and does not link,
-    each term on its own.  Links are taken out before the phrase is sought.
-
-    A phrase stands as whole words, so a note that mentions it has its first
-    word: notes and terms meet on that, and only those that meet are compared.
-    A note without id has no rows.
+    each term on its own.  What a link says is no mention.  A note without id has no rows.
     """
-    b, s = F.col(body), F.col("surface")
-    targets = F.regexp_extract_all(F.lower(b), F.lit(r"\[\[\s*([^\]|]+?)\s*(?:\|[^\]]*)?\]\]"), F.lit(1))
-    bare = F.regexp_replace(b, r"\[\[[^\]]*\]\]", "[[]]")
-    quoted = F.concat(F.lit(r"(?iU)(?<!\w)\Q"), s, F.lit(r"\E(?!\w)"))
-    words = notes.select(id_, F.explode(meeting_words(bare)).alias("word"))
-    first = terms.select("slug", "surface", F.try_element_at(meeting_words(s), F.lit(1)).alias("word"))
-    met = words.join(first, "word").groupBy(id_).agg(F.collect_set(F.struct("slug", "surface")).alias("met"))
-    rows = notes.select(id_, targets.alias("targets"), bare.alias("bare")).join(met, id_).withColumn("m", F.explode("met")).select(id_, "targets", "bare", "m.*")
-    open_ = ~F.array_contains("targets", F.lower("slug")) & ~F.array_contains("targets", F.lower("surface"))
-    return rows.where(open_ & F.regexp_like(F.col("bare"), quoted)).select(id_, "slug")
+    return unlinked(notes.where(F.col(id_).isNotNull()), terms, id_, body).select(id_, "slug")
+
+
+def link_notes_to_terms(notes: DataFrame, terms: DataFrame, id_: str = "source_file", text: str = "text") -> DataFrame:
+    """(id, new_text, linked) of the notes that get links to glossary terms
+    (slug, display): a note's head stays as it is, only its body is linked."""
+    split = notes.select(id_, text, split_frontmatter_strict(F.col(text)).alias("parts"))
+    made = link(split.select(F.struct(id_, F.coalesce("parts.head", F.lit("")).alias("head")).alias("key"), F.col("parts.body").alias("body")), surfaces(terms), "key", "body")
+    return made.where(F.size("linked") > 0).select(F.col("key")[id_].alias(id_), F.concat("key.head", "new_body").alias("new_text"), "linked")

@@ -6,14 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import related_lines, remove_block, splice_block
+from .cells import VectorIndex
 from .vectors import nearest
 
 BEGIN, END = "# >>> related (managed) >>>", "# <<< related (managed) <<<"
 
 
-def neighbors(vectors: DataFrame, k: int = 5) -> DataFrame:
-    """(src, rank, dst, distance): the ``k`` nearest others of every vector."""
-    found = nearest(vectors.withColumnRenamed("id", "query_id"), vectors, k, exclude_self=True)
+def neighbors(vectors: DataFrame, k: int = 5, index: VectorIndex | None = None, probes: int | None = None) -> DataFrame:
+    """(src, rank, dst, distance): the ``k`` nearest others of every vector.
+    With a stored ``index`` of the vectors a vector meets only the cells that
+    may hold one of them or, with ``probes``, so many of the nearest cells."""
+    asked = vectors.withColumnRenamed("id", "query_id")
+    found = index.nearest(asked, k, exclude_self=True, probes=probes) if index else nearest(asked, vectors, k, exclude_self=True)
     return found.select(F.col("query_id").alias("src"), "rank", F.col("id").alias("dst"), "distance")
 
 

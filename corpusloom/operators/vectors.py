@@ -1,4 +1,4 @@
-"""Exact and approximate nearest vectors by cosine distance."""
+"""Exact and approximate nearest vectors by cosine distance; for a stored index see :mod:`.cells`."""
 
 from __future__ import annotations
 
@@ -64,14 +64,34 @@ def nearest(queries: DataFrame, base: DataFrame, k: int | None, query_id: str =
     Blocks of queries meet blocks of vectors, each pair keeps its own k best,
     and the best of those are ranked; no pair of vectors leaves its task.
     """
-    # An exchange of the blocks: a side's vectors are made once, not once for each partition of the other.
-    q = in_blocks(queries, query_id, vector, ("qb", "qids", "qm")).repartition("qb")
-    b = in_blocks(base, base_id, vector, ("bb", "bids", "bm")).repartition("bb")
-    pairs = q.crossJoin(b).select("qids", "qm", "bids", "bm")
+    q = in_blocks(queries, query_id, vector, ("qb", "qids", "qm"))
+    b = in_blocks(base, base_id, vector, ("bb", "bids", "bm"))
+    found = each_with_each(q, b, "qb", "bb").select("qids", "qm", "bids", "bm").mapInArrow(meeting(k, exclude_self), FOUND)
+    return best(found, k)
+
+
+def each_with_each(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
+    """Every row of ``left`` beside every row of ``right``, both blocks of
+    bounded size.  The right side is dealt to as many groups as a shuffle has
+    partitions and stays there; the left side visits each group.  Neither side
+    is broadcast, whatever its size is taken for, and a block is made once."""
+    groups = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    visiting = left.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    staying = right.withColumn("_group", F.pmod(F.xxhash64(right_id), F.lit(groups)).cast("int"))
+    return visiting.repartition("_group").join(staying.repartition("_group").hint("shuffle_hash"), "_group").drop("_group")
+
+
+FOUND = "query_id long, id long, distance double"
+
+
+def meeting(k: int | None, exclude_self: bool = False):
+    """For mapInArrow, over rows (qids, qm, bids, bm) of a block of queries and
+    a block of vectors: the ``k`` nearest in the block for each query, or all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                (row,) = batch.slice(at, 1).to_pylist()
                 qi, bi = np.array(row["qids"], dtype=np.int64), np.array(row["bids"], dtype=np.int64)
                 x = np.frombuffer(row["qm"]).reshape(len(qi), -1)
                 y = np.frombuffer(row["bm"]).reshape(len(bi), -1)
@@ -80,11 +100,14 @@ def nearest(queries: DataFrame, base: DataFrame, k: int | None, query_id: str =
                     d[qi[:, None] == bi[None, :]] = np.inf
                 by_id = np.argsort(bi, kind="stable")
                 order = by_id[np.argsort(d[:, by_id], axis=1, kind="stable")[:, :k]]
-                best = np.take_along_axis(d, order, axis=1)
-                keep = np.isfinite(best)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, order.shape[1])[keep.ravel()]), pa.array(bi[order][keep]), pa.array(best[keep] + 0.0)], ["query_id", "id", "distance"])
+                near = np.take_along_axis(d, order, axis=1)
+                keep = np.isfinite(near)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, order.shape[1])[keep.ravel()]), pa.array(bi[order][keep]), pa.array(near[keep] + 0.0)], ["query_id", "id", "distance"])
+
+    return run
+
 
-    found = pairs.mapInArrow(run, "query_id long, id long, distance double")
+def best(found: DataFrame, k: int | None) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     found = found.withColumn("rank", rank)
     return (found if k is None else found.where(F.col("rank") <= k)).select("query_id", "rank", "id", "distance")
@@ -101,9 +124,9 @@ def ranks_among(queries: DataFrame, some: DataFrame, others: DataFrame, query_id
     own = nearest(queries, some, None, query_id, base_id, vector)
     q = in_blocks(queries, query_id, vector, ("qb", "qids", "qm"))
     s = in_blocks(some, base_id, vector, ("sb", "sids", "sm"))
-    asked = q.crossJoin(s).repartition("qb", "sb")
-    b = in_blocks(others, base_id, vector, ("bb", "bids", "bm")).repartition("bb")
-    met = asked.crossJoin(b).select("qids", "qm", "sids", "sm", "bids", "bm")
+    asked = each_with_each(q, s, "qb", "sb").withColumn("ab", F.struct("qb", "sb"))
+    b = in_blocks(others, base_id, vector, ("bb", "bids", "bm"))
+    met = each_with_each(asked, b, "ab", "bb").select("qids", "qm", "sids", "sm", "bids", "bm")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -11,11 +11,11 @@ LINKS = """links AS (
   SELECT a.* FROM edges a JOIN edges b ON a.src = b.dst AND a.dst = b.src WHERE a.distance < {t} AND b.distance < {t})"""
 
 
-def hash_vectors(name: str, source: str) -> str:
-    """A CTE (id, v): the deterministic embedding of ``source`` (id, text)."""
+def hash_vectors(name: str, source: str, digests: int = 96) -> str:
+    """A CTE (id, v): the deterministic embedding of ``source`` (id, text), 8 values from each digest."""
     return f"""{name}_raw AS (
   SELECT id, list(('0x' || substr(d, i * 8 + 1, 8))::UBIGINT::DOUBLE / 4294967296.0 * 2.0 - 1.0 ORDER BY c, i) AS v FROM (
-    SELECT id, c, sha256(encode(text) || unhex(printf('%08x', c))) AS d FROM {source}, range(96) r(c)), range(8) s(i) GROUP BY id),
+    SELECT id, c, sha256(encode(text) || unhex(printf('%08x', c))) AS d FROM {source}, range({digests}) r(c)), range(8) s(i) GROUP BY id),
 {name} AS (SELECT id, list_transform(v, lambda x: round(x / n, 6)) AS v FROM (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM {name}_raw))"""
 
 
@@ -145,6 +145,7 @@ ORACLES: dict[str, str] = {
 SELECT src, label, votes FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY votes DESC, label) AS r FROM votes) WHERE r = 1""",
     "knn_graph_neighbors": f"WITH {EDGES} SELECT src, rank, dst, distance FROM edges",
     "knn_graph_mutual_links": f"WITH {EDGES}, {LINKS.format(t=0.9)} SELECT src, rank, dst, distance FROM links",
+    "knn_probed_recall": f"WITH {EDGES} SELECT count(DISTINCT src) AS n_vectors, count(*) AS n_true, true AS recall_reached FROM edges",
     "knn_distance_summary": f"WITH {EDGES} SELECT count(*) AS n, min(distance) AS min_distance, round(quantile_cont(distance, 0.5), 6) AS median_distance, max(distance) AS max_distance FROM edges",
     "knn_calibration": f"WITH {EDGES} SELECT src, 'note-' || src AS src_name, rank, 'note-' || dst AS dst_name, distance, distance < 0.9 AS links FROM edges",
     "rrf_vector_only": f"WITH {PAIRS} SELECT src AS query_id, rank, dst AS id, round(1.0::DOUBLE / (60 + rank), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS rank FROM pairs) WHERE rank <= 5",
@@ -214,7 +215,7 @@ UNION ALL SELECT 'singleton', tag, tag || '  (' || min(source_file) || ')' FROM
 UNION ALL SELECT 'near_miss', x.tag, x.tag || '  ~  ' || y.tag FROM v x JOIN v y ON x.tag < y.tag WHERE {near('x.tag', 'y.tag')}
 UNION ALL SELECT 'format_lint', tag, tag || '  — underscore' FROM n WHERE contains(tag, '_')
 UNION ALL SELECT 'overlap', a, a || ' + ' || b || '  (Jaccard ' || round_even(100 * (k / (x.n + y.n - k)), 0)::INT || '%)' FROM both_ JOIN n x ON x.tag = a JOIN n y ON y.tag = b WHERE k / (x.n + y.n - k) >= 0.6 AND x.n + y.n - k >= 2""",
-    "glossary_listing": f"""WITH {TERMS}, f AS (SELECT slug, display, array_to_string(aliases, '|') AS aliases FROM terms WHERE contains(lower(display), 'an') OR len(list_filter(aliases, lambda a: contains(lower(a), 'an'))) > 0)
+    "glossary_listing": f"""WITH {TERMS}, f AS (SELECT slug, display, array_to_string(aliases, '|') AS aliases FROM terms WHERE contains(lower(display), 'on 1') OR len(list_filter(aliases, lambda a: contains(lower(a), 'on 1'))) > 0)
 SELECT *, (SELECT count(*) FROM f) AS total, (SELECT count(*) FROM f) > 10 AS truncated FROM f ORDER BY slug LIMIT 10""",
     "glossary_keys": f"WITH {TERMS} SELECT key, slug, display FROM keys",
     "glossary_collisions": f"WITH {TERMS} SELECT key, string_agg(DISTINCT slug, '|' ORDER BY slug) AS slugs FROM wanted GROUP BY key HAVING count(DISTINCT slug) > 1",
@@ -239,3 +240,25 @@ SELECT action, source_file FROM acts WHERE action <> 'embed' OR source_file NOT
 UNION ALL SELECT path, length(path) FROM net WHERE op = 'upsert'""",
     "stream_apply_equals_batch": f"WITH {FEED} SELECT path, length(path) AS size FROM net WHERE op = 'upsert'",
 }
+# The same rows by another way.
+ORACLES["knn_indexed"] = ORACLES["knn_exact"]
+ORACLES["knn_graph_indexed"] = ORACLES["knn_graph_mutual_links"]
+ORACLES["bm25_unindexed"] = ORACLES["bm25_topk"]
+
+VAULT = """place AS (SELECT event_id AS seq, event_type AS e, user_id, user_id + 1000 AS new_id, ['projects', 'areas', 'resources', 'archive', 'glossary'] AS roots FROM events),
+feed AS (SELECT seq, e, user_id % 5 < 4 AS own_in, new_id % 5 < 4 AS new_in, 'vault/' || roots[user_id % 5 + 1] || '/n' || user_id || '.md' AS path, 'vault/' || roots[new_id % 5 + 1] || '/n' || new_id || '.md' AS new_path FROM place),
+ops AS (
+  SELECT path, 'upsert' AS op, seq, 1 AS step FROM feed WHERE e IN ('signup', 'view') AND own_in UNION ALL SELECT new_path, 'upsert', seq, 1 FROM feed WHERE e IN ('click', 'purchase') AND new_in
+  UNION ALL SELECT path, 'delete', seq, 0 FROM feed WHERE e IN ('error', 'purchase') AND own_in),
+net AS (SELECT path, op FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC, step DESC) AS r FROM ops) WHERE r = 1)"""
+ORACLES["staged_notes"] = f"WITH {VAULT} SELECT DISTINCT CASE WHEN e = 'click' THEN new_path ELSE path END AS path FROM feed WHERE (e IN ('signup', 'view') AND own_in) OR (e = 'click' AND new_in)"
+ORACLES["stream_scoped_state"] = f"WITH {VAULT} SELECT path, length(path) AS size FROM net WHERE op = 'upsert'"
+ORACLES["note_sidecar_files"] = f"""WITH notes AS (SELECT doc_id AS id, source, trim(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) || chr(10) AS text FROM documents), {hash_vectors("nv", "notes", 1)}
+SELECT 'areas/' || source || '/.n' || id || '.embed.json' AS sidecar, 'note' AS doc_kind, 'areas/' || source || '/n' || id || '.md' AS source_file, 'test' AS type, 'sha256:' || sha256(text) AS content_hash,
+  array_to_string(list_transform(v, lambda x: round(x * 1000000)::BIGINT), ',') AS millionths, true AS unstamped FROM notes JOIN nv USING (id)"""
+ORACLES["chunk_sidecar_files"] = ORACLES["chunk_page_asof"].replace(
+    "SELECT c.src AS conv_id, chunk_id, page, char_start, char_end FROM chunks",
+    "SELECT 'inbox/.c' || c.src || '.pdf.embed.json' AS sidecar, 'chunked' AS doc_kind, 'inbox/c' || c.src || '.pdf' AS source_file, 20 AS chunk_tokens, chunk_id, page, char_start, char_end, 'sha256:' || sha256(text) AS text_hash, 8 AS dim FROM chunks",
+)
+# Before a text go eight lines, or with an empty text those alone.
+ORACLES["link_pass_patches"] = "SELECT doc_id, 7 AS n_added, 0 AS n_removed, 1 AS n_hunks, true AS applies FROM documents"

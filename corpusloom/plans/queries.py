@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,10 +10,15 @@ from pyspark.sql import functions as F
 from .. import api
 from ..functions import text as T
 from ..functions.embedding import HashEmbedder, let
-from ..operators import audit, changes, chunking, glossary, graph, lexical, search, tags, vectors
+from ..operators import audit, blocks, cells, changes, chunking, glossary, graph, lexical, patches, search, tags, vectors
 from ..settings import Settings
-from ..sources.index import VersionedTable
+from ..sources.index import Draft, VersionedTable
+from ..sources import sidecars
+from ..sources.notes import read_sidecars
+from ..sources.shared import work_folder
 from ..streaming.apply import read_feed, stream_changes
+from ..streaming.staged import follow, with_state_store
+from .stored import cells_of, stored, words_of
 
 #: The test vectors lie far apart: within the default distance none has a link.
 MAX_DISTANCE = 0.9
@@ -98,6 +101,37 @@ def knn_graph_mutual_links(spark, sf_dir):
     return graph.select_links(graph.neighbors(embedding_vectors(spark, sf_dir), 5), MAX_DISTANCE)
 
 
+def vector_index(spark: SparkSession, sf_dir: str) -> cells.VectorIndex:
+    v = embedding_vectors(spark, sf_dir).select("id", "vector")
+    return cells_of(stored(spark, sf_dir, "embeddings", "vectors", lambda draft: cells.build(v, draft.put)))
+
+
+@query
+def knn_indexed(spark, sf_dir):
+    """As knn_exact, from the stored index: cells that can't matter are left out."""
+    v = embedding_vectors(spark, sf_dir)
+    return vector_index(spark, sf_dir).nearest(v.withColumnRenamed("id", "query_id"), 5)
+
+
+@query
+def knn_graph_indexed(spark, sf_dir):
+    """As knn_graph_mutual_links, from the stored index."""
+    edges = graph.neighbors(embedding_vectors(spark, sf_dir), 5, vector_index(spark, sf_dir))
+    return graph.select_links(edges, MAX_DISTANCE)
+
+
+@query
+def knn_probed_recall(spark, sf_dir):
+    """Whether the neighbours found in as many cells as the index is tuned to
+    are at least nine tenths of the true ones, and how many vectors were asked about."""
+    v, index = embedding_vectors(spark, sf_dir), vector_index(spark, sf_dir)
+    probes = index.probes_for(v, 5)
+    pair = lambda rows: rows.select("src", "dst")
+    true, found = pair(graph.neighbors(v, 5)), pair(graph.neighbors(v, 5, index, probes))
+    hits = true.join(found.withColumn("hit", F.lit(1)), ["src", "dst"], "left")
+    return hits.agg(F.count_distinct("src").alias("n_vectors"), F.count("*").alias("n_true"), (F.count("hit") >= 0.9 * F.count("*")).alias("recall_reached"))
+
+
 @query
 def knn_distance_summary(spark, sf_dir):
     return graph.distance_summary(graph.neighbors(embedding_vectors(spark, sf_dir), 5))
@@ -147,15 +181,28 @@ def query_terms(spark, sf_dir):
     return b.select("item_id", F.size(T.query_terms(F.col("text"))).cast("long").alias("n_terms"), T.match_expression(F.col("text")).alias("expression"))
 
 
+def stored_words(spark: SparkSession, sf_dir: str) -> blocks.BlockIndex:
+    """The stored word index of the documents, whose texts are read once."""
+    docs = table(spark, sf_dir, "documents")
+    return words_of(stored(spark, sf_dir, "documents", "words", lambda draft: blocks.build(blocks.listed(docs, "doc_id", "text", "lang"), draft.put)))
+
+
 @query
 def bm25_topk(spark, sf_dir):
+    found = blocks.top(benchmark_queries(spark, sf_dir, False), stored_words(spark, sf_dir), 20)
+    return found.select("query_id", "rank", F.col("id").alias("doc_id"), "score")
+
+
+@query
+def bm25_unindexed(spark, sf_dir):
+    """As bm25_topk, with postings made on the way."""
     scores = lexical.bm25(benchmark_queries(spark, sf_dir, False), document_index(spark, sf_dir))
     return lexical.ranked(scores, 20).select("query_id", "rank", F.col("id").alias("doc_id"), "score")
 
 
 @query
 def bm25_within_source(spark, sf_dir):
-    scores = lexical.bm25(benchmark_queries(spark, sf_dir, False), document_index(spark, sf_dir))
+    scores = blocks.top(benchmark_queries(spark, sf_dir, False), stored_words(spark, sf_dir), None).drop("rank")
     placed = scores.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source"), "id")
     rank = F.row_number().over(Window.partitionBy("query_id", "source").orderBy(F.col("score").desc(), "id"))
     return placed.withColumn("rank", rank).where("rank <= 3").select("query_id", "source", "rank", F.col("id").alias("doc_id"), "score")
@@ -168,14 +215,26 @@ def bm25_within_source(spark, sf_dir):
 def rrf_hybrid_search(spark, sf_dir):
     # Embedding a text costs far more than moving it: the rows are spread out first.
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").repartition("id")
-    embedded = HashEmbedder().embed(docs, "text", "vector").select("id", "vector")
-    return search.search(benchmark_queries(spark, sf_dir), embedded, document_index(spark, sf_dir))
+    embedded = lambda draft: draft.put("vectors", HashEmbedder().embed(docs, "text", "vector").select("id", "vector"))
+    near = stored(spark, sf_dir, "documents", "document-vectors", lambda draft: cells.build(embedded(draft), draft.put))
+    return search.search(benchmark_queries(spark, sf_dir), cells_of(near), stored_words(spark, sf_dir))
+
+
+def stored_passages(spark: SparkSession, sf_dir: str) -> VersionedTable:
+    """Passages of the documents with their vectors and words, cut and embedded once."""
+
+    def fill(draft: Draft) -> None:
+        made = HashEmbedder().embed(document_chunks(spark, sf_dir).repartition("id"), "text", "vector")
+        chunks = draft.put("passages", made)
+        cells.build(chunks.select("id", "vector"), draft.put)
+        blocks.build(blocks.listed(chunks, "id", "text"), draft.put)
+
+    return stored(spark, sf_dir, "documents", "passages", fill)
 
 
 def passages(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
-    chunks = HashEmbedder().embed(document_chunks(spark, sf_dir).repartition("id"), "text", "vector")
-    index = lexical.build_index(chunks, "id", "text")
-    return search.search_passages(benchmark_queries(spark, sf_dir), chunks, index, **how).drop("page")
+    kept = stored_passages(spark, sf_dir)
+    return search.search_passages(benchmark_queries(spark, sf_dir), kept.read("passages"), words_of(kept), vectors=cells_of(kept), **how).drop("page")
 
 
 @query
@@ -392,8 +451,8 @@ def tag_hygiene_lines(spark, sf_dir):
 
 @query
 def glossary_listing(spark, sf_dir):
-    """The first ten nations and regions with "an" in the term or an alias."""
-    return glossary.listing(nation_terms(spark, sf_dir), "AN", 10).withColumn("aliases", F.array_join("aliases", "|"))
+    """The first ten nations and regions with "on 1" in the term or an alias."""
+    return glossary.listing(nation_terms(spark, sf_dir), "ON 1", 10).withColumn("aliases", F.array_join("aliases", "|"))
 
 
 @query
@@ -537,8 +596,7 @@ def incremental_apply(spark, sf_dir):
 @query
 def stream_apply_equals_batch(spark, sf_dir):
     """The same feed as a stream of small batches, each making a version."""
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='corpusloom-')}").rstrip("/")  # the latter in tests only
-    work = f"{shared}/corpusloom/stream-{uuid.uuid4().hex}"
+    work = work_folder(spark, "stream")
     feed = event_feed(spark, sf_dir)
     feed = feed.crossJoin(feed.agg((F.max("seq") + 1).alias("end"))).withColumn("part", F.floor(F.col("seq") * 3 / F.col("end")))
     for part in range(3):  # three commits to the feed, one after another
@@ -547,3 +605,78 @@ def stream_apply_equals_batch(spark, sf_dir):
     stream_changes(read_feed(spark, f"{work}/feed", 1), rows, present_rows, f"{work}/progress").awaitTermination()
     rows.vacuum()
     return rows.read()
+
+
+def vault_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event feed over paths of a vault, a fifth of them outside the notes' folders."""
+    feed = event_feed(spark, sf_dir)
+    place = lambda c: F.concat(F.lit("vault/"), F.element_at(F.array(*map(F.lit, [*T.ROOTS, "glossary"])), (F.regexp_extract(c, r"(\d+)", 1).cast("int") % 5 + 1)), F.lit("/"), c, F.lit(".md"))
+    return feed.select("status", place(F.col("path")).alias("path"), place(F.col("new_path")).alias("new_path"), "seq")
+
+
+@query
+def staged_notes(spark, sf_dir):
+    """The notes that a commit of all events stages."""
+    return changes.staged_notes(vault_feed(spark, sf_dir))
+
+
+@query
+def stream_scoped_state(spark, sf_dir):
+    """The rows of notes in scope after a feed that comes in four parts, out of
+    order, the first one twice: as if it had come at once."""
+    own = with_state_store(spark)
+    work = work_folder(own, "stream")
+    feed = vault_feed(own, sf_dir)
+    for part in (2, 0, 3, 1, 2):
+        feed.where(F.col("seq") % 4 == part).coalesce(1).write.mode("append").parquet(f"{work}/feed")
+    rows = VersionedTable(own, f"{work}/table")
+    follow(read_feed(own, f"{work}/feed", 1), rows, present_rows, f"{work}/progress").awaitTermination()
+    rows.vacuum()
+    return spark.read.parquet(rows.folder(rows.version))
+
+
+# Files
+
+
+@query
+def note_sidecar_files(spark, sf_dir):
+    """Every document's sidecar written as a file and read again."""
+    path = F.concat(F.lit("areas/"), F.col("source"), F.lit("/n"), F.col("doc_id").cast("string"), F.lit(".md"))
+    notes = table(spark, sf_dir, "documents").select(path.alias("source_file"), "text")
+    work = work_folder(spark, "sidecars")
+    sidecars.write_files(sidecars.note_sidecars(api.embed_notes(notes, embedder=HashEmbedder(8))), work)
+    found = read_sidecars(spark, work)
+    return found.select("sidecar", "doc_kind", "source_file", "type", "content_hash", F.array_join(F.transform("vector", lambda x: F.round(x * 1_000_000).cast("long")), ",").alias("millionths"), F.col("embedded_at").isNull().alias("unstamped"))
+
+
+@query
+def chunk_sidecar_files(spark, sf_dir):
+    """Every conversation's passages written as a sidecar, read again, a row each."""
+    path = F.concat(F.lit("inbox/c"), F.col("conv_id").cast("string"), F.lit(".pdf"))
+    pages = conversation_pages(spark, sf_dir).select(path.alias("source_file"), "page", "text")
+    rows = api.ingest_paged_source(pages, settings=Settings(chunk_tokens=20, chunk_overlap=0.15), embedder=HashEmbedder(8))
+    work = work_folder(spark, "sidecars")
+    sidecars.write_files(sidecars.chunk_sidecars(rows), work)
+    found = read_sidecars(spark, work).select("sidecar", "doc_kind", "source_file", "chunking.chunk_tokens", F.explode("chunks").alias("c"))
+    return found.select("sidecar", "doc_kind", "source_file", "chunk_tokens", "c.chunk_id", "c.page", "c.char_start", "c.char_end", T.raw_hash(F.col("c.text")).alias("text_hash"), F.size("c.vector").alias("dim"))
+
+
+# Write passes
+
+
+@query
+def link_pass_patches(spark, sf_dir):
+    """What a pass that links each document to its source would change, as
+    patches: lines added and removed, hunks, and whether the patch gives the new text."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", graph.apply_links(F.col("text"), F.array("source", "lang")).alias("new"))
+    made = d.withColumn("patch", patches.diff(F.col("text"), F.col("new"), F.concat(F.lit("n"), F.col("doc_id").cast("string"), F.lit(".md"))))
+    count = lambda mark: patches.count(F.col("patch"), mark)
+    return made.select("doc_id", count("+").alias("n_added"), count("-").alias("n_removed"), count("@@").alias("n_hunks"), (patches.apply(F.col("text"), F.col("patch")) == F.col("new")).alias("applies"))
+
+
+@query
+def glossary_pass_patches(spark, sf_dir):
+    """The patches of a pass that links each document's first mention of every term."""
+    d = linkable(spark, sf_dir)
+    made = d.join(glossary.link_terms(d, TERMS, "doc_id"), "doc_id").where("new_body <> body")
+    return made.select("doc_id", F.sha2(patches.diff(F.col("body"), F.col("new_body"), F.col("doc_id")), 256).alias("patch_sha256"), F.size("linked").alias("n_linked"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ROOTS, display_title, parse_aliases, parse_tags, stem
+from .sidecar_files import NAME as SIDECARS
+from .sidecar_files import register
 
 #: Sidecars of notes and of chunked sources; which one a file is, ``chunks`` tells.
 SIDECAR = "source_file string, type string, content_hash string, vector array<double>, embedded_at string, chunking struct<chunk_tokens:int,chunk_overlap:double>, chunks array<struct<chunk_id:int,page:int,char_start:int,char_end:int,text:string,vector:array<double>>>, _corrupt_record string"
@@ -34,25 +36,9 @@ def read_notes(spark: SparkSession, base: str, roots: tuple[str, ...] = ROOTS) -
 
 def read_sidecars(spark: SparkSession, base: str) -> DataFrame:
     """Sidecars as rows with doc_kind (note, chunked or unreadable); a file that
-    is no JSON is kept as unreadable.
-
-    Their names begin with a dot, which Spark's readers skip: the names are
-    listed here, the files are read by the tasks.
-    """
-    from pyarrow.fs import FileSelector, FileSystem
-
-    system, root = FileSystem.from_uri(base if "://" in base else f"file://{os.path.abspath(base)}")
-    found = system.get_file_info(FileSelector(root, recursive=True, allow_not_found=True))
-    names = [(f.path[len(root) :].lstrip("/"),) for f in found if f.base_name.startswith(".") and f.base_name.endswith(".embed.json")]
-
-    def read(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            texts = [system.open_input_stream(f"{root}/{n}").read().decode("utf-8", "replace") for n in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["sidecar", "json"])
-
-    files = spark.createDataFrame(names, "sidecar string").mapInArrow(read, "sidecar string, json string")
+    is no JSON is kept as unreadable.  Tasks list and read the files, a folder each."""
+    register(spark)
+    files = spark.read.format(SIDECARS).load(base)
     parsed = files.withColumn("r", F.from_json("json", SIDECAR, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})).select("sidecar", "r.*")
     kind = F.when(F.col("_corrupt_record").isNotNull(), "unreadable").when(F.col("chunks").isNotNull(), "chunked").otherwise("note")
     return parsed.withColumn("doc_kind", kind)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import sidecar_path
+from .sidecar_files import NAME, register
 
 CHUNK_FIELDS = ("chunk_id", "page", "char_start", "char_end", "text", "vector")
 #: Fixed value: how a time is written.
@@ -19,6 +20,7 @@ STAMP = "%Y-%m-%dT%H:%M:%SZ"
 
 
 def rendered(payload: dict, embedded_at) -> str:
+    """A sidecar's text; the fields' names and order and the indent are fixed values."""
     if embedded_at is not None:
         payload["embedded_at"] = embedded_at.astimezone(timezone.utc).strftime(STAMP)
     return json.dumps(payload, indent=2) + "\n"
@@ -60,27 +62,10 @@ def chunk_sidecars(rows: DataFrame) -> DataFrame:
 
 
 def write_files(files: DataFrame, root: str) -> DataFrame:
-    """Write (path, content) below a folder that all nodes see; gives (path,
-    n_bytes) once run.  A file is written beside its place and then moved
-    there, so a repeated task leaves whole files."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import posixpath
-        import uuid
-
-        from pyarrow import fs
-
-        system, base = fs.FileSystem.from_uri(root)
-        for batch in batches:
-            sizes = []
-            for row in batch.to_pylist():
-                place, data = posixpath.join(base, row["path"]), row["content"].encode()
-                system.create_dir(posixpath.dirname(place), recursive=True)
-                draft = f"{place}.{uuid.uuid4().hex}"
-                with system.open_output_stream(draft) as out:
-                    out.write(data)
-                system.move(draft, place)
-                sizes.append(len(data))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["path", "n_bytes"])
-
-    return files.select("path", "content").mapInArrow(run, "path string, n_bytes long")
+    """Write (path, content) below a folder that all nodes see, all files or
+    none: they get their places when every task has done its part.  Gives
+    (path, n_bytes) of what was written."""
+    rows = files.select("path", "content")
+    register(files.sparkSession)
+    rows.write.format(NAME).mode("append").save(root)
+    return rows.select("path", F.octet_length("content").cast("long").alias("n_bytes"))

@@ -99,11 +99,16 @@ def test_applied_index_equals_a_new_one(spark, tmp_path):
     now = spark.createDataFrame([NOTES[0], ("areas/b.md", "zephyr_again zephyr"), NOTES[2], ("areas/n.md", "new zephyr note")], "source_file string, text string")
     index.apply(feed, now, SMALL)
     again.build(now, api.embed_notes(now, embedder=SMALL), dim=32)
-    rows = lambda i, part, *c: sorted(map(tuple, i.table.read(part).join(i.table.read("keys"), "id").select("source_file", *c).collect()))
+    parts_of = lambda i: api.stored_postings(i.table).plain
+    rows = lambda i, part, *c: sorted(map(tuple, getattr(parts_of(i), part).join(i.table.read("keys"), "id").select("source_file", *c).collect()))
     key = lambda i: i.table.read("keys").withColumnRenamed("source_file", "s")
     for part, columns in (("postings", ("term", "tf")), ("lengths", ("dl",)), ("tokens", ("term", "pos"))):
         assert rows(index, part, *columns) == rows(again, part, *columns)
     assert key(index).select("id").distinct().count() == key(index).count()
+    # The stored blocks and cells hold what the terms and vectors do.
+    held = lambda i: i.table.read("postings").where("term is not null").groupBy("term").agg(F.sum(F.size("places"))).orderBy("term").collect()
+    assert held(index) == held(again)
+    assert api.stored_cells(index.table).cells.select(F.explode("ids").alias("id")).orderBy("id").collect() == index.vectors.read().select("id").orderBy("id").collect()
     ask = spark.createDataFrame([(1, "zephyr"), (2, "again")], "query_id long, text string")
     hits = lambda i: {(h.query_id, h.source_file, h.score) for h in i.search(ask, Settings(k=5), SMALL).collect()}
     assert {h[:2] for h in hits(index)} == {h[:2] for h in hits(again)}

@@ -5,9 +5,14 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.operators import changes
 from corpusloom.sources import notes as N
+from corpusloom.sources import sidecars
 from corpusloom.sources.index import VersionedTable
-from corpusloom.streaming.apply import apply_batch
+from corpusloom.sources.shared import shared_folder
+from corpusloom.sources.sidecar_files import SidecarReader
+from corpusloom.streaming.apply import apply_batch, read_feed
+from corpusloom.streaming.staged import follow, with_state_store
 
 
 @pytest.fixture
@@ -87,3 +92,72 @@ def test_pdf_reader_says_what_it_needs(spark):
     except ImportError:
         with pytest.raises(RuntimeError, match="pypdf"):
             N.read_pdf_pages(spark, "/nowhere")
+
+
+def test_sidecars_of_folders(spark, vault):
+    """A partition for each folder, whatever is below it; others' files are not read."""
+    (vault / "areas/deep/.d.embed.json").write_text(json.dumps({"source_file": "d", "vector": [1.0]}))
+    (vault / ".top.embed.json").write_text("{}")
+    (vault / "areas/x.embed.json").write_text("not hidden")
+    rows = N.read_sidecars(spark, str(vault))
+    assert sorted(r.sidecar for r in rows.collect()) == [".top.embed.json", "areas/.a.embed.json", "areas/.b.pdf.embed.json", "areas/.c.embed.json", "areas/deep/.d.embed.json"]
+    names = {p.path for p in SidecarReader(str(vault)).partitions()}
+    assert names == {"", "areas", "projects", "templates", "glossary"}
+    assert N.read_sidecars(spark, str(vault / "nothing")).count() == 0
+
+
+def everything(folder):
+    return sorted(str(p.relative_to(folder)) for p in folder.rglob("*") if p.is_file())
+
+
+def test_a_write_leaves_all_files_or_none(spark, tmp_path):
+    files = lambda bad: spark.range(40).repartition(4).selectExpr("concat('f', id % 3, '/.n', id, '.embed.json') AS path", f"if(id = {bad}, raise_error('stop'), concat('{{', id, '}}')) AS content")
+    (tmp_path / "old").mkdir()
+    with pytest.raises(Exception, match="stop"):
+        sidecars.write_files(files(39), str(tmp_path / "old")).collect()
+    assert everything(tmp_path / "old") == []
+    with pytest.raises(Exception, match="outside"):
+        sidecars.write_files(spark.createDataFrame([("a/.x.embed.json", "1"), ("../.y.embed.json", "2")], "path string, content string"), str(tmp_path / "old"))
+    assert everything(tmp_path) == []
+    made = sidecars.write_files(files(-1), str(tmp_path / "new")).collect()
+    assert len(made) == 40 and everything(tmp_path / "new") == sorted(r.path for r in made)
+    sidecars.write_files(spark.createDataFrame([("f0/.n0.embed.json", "again")], "path string, content string"), str(tmp_path / "new"))
+    assert (tmp_path / "new/f0/.n0.embed.json").read_text() == "again" and len(everything(tmp_path / "new")) == 40
+    with pytest.raises(Exception, match="append"):
+        files(-1).write.format("sidecars").mode("overwrite").save(str(tmp_path / "new"))
+
+
+def test_scoped_stream_takes_late_and_repeated_commits(spark, tmp_path):
+    own = with_state_store(spark)
+    at = lambda name, root="areas": f"vault/{root}/{name}.md"
+    batches = [
+        [("A", at("a"), None, 5), ("A", at("b"), None, 6), ("A", at("t", "templates"), None, 7), ("A", "vault/areas/x.txt", None, 8)],
+        [("D", at("a"), None, 3), ("A", at("b"), None, 6)],  # late, and again
+        [("R090", at("b"), at("c", "projects"), 9), ("R100", at("a"), "elsewhere/a.md", 10)],
+        [("M", at("b"), None, 2), ("C100", at("c", "projects"), at("d"), 11), ("A", None, None, 12)],
+    ]
+    frame = lambda rows: own.createDataFrame(rows, "status string, path string, new_path string, seq long")
+    table, seen = VersionedTable(own, f"file://{tmp_path}/t"), []
+    fetch = lambda keys: keys.withColumn("v", F.upper("path"))
+    for rows in batches:
+        frame(rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/feed")
+        follow(read_feed(own, f"{tmp_path}/feed", 1), table, fetch, f"{tmp_path}/progress").awaitTermination()
+        seen.append(sorted(r.path for r in table.read().collect()))
+    assert seen == [[at("a"), at("b")], [at("a"), at("b")], [at("c", "projects")], [at("d"), at("c", "projects")]]
+    whole = changes.in_scope(frame([r for rows in batches for r in rows])).groupBy("path").agg(F.max_by("op", F.struct("seq", "step")).alias("op"))
+    assert sorted(r.path for r in whole.where("op = 'upsert'").collect()) == seen[-1]
+    assert sorted(r.path for r in changes.staged_notes(frame(batches[0] + batches[3])).collect()) == [at("a"), at("b"), at("d")]
+    with pytest.raises(RuntimeError, match="stateStore"):
+        follow(read_feed(spark, f"{tmp_path}/feed"), table, fetch, f"{tmp_path}/other")
+
+
+def test_shared_folder_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_folder(Session)
