@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from .vectors import BLOCK, DIGITS, FOUND, best, meeting
 
-#: Cells of an index: the root of the number of vectors, within these; the centroids travel with every task.
-LEAST_CELLS, MOST_CELLS = 4, 4096
+#: Cells of an index: the root of the number of vectors, but not so many that a cell has
+#: fewer than these on average; the centroids, which travel with every task, have a bound.
+CELL, MOST_CELLS = 16, 4096
 #: Vectors that a centroid is taught by, on average; a sample by the ids' hashes. All vectors are indexed.
 TAUGHT_BY = 200
 ROUNDS = 5
@@ -44,6 +45,8 @@ class VectorIndex:
         or among the ``probes`` nearest cells."""
         known = Centroids.read(self.centroids)
         asked = queries.where(F.col(vector).isNotNull()).select(F.col(query_id).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("vector"))
+        if probes is None and len(known.cells) == 1:
+            probes = 1
         if probes is not None:
             return best(self._met(asked.withColumn("bound", F.lit(None).cast("double")), known.first(probes), k, exclude_self), k)
         # The k-th distance in the nearest cell bounds how far other cells matter.
@@ -171,6 +174,9 @@ def learn(vectors: DataFrame, cells: int, seed: int = 7) -> np.ndarray:
     from pyspark.ml.feature import Normalizer
     from pyspark.ml.functions import array_to_vector
 
+    if cells == 1:  # any point serves as the middle
+        points = np.array([r.vector for r in vectors.orderBy("id").limit(1).collect()])
+        return points / np.linalg.norm(points, axis=1)[:, None]
     n = vectors.count()
     share = min(1.0, TAUGHT_BY * cells / max(n, 1))
     some = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
@@ -188,7 +194,7 @@ def build(vectors: DataFrame, put: Put, points: np.ndarray | None = None, cells:
     rows = directed(vectors)
     n = rows.count()
     if points is None:
-        points = learn(rows, min(max(cells or int(n**0.5), LEAST_CELLS), MOST_CELLS, n)) if n else np.zeros((0, 0))
+        points = learn(rows, min(cells or max(1, min(int(n**0.5), n // CELL)), MOST_CELLS, n)) if n else np.zeros((0, 0))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
