@@ -135,14 +135,16 @@ class NoteIndex:
         old = lambda part: self.table.read(part, draft.base)
         known = old("keys")
         new = fresh.select("source_file").distinct().join(known, "source_file", "left_anti")
-        keys = draft.put("keys", known.unionByName(numbered(new, next_number(known))))
+        # Numbers of deleted notes go; their successors get larger ones.
+        left = known.join(net.where("op = 'delete'"), "source_file", "left_anti")
+        keys = draft.put("keys", left.unionByName(numbered(new, next_number(known))))
         gone = net.where("op = 'delete'").unionByName(net.join(fresh, "source_file", "left_semi")).select("source_file").distinct()
         kept = old("vectors").join(gone, "source_file", "left_anti")
         put_cells(draft, draft.put("vectors", kept.unionByName(fresh.join(keys, "source_file").select(*kept.columns))))
         rows = self._rows(touched).join(keys, "source_file")
         bodies = old("bodies").join(net, "source_file", "left_anti")
         draft.put("bodies", bodies.unionByName(rows.select(*bodies.columns)))
-        put_postings(draft, rows, "body", self._tags(), gone=keys.join(net, "source_file", "left_semi").select("id"))
+        put_postings(draft, rows, "body", self._tags(), gone=known.unionByName(keys).join(net, "source_file", "left_semi").select("id").distinct())
         draft.commit()
 
     def search(self, queries: DataFrame, settings: Settings = Settings(), embedder: Embedder = HashEmbedder()) -> DataFrame:
@@ -265,6 +267,48 @@ def check_term(asked: DataFrame, terms: DataFrame) -> DataFrame:
     return taken.join(near, "term", "left").select("term", "slug", "taken_by", F.coalesce(F.transform("n", lambda x: x["display"]), F.array().cast("array<string>")).alias("near"))
 
 
+def add_terms(asked: DataFrame, terms: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New glossary terms (term, definition, aliases) beside ``terms`` (slug,
+    display, aliases), and the notes (source_file, text) that mention them.
+
+    Gives (term, slug, refused, near, text): why a term is refused, if it is
+    (its name or an alias is empty, taken, or asked for twice), terms that it
+    may be meant to be, and its note's text; and (source_file, new_text,
+    linked): the notes with the first mention of each accepted term and of its
+    aliases linked.
+    """
+    keys = glossary.key_index(terms)
+    none = F.array().cast("array<string>")
+    q = asked.select("term", "definition", F.coalesce("aliases", none).alias("aliases"), T.normalise_key(F.col("term")).alias("slug"))
+    named = q.select("term", "slug", F.explode(F.concat(F.array("term"), "aliases")).alias("surface")).withColumn("key", T.normalise_key(F.col("surface"))).where("key <> ''")
+    taken = named.join(keys.select("key", F.col("slug").alias("by")), "key").groupBy("term").agg(F.min(F.struct("key", "by")).alias("t"))
+    twice = named.select("key", "term").distinct().groupBy("key").agg(F.min("term").alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = named.join(twice, "key").where("term <> first").groupBy("term").agg(F.min("key").alias("again"))
+    hints = glossary.suggest(named.select(F.col("surface").alias("term")).distinct(), keys)
+    near = named.join(hints.withColumnRenamed("term", "surface"), "surface").groupBy("term").agg(F.array_sort(F.collect_set("display")).alias("near"))
+    refused = F.when(F.col("slug") == "", "it has no usable characters").when(F.col("t").isNotNull(), F.concat("t.key", F.lit(" is taken by "), "t.by")).when(F.col("again").isNotNull(), F.concat("again", F.lit(" is asked for twice")))
+    text = T.term_note(F.col("term"), F.col("definition"), F.col("aliases"))
+    made = q.join(taken, "term", "left").join(later, "term", "left").join(near, "term", "left").select("term", "slug", "aliases", refused.alias("refused"), F.coalesce("near", none).alias("near"), text.alias("text"))
+    # A term goes before its aliases, which link to it as well.
+    surfaces = made.where("refused is null").select("slug", F.posexplode(F.concat(F.array("term"), "aliases")).alias("place", "surface"))
+    listed = surfaces.select("slug", "surface", F.struct("slug", "place").alias("ord"))
+    return made.drop("aliases"), glossary.link_notes_by(notes, listed)
+
+
+def check_intake(asked: DataFrame, existing: DataFrame, root: str, suffix: str = ".pdf") -> DataFrame:
+    """(path, source_file, refused) of files (path) that are to go below a
+    root: their place, and why one is refused, if it is: its suffix, a name
+    that ``existing`` (source_file) has or that another file takes first."""
+    if root not in T.ROOTS:
+        raise ValueError(f"root is one of {T.ROOTS}, not {root!r}")
+    name = F.element_at(F.split("path", "/"), -1)
+    rows = asked.select("path", F.concat(F.lit(f"vault/{root}/"), name).alias("source_file"))
+    first = rows.groupBy("source_file").agg(F.min("path").alias("first"))
+    known = existing.select("source_file", F.lit(True).alias("known")).distinct()
+    refused = F.when(~F.lower("path").endswith(suffix), F.concat(F.lit("not a "), F.lit(suffix))).when(F.col("known"), "destination exists").when(F.col("path") != F.col("first"), "another file takes this name")
+    return rows.join(first, "source_file").join(known, "source_file", "left").select("path", "source_file", refused.alias("refused"))
+
+
 def compose_notes(asked: DataFrame, existing: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(title, slug, exists, text, hints) of new notes (title, body, tags): their
     text, whether the name is taken, and tags that nearly exist."""

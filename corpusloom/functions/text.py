@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,10 +16,16 @@ WIKILINK = r"!?\[\[(?:[^\[\]|]+?\|\s*([^\[\]]+?)\s*|\s*([^\[\]|]+?)\s*)\]\]"
 LEAD_IN = r"^(?:what-is|what-are|whats|what-does|define|definition-of|meaning-of)-"
 TRAILER = r"-(?:mean|means|defined)$"
 
-#: Letters and the ones that the index folds them to; those without a
-#: one-letter base (sharp s, ligatures) stay.
-FOLDED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-FOLDED_TO = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+#: The index folds letters to their base: those that decompose into one character and
+#: marks; others (sharp s, ligatures, barred letters) stay.
+FOLDS = {
+    c: base[0]
+    for c in map(chr, range(0x80, 0x10000))
+    if unicodedata.decomposition(c)[:1] not in ("", "<")
+    and len(base := "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))) == 1
+    and base != c
+}
+FOLDED, FOLDED_TO = "".join(FOLDS), "".join(FOLDS.values())
 
 
 def strip_frontmatter(text: Column) -> Column:
@@ -150,8 +158,11 @@ def match_expression(query: Column) -> Column:
 
 def index_tokens(text: Column) -> Column:
     """Tokens of the full-text index: runs of letters, digits and private-use
-    characters, folded to lower case without diacritics."""
-    folded = F.lower(F.translate(F.coalesce(text, F.lit("")), FOLDED, FOLDED_TO))
+    characters, folded to lower case without diacritics; marks that stand by
+    themselves behind a letter go."""
+    text = F.coalesce(text, F.lit(""))
+    plain = F.octet_length(text) == F.char_length(text)
+    folded = F.lower(F.when(plain, text).otherwise(F.regexp_replace(F.translate(text, FOLDED, FOLDED_TO), r"\p{M}+", "")))
     return F.regexp_extract_all(folded, F.lit(r"([\p{L}\p{N}\p{Co}]+)"), F.lit(1))
 
 
@@ -228,11 +239,13 @@ def remove_block(text: Column, begin: str, end: str) -> Column:
     return F.when(state == "present", both).when(state == "absent", text)
 
 
-def term_note(term: Column) -> Column:
-    """The text of a new term's note."""
+def term_note(term: Column, definition: Column | None = None, aliases: Column | None = None) -> Column:
+    """The text of a new term's note, with a place for its definition or with one."""
     # The head and the line for a definition.
-    head = "---\ntype: glossary\naliases: []\ntags: [glossary]\n---\n\n# "
-    return F.concat(F.lit(head), term, F.lit("\n\n"), term, F.lit(" ? A one-line definition — state the meaning atomically, one term, one idea.\n\n#flashcards/glossary\n"))
+    head, said = "---\ntype: glossary\naliases: [", "A one-line definition — state the meaning atomically, one term, one idea."
+    names = F.lit("") if aliases is None else F.array_join(aliases, ", ")
+    meaning = F.lit(said) if definition is None else F.coalesce(F.trim(definition), F.lit(said))
+    return F.concat(F.lit(head), names, F.lit("]\ntags: [glossary]\n---\n\n# "), term, F.lit("\n\n"), term, F.lit(" ? "), meaning, F.lit("\n\n#flashcards/glossary\n"))
 
 
 def hit_line(score: Column, path: Column) -> Column:

@@ -80,6 +80,17 @@ def repair_plan(findings: DataFrame) -> DataFrame:
     return acts.where("action <> 'embed'").unionByName(embed)
 
 
+def paged_repair_plan(findings: DataFrame) -> DataFrame:
+    """(action, source_file) for :func:`chunked_findings`: sidecars of sources
+    that are gone are dropped; a source that is still there is taken in again
+    if its text, backend or dimension differs, and loaded if only its rows are
+    missing.  What can't be verified is left alone."""
+    f = findings.groupBy("source_file").agg(F.collect_set("kind").alias("kinds"))
+    has = lambda *kinds: F.arrays_overlap("kinds", F.array(*map(F.lit, kinds)))
+    action = F.when(has("orphan"), "drop_sidecar").when(has("stale", "mixed", "bad_dim"), "ingest").when(has("missing_from_db"), "load")
+    return f.select(action.alias("action"), "source_file").where("action is not null")
+
+
 def change_gate(now: DataFrame, stored: DataFrame, keys: list[str], force: bool = False) -> DataFrame:
     """Rows of ``now`` that the stored state does not have: by the source, the
     backend, the hash and, for chunked sources, the parameters."""

@@ -96,6 +96,11 @@ def unlinked_report(notes: DataFrame, terms: DataFrame | list[tuple[str, str]],
 def link_notes_to_terms(notes: DataFrame, terms: DataFrame, id_: str = "source_file", text: str = "text") -> DataFrame:
     """(id, new_text, linked) of the notes that get links to glossary terms
     (slug, display): a note's head stays as it is, only its body is linked."""
+    return link_notes_by(notes, surfaces(terms), id_, text)
+
+
+def link_notes_by(notes: DataFrame, listed: DataFrame, id_: str = "source_file", text: str = "text") -> DataFrame:
+    """:func:`link_notes_to_terms` for what texts call the terms (slug, surface)."""
     split = notes.select(id_, text, split_frontmatter_strict(F.col(text)).alias("parts"))
-    made = link(split.select(F.struct(id_, F.coalesce("parts.head", F.lit("")).alias("head")).alias("key"), F.col("parts.body").alias("body")), surfaces(terms), "key", "body")
+    made = link(split.select(F.struct(id_, F.coalesce("parts.head", F.lit("")).alias("head")).alias("key"), F.col("parts.body").alias("body")), listed, "key", "body")
     return made.where(F.size("linked") > 0).select(F.col("key")[id_].alias(id_), F.concat("key.head", "new_body").alias("new_text"), "linked")

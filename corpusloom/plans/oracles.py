@@ -262,3 +262,21 @@ ORACLES["chunk_sidecar_files"] = ORACLES["chunk_page_asof"].replace(
 )
 # Before a text go eight lines, or with an empty text those alone.
 ORACLES["link_pass_patches"] = "SELECT doc_id, 7 AS n_added, 0 AS n_removed, 1 AS n_hunks, true AS applies FROM documents"
+ORACLES["frontmatter_splits"] = "SELECT doc_id, 44 AS head_chars, sha256(text) AS body_sha256, 36 AS inner_chars, true AS whole, 'one|two words' AS aliases FROM documents"
+ORACLES["linked_forms"] = r"""SELECT p_partkey, '[[' || s || CASE WHEN s = p_name THEN '' ELSE '|' || p_name END || ']]' AS link, '[[' || p_type || ']]' AS bare
+FROM (SELECT *, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM part)"""
+ORACLES["hit_lines"] = "SELECT doc_id, printf('%.4f', 1::DOUBLE / (60 + n_chars)) || '  areas/' || source || '/n' || doc_id || '.md' AS line FROM documents"
+ORACLES["paged_repair"] = """WITH s AS (
+  SELECT vec_id AS source_file, label, page_id IS NULL AS gone, page_id % 7 = 0 AS unread FROM embeddings LEFT JOIN pages ON page_id = vec_id)
+SELECT * FROM (SELECT CASE WHEN gone THEN 'drop_sidecar' WHEN label IN (2, 3) OR (label = 1 AND NOT unread) THEN 'ingest' WHEN label = 4 THEN 'load' END AS action, source_file FROM s) WHERE action IS NOT NULL"""
+ORACLES["intake_check"] = """WITH f AS (SELECT '/in/' || source || '/n' || doc_id % 300 || CASE WHEN lang = 'de' THEN '.txt' ELSE '.PDF' END AS path FROM documents),
+p AS (SELECT path, 'vault/areas/' || split_part(path, '/', 4) AS source_file FROM f),
+t AS (SELECT 'vault/areas/n' || doc_id || '.PDF' AS source_file FROM documents WHERE lang = 'fr')
+SELECT path, source_file, CASE WHEN NOT lower(path) LIKE '%.pdf' THEN 'not a .pdf' WHEN source_file IN (SELECT source_file FROM t) THEN 'destination exists' WHEN path <> min(path) OVER (PARTITION BY source_file) THEN 'another file takes this name' END AS refused FROM p"""
+ORACLES["passage_index_upkeep"] = f"""WITH docs AS (SELECT conv_id AS src, string_agg(CASE WHEN conv_id % 3 = 0 THEN text || ' and five more words here' ELSE text END, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations WHERE conv_id % 5 <> 0 GROUP BY conv_id), {chunks('docs', 20, 15)}
+SELECT 'c' || src AS source_file, count(*) AS chunks, count(*) AS numbers, (SELECT count(*) FROM chunks) AS n_chunks FROM chunks GROUP BY src"""
+TERM_NOTE = "concat('---', chr(10), 'type: glossary', chr(10), 'aliases: [', {a}, ']', chr(10), 'tags: [glossary]', chr(10), '---', chr(10), chr(10), '# ', {t}, chr(10), chr(10), {t}, ' ? ', {d}, chr(10), chr(10), '#flashcards/glossary', chr(10))"
+ORACLES["new_terms"] = f"""WITH q AS (
+  SELECT r_name || ' Zone' AS term, {KEY.format(t="r_name || ' Zone'")} AS slug, NULL AS refused, 'zone ' || r_regionkey AS a, 'A part of the world.' AS d FROM region
+  UNION ALL SELECT n_name || '!', k, k || ' is taken by ' || k, '', 'A one-line definition — state the meaning atomically, one term, one idea.' FROM (SELECT n_name, {KEY.format(t='n_name')} AS k FROM nation))
+SELECT term, slug, refused, sha256({TERM_NOTE.format(a='a', t='term', d='d')}) AS text_sha256 FROM q"""

@@ -354,6 +354,30 @@ def managed_blocks(spark, sf_dir):
     return d.select("doc_id", F.sha2("once", 256).alias("once"), F.sha2("twice", 256).alias("twice"), F.sha2(T.remove_block(F.col("twice"), "<a>", "</a>"), 256).alias("removed"), T.block_state(F.col("once"), "<a>", "</b>").alias("state"))
 
 
+@query
+def frontmatter_splits(spark, sf_dir):
+    """Each text under a head: split by the literal fences, split into parts that make it up again, and its aliases."""
+    head = "---\naliases: [one, 'two words']\nkind: x\n---\n"
+    note = F.concat(F.lit(head), F.col("text"))
+    d = table(spark, sf_dir, "documents").select("doc_id", note.alias("t"), T.split_frontmatter_strict(note).alias("s"), T.frontmatter_parts(note).alias("p"))
+    whole = F.concat("p.open", "p.inner", "p.close", "p.body") == F.col("t")
+    return d.select("doc_id", F.length("s.head").cast("long").alias("head_chars"), F.sha2("s.body", 256).alias("body_sha256"), F.length("p.inner").cast("long").alias("inner_chars"), whole.alias("whole"), F.array_join(T.parse_aliases(F.col("t")), "|").alias("aliases"))
+
+
+@query
+def linked_forms(spark, sf_dir):
+    """Parts' names as links to their slugs."""
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", T.linked_form(T.slugify_title(F.col("p_name")), F.col("p_name")).alias("link"), T.linked_form(F.col("p_type"), F.col("p_type")).alias("bare"))
+
+
+@query
+def hit_lines(spark, sf_dir):
+    """The documents by length, as lines of a listing with the score of their rank."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", T.hit_line(1 / (60 + F.col("n_chars")), F.concat(F.lit("areas/"), F.col("source"), F.lit("/n"), F.col("doc_id").cast("string"), F.lit(".md"))).alias("line"))
+
+
 # Tags
 
 
@@ -481,6 +505,26 @@ def glossary_suggest(spark, sf_dir):
     return glossary.suggest(asked_terms(spark, sf_dir), glossary.key_index(nation_terms(spark, sf_dir)))
 
 
+@query
+def new_terms(spark, sf_dir):
+    """Regions and nations asked for as new terms: the nations are taken."""
+    terms = nation_terms(spark, sf_dir)
+    r = table(spark, sf_dir, "region").select(F.concat("r_name", F.lit(" Zone")).alias("term"), F.lit(" A part of the world. ").alias("definition"), F.array(F.concat(F.lit("zone "), F.col("r_regionkey").cast("string"))).alias("aliases"))
+    n = table(spark, sf_dir, "nation").select(F.concat("n_name", F.lit("!")).alias("term"), F.lit(None).cast("string").alias("definition"), F.lit(None).cast("array<string>").alias("aliases"))
+    notes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_file"), "text")
+    made, _ = api.add_terms(r.unionByName(n), terms, notes)
+    return made.select("term", "slug", "refused", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def new_term_links(spark, sf_dir):
+    """Phrases of the documents asked for as new terms, and the documents that get links to them."""
+    asked = spark.createDataFrame([("MIT License", "A license.", ["GNU General Public License"]), ("De la", "Two words.", None)], "term string, definition string, aliases array<string>")
+    notes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_file"), "text")
+    _, linked = api.add_terms(asked, nation_terms(spark, sf_dir), notes)
+    return linked.select("source_file", F.sha2("new_text", 256).alias("text_sha256"), F.size("linked").alias("n_linked"))
+
+
 def linkable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("[[re|the of]] "), F.col("text")).alias("body"))
 
@@ -571,6 +615,42 @@ def repair_plan(spark, sf_dir):
     return audit.repair_plan(layers(spark, sf_dir))
 
 
+@query
+def paged_repair(spark, sf_dir):
+    """Pages as paged sources, some unreadable, and sidecars of which some are of another text, backend or dimension."""
+    html = table(spark, sf_dir, "pages").select(F.col("page_id").alias("source_file"), "html")
+    sources = html.select("source_file", F.when(F.col("source_file") % 7 != 0, T.raw_hash(F.col("html"))).alias("content_hash"))
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("source_file"), "label").join(html, "source_file", "left")
+    stored = T.raw_hash(F.when(F.col("label") == 1, F.concat("html", F.lit("!"))).otherwise(F.coalesce("html", F.lit(""))))
+    side = v.select("source_file", F.when(F.col("label") == 3, "other").otherwise("test").alias("backend"), stored.alias("content_hash"), F.array(F.when(F.col("label") == 2, 32).otherwise(64)).alias("dims"))
+    return audit.paged_repair_plan(audit.chunked_findings(sources, side, v.where("label <> 4"), "test", 64))
+
+
+@query
+def intake_check(spark, sf_dir):
+    """Documents as files that are to come in: their places, and which are refused."""
+    name = F.concat(F.lit("/in/"), "source", F.lit("/n"), (F.col("doc_id") % 300).cast("string"), F.when(F.col("lang") == "de", ".txt").otherwise(".PDF"))
+    d = table(spark, sf_dir, "documents")
+    there = d.where(F.col("lang") == "fr").select(F.concat(F.lit("vault/areas/n"), F.col("doc_id").cast("string"), F.lit(".PDF")).alias("source_file"))
+    return api.check_intake(d.select(name.alias("path")), there, "areas")
+
+
+@query
+def passage_index_upkeep(spark, sf_dir):
+    """A stored passage index after a load, a change of every third source and
+    the removal of every fifth: its sources and how many passages each has."""
+    path = F.concat(F.lit("c"), F.col("conv_id").cast("string"))
+    pages = conversation_pages(spark, sf_dir).select("conv_id", path.alias("source_file"), "page", "text")
+    settings, small = Settings(chunk_tokens=20, chunk_overlap=0.25), HashEmbedder(8)
+    index = api.PassageIndex(spark, work_folder(spark, "passages"))
+    index.load(api.ingest_paged_source(pages.drop("conv_id"), settings=settings, embedder=small), dim=8)
+    longer = pages.where(F.col("conv_id") % 3 == 0).withColumn("text", F.concat("text", F.lit(" and five more words here"))).drop("conv_id")
+    index.update(api.ingest_paged_source(longer, settings=settings, embedder=small), dim=8)
+    index.remove(pages.where(F.col("conv_id") % 5 == 0).select("source_file").distinct())
+    stats = index.stats().select("n_chunks")
+    return index.read().groupBy("source_file").agg(F.count("*").alias("chunks"), F.count_distinct("id").alias("numbers")).join(index.sources(), "source_file").crossJoin(F.broadcast(stats))
+
+
 def event_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as commits: the user is the note, the kind of event its status."""
     kinds = {"signup": "A", "view": "M", "click": "C100", "error": "D", "purchase": "R090"}

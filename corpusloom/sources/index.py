@@ -56,6 +56,25 @@ class VersionedTable:
         draft.put("", rows)
         return draft.commit()
 
+    def _marker(self, base: str | None):
+        return self._at(f"after-{base or 'nothing'}")
+
+    def claim(self, base: str | None, name: str) -> bool:
+        """Take the place behind a version; false if it is taken."""
+        try:
+            out = self._fs.create(self._marker(base), False)
+        except Exception:
+            if self._fs.exists(self._marker(base)):
+                return False
+            raise
+        out.write(bytearray(name.encode()))
+        out.close()
+        return True
+
+    def release(self) -> None:
+        """Free the place behind the current version, which a writer took and did not fill."""
+        self._fs.delete(self._marker(self.version), False)
+
     def point_to(self, name: str) -> None:
         """Make a version the current one."""
         draft = self._at(f"CURRENT.{name}")
@@ -84,7 +103,7 @@ class VersionedTable:
         now = self.version
         for status in self._fs.listStatus(self._at("")):
             name = status.getPath().getName()
-            if name.startswith("v-") and name != now:
+            if (name.startswith("v-") and name != now) or (name.startswith("after-") and name != f"after-{now}"):
                 self._fs.delete(status.getPath(), True)
 
 
@@ -103,8 +122,14 @@ class Draft:
         return self.table.read(part, self.name)
 
     def commit(self) -> str:
-        """Refused if another writer was faster, as its rows would be lost."""
-        if self.table.version != self.base:
+        """Refused if another writer was faster, as its rows would be lost.
+
+        Only one version may follow another: who creates the marker of the
+        place behind the base has it, and creating a file that is there fails.
+        A writer that dies between the marker and the manifest leaves the base
+        current and the place taken; :meth:`VersionedTable.release` frees it.
+        """
+        if self.table.version != self.base or not self.table.claim(self.base, self.name):
             raise RuntimeError(f"{self.table.path} has changed since this version was begun")
         self.table.point_to(self.name)
         return self.name

@@ -167,3 +167,63 @@ def test_new_terms_and_notes(spark, notes):
     rows = {r.title: r for r in api.compose_notes(new, notes, vocabulary).collect()}
     assert rows["A"].exists and rows["A"].hints == ["agents ~ agent"]
     assert not rows["New One"].exists and rows["New One"].hints == [] and rows["New One"].text == "---\ntags: [ok]\n---\n\n# New One\n\ntext\n"
+
+
+def test_terms_are_added_and_linked(spark):
+    terms = spark.createDataFrame([("rank-fusion", "Rank Fusion", ["fusion"])], "slug string, display string, aliases array<string>")
+    asked = [("Ablation Study", " What is left out. ", ["ablations"]), ("Fusion!", "x", None), ("ablations", "again", []), ("?!", "x", None), ("Rank fusions", None, None)]
+    notes = [("a.md", "---\ntags: [ablations]\n---\nAblations and an ablation study.\n"), ("b.md", "nothing"), ("c.md", "see [[ablation-study]], ablation study"), ("d.md", "fusion, rank fusions"), ("e.md", None)]
+    made, linked = api.add_terms(spark.createDataFrame(asked, "term string, definition string, aliases array<string>"), terms, spark.createDataFrame(notes, "source_file string, text string"))
+    got = {r.term: r for r in made.collect()}
+    assert {t: r.refused for t, r in got.items()} == {"Ablation Study": None, "Fusion!": "fusion is taken by rank-fusion", "ablations": "ablations is asked for twice", "?!": "it has no usable characters", "Rank fusions": None}
+    assert got["Ablation Study"].text == "---\ntype: glossary\naliases: [ablations]\ntags: [glossary]\n---\n\n# Ablation Study\n\nAblation Study ? What is left out.\n\n#flashcards/glossary\n"
+    assert got["Rank fusions"].near == ["Rank Fusion"] and "A one-line definition" in got["Rank fusions"].text
+    # The term is linked before its aliases, and a slug only once.
+    assert {r.source_file: r.new_text for r in linked.collect()} == {"a.md": "---\ntags: [ablations]\n---\nAblations and an [[ablation-study|ablation study]].\n", "d.md": "fusion, [[rank-fusions|rank fusions]]"}
+
+
+def test_files_that_may_come_in(spark):
+    asked = spark.createDataFrame([("/in/a.pdf",), ("/in/b.txt",), ("/in/old.PDF",), ("/x/a.pdf",)], "path string")
+    there = spark.createDataFrame([("vault/areas/old.PDF",)], "source_file string")
+    got = {r.path: (r.source_file, r.refused) for r in api.check_intake(asked, there, "areas").collect()}
+    assert got == {"/in/a.pdf": ("vault/areas/a.pdf", None), "/in/b.txt": ("vault/areas/b.txt", "not a .pdf"), "/in/old.PDF": ("vault/areas/old.PDF", "destination exists"), "/x/a.pdf": ("vault/areas/a.pdf", "another file takes this name")}
+    with pytest.raises(ValueError):
+        api.check_intake(asked, there, "nowhere")
+
+
+def test_embedder_by_environment_and_file(tmp_path, monkeypatch):
+    from corpusloom.functions import embedding
+
+    file = tmp_path / "embedder.toml"
+    file.write_text('backend = "model:small"\n')
+    assert embedding.backend_name(str(file), {}) == "model:small"
+    assert embedding.backend_name(str(file), {"CORPUSLOOM_EMBEDDER": "test"}) == "test"
+    assert embedding.backend_name(str(tmp_path / "none"), {}) == "test"
+    file.write_text("not toml [")
+    assert embedding.backend_name(str(file), {}) == "test"
+    file.write_text('backend = "model:small"\n')
+    with pytest.raises(KeyError):
+        embedding.configured(str(file), {})
+    monkeypatch.setitem(embedding.EMBEDDERS, "model:small", SMALL)
+    assert embedding.configured(str(file), {}) is SMALL
+
+
+def test_one_of_two_writers_gets_the_place(spark, tmp_path):
+    """Both have passed the check of the manifest; the place is given once."""
+    from corpusloom.sources.index import VersionedTable
+
+    table = VersionedTable(spark, f"file://{tmp_path}/t")
+    table.replace(spark.range(1))
+    one, two = table.draft(), table.draft()
+    for draft, n in ((one, 2), (two, 3)):
+        draft.put("", spark.range(n))
+    assert table.claim(one.base, one.name)
+    with pytest.raises(RuntimeError):
+        two.commit()
+    table.release()  # the first writer died before it was current
+    two.commit()
+    assert table.read().count() == 3
+    table.vacuum()
+    table.replace(spark.range(4))
+    assert table.read().count() == 4
+

@@ -331,3 +331,16 @@ def test_hygiene_as_json(spark):
     got = {(r.kind, r.json) for r in tags.hygiene_json(tags.hygiene_report(notes)).collect()}
     assert ("near_universal", json.dumps({"tag": "x", "fraction": 1.0}, separators=(",", ":"))) in got
     assert ("singleton", '{"tag":"y_z","note":"a"}') in got and ("near_miss", '["w","w2"]') in got and ("format_lint", '{"tag":"y_z","reason":"underscore"}') in got
+
+
+def test_tokens_of_other_alphabets(spark):
+    """Letters fold to their base as accents are stripped; marks that stand by themselves go."""
+    import duckdb
+
+    texts = ["Příliš žluťoučký kůň úpěl ďábelské ódy", "Zażółć gęślą jaźń ŁÓDŹ", "İstanbul ığdır ŞİŞLİ çağ", "Őrült űr ŐŰ", "e\u0301te\u0301 na\u0308iv", "straße œuvre Æsir", "Ελλάδα ΐ", "й Ёлка", "한국어 学習", "plain ASCII_text 42"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    got = {r.id: r.t for r in df.select("id", T.index_tokens(F.col("text")).alias("t")).collect()}
+    for i, t in enumerate(texts):
+        want = duckdb.execute(r"SELECT regexp_extract_all(lower(strip_accents(?)), '[\p{L}\p{N}\p{Co}]+')", [t]).fetchone()[0]
+        assert got[i] == want, t
+
