@@ -1,19 +1,18 @@
 """Token counts that follow edits.
 
 Each document has a segment tree over its chunks (runs between white space,
-each with the space before it), whose nodes hold sums of characters and of
+each with the space before it), whose nodes hold sums of chunks, characters and
 tokens.  An edit finds its chunks from the root, encodes anew only those that it
 touches plus the context at both ends that the pre-tokens may depend on, and
-updates the sums on the paths from them to the root.  Where it brings many more
-chunks than it takes, they get slots of their own and the sums are added up
-anew; nothing else is encoded for that.
+updates the sums on the paths from them to the root.  A node that gets too many
+children splits where it stands, and small neighbours become one, so an edit
+costs what it brings and the depth of the tree, however long the document is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,32 +22,80 @@ from .shared import lean, parts, short_batches
 
 Edit = tuple[int, int, str]
 
-#: Chunks that an edit may leave in one slot beside its own; with more, the tree
-#: gets further slots, and with more empty ones than others it gets rid of them.
-MOST_SHARED = 4
+#: Children of a node at most; a node of less than a fourth joins its neighbour.
+WIDTH = 32
 
 # Unicode's White_Space, as in the chunks' pattern.
 _WHITE = {c for part in (range(9, 14), (32, 0x85, 0xA0, 0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000), range(0x2000, 0x200B)) for c in map(chr, part)}
 
 
+class Node:
+    """A leaf has chunks and their token counts, an inner node has nodes; both
+    have the sums of what is below."""
+
+    __slots__ = ("kids", "counts", "n", "chars", "tokens")
+
+    def __init__(self, kids: list, counts: list[int] | None):
+        self.kids, self.counts = kids, counts
+        self.add_up()
+
+    def add_up(self) -> None:
+        if self.counts is not None:
+            self.n, self.chars, self.tokens = len(self.kids), sum(map(len, self.kids)), sum(self.counts)
+        else:
+            self.n, self.chars, self.tokens = sum([k.n for k in self.kids]), sum([k.chars for k in self.kids]), sum([k.tokens for k in self.kids])
+
+    def parts(self) -> list[Node]:
+        """The node itself or, if it is too wide, nodes of about one width; none without children."""
+        size = len(self.kids)
+        if 0 < size <= WIDTH:
+            self.add_up()
+            return [self]
+        cuts = [size * i // max(1, -(-size // (WIDTH * 3 // 4))) for i in range(-(-size // (WIDTH * 3 // 4)) + 1)]
+        return [Node(self.kids[x:y], self.counts and self.counts[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+
+    def splice(self, a: int, b: int, chunks: list[str], counts: list[int]) -> list[Node]:
+        """The nodes that take this one's place when the chunks from ``a`` to
+        ``b`` below it give way to others."""
+        if self.counts is not None:
+            self.kids[a:b], self.counts[a:b] = chunks, counts
+            return self.parts()
+        at, first, start = 0, 0, 0
+        while first < len(self.kids) - 1 and a >= at + self.kids[first].n:
+            at += self.kids[first].n
+            first += 1
+        last, start = first, at
+        while b > at + self.kids[last].n:
+            at += self.kids[last].n
+            last += 1
+        if first == last:
+            new = self.kids[first].splice(a - start, b - start, chunks, counts)
+        else:
+            new = self.kids[first].splice(a - start, self.kids[first].n, chunks, counts) + self.kids[last].splice(0, b - at, [], [])
+        self.kids[first : last + 1] = new
+        # A small node among these joins the one before it.
+        for i in range(min(first + len(new), len(self.kids) - 1), max(first - 1, 0), -1):
+            x, y = self.kids[i - 1], self.kids[i]
+            if min(len(x.kids), len(y.kids)) < WIDTH // 4 and len(x.kids) + len(y.kids) <= WIDTH:
+                self.kids[i - 1 : i + 1] = [Node(x.kids + y.kids, None if x.counts is None else x.counts + y.counts)]
+        return self.parts()
+
+
 class TokenTree:
     """A text's chunks with the sums of their characters and tokens."""
 
     def __init__(self, text: str, bpe: ByteBPE, chunks: list[str] | None = None):
         self.bpe = bpe
-        self.slots = [c for found in bpe.chunks(text) for c in found] if chunks is None else chunks
-        self.size = 1 << max(0, (len(self.slots) - 1).bit_length())
-        #: Characters and tokens below each node; node 1 is the root, node
-        #: 2 * i and 2 * i + 1 are below node i, the slots begin at ``size``.
-        self.chars, self.counts = self._sums(list(map(len, self.slots))), self._sums(self._counts(self.slots))
-        self.empty = 0
-
-    def _sums(self, leaves: list[int]) -> list[int]:
-        levels = [np.zeros(self.size, dtype=np.int64)]
-        levels[0][: len(leaves)] = leaves
-        while len(levels[-1]) > 1:
-            levels.append(levels[-1][::2] + levels[-1][1::2])
-        return [0, *np.concatenate(levels[::-1]).tolist()]
+        chunks = [c for found in bpe.chunks(text) for c in found] if chunks is None else chunks
+        self._grow(Node(chunks, self._counts(chunks)).parts())
+
+    def _grow(self, nodes: list[Node]) -> None:
+        """Put a root above ``nodes``."""
+        while len(nodes) > 1:
+            nodes = Node(nodes, None).parts()
+        self.root = nodes[0] if nodes else Node([], [])
+        while self.root.counts is None and len(self.root.kids) == 1:
+            self.root = self.root.kids[0]
 
     def _counts(self, chunks: list[str]) -> list[int]:
         try:
@@ -62,30 +109,49 @@ class TokenTree:
 
     @property
     def characters(self) -> int:
-        return self.chars[1]
+        return self.root.chars
 
     @property
     def tokens(self) -> int:
-        return self.counts[1]
+        return self.root.tokens
+
+    def __len__(self) -> int:
+        return self.root.n
+
+    @property
+    def slots(self) -> list[str]:
+        """All chunks in order."""
+        out, left = [], [self.root]
+        while left:
+            node = left.pop()
+            if node.counts is None:
+                left += reversed(node.kids)
+            else:
+                out += node.kids
+        return out
+
+    def chunk(self, index: int) -> str:
+        node = self.root
+        while node.counts is None:
+            for node in node.kids:  # noqa: B020
+                if index < node.n:
+                    break
+                index -= node.n
+        return node.kids[index]
 
     def find(self, position: int) -> tuple[int, int]:
-        """The slot that holds a character, and the slot's first position."""
-        node, start = 1, 0
-        while node < self.size:
-            node *= 2
-            if position - start >= self.chars[node]:
-                start += self.chars[node]
-                node += 1
-        return node - self.size, start
-
-    def put(self, slot: int, text: str, tokens: int) -> None:
-        self.slots[slot] = text
-        node = slot + self.size
-        longer, more = len(text) - self.chars[node], tokens - self.counts[node]
-        while node and (longer or more):
-            self.chars[node] += longer
-            self.counts[node] += more
-            node //= 2
+        """The chunk that holds a character, and the chunk's first position."""
+        node, index, start = self.root, 0, 0
+        while node.counts is None:
+            for node in node.kids:  # noqa: B020
+                if position - start < node.chars:
+                    break
+                index, start = index + node.n, start + node.chars
+        for text in node.kids:
+            if position - start < len(text):
+                break
+            index, start = index + 1, start + len(text)
+        return index, start
 
     def edit(self, start: int, end: int, new: str) -> int:
         """Replace the characters from ``start`` to ``end`` (both cut to the
@@ -93,61 +159,44 @@ class TokenTree:
         return self.commit(*self.prepare(start, end, new))
 
     def prepare(self, start: int, end: int, new: str) -> tuple[int, int, list[str]]:
-        """The slots that an edit touches, first and behind the last, and the
-        chunks that take their place; nothing is changed yet."""
+        """The chunks that an edit touches, first and behind the last, and those
+        that take their place; nothing is changed yet."""
         start = min(max(start, 0), self.characters)
         end = min(max(end, start), self.characters)
-        if not self.slots:
-            self.slots, self.size, self.chars, self.counts, self.empty = [""], 1, [0, 0], [0, 0], 1
-        first, at = self.find(start) if start < self.characters else (len(self.slots) - 1, self.characters - len(self.slots[-1]))
+        n = len(self)
+        if not n:
+            return 0, 0, [c for found in self.bpe.chunks(new) for c in found]
+        first, at = self.find(start) if start < self.characters else (n - 1, self.characters - len(self.chunk(n - 1)))
+        held = [self.chunk(first)]
         # Back to where white space that stays follows something else that stays:
         # what is before such a place is chunked alike whatever comes after it.
-        while first > 0 and not (at < start and self.slots[first][:1] in _WHITE and self._before(first) not in _WHITE):
-            first -= 1
-            at -= len(self.slots[first])
-        last, stop = first, at
-        kept: list[str] = []
-        while last < len(self.slots):
-            text = self.slots[last]
-            if text and stop > end and text[0] in _WHITE and kept and kept[-1] not in _WHITE:
+        while first > 0:
+            before = self.chunk(first - 1)
+            if at < start and held[0][:1] in _WHITE and before[-1] not in _WHITE:
                 break
-            if text:
-                kept.append(text[-1])
-            stop += len(text)
-            last += 1
-        whole = "".join(self.slots[first:last])
+            held.insert(0, before)
+            first, at = first - 1, at - len(before)
+        stop, last = at, first
+        for text in held:
+            if last > first and stop > end and text[0] in _WHITE and held[last - first - 1][-1] not in _WHITE:
+                break
+            stop, last = stop + len(text), last + 1
+        else:
+            while last < n:
+                text = self.chunk(last)
+                if stop > end and text[0] in _WHITE and held[-1][-1] not in _WHITE:
+                    break
+                held.append(text)
+                stop, last = stop + len(text), last + 1
+        whole = "".join(held[: last - first])
         whole = whole[: start - at] + new + whole[end - at :]
         return first, last, [c for found in self.bpe.chunks(whole) for c in found]
 
     def commit(self, first: int, last: int, chunks: list[str]) -> int:
         counts = self._counts(chunks)
-        room = last - first
-        if len(chunks) > room + MOST_SHARED:
-            self._rebuild(self.slots[:first] + chunks + self.slots[last:], self.counts[self.size :][:first] + counts + self.counts[self.size :][last : len(self.slots)])
-            return len(chunks)
-        # The slots stay in number: the last gets the few that the others do not hold.
-        for k in range(room):
-            tail = slice(k, None) if k == room - 1 else slice(k, k + 1)
-            self.empty += bool(self.slots[first + k]) - bool(chunks[tail])
-            self.put(first + k, "".join(chunks[tail]), sum(counts[tail]))
-        if self.empty > max(MOST_SHARED, len(self.slots) // 2):
-            full = [i for i, c in enumerate(self.slots) if c]
-            self._rebuild([self.slots[i] for i in full], [self.counts[self.size + i] for i in full])
+        self._grow(self.root.splice(first, last, list(chunks), counts))
         return len(chunks)
 
-    def _rebuild(self, slots: list[str], counts: list[int]) -> None:
-        """Other slots, whose counts are known; only the sums are made anew."""
-        self.slots, self.size = slots, 1 << max(0, (len(slots) - 1).bit_length())
-        self.chars, self.counts = self._sums(list(map(len, slots))), self._sums(counts)
-        self.empty = slots.count("")
-
-    def _before(self, slot: int) -> str:
-        while slot > 0:
-            slot -= 1
-            if self.slots[slot]:
-                return self.slots[slot][-1]
-        return " "
-
 
 def count_with_edits(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Count tokens before and after each document's edits.
@@ -159,7 +208,7 @@ def count_with_edits(docs: DataFrame, vocabulary: str) -> DataFrame:
     count as empty and null edits as none; positions outside the text are cut
     to it, a null start or end is its end, a null replacement is empty.
     Repeated rows are counted alike; a null doc_id stays null; an empty table
-    gives no rows; other columns are not read.
+    gives no rows; very long texts are read whole; other columns are not read.
     """
 
     @lean("bpe", byte_bpe.cache_clear)
@@ -172,7 +221,7 @@ def count_with_edits(docs: DataFrame, vocabulary: str) -> DataFrame:
                 bpe.learn(new := set().union(*split).difference(bpe.known))  # in one batch of merge rounds
                 trees = [TokenTree(t, bpe, chunks) for t, chunks in zip(texts, split, strict=True)]
                 edits = [list(e or ()) for e in part.column(2).to_pylist()]
-                rows = [[t.tokens, len(t.slots), len(e)] for t, e in zip(trees, edits, strict=True)]
+                rows = [[t.tokens, len(t), len(e)] for t, e in zip(trees, edits, strict=True)]
                 redone = [0] * len(trees)
                 for turn in range(max(map(len, edits), default=0)):  # the documents' first edits, then their second ones
                     now = [i for i, e in enumerate(edits) if turn < len(e)]
