@@ -183,7 +183,8 @@ def encode_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     Returns doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas)
     and decoded_sha256 (of the decoded text), a row per row of ``docs``, null
-    and repeated doc_ids included.  Other columns are not read.
+    and repeated doc_ids included.  Very long texts are encoded whole, a block
+    of chunks at a time; an empty table gives no rows.  Other columns are not read.
     """
 
     @lean("bpe", byte_bpe.cache_clear)

@@ -41,15 +41,24 @@ MOST_NAME, MOST_DOMAIN = 64, 255
 Mac = Callable[..., Column]
 
 
-def keyed(key: str) -> Mac:
-    """HMAC-SHA256 by ``key``, as hexadecimal digits, of the parts joined by |."""
+def pads(key: str) -> tuple[bytes, bytes]:
+    """What HMAC-SHA256 puts before the message and before its hash."""
     if not key:
         raise ValueError("pseudonyms need a key")
     secret = key.encode()
     if len(secret) > 64:
         secret = hashlib.sha256(secret).digest()
     secret = secret.ljust(64, b"\0")
-    inner, outer = (F.lit(bytes(c ^ pad for c in secret)) for pad in (0x36, 0x5C))
+    return bytes(c ^ 0x36 for c in secret), bytes(c ^ 0x5C for c in secret)
+
+
+def keyed(key: str) -> Mac:
+    """:func:`keyed_by` with the key's pads as literals, which a plan shows."""
+    return keyed_by(*map(F.lit, pads(key)))
+
+
+def keyed_by(inner: Column, outer: Column) -> Mac:
+    """HMAC-SHA256 by the pads of a key, as hexadecimal digits, of the parts joined by |."""
 
     def mac(*parts_: Column) -> Column:
         message = F.encode(F.concat_ws("|", *(p.cast("string") for p in parts_)), "UTF-8")
@@ -202,14 +211,18 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     whole, in time linear in their length; a null doc_id stays null; repeated
     rows are treated alike; an empty table gives no rows; other columns are not
     read.
+
+    The key comes to the rows as the value of a subquery over a table of one
+    row, so no plan, and no log of plans, shows it.
     """
-    mac = keyed(key)
+    held = docs.sparkSession.createDataFrame([pads(key)], "inner binary, outer binary")
+    mac = keyed_by(F.col("_inner"), F.col("_outer"))
     text = F.col("text")
     mailed = text.contains("@")
     empty = F.array().cast("array<string>")
-    source = docs.select(F.col("doc_id").cast("long"), "text")
+    source = docs.select(F.col("doc_id").cast("long"), "text", held.select("inner").scalar().alias("_inner"), held.select("outer").scalar().alias("_outer"))
     found = F.when(mailed, F.regexp_extract_all("text", F.lit(EITHER), F.lit(0))).when(text.rlike("[0-9]"), F.regexp_extract_all("text", F.lit(NUMBERS), F.lit(0)))
-    parted = source.select("doc_id", "text", F.coalesce(found, empty).alias("found"))
+    parted = source.select("doc_id", "text", "_inner", "_outer", F.coalesce(found, empty).alias("found"))
     judged = parted.withColumn("found", F.transform("found", lambda v: F.struct(v.alias("v"), kind_of(v).alias("kind"))))
     some = F.exists("found", lambda x: x["kind"].isNotNull())
     between = F.when(mailed, F.split("text", EITHER, -1)).otherwise(F.split("text", NUMBERS, -1))

@@ -185,7 +185,8 @@ def secret_scan(docs: DataFrame) -> DataFrame:
 def mask_secrets(docs: DataFrame) -> DataFrame:
     """``docs``, all rows and columns, with the secrets in text masked and
     n_chars, if there, counted anew where text changed.  Nulls, empty texts,
-    repeated rows and an empty table stay as they are."""
+    repeated rows and an empty table stay as they are; very long texts are
+    scanned whole."""
     place = docs.columns.index("text")
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 

@@ -340,8 +340,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     and held-out rows (crc32 of the doc_id as text divisible by 5) teach
     nothing.  Null counts as the empty text, which gets the score of a text
     without matches; a null doc_id is not held out; repeated rows score alike;
-    without labels of both kinds all scores are the labels' rate.  An empty
-    table gives no rows; other columns are not read.
+    without labels of both kinds all scores are the labels' rate.  Very long
+    texts are scored whole, in time that grows with them.  An empty table gives
+    no rows; other columns are not read.
     """
     model = fit_toxicity(docs, labels, sample)
     rows = docs.select(F.col("doc_id").cast("long"), held_out("doc_id").alias("held_out"), "text")
@@ -367,6 +368,12 @@ def with_scores(rows: DataFrame, model: ToxicityModel, name: str) -> DataFrame:
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs``, all columns, that are not predicted to be toxic."""
+    """The rows of ``docs``, all columns, that are not predicted to be toxic.
+
+    Null and empty texts have the score of a text without matches; a null
+    doc_id changes nothing; repeated rows stay or go together; very long texts
+    are scored whole; an empty table gives no rows; other columns, whatever
+    their names, pass.  A score of 0.5 is toxic.
+    """
     name = free_name(docs, "score")
     return with_scores(docs, fit_toxicity(docs, labels, sample), name).where(F.col(name) < 0.5).drop(name)

@@ -1103,3 +1103,69 @@ def test_nothing_else_imports_the_subpackage():
             for n in names:
                 if n.endswith(".py"):
                     assert "llm" not in open(os.path.join(folder, n)).read(), n
+
+
+def test_the_key_is_in_no_plan(spark):
+    key = "a secret of the house"
+    df = spark.createDataFrame([(1, "4111 1111 1111 1111, 2024-02-29")], "doc_id long, text string")
+    made = pii.pseudonymise(df, key)
+    made.collect()
+    query = made._jdf.queryExecution()
+    shown = [query.toString(), query.executedPlan().toString()]
+    for pad in pii.pads(key):
+        for form in (pad.decode("latin-1"), pad.hex(), pad.hex().upper(), " ".join(map(str, pad)), ", ".join(map(str, pad)), key):
+            assert not any(form[:24] in x for x in shown)
+    assert "BatchEvalPython" not in shown[1] and "Join" not in shown[1]
+
+
+def test_token_trees_split_where_the_edit_is():
+    """However long the text and the insertion, few nodes change and all sums hold."""
+    own, rng = bpe.byte_bpe(BYTE), random.Random(4)
+
+    def check(node, root=True):
+        assert root or 0 < len(node.kids) <= token_counts.WIDTH
+        if node.counts is None:
+            for kid in node.kids:
+                check(kid, False)
+            assert (node.n, node.chars, node.tokens) == tuple(sum(getattr(k, x) for k in node.kids) for x in ("n", "chars", "tokens"))
+        else:
+            assert (node.n, node.chars, node.tokens) == (len(node.kids), sum(map(len, node.kids)), sum(node.counts))
+
+    for _ in range(150):
+        text = "".join(rng.choices(["ab", " ", " the", "\n\n", "é", "1,", "\t "], k=rng.choice([0, 1, 30, 600])))
+        tree = token_counts.TokenTree(text, own)
+        for _ in range(4):
+            s, new = rng.randint(0, len(text) + 1), "".join(rng.choices([" w", "x", " "], k=rng.choice([0, 2, 300])))
+            e = s + rng.choice([0, 2, rng.randint(0, len(text) + 1)])
+            tree.edit(s, e, new)
+            text = text[:s] + new + text[max(s, e) :]
+            check(tree.root)
+            assert tree.slots == [c for found in own.chunks(text) for c in found]
+    made, old = [], token_counts.Node.__init__
+    tree = token_counts.TokenTree("some words " * 50_000, own)
+    try:
+        token_counts.Node.__init__ = lambda self, *a: (made.append(1), old(self, *a))[1]
+        tree.edit(200_000, 200_000, " six more words put in here")
+    finally:
+        token_counts.Node.__init__ = old
+    assert len(made) < 10
+
+
+def test_pipeline_stages_on_awkward_rows(spark, awkward, empty):
+    """Every stage alone: columns stay but for the last, nothing fails, and an empty table gives no rows."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    for name, stage in pipeline.STAGES:
+        out, none = stage(spark, awkward, SF), stage(spark, empty, SF)
+        assert none.count() == 0
+        if name == "packing":
+            assert out.select("doc_id").distinct().count() == len({r[0] for r in ROWS})
+            continue
+        assert out.columns == awkward.columns
+        left = Counter((r.doc_id, r.text) for r in out.select("doc_id", "text").collect())
+        if name == "secret_scan":
+            assert Counter(i for i, _ in left.elements()) == Counter(r[0] for r in ROWS)
+        else:
+            assert not left - Counter(r[:2] for r in ROWS)
+        if name == "exact_dedup":  # of equal texts one row, of nulls and empty ones too
+            assert sorted(Counter((t or "").translate(LOWER) for _, t in left.elements()).values()) == [1] * len({(r[1] or "").translate(LOWER) for r in ROWS})
+
