@@ -2,6 +2,11 @@
 
 Each stage is a function of (spark, docs, sf_dir); its result is written as
 Parquet and read again as the next one's docs.
+
+Null texts count as empty; of all empty texts, as of any equal ones, one row stays
+behind the exact stage, and it is packed as a single id. Rows without doc_id take
+part like others. Very long texts are read whole by every stage, repeated rows are
+copies, further columns pass until the last stage, and an empty table gives no rows.
 """
 
 from __future__ import annotations
