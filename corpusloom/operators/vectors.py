@@ -66,16 +66,17 @@ def nearest(queries: DataFrame, base: DataFrame, k: int | None, query_id: str =
     """
     q = in_blocks(queries, query_id, vector, ("qb", "qids", "qm"))
     b = in_blocks(base, base_id, vector, ("bb", "bids", "bm"))
-    found = each_with_each(q, b, "qb", "bb").select("qids", "qm", "bids", "bm").mapInArrow(meeting(k, exclude_self), FOUND)
+    found = each_with_each(q, b, "qb", "bb", base.count()).select("qids", "qm", "bids", "bm").mapInArrow(meeting(k, exclude_self), FOUND)
     return best(found, k)
 
 
-def each_with_each(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
+def each_with_each(left: DataFrame, right: DataFrame, left_id: str, right_id: str, n: int) -> DataFrame:
     """Every row of ``left`` beside every row of ``right``, both blocks of
-    bounded size.  The right side is dealt to as many groups as a shuffle has
-    partitions and stays there; the left side visits each group.  Neither side
-    is broadcast, whatever its size is taken for, and a block is made once."""
-    groups = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounded size.  The right side, blocks of ``n`` vectors, is dealt to as many
+    groups as a shuffle has partitions, or fewer for few, and stays there; the
+    left side visits each group.  Neither side is broadcast, whatever its size
+    is taken for, and a block is made once."""
+    groups = max(1, min(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * n // BLOCK))
     visiting = left.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     staying = right.withColumn("_group", F.pmod(F.xxhash64(right_id), F.lit(groups)).cast("int"))
     return visiting.repartition("_group").join(staying.repartition("_group").hint("shuffle_hash"), "_group").drop("_group")
@@ -124,9 +125,9 @@ def ranks_among(queries: DataFrame, some: DataFrame, others: DataFrame, query_id
     own = nearest(queries, some, None, query_id, base_id, vector)
     q = in_blocks(queries, query_id, vector, ("qb", "qids", "qm"))
     s = in_blocks(some, base_id, vector, ("sb", "sids", "sm"))
-    asked = each_with_each(q, s, "qb", "sb").withColumn("ab", F.struct("qb", "sb"))
+    asked = each_with_each(q, s, "qb", "sb", some.count()).withColumn("ab", F.struct("qb", "sb"))
     b = in_blocks(others, base_id, vector, ("bb", "bids", "bm"))
-    met = each_with_each(asked, b, "ab", "bb").select("qids", "qm", "sids", "sm", "bids", "bm")
+    met = each_with_each(asked, b, "ab", "bb", others.count()).select("qids", "qm", "sids", "sm", "bids", "bm")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
