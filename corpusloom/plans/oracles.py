@@ -280,3 +280,43 @@ ORACLES["new_terms"] = f"""WITH q AS (
   SELECT r_name || ' Zone' AS term, {KEY.format(t="r_name || ' Zone'")} AS slug, NULL AS refused, 'zone ' || r_regionkey AS a, 'A part of the world.' AS d FROM region
   UNION ALL SELECT n_name || '!', k, k || ' is taken by ' || k, '', 'A one-line definition — state the meaning atomically, one term, one idea.' FROM (SELECT n_name, {KEY.format(t='n_name')} AS k FROM nation))
 SELECT term, slug, refused, sha256({TERM_NOTE.format(a='a', t='term', d='d')}) AS text_sha256 FROM q"""
+
+# Vaults.
+VAULT_NOTES = f"""d AS (SELECT *, ['projects', 'areas', 'resources', 'archive', 'templates'][doc_id % 5 + 1] AS root FROM documents),
+notes AS (SELECT root || '/' || source || '/n' || doc_id AS p, root, doc_id, lang || '|' || source AS tags, {NOTE} AS note FROM d)"""
+ORACLES["vault_seeded_notes"] = f"""WITH {VAULT_NOTES} SELECT p || '.md' AS source_file, root, 'n' || doc_id AS stem, tags, sha256(note) AS text_sha256, 'sha256:' || sha256({BODY.format(t='note')}) AS content_hash FROM notes WHERE root <> 'templates'"""
+ORACLES["vault_wiped"] = f"""WITH {VAULT_NOTES}, files AS (
+  SELECT p || '.md' AS path, strlen(note) AS size, root <> 'templates' AS removed FROM notes
+  UNION ALL SELECT replace(p, '/n', '/.n') || '.embed.json', 2, root <> 'templates' FROM notes UNION ALL SELECT p || '.txt', 2, false FROM notes)
+SELECT * FROM files"""
+ORACLES["intake_moved"] = """WITH f AS (SELECT doc_id % 2 || '/' || source || '/n' || doc_id // 2 || CASE WHEN lang = 'de' THEN '.txt' ELSE '.PDF' END AS path, 'areas/n' || doc_id // 2 || CASE WHEN lang = 'de' THEN '.txt' ELSE '.PDF' END AS place, strlen(coalesce(text, '')) AS size FROM documents),
+t AS (SELECT DISTINCT 'areas/n' || doc_id || '.PDF' AS place FROM documents WHERE lang = 'fr'),
+c AS (SELECT *, place LIKE '%.PDF' AND place NOT IN (SELECT place FROM t) AND path = min(path) OVER (PARTITION BY place) AS moves FROM f)
+SELECT 'vault/' || place AS path, 3 AS size, 'vault' AS place FROM t UNION ALL SELECT 'vault/' || place, size, 'vault' FROM c WHERE moves UNION ALL SELECT path, size, 'inbox' FROM c WHERE NOT moves"""
+ORACLES["term_files"] = f"""WITH b AS (SELECT c_name AS t, 'customer of nation ' || c_nationkey AS a, c_acctbal < 0 AS debt FROM customer UNION ALL SELECT s_name, 'supplier of nation ' || s_nationkey, s_acctbal < 0 FROM supplier),
+x AS (SELECT *, CASE WHEN debt THEN 'In debt.' ELSE 'A one-line definition — state the meaning atomically, one term, one idea.' END AS said FROM b WHERE NOT (debt AND t LIKE '%7'))
+SELECT trim(regexp_replace(lower(t), '[^a-z0-9]+', '-', 'g'), '-') AS slug, t AS display, a || '|party' AS aliases, sha256({TERM_NOTE.format(a="a, ', ', chr(39), 'party', chr(39)", t='t', d='said')}) AS text_sha256 FROM x"""
+ORACLES["note_index_upkeep"] = f"""WITH n AS (SELECT *, lang = 'en' AND source = 'src3' AS gone, {NOTE} AS t FROM documents WHERE lang <> 'fr'),
+m AS (SELECT doc_id, lang, source, gone, {BODY.format(t="(CASE WHEN lang = 'de' THEN t || ' geändert' ELSE t END)")} AS body FROM n)
+SELECT 'vault/' || CASE WHEN lang = 'es' THEN 'archive' ELSE 'areas' END || '/n' || doc_id || '.md' AS source_file, 'sha256:' || sha256(body) AS content_hash, 8 AS dim,
+  CASE WHEN NOT gone THEN sha256(body) END AS body_sha256, CASE WHEN NOT gone THEN lang || '|' || source END AS tags FROM m"""
+REWRITTEN = NOTE.replace("'tags: [', lang, ', ''', source, ''']'", "'tags: [', tags, ']'")
+ORACLES["tag_rewrite"] = f"""WITH n AS (SELECT *, [x FOR x IN [CASE lang WHEN 'en' THEN 'english' WHEN 'fr' THEN '' ELSE lang END, CASE source WHEN 'src3' THEN 'fr' ELSE source END] IF x <> ''] AS new FROM documents WHERE lang IN ('en', 'fr') OR source = 'src3'),
+m AS (SELECT doc_id, lang, source, text, new, array_to_string(new, ', ') AS tags FROM n)
+SELECT doc_id, sha256({REWRITTEN}) AS text_sha256, array_to_string(new, '|') AS tags FROM m"""
+ORACLES["composed_notes"] = f"""WITH {VARIANTS}, titles AS (SELECT p_name AS title, count(*) AS n, bool_or(p_size = 7) AS taken, replace(p_name, ' ', '-') AS slug FROM part GROUP BY p_name),
+tags AS (SELECT title, unnest([slug || 's', 'part']) AS tag FROM titles),
+hints AS (SELECT title, string_agg(DISTINCT tag || ' ~ ' || first, '|' ORDER BY tag || ' ~ ' || first) AS hints FROM (
+  SELECT title, t.tag, min(v.tag) AS first FROM tags t JOIN vocabulary v ON t.tag <> v.tag AND {near('t.tag', 'v.tag')} GROUP BY ALL) GROUP BY title)
+SELECT title, slug, taken, sha256(concat('---', chr(10), 'tags: [', slug, 's, part]', chr(10), '---', chr(10), chr(10), '# ', title, chr(10), chr(10), 'Parts of this name: ', n, chr(10))) AS text_sha256, coalesce(hints, '') AS hints
+FROM titles LEFT JOIN hints USING (title)"""
+# A phrase of two words is a term that stands where its words do; lengths are of words.
+PHRASES = (
+    f"words AS (SELECT doc_id AS id, regexp_extract_all(lower(strip_accents(text)), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+') AS ws, lang FROM documents), "
+    "tokens AS (SELECT id, unnest(ws) AS term FROM words UNION ALL SELECT id, lang FROM words UNION ALL SELECT id, unnest(list_transform(list_zip(ws[:-2], ws[2:]), lambda x: x[1] || ' ' || x[2])) FROM words UNION ALL SELECT id, ws[-1] || ' ' || lang FROM words WHERE len(ws) > 0), "
+    "postings AS (SELECT term, id, count(*) AS tf FROM tokens GROUP BY ALL), lengths AS (SELECT id, len(ws) + 1 AS dl FROM words), "
+)
+ORACLES["bm25_phrases"] = (
+    f"WITH {PHRASES}" + BM25.replace("{all}", "documents").replace("{lengths}", "lengths").replace("strip_accents(word) AS term", "replace(strip_accents(word), '_', ' ') AS term").replace("regexp_extract_all(lower(text),", "regexp_extract_all(lower(regexp_replace(text, '([\\p{L}\\p{N}]+) ([\\p{L}\\p{N}]+)', '\\1_\\2', 'g')),")
+    + " SELECT query_id, rank, id AS doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scores) WHERE rank <= 20"
+)

@@ -13,8 +13,8 @@ from ..functions.embedding import HashEmbedder, let
 from ..operators import audit, blocks, cells, changes, chunking, glossary, graph, lexical, patches, search, tags, vectors
 from ..settings import Settings
 from ..sources.index import Draft, VersionedTable
-from ..sources import sidecars
-from ..sources.notes import read_sidecars
+from ..sources import sidecars, vault
+from ..sources.notes import read_glossary, read_notes, read_sidecars
 from ..sources.shared import work_folder
 from ..streaming.apply import read_feed, stream_changes
 from ..streaming.staged import follow, with_state_store
@@ -200,6 +200,15 @@ def bm25_unindexed(spark, sf_dir):
     return lexical.ranked(scores, 20).select("query_id", "rank", F.col("id").alias("doc_id"), "score")
 
 
+@query
+def bm25_phrases(spark, sf_dir):
+    """Questions whose words are joined in pairs by ``_``: phrases of two words."""
+    pairs = F.regexp_replace("text", r"([\p{L}\p{N}]+) ([\p{L}\p{N}]+)", "$1_$2")
+    asked = benchmark_queries(spark, sf_dir, False).withColumn("text", pairs)
+    scores = lexical.bm25(asked, document_index(spark, sf_dir))
+    return lexical.ranked(scores, 20).select("query_id", "rank", F.col("id").alias("doc_id"), "score")
+
+
 @query
 def bm25_within_source(spark, sf_dir):
     scores = blocks.top(benchmark_queries(spark, sf_dir, False), stored_words(spark, sf_dir), None).drop("rank")
@@ -446,6 +455,18 @@ def tag_write_hint(spark, sf_dir):
     return tags.write_hints(proposed, variant_tags(spark, sf_dir)).select("tag", F.array_join("existing", "|").alias("existing"), "first")
 
 
+@query
+def composed_notes(spark, sf_dir):
+    """A new note for each name of a part: its place, whether it is taken, its
+    text, and the tags that nearly exist."""
+    p = table(spark, sf_dir, "part")
+    asked = p.groupBy(F.col("p_name").alias("title")).agg(F.count("*").alias("n"))
+    asked = asked.select("title", F.concat(F.lit("Parts of this name: "), F.col("n").cast("string")).alias("body"), F.array(F.concat(F.translate("title", " ", "-"), F.lit("s")), F.lit("part")).alias("tags"))
+    there = p.where("p_size = 7").select(F.concat(F.lit("areas/"), F.translate("p_name", " ", "-"), F.lit(".md")).alias("source_file"))
+    made = api.compose_notes(asked, there, variant_tags(spark, sf_dir))
+    return made.select("title", "slug", F.col("exists").alias("taken"), F.sha2("text", 256).alias("text_sha256"), F.array_join("hints", "|").alias("hints"))
+
+
 @query
 def tag_apply_mapping(spark, sf_dir):
     found = tags.apply_mapping(part_notes(spark, sf_dir), MAPPING)
@@ -651,6 +672,27 @@ def passage_index_upkeep(spark, sf_dir):
     return index.read().groupBy("source_file").agg(F.count("*").alias("chunks"), F.count_distinct("id").alias("numbers")).join(index.sources(), "source_file").crossJoin(F.broadcast(stats))
 
 
+@query
+def note_index_upkeep(spark, sf_dir):
+    """A stored note index of all documents after a feed that deletes the
+    French ones, changes the German ones, renames the Spanish ones and modifies
+    those of a source whose files are gone: which rows of which layer are left."""
+    path = lambda folder: F.concat(F.lit(f"vault/{folder}/n"), F.col("doc_id").cast("string"), F.lit(".md"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", path("areas").alias("path"), path("archive").alias("new_path"), note_text().alias("text"))
+    before = d.select(F.col("path").alias("source_file"), "text")
+    small = HashEmbedder(8)
+    index = api.NoteIndex(spark, work_folder(spark, "notes"))
+    index.build(before, api.embed_notes(before, embedder=small), dim=8)
+    gone = (F.col("lang") == "en") & (F.col("source") == "src3")
+    status = F.when(F.col("lang") == "fr", "D").when(F.col("lang") == "de", "M").when(F.col("lang") == "es", "R100").when(gone, "M")
+    feed = d.select(status.alias("status"), "path", F.when(F.col("lang") == "es", F.col("new_path")).alias("new_path"), F.col("doc_id").alias("seq")).where("status is not null")
+    now = d.where(~gone & (F.col("lang") != "fr")).select(F.when(F.col("lang") == "es", F.col("new_path")).otherwise(F.col("path")).alias("source_file"), F.when(F.col("lang") == "de", F.concat("text", F.lit(" geändert"))).otherwise(F.col("text")).alias("text"))
+    index.apply(feed, now, small)
+    v = index.vectors.read().select("source_file", "content_hash", F.size("vector").alias("dim"))
+    b = index.bodies.read().select("source_file", F.sha2("body", 256).alias("body_sha256"), F.array_join("tags", "|").alias("tags"))
+    return v.join(b, "source_file", "full")
+
+
 def event_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as commits: the user is the note, the kind of event its status."""
     kinds = {"signup": "A", "view": "M", "click": "C100", "error": "D", "purchase": "R090"}
@@ -741,6 +783,63 @@ def chunk_sidecar_files(spark, sf_dir):
     return found.select("sidecar", "doc_kind", "source_file", "chunk_tokens", "c.chunk_id", "c.page", "c.char_start", "c.char_end", T.raw_hash(F.col("c.text")).alias("text_hash"), F.size("c.vector").alias("dim"))
 
 
+def vault_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a note (path, content): below the notes' roots, or of templates."""
+    root = F.element_at(F.array(*map(F.lit, [*T.ROOTS, "templates"])), (F.col("doc_id") % 5 + 1).cast("int"))
+    path = F.concat(root, F.lit("/"), "source", F.lit("/n"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit(""))).select(path.alias("path"), note_text().alias("content"))
+
+
+@query
+def vault_seeded_notes(spark, sf_dir):
+    """Every document's note in a folder of seeds, seeded to a vault twice, and what a scan of the vault finds."""
+    seeds, base = work_folder(spark, "seeds"), work_folder(spark, "vault")
+    sidecars.write_files(vault_notes(spark, sf_dir), seeds)
+    vault.seed(spark, seeds, base)
+    vault.seed(spark, seeds, base)
+    found = read_notes(spark, base)
+    return found.select("source_file", "root", "stem", F.array_join("tags", "|").alias("tags"), F.sha2("text", 256).alias("text_sha256"), T.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query
+def vault_wiped(spark, sf_dir):
+    """What a wipe removes from a vault of notes, sidecars and other files, and what it leaves."""
+    base = work_folder(spark, "vault")
+    notes = vault_notes(spark, sf_dir)
+    beside = notes.select(F.explode(F.array(T.sidecar_path(F.col("path")), F.regexp_replace("path", "[.]md$", ".txt"))).alias("path"), F.lit("{}").alias("content"))
+    sidecars.write_files(notes.unionByName(beside), base)
+    removed = vault.wipe(spark, base, force=True)
+    return removed.withColumn("removed", F.lit(True)).unionByName(vault.list_vault(spark, base).withColumn("removed", F.lit(False)))
+
+
+@query
+def intake_moved(spark, sf_dir):
+    """Documents as files of an inbox, moved to their places unless refused: the vault's and the inbox's files after it."""
+    inbox, base = work_folder(spark, "inbox"), work_folder(spark, "vault")
+    half = F.floor(F.col("doc_id") / 2).cast("string")
+    name = F.concat(F.lit("n"), half, F.when(F.col("lang") == "de", ".txt").otherwise(".PDF"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("content"), F.concat((F.col("doc_id") % 2).cast("string"), F.lit("/"), "source", F.lit("/"), name).alias("path"))
+    there = d.where("lang = 'fr'").select(F.concat(F.lit("vault/areas/n"), F.col("doc_id").cast("string"), F.lit(".PDF")).alias("path"), F.lit("old").alias("content"))
+    sidecars.write_files(d.select("path", "content"), inbox)
+    sidecars.write_files(there, base)
+    asked = vault.list_vault(spark, inbox).select("path")
+    checked = api.check_intake(asked, vault.list_vault(spark, base).withColumnRenamed("path", "source_file"), "areas")
+    vault.take_in(checked.where("refused is null").select(F.col("source_file").alias("path"), F.col("path").alias("source")), inbox, base, move=True)
+    return vault.list_vault(spark, base).withColumn("place", F.lit("vault")).unionByName(vault.list_vault(spark, inbox).withColumn("place", F.lit("inbox")))
+
+
+@query
+def term_files(spark, sf_dir):
+    """Customers and suppliers as terms' notes in a folder, read again as a glossary; drafts in it are no terms."""
+    named = lambda t, c: table(spark, sf_dir, t).select(F.col(f"{c}_name").alias("term"), F.array(F.concat(F.lit(t + " of nation "), F.col(f"{c}_nationkey").cast("string")), F.lit("'party'")).alias("aliases"), F.when(F.col(f"{c}_acctbal") < 0, "  In debt. ").alias("said"))
+    both = named("customer", "c").unionByName(named("supplier", "s"))
+    draft = F.when(F.col("said").isNotNull() & F.col("term").endswith("7"), "_").otherwise("")
+    files = both.select(F.concat(draft, T.slugify_title(F.col("term")), F.lit(".md")).alias("path"), T.term_note(F.col("term"), F.col("said"), F.col("aliases")).alias("content"))
+    folder = work_folder(spark, "terms")
+    sidecars.write_files(files, folder)
+    return read_glossary(spark, folder).select("slug", "display", F.array_join("aliases", "|").alias("aliases"), F.sha2("text", 256).alias("text_sha256"))
+
+
 # Write passes
 
 

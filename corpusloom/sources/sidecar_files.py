@@ -67,7 +67,7 @@ class SidecarReader(DataSourceReader):
     def read(self, folder: Folder) -> Iterator[pa.RecordBatch]:
         system, root = opened(self.base)
         names, texts = [], []
-        for path in walk(system, posixpath.join(root, folder.path) if folder.path else root, folder.deep):
+        for path in (f.path for f in files_below(system, posixpath.join(root, folder.path) if folder.path else root, folder.deep) if is_sidecar(f.base_name)):
             names.append(path[len(root) :].lstrip("/"))
             with system.open_input_stream(path) as file:
                 texts.append(file.read().decode("utf-8", "replace"))
@@ -78,14 +78,14 @@ class SidecarReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(texts)], ["sidecar", "json"])
 
 
-def walk(system, folder: str, deep: bool) -> Iterator[str]:
-    """The sidecars of a folder, a folder's list at a time."""
+def files_below(system, folder: str, deep: bool) -> Iterator:
+    """The files of a folder in order, a folder's list at a time."""
     from pyarrow.fs import FileSelector, FileType
 
     left = [folder]
     while left:
         found = sorted(system.get_file_info(FileSelector(left.pop(), allow_not_found=True)), key=lambda f: f.path)
-        yield from (f.path for f in found if f.type == FileType.File and is_sidecar(f.base_name))
+        yield from (f for f in found if f.type == FileType.File)
         if deep:
             left += [f.path for f in reversed(found) if f.type == FileType.Directory]
 
@@ -111,16 +111,20 @@ class SidecarWriter(DataSourceArrowWriter):
         system.create_dir(folder, recursive=True)
         files = []
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                clean = posixpath.normpath(path)
+            for row in batch.to_pylist():
+                clean = posixpath.normpath(row["path"])
                 if clean.startswith(("..", "/")):
-                    raise ValueError(f"{path!r} is outside")
+                    raise ValueError(f"{row['path']!r} is outside")
                 draft = f"{folder}/{uuid.uuid4().hex}"
                 with system.open_output_stream(draft) as out:
-                    out.write(content.encode())
+                    self.fill(out, row)
                 files.append((draft, clean))
         return Written(files)
 
+    def fill(self, out, row: dict) -> None:
+        """The content of a row's file."""
+        out.write(row["content"].encode())
+
     def commit(self, messages: list[Written | None]) -> None:
         system, root = opened(self.base)
         files = [f for m in messages if m for f in m.files]

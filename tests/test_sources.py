@@ -161,3 +161,69 @@ def test_shared_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="checkpoint"):
         shared_folder(Session)
+
+
+def files_below(folder):
+    return {str(f.relative_to(folder)): f.read_text() for f in sorted(folder.rglob("*")) if f.is_file()}
+
+
+@pytest.fixture
+def inbox(tmp_path):
+    for path, text in {"in/a.pdf": "one", "in/deep/er/b c.pdf": "zwei ä", "out/areas/old.pdf": "old"}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    return tmp_path
+
+
+def asked(spark, *rows):
+    return spark.createDataFrame(rows, "path string, source string").repartition(2)
+
+
+def test_files_are_taken_in(spark, inbox):
+    from corpusloom.sources import vault as V
+
+    at = lambda name: f"file://{inbox}/{name}"
+    rows = asked(spark, ("areas/a.pdf", "a.pdf"), ("areas/b.pdf", "deep/er/b c.pdf"))
+    V.take_in(rows, at("in"), at("out"))
+    assert len(files_below(inbox / "in")) == 2
+    assert files_below(inbox / "out") == {"areas/a.pdf": "one", "areas/b.pdf": "zwei ä", "areas/old.pdf": "old"}
+    V.take_in(asked(spark, ("areas/c.pdf", "a.pdf")), at("in"), at("out"), move=True)
+    assert list(files_below(inbox / "in")) == ["deep/er/b c.pdf"] and files_below(inbox / "out")["areas/c.pdf"] == "one"
+    V.take_in(rows.limit(0), at("in"), at("out"), move=True)
+    assert {(r.path, r.size) for r in V.list_vault(spark, at("out")).collect()} == {("areas/a.pdf", 3), ("areas/b.pdf", 7), ("areas/c.pdf", 3), ("areas/old.pdf", 3)}
+    assert V.list_vault(spark, at("nothing")).count() == 0
+
+
+@pytest.mark.parametrize("rows", [
+    [("areas/x.pdf", "a.pdf"), ("areas/old.pdf", "deep/er/b c.pdf")],  # a place is taken
+    [("areas/x.pdf", "a.pdf"), ("areas/x.pdf", "deep/er/b c.pdf")],  # two files, one place
+    [("areas/x.pdf", "a.pdf"), ("areas/y.pdf", "missing.pdf")],
+    [("areas/x.pdf", "a.pdf"), ("../y.pdf", "a.pdf")],
+])
+def test_a_failed_intake_changes_nothing(spark, inbox, rows):
+    from corpusloom.sources import vault as V
+
+    before = files_below(inbox)
+    with pytest.raises(Exception):  # noqa: B017
+        V.take_in(asked(spark, *rows), f"file://{inbox}/in", f"file://{inbox}/out", move=True)
+    assert files_below(inbox) == before and not (inbox / "out/_drafts").exists()
+
+
+def test_seed_and_wipe(spark, inbox):
+    from corpusloom.sources import vault as V
+
+    kept = {"areas/.gitkeep": "", "areas/x.txt": "x", "config/n.md": "c", ".obsidian/areas/n.md": "o", "n.md": "top"}
+    for path, text in (kept | {"areas/n.md": "n", "areas/a/b/c/.n.embed.json": "{}", "projects/p q.md": "p"}).items():
+        (inbox / "seeds" / path).parent.mkdir(parents=True, exist_ok=True)
+        (inbox / "seeds" / path).write_text(text)
+    base = f"file://{inbox}/v"
+    (inbox / "v/areas").mkdir(parents=True)
+    (inbox / "v/areas/n.md").write_text("edited")
+    for _ in range(2):
+        V.seed(spark, f"file://{inbox}/seeds", base)
+        assert files_below(inbox / "v") == files_below(inbox / "seeds")
+    gone = {"areas/n.md", "areas/a/b/c/.n.embed.json", "projects/p q.md"}
+    assert {r.path for r in V.wipe(spark, base).collect()} == gone and files_below(inbox / "v") == files_below(inbox / "seeds")
+    assert {r.path for r in V.wipe(spark, base, force=True).collect()} == gone
+    assert files_below(inbox / "v") == kept and (inbox / "v/areas/a/b/c").is_dir()
+    assert V.wipe(spark, base, force=True).count() == 0
