@@ -320,3 +320,23 @@ ORACLES["bm25_phrases"] = (
     f"WITH {PHRASES}" + BM25.replace("{all}", "documents").replace("{lengths}", "lengths").replace("strip_accents(word) AS term", "replace(strip_accents(word), '_', ' ') AS term").replace("regexp_extract_all(lower(text),", "regexp_extract_all(lower(regexp_replace(text, '([\\p{L}\\p{N}]+) ([\\p{L}\\p{N}]+)', '\\1_\\2', 'g')),")
     + " SELECT query_id, rank, id AS doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scores) WHERE rank <= 20"
 )
+
+# Mappings and scans of files.
+ORACLES["tag_mapping_files"] = f"""WITH {PART_TAGS}, m AS (SELECT source_file, array_to_string(tags, '|') AS old, unnest(range(len(tags))) AS i, unnest(tags) AS t FROM notes),
+w AS (SELECT source_file, old, i, CASE WHEN i < 2 THEN CASE WHEN t LIKE 'r%' THEN 'r' WHEN contains(t, 'a') THEN '' ELSE t END WHEN i = 2 THEN lower(t) ELSE lower(replace(t, '_', '-')) END AS t FROM m),
+f AS (SELECT source_file, old, t, min(i) AS i FROM w WHERE t <> '' GROUP BY ALL)
+SELECT source_file, old, string_agg(t, '|' ORDER BY i) AS new FROM f GROUP BY source_file, old HAVING old <> new"""
+ORACLES["tag_rewrite_by_table"] = f"""WITH f AS (SELECT source, arg_min(lang, doc_id) AS first FROM documents GROUP BY source),
+m AS (SELECT doc_id, lang, source, text, CASE WHEN lang = first THEN [lang] ELSE [lang, first] END AS new, array_to_string(new, ', ') AS tags FROM documents JOIN f USING (source))
+SELECT doc_id, sha256({REWRITTEN}) AS text_sha256, array_to_string(new, '|') AS tags FROM m"""
+ORACLES["tag_hygiene_json"] = f"""WITH {RARE_TAGS}, {CARRIED}, t AS (SELECT count(*) AS total FROM notes), v AS (SELECT tag FROM n WHERE n / (SELECT total FROM t) < 0.8),
+both_ AS (SELECT a.tag AS a, b.tag AS b, count(*) AS k FROM carried a JOIN carried b USING (source_file) WHERE a.tag < b.tag GROUP BY ALL)
+SELECT 'near_universal' AS kind, to_json({{'tag': tag, 'fraction': n / total}})::VARCHAR AS json FROM n, t WHERE n / total >= 0.8
+UNION ALL SELECT 'singleton', to_json({{'tag': tag, 'note': min(source_file)::VARCHAR}})::VARCHAR FROM carried GROUP BY tag HAVING count(*) = 1
+UNION ALL SELECT 'near_miss', to_json([x.tag, y.tag])::VARCHAR FROM v x JOIN v y ON x.tag < y.tag WHERE {near('x.tag', 'y.tag')}
+UNION ALL SELECT 'format_lint', to_json({{'tag': tag, 'reason': 'underscore'}})::VARCHAR FROM n WHERE contains(tag, '_')
+UNION ALL SELECT 'overlap', to_json({{'tags': [a, b], 'jaccard': k / (x.n + y.n - k)}})::VARCHAR FROM both_ JOIN n x ON x.tag = a JOIN n y ON y.tag = b WHERE k / (x.n + y.n - k) >= 0.6 AND x.n + y.n - k >= 2"""
+ORACLES["link_invariance"] = f"""WITH d AS (SELECT doc_id, '[[re|the of]] ' || text AS t FROM documents) SELECT doc_id, 'sha256:' || sha256({BODY.format(t='t')}) AS content_hash FROM d"""
+ORACLES["inbox_listing"] = """SELECT name, size FROM (SELECT CASE WHEN lang = 'en' THEN 'N' ELSE 'n' END || doc_id || '.pdf' AS name, strlen(coalesce(text, '')) AS size FROM documents WHERE source <> 'src1') ORDER BY lower(name), name LIMIT 50 OFFSET 50"""
+ORACLES["sidecar_states"] = """SELECT 'areas/' || source || '/.n' || doc_id || '.embed.json' AS sidecar, CASE lang WHEN 'fr' THEN 'unreadable' WHEN 'es' THEN 'chunked' ELSE 'note' END AS doc_kind,
+  CASE WHEN lang <> 'fr' THEN 'areas/' || source || '/n' || doc_id || '.md' END AS source_file, CASE WHEN lang = 'es' THEN sha256(text) END AS text_sha256 FROM documents"""

@@ -14,7 +14,7 @@ from ..operators import audit, blocks, cells, changes, chunking, glossary, graph
 from ..settings import Settings
 from ..sources.index import Draft, VersionedTable
 from ..sources import sidecars, vault
-from ..sources.notes import read_glossary, read_notes, read_sidecars
+from ..sources.notes import list_files, read_glossary, read_notes, read_sidecars
 from ..sources.shared import work_folder
 from ..streaming.apply import read_feed, stream_changes
 from ..streaming.staged import follow, with_state_store
@@ -480,6 +480,41 @@ def tag_rewrite(spark, sf_dir):
     return changed.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.array_join("tags", "|").alias("tags"))
 
 
+def tag_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mapping of the brands, types and names' words of all parts, written as
+    three files, one of them JSON, and read."""
+    p = table(spark, sf_dir, "part")
+    lines = lambda rows, line: rows.distinct().agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("content"))
+    brand = lines(p.select(F.translate("p_brand", "#", "_").alias("t")), F.concat("t", F.lit(" -> "), F.lower(F.translate("t", "_", "-")), F.lit("  # a brand")))
+    words = lines(p.select(F.explode(F.split("p_name", " ")).alias("t")), F.concat("t", F.when(F.col("t").startswith("r"), " = r").when(F.col("t").contains("a"), ":").otherwise(F.concat(F.lit(" : "), "t"))))
+    types = p.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_set(F.struct("p_type", F.lower("p_type")))))).alias("content"))
+    named = lambda rows, name: rows.select(F.lit(name).alias("path"), "content")
+    folder = work_folder(spark, "mapping")
+    sidecars.write_files(named(brand, "brand.txt").unionByName(named(words, "words.txt")).unionByName(named(types, "types.json")), folder)
+    return tags.read_mapping(spark, folder)
+
+
+@query
+def tag_mapping_files(spark, sf_dir):
+    """The tags of all parts renamed, merged and removed as mapping files say."""
+    found = tags.map_tags(part_notes(spark, sf_dir), tag_mapping(spark, sf_dir))
+    return found.select("source_file", F.array_join("old", "|").alias("old"), F.array_join("new", "|").alias("new"))
+
+
+@query
+def tag_rewrite_by_table(spark, sf_dir):
+    """The documents' tags rewritten by a mapping that is a table: each source's name to its first document's language."""
+    d = table(spark, sf_dir, "documents")
+    mapping = d.groupBy(F.col("source").alias("old")).agg(F.min_by("lang", "doc_id").alias("new"))
+    notes = d.select("doc_id", note_text().alias("text")).withColumn("tags", T.parse_tags(F.col("text")))
+    return tags.rewrite_tags_by(notes, mapping, "doc_id").select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.array_join("tags", "|").alias("tags"))
+
+
+@query
+def tag_hygiene_json(spark, sf_dir):
+    return tags.hygiene_json(tags.hygiene_report(rare_tags(spark, sf_dir)))
+
+
 @query
 def tag_hygiene_report(spark, sf_dir):
     return tags.hygiene_report(rare_tags(spark, sf_dir)).withColumn("value", F.round("value", 6))
@@ -562,6 +597,16 @@ def glossary_link_first(spark, sf_dir):
     return made.select("doc_id", F.sha2("new_body", 256).alias("body_sha256"), F.array_join("linked", "|").alias("linked"))
 
 
+@query
+def link_invariance(spark, sf_dir):
+    """Every document's content hash after its terms are linked and related
+    notes are put in its head: that of the document as it was."""
+    d = linkable(spark, sf_dir)
+    linked = d.join(glossary.link_terms(d, TERMS, "doc_id").select("doc_id", "new_body"), "doc_id", "left")
+    text = graph.apply_links(F.coalesce("new_body", "body"), F.array(F.lit("near"), F.lit("far")))
+    return linked.select("doc_id", T.content_hash(text).alias("content_hash"))
+
+
 @query
 def link_lines(spark, sf_dir):
     """The related block that each vector's mutual links put into a note."""
@@ -828,6 +873,29 @@ def intake_moved(spark, sf_dir):
     return vault.list_vault(spark, base).withColumn("place", F.lit("vault")).unionByName(vault.list_vault(spark, inbox).withColumn("place", F.lit("inbox")))
 
 
+@query
+def inbox_listing(spark, sf_dir):
+    """Documents as files of an inbox: the second page of its names."""
+    folder = work_folder(spark, "inbox")
+    name = F.concat(F.when(F.col("lang") == "en", "N").otherwise("n"), F.col("doc_id").cast("string"), F.when(F.col("source") == "src1", ".txt").otherwise(".pdf"))
+    sidecars.write_files(table(spark, sf_dir, "documents").select(name.alias("path"), F.coalesce("text", F.lit("")).alias("content")), folder)
+    return list_files(spark, folder, newest_first=False, offset=50, limit=50).select("name", "size")
+
+
+@query
+def sidecar_states(spark, sf_dir):
+    """Every document's sidecar, of a note, of a chunked source, or cut short, as a scan tells them apart."""
+    path = F.concat(F.lit("areas/"), "source", F.lit("/n"), F.col("doc_id").cast("string"), F.lit(".md"))
+    chunks = F.when(F.col("lang") == "es", F.array(F.struct(F.lit(0).alias("chunk_id"), F.col("text"))))
+    said = F.to_json(F.struct(path.alias("source_file"), F.lit("test").alias("type"), chunks.alias("chunks")))
+    cut = F.when(F.col("lang") == "fr", F.substring(said, F.lit(1), F.length(said) - 1)).otherwise(said)
+    base = work_folder(spark, "sidecars")
+    sidecars.write_files(table(spark, sf_dir, "documents").select(T.sidecar_path(path).alias("path"), cut.alias("content")), base)
+    found = read_sidecars(spark, base)
+    whole = F.col("doc_kind") != "unreadable"
+    return found.select("sidecar", "doc_kind", F.when(whole, F.col("source_file")).alias("source_file"), F.when(whole, F.sha2(F.col("chunks")[0]["text"], 256)).alias("text_sha256"))
+
+
 @query
 def term_files(spark, sf_dir):
     """Customers and suppliers as terms' notes in a folder, read again as a glossary; drafts in it are no terms."""

@@ -25,7 +25,7 @@ def test_entry_runs(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["knn_graph_neighbors", "bm25_topk", "rrf_hybrid_search", "chunk_offsets", "chunk_page_asof", "canonical_body", "parse_tags", "tag_near_miss", "tag_apply_mapping", "glossary_lookup", "layer_audit", "incremental_apply", "stream_apply_equals_batch", "knn_graph_mutual_links", "tag_singletons", "passage_fetch", "layer_verdict", "repair_plan", "knn_calibration", "tag_hygiene_lines", "glossary_listing", "glossary_unlinked", "notes_under_root", "ingest_summary", "long_documents", "knn_indexed", "knn_graph_indexed", "knn_probed_recall", "bm25_unindexed", "bm25_within_source", "passage_best_per_source", "passage_within_document", "staged_notes", "stream_scoped_state", "note_sidecar_files", "chunk_sidecar_files", "link_pass_patches", "frontmatter_splits", "linked_forms", "hit_lines", "paged_repair", "intake_check", "passage_index_upkeep", "new_terms", "tag_hygiene_report", "vault_seeded_notes", "vault_wiped", "intake_moved", "term_files", "note_index_upkeep", "tag_rewrite", "composed_notes", "bm25_phrases"])
+@pytest.mark.parametrize("name", ["knn_graph_neighbors", "bm25_topk", "rrf_hybrid_search", "chunk_offsets", "chunk_page_asof", "canonical_body", "parse_tags", "tag_near_miss", "tag_apply_mapping", "glossary_lookup", "layer_audit", "incremental_apply", "stream_apply_equals_batch", "knn_graph_mutual_links", "tag_singletons", "passage_fetch", "layer_verdict", "repair_plan", "knn_calibration", "tag_hygiene_lines", "glossary_listing", "glossary_unlinked", "notes_under_root", "ingest_summary", "long_documents", "knn_indexed", "knn_graph_indexed", "knn_probed_recall", "bm25_unindexed", "bm25_within_source", "passage_best_per_source", "passage_within_document", "staged_notes", "stream_scoped_state", "note_sidecar_files", "chunk_sidecar_files", "link_pass_patches", "frontmatter_splits", "linked_forms", "hit_lines", "paged_repair", "intake_check", "passage_index_upkeep", "new_terms", "tag_hygiene_report", "vault_seeded_notes", "vault_wiped", "intake_moved", "term_files", "note_index_upkeep", "tag_rewrite", "composed_notes", "bm25_phrases", "tag_mapping_files", "tag_rewrite_by_table", "tag_hygiene_json", "link_invariance", "inbox_listing", "sidecar_states"])
 def test_queries_equal_their_sql(spark, name):
     import __spark_entry__
 

@@ -344,3 +344,34 @@ def test_tokens_of_other_alphabets(spark):
         want = duckdb.execute(r"SELECT regexp_extract_all(lower(strip_accents(?)), '[\p{L}\p{N}\p{Co}]+')", [t]).fetchone()[0]
         assert got[i] == want, t
 
+
+def test_mapping_files(spark, tmp_path):
+    texts = {"a.txt": "a -> b # why\n\nc: d\r\ne = f\ng ->\n  h\t:\ti = j  \n# all said\nx -> y:z\né= è", "b.json": ' {"k": "l", "m": ""}', "c.txt": "a : twice\na = last", "d.txt": ""}
+    want = {}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text, newline="")
+        want |= tags.parse_mapping(text)
+    rows = tags.read_mapping(spark, str(tmp_path)).collect()
+    assert {r.old: r.new for r in rows} == want and len(rows) == len(want) == 9
+    for i, bad in enumerate(("no arrow", "fine -> x\n -> y", ": z")):
+        (tmp_path / f"bad{i}").mkdir()
+        (tmp_path / f"bad{i}/m.txt").write_text(bad)
+        with pytest.raises(Exception, match="has no"):
+            tags.read_mapping(spark, str(tmp_path / f"bad{i}")).collect()
+
+
+def test_mapping_as_a_table(spark):
+    """As the mapping in the plan, for a tag that most notes have, for repeated
+    and clashing columns, empty and null tags."""
+    notes = [(i, ["hot", f"t{i % 7}", "x"], "old") for i in range(60)]
+    notes += [(100, [], "n"), (101, None, "n"), (102, ["gone"], "n"), (103, ["a", "b", "a"], "n"), (104, ["a", ""], "n"), (104, ["a", ""], "n"), (None, ["a"], "n"), (104, ["b"], "n")]
+    df = spark.createDataFrame(notes, "source_file long, tags array<string>, old string").repartition(3)
+    said = {"hot": "cold", "t1": "t2", "gone": "", "a": "b", "x": "x", "unused": "u"}
+    mapping = spark.createDataFrame(list(said.items()), "old string, new string")
+    rows = lambda made: sorted((repr((r.source_file, r.old, r.new)) for r in made.distinct().collect()))
+    assert rows(tags.map_tags(df, mapping)) == rows(tags.apply_mapping(df, said)) != []
+    assert rows(tags.map_tags(df, mapping.limit(0))) == rows(tags.apply_mapping(df, {}))
+    assert tags.map_tags(df.limit(0), mapping).count() == 0
+    texts = df.withColumn("text", F.concat(F.lit("---\ntags: ["), F.array_join("tags", ", "), F.lit("]\n---\nbody")))
+    got = {(r.source_file, r.text) for r in tags.rewrite_tags_by(texts, mapping).collect()}
+    assert got == {(r.source_file, r.text) for r in tags.rewrite_tags(texts, said).collect()}
