@@ -119,8 +119,8 @@ def powers_of_two(n: int) -> list[int]:
 class _Packer:
     """Packs one task's documents; ``rows`` collects the finished pieces."""
 
-    def __init__(self, partition: int, capacity: int, group_windows: int):
-        self.capacity, self.group = capacity, group_windows * capacity
+    def __init__(self, partition: int, capacity: int, group_windows: int, most_padding: float | None):
+        self.capacity, self.group, self.most_padding = capacity, group_windows * capacity, most_padding
         self.next_id = partition << 40
         self.items: list[tuple] = []  # (doc_id, ids, start, length)
         self.held = 0
@@ -165,22 +165,26 @@ class _Packer:
                     items.append((doc_id, ids, start, length - take))
                 want -= take
             tails.append(parts)
-        for window in pack_items([x[3] for x in items], self.capacity, MOST_PADDING):
+        for window in pack_items([x[3] for x in items], self.capacity, self.most_padding):
             self.sequence([(*items[i][:2], items[i][2] + start, length) for i, start, length in window])
         for parts in tails:
             self.sequence(parts)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, group_windows: int = GROUP_WINDOWS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, group_windows: int = GROUP_WINDOWS, most_padding: float | None = MOST_PADDING) -> DataFrame:
     """Pack the documents' token ids, each with ``end_id`` behind it.
 
     Returns the pieces: doc_id, start (of the document's ids), length,
     ids_crc32, doc_tokens, sequence_id, offset.  Every id lies in exactly one
     piece, pieces fill a sequence without gaps, no sequence is over
     ``capacity``; all but those at a power of two are full but for at most
-    ``MOST_PADDING`` of a group.  Very long texts are cut into whole windows and
-    a rest.  Null and empty
-    texts have only ``end_id``.  A null doc_id stays null; repeated rows are
+    ``most_padding`` of a group: a group's window count rises while a window
+    exceeds the capacity and so much is not free, and then what is over is cut
+    off.  With None the count rises until nothing is over, and texts are cut
+    only where they are longer than a window and at the ends of a group; with
+    two or three texts to a window that leaves some 5 % free, which is why it
+    is not the default.  Very long texts are cut into whole windows and a rest.
+    Null and empty texts have only ``end_id``.  A null doc_id stays null; repeated rows are
     documents of their own; an empty table gives no rows; other columns are
     not read.
     """
@@ -189,7 +193,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        packer = _Packer(TaskContext.get().partitionId(), capacity, group_windows)
+        packer = _Packer(TaskContext.get().partitionId(), capacity, group_windows, most_padding)
         encode = word_ids(tokenizer)
         end = np.array([end_id], dtype="<u4")
 

@@ -105,6 +105,19 @@ def test_packing_awkward(awkward, empty):
     assert packing.pack_documents(empty, WORD).count() == 0
 
 
+def test_count_that_always_rises(spark, docs):
+    """Without a limit of padding, texts that fit a window are cut only at a group's ends."""
+    df = Q.table(spark, SF, "documents").coalesce(1)
+    free, cuts = {}, {}
+    for most in (0, 0.04, None):
+        rows = packing.pack_documents(df, WORD, most_padding=most).collect()
+        free[most] = check_pieces(rows, docs)
+        cuts[most] = sum(n > 1 for n in Counter(r.doc_id for r in rows if r.doc_tokens <= 2048).values())
+    assert free[0] == 0 < free[0.04] <= free[None] and cuts[0] > cuts[0.04] >= cuts[None]
+    groups = 1 + sum(len(t or "") for t in docs.values()) // (2048 * 256)  # a token is a character or more
+    assert cuts[None] <= 14 * groups
+
+
 @pytest.mark.parametrize("padding", [0, 0.1, None])
 def test_windows(padding):
     rng = random.Random(3)
