@@ -155,6 +155,29 @@ def test_bm25_phrases_and_repeats(spark):
     assert ask("__") == {}
 
 
+def most_rows(plan):
+    """The most rows that a step of an executed plan gave out."""
+    made = plan.metrics().get("numOutputRows")
+    below = plan.children()
+    return max([made.get().value() if made.isDefined() else 0, *(most_rows(below.apply(i)) for i in range(below.size()))])
+
+
+def test_phrases_that_share_a_word_meet_only_where_they_stand(spark):
+    """A frequent word of many phrases is no pair of each place and each phrase."""
+    docs = spark.createDataFrame([(1, "the a " * 200), (2, "b the c the b the"), (3, "the"), (4, None)], "id long, text string")
+    rows = [(f"the {w}", ["the", w]) for w in "abcdefghijklmnopqrstuvwxyz"] + [("the b the", ["the", "b", "the"]), ("the the", ["the", "the"])]
+    phrases = spark.createDataFrame(rows, "phrase string, words array<string>")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        hits = lexical.phrase_hits(phrases, lexical.build_index(docs, "id", "text")).select("phrase", "id", "tf")
+        found = {tuple(r) for r in hits.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert found == {("the a", 1, 200), ("the b", 2, 1), ("the c", 2, 1), ("the b the", 2, 1)}
+    assert most_rows(hits._jdf.queryExecution().executedPlan()) < 2000
+
+
 def test_passages(spark):
     texts = {("A", 0): "zephyr wind blows", ("A", 1): "second piece of a", ("A", 2): "third piece", ("B", 0): "other words", ("B", 1): "zephyr again here"}
     rows = [(i, s, c, i + 1, t) for i, ((s, c), t) in enumerate(texts.items())]
