@@ -11,26 +11,22 @@ from pyspark.sql import functions as F
 from ..functions.text import ROOTS, display_title, parse_aliases, parse_tags, stem
 from .sidecar_files import NAME as SIDECARS
 from .sidecar_files import register
+from .vault import list_vault, read_texts
+
+#: Files and folders below a root that Spark's readers skip, and so no notes.
+HIDDEN = "/([.]|_[^/=]*(/|$))"
 
 #: Sidecars of notes and of chunked sources; which one a file is, ``chunks`` tells.
 SIDECAR = "source_file string, type string, content_hash string, vector array<double>, embedded_at string, chunking struct<chunk_tokens:int,chunk_overlap:double>, chunks array<struct<chunk_id:int,page:int,char_start:int,char_end:int,text:string,vector:array<double>>>, _corrupt_record string"
 
 
-def relative(base: str) -> Column:
-    """A file's path from ``base`` on."""
-    path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/")
-    base = base.removeprefix("file://").rstrip("/") + "/"
-    return F.url_decode(F.substring(path, F.lit(len(base) + 1), F.length(path)))
-
-
 def read_notes(spark: SparkSession, base: str, roots: tuple[str, ...] = ROOTS) -> DataFrame:
     """(source_file, root, stem, text, tags) of the ``*.md`` files at any depth
-    under the roots; other folders are not read."""
-    paths = [f"{base}/{r}" for r in roots if os.path.isdir(f"{base}/{r}") or "://" in base]
-    if not paths:
-        return spark.createDataFrame([], "source_file string, root string, stem string, text string, tags array<string>")
-    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md")
-    rows = read.text(paths, wholetext=True).select(relative(base).alias("source_file"), F.col("value").alias("text"))
+    under the roots; other folders are not read.  Tasks list the folders and
+    read the files, so the driver holds no list of them."""
+    path = F.col("path")
+    found = list_vault(spark, base, roots).where(path.endswith(".md") & ~path.rlike(HIDDEN))
+    rows = read_texts(found, base).withColumnRenamed("path", "source_file")
     return rows.select("source_file", F.split("source_file", "/")[0].alias("root"), stem(F.col("source_file")).alias("stem"), "text", parse_tags(F.col("text")).alias("tags"))
 
 
@@ -47,8 +43,9 @@ def read_sidecars(spark: SparkSession, base: str) -> DataFrame:
 def read_glossary(spark: SparkSession, folder: str) -> DataFrame:
     """(slug, display, aliases, text) of a glossary folder's terms; README.md
     and files that begin with ``_`` are none."""
-    rows = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True).select(relative(folder).alias("file"), F.col("value").alias("text"))
-    rows = rows.where((F.col("file") != "README.md") & ~F.col("file").startswith("_"))
+    path = F.col("path")
+    found = list_vault(spark, folder, ("",)).where(path.endswith(".md") & (path != "README.md") & ~path.rlike("^[._]"))
+    rows = read_texts(found, folder).withColumnRenamed("path", "file")
     slug = stem(F.col("file"))
     return rows.select(slug.alias("slug"), display_title(F.col("text"), slug).alias("display"), parse_aliases(F.col("text")).alias("aliases"), "text")
 

@@ -3,7 +3,7 @@ either leaves all its files or none.
 
 ``spark.read.format("sidecars").load(base)`` gives (sidecar, json) of the files
 below a folder.  Their names begin with a dot, which Spark's own readers skip.
-``df.write.format("sidecars").mode("append").save(base)`` takes (path, content).
+Files are written by :func:`bring_in`, for which no list passes the driver.
 """
 
 from __future__ import annotations
@@ -11,13 +11,16 @@ from __future__ import annotations
 import os
 import posixpath
 import uuid
-from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from .shared import work_folder
 
 NAME = "sidecars"
 SUFFIX = ".embed.json"
@@ -90,60 +93,91 @@ def files_below(system, folder: str, deep: bool) -> Iterator:
             left += [f.path for f in reversed(found) if f.type == FileType.Directory]
 
 
-@dataclass
-class Written(WriterCommitMessage):
-    """(draft, path) of a task's files."""
-
-    files: list[tuple[str, str]]
+#: For mapInArrow, what writes the content of a row's file.
+Fill = Callable[[BinaryIO, dict], None]
 
 
-class SidecarWriter(DataSourceArrowWriter):
-    """Tasks write drafts; the commit moves those of the tasks that count to
-    their places, and what other attempts have left goes with the drafts' folder."""
+def drafted(rows: DataFrame, base: str, drafts: str, fill: Fill) -> DataFrame:
+    """(draft, path, source) of rows (path, ...) whose files tasks have written
+    below ``drafts``; a source that the rows don't have is null."""
 
-    def __init__(self, base: str):
-        self.base = base
-        self.drafts = f"{DRAFTS}/{uuid.uuid4().hex}"
-
-    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
-        system, root = opened(self.base)
-        folder = f"{root}/{self.drafts}"
-        system.create_dir(folder, recursive=True)
-        files = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = opened(base)
+        folder, n = f"{drafts}/{uuid.uuid4().hex}", 0
+        system.create_dir(f"{root}/{folder}", recursive=True)
         for batch in batches:
+            made = []
             for row in batch.to_pylist():
                 clean = posixpath.normpath(row["path"])
                 if clean.startswith(("..", "/")):
                     raise ValueError(f"{row['path']!r} is outside")
-                draft = f"{folder}/{uuid.uuid4().hex}"
-                with system.open_output_stream(draft) as out:
-                    self.fill(out, row)
-                files.append((draft, clean))
-        return Written(files)
+                made.append((f"{folder}/{n}", clean, row.get("source")))
+                with system.open_output_stream(f"{root}/{made[-1][0]}") as out:
+                    fill(out, row)
+                n += 1
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*made, strict=True)], DRAFTED)
 
-    def fill(self, out, row: dict) -> None:
-        """The content of a row's file."""
-        out.write(row["content"].encode())
+    return rows.mapInArrow(run, ", ".join(f"{name} string" for name in DRAFTED))
 
-    def commit(self, messages: list[Written | None]) -> None:
-        system, root = opened(self.base)
-        files = [f for m in messages if m for f in m.files]
-        for folder in sorted({posixpath.dirname(f"{root}/{path}") for _, path in files}):
-            system.create_dir(folder, recursive=True)
-        with ThreadPoolExecutor(16) as pool:
-            list(pool.map(lambda f: system.move(f[0], f"{root}/{f[1]}"), files))
-        self._clear(system, root)
 
-    def abort(self, messages: list[Written | None]) -> None:
-        self._clear(*opened(self.base))
+DRAFTED = ["draft", "path", "source"]
 
-    def _clear(self, system, root: str) -> None:
-        from pyarrow.fs import FileSelector, FileType
 
-        if system.get_file_info(f"{root}/{self.drafts}").type == FileType.Directory:
-            system.delete_dir(f"{root}/{self.drafts}")
-        if system.get_file_info(f"{root}/{DRAFTS}").type == FileType.Directory and not system.get_file_info(FileSelector(f"{root}/{DRAFTS}")):
-            system.delete_dir(f"{root}/{DRAFTS}")
+def run_on(rows: DataFrame, base: str, do: Callable) -> int:
+    """Tasks do something with each row, given the file system, the folder's
+    path in it and the row; how many it was done with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = opened(base)
+        for batch in batches:
+            n = sum(bool(do(system, root, row)) for row in batch.to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return rows.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def place(system, root: str, row: dict) -> bool:
+    """Move a draft to its place; one that an earlier attempt has moved is there."""
+    from pyarrow.fs import FileType
+
+    to = f"{root}/{row['path']}"
+    if system.get_file_info(f"{root}/{row['draft']}").type == FileType.NotFound:
+        if system.get_file_info(to).type == FileType.NotFound:
+            raise FileNotFoundError(f"the draft of {row['path']} is gone")
+        return True
+    system.create_dir(posixpath.dirname(to), recursive=True)
+    system.move(f"{root}/{row['draft']}", to)
+    return True
+
+
+def bring_in(rows: DataFrame, base: str, fill: Fill, check: Callable[[DataFrame], None] = lambda made: None) -> DataFrame:
+    """Write a file for each row (path, ...) below a folder that all nodes see,
+    and give (draft, path, source).  Tasks write drafts; when all are there and
+    ``check`` has raised nothing, tasks move them to their places.  Which draft
+    is whose stands in a table, of which the driver sees nothing."""
+    spark, drafts = rows.sparkSession, f"{DRAFTS}/{uuid.uuid4().hex}"
+    try:
+        kept = work_folder(spark, "drafts")
+        made = drafted(rows, base, drafts, fill)
+        made.write.parquet(kept)
+        made = spark.read.schema(made.schema).parquet(kept)
+        check(made)
+        run_on(made, base, place)
+        return made
+    finally:
+        clear(base, drafts)
+
+
+def clear(base: str, drafts: str) -> None:
+    """Remove what attempts that don't count have left, and the drafts' folder if it is empty."""
+    from pyarrow.fs import FileSelector, FileType
+
+    system, root = opened(base)
+    if system.get_file_info(f"{root}/{drafts}").type == FileType.Directory:
+        system.delete_dir(f"{root}/{drafts}")
+    if system.get_file_info(f"{root}/{DRAFTS}").type == FileType.Directory and not system.get_file_info(FileSelector(f"{root}/{DRAFTS}")):
+        system.delete_dir(f"{root}/{DRAFTS}")
 
 
 class SidecarSource(DataSource):
@@ -157,10 +191,8 @@ class SidecarSource(DataSource):
     def reader(self, schema) -> SidecarReader:
         return SidecarReader(self.options["path"])
 
-    def writer(self, schema, overwrite: bool) -> SidecarWriter:
-        if overwrite:
-            raise ValueError("sidecars are written with mode append; a file replaces the one in its place")
-        return SidecarWriter(self.options["path"])
+    def writer(self, schema, overwrite: bool):
+        raise ValueError("sidecars are written by write_files, which appends; a file replaces the one in its place")
 
 
 def register(spark: SparkSession) -> None:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import sidecar_path
-from .sidecar_files import NAME, register
+from .sidecar_files import bring_in, register
 
 CHUNK_FIELDS = ("chunk_id", "page", "char_start", "char_end", "text", "vector")
 #: Fixed value: how a time is written.
@@ -67,5 +67,5 @@ def write_files(files: DataFrame, root: str) -> DataFrame:
     (path, n_bytes) of what was written."""
     rows = files.select("path", "content")
     register(files.sparkSession)
-    rows.write.format(NAME).mode("append").save(root)
+    bring_in(rows, root, lambda out, row: out.write(row["content"].encode()))
     return rows.select("path", F.octet_length("content").cast("long").alias("n_bytes"))

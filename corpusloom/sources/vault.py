@@ -2,22 +2,22 @@
 
 ``spark.read.format("vault_files").load(base)`` gives (path, size) of all files
 below a folder, those with a leading dot as well, which Spark's own readers
-skip.  Files come in through a writer that leaves all of them or none.
+skip.  Files come in by tasks that leave all of them or none.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from ..functions.text import ROOTS
 from .shared import work_folder
-from .sidecar_files import DRAFTS, SUFFIX, Folder, SidecarWriter, Written, files_below, opened
+from .sidecar_files import DRAFTS, SUFFIX, Folder, bring_in, files_below, opened, run_on
 
 NAME = "vault_files"
 #: Files that a reader lists at once, and bytes that a copy holds at once.
@@ -28,17 +28,19 @@ class FilesReader(DataSourceReader):
     """A partition for each folder two levels down, with all below it, and one
     for the files of each folder above those."""
 
-    def __init__(self, base: str):
-        self.base = base
+    def __init__(self, base: str, roots: list[str] | None = None):
+        self.base, self.roots = base, roots
 
     def partitions(self) -> list[Folder]:
         system, root = opened(self.base)
-        found = [Folder("", False)]
-        for name in folders(system, root):
+        found = [Folder("", False)] if self.roots is None or "" in self.roots else []
+        for name in folders(system, root) if self.roots is None else filter(None, self.roots):
             found += [Folder(name, False), *(Folder(f"{name}/{below}", True) for below in folders(system, f"{root}/{name}"))]
         return found
 
-    def read(self, folder: Folder) -> Iterator[pa.RecordBatch]:
+    def read(self, folder: Folder | None) -> Iterator[pa.RecordBatch]:
+        if folder is None:  # without roots there is no partition
+            return
         system, root = opened(self.base)
         rows: list[tuple[str, int]] = []
 
@@ -62,78 +64,20 @@ def folders(system, folder: str) -> list[str]:
     return sorted(f.base_name for f in found if f.type == FileType.Directory and f.base_name != DRAFTS)
 
 
-@dataclass
-class Taken(Written):
-    """What a task has copied, and from where."""
-
-    sources: list[str]
-
-
-class IntakeWriter(SidecarWriter):
-    """Takes (path, source): tasks copy each source to a draft.  The commit
-    moves the drafts to their places and then, if asked to, removes the
-    sources; a write that fails leaves places and sources as they were."""
-
-    def __init__(self, base: str, source_base: str, move: bool, replace: bool):
-        super().__init__(base)
-        self.source_base, self.move, self.replace = source_base, move, replace
-
-    def fill(self, out, row: dict) -> None:
-        system, root = opened(self.source_base)
-        with system.open_input_stream(f"{root}/{row['source']}") as file:
-            while block := file.read(BLOCK):
-                out.write(block)
-
-    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
-        sources: list[str] = []
-
-        def noted() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sources.extend(batch.column("source").to_pylist())
-                yield batch
-
-        done = super().write(noted())
-        return Taken(done.files, sources)
-
-    def commit(self, messages: list[Written | None]) -> None:
-        from pyarrow.fs import FileType
-
-        system, root = opened(self.base)
-        paths = [path for m in messages if m for _, path in m.files]
-        if len(set(paths)) < len(paths):
-            self.abort(messages)
-            raise ValueError("two files have one place")
-        if not self.replace:
-            there = [f.path for f in system.get_file_info([f"{root}/{p}" for p in paths]) if f.type != FileType.NotFound]
-            if there:
-                self.abort(messages)
-                raise FileExistsError(f"{there[0]} exists, and {len(there) - 1} more")
-        super().commit(messages)
-        if self.move:
-            delete_files(self.source_base, [s for m in messages if m for s in m.sources])
-
-
-def delete_files(base: str, paths: list[str]) -> None:
-    """Delete files below a folder; one that is gone is no error."""
+def delete(system, root: str, row: dict) -> bool:
+    """Delete a file; one that is gone is no error."""
     from pyarrow.fs import FileType
 
-    system, root = opened(base)
-    for info in system.get_file_info([f"{root}/{p}" for p in paths]):
-        if info.type == FileType.File:
-            system.delete_file(info.path)
+    there = system.get_file_info(f"{root}/{row['path']}").type == FileType.File
+    if there:
+        system.delete_file(f"{root}/{row['path']}")
+    return there
 
 
-class WipeWriter(DataSourceArrowWriter):
-    """Takes (path): tasks delete the files.  A task that runs twice finds
-    nothing left to do; after a failure a second wipe does the rest."""
-
-    def __init__(self, base: str):
-        self.base = base
+def is_taken(system, root: str, row: dict) -> bool:
+    from pyarrow.fs import FileType
 
-    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        for batch in batches:
-            delete_files(self.base, batch.column("path").to_pylist())
-        return WriterCommitMessage()
+    return system.get_file_info(f"{root}/{row['path']}").type != FileType.NotFound
 
 
 class VaultSource(DataSource):
@@ -145,19 +89,40 @@ class VaultSource(DataSource):
         return "path string, size long"
 
     def reader(self, schema) -> FilesReader:
-        return FilesReader(self.options["path"])
-
-    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        base = self.options["path"]
-        if self.options["action"] == "wipe":
-            return WipeWriter(base)
-        return IntakeWriter(base, self.options["from"], self.options["action"] == "move", overwrite)
+        roots = self.options.get("roots")
+        return FilesReader(self.options["path"], None if roots is None else json.loads(roots))
 
 
-def list_vault(spark: SparkSession, base: str) -> DataFrame:
-    """(path, size) of all files below a folder; a missing one has none."""
+def list_vault(spark: SparkSession, base: str, roots: tuple[str, ...] | None = None) -> DataFrame:
+    """(path, size) of all files below a folder, or of those below the
+    ``roots`` in it, where an empty name stands for its own files; a missing
+    folder has none."""
     spark.dataSource.register(VaultSource)
-    return spark.read.format(NAME).load(base)
+    read = spark.read.format(NAME)
+    return (read if roots is None else read.option("roots", json.dumps(roots))).load(base)
+
+
+def read_texts(files: DataFrame, base: str) -> DataFrame:
+    """(path, text) of files (path) below a folder.  Paths are few bytes and are
+    dealt anew, as a folder of many files is listed by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = opened(base)
+        for batch in batches:
+            paths, texts, held = [], [], 0
+            for path in batch.column(0).to_pylist():
+                with system.open_input_stream(f"{root}/{path}") as file:
+                    texts.append(file.read())
+                paths.append(path)
+                held += len(texts[-1])
+                if held >= BLOCK:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(texts, pa.binary())], ["path", "content"])
+                    paths, texts, held = [], [], 0
+            if paths:
+                yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(texts, pa.binary())], ["path", "content"])
+
+    found = files.select("path").repartition("path").mapInArrow(run, "path string, content binary")
+    return found.select("path", F.col("content").cast("string").alias("text"))
 
 
 def take_in(files: DataFrame, source_base: str, base: str, move: bool = False, replace: bool = False) -> None:
@@ -165,9 +130,22 @@ def take_in(files: DataFrame, source_base: str, base: str, move: bool = False, r
     places, or move them.  Two files with one place, and without ``replace`` a
     place that is taken, are errors that leave all as it was; an empty table
     does nothing; other columns are not read."""
-    files.sparkSession.dataSource.register(VaultSource)
-    rows = files.select("path", "source").write.format(NAME).mode("overwrite" if replace else "append")
-    rows.option("action", "move" if move else "copy").option("from", source_base).save(base)
+
+    def fill(out, row: dict) -> None:
+        system, root = opened(source_base)
+        with system.open_input_stream(f"{root}/{row['source']}") as file:
+            while block := file.read(BLOCK):
+                out.write(block)
+
+    def check(made: DataFrame) -> None:
+        if not made.groupBy("path").count().where("count > 1").isEmpty():
+            raise ValueError("two files have one place")
+        if not replace and (n := run_on(made, base, is_taken)):
+            raise FileExistsError(f"{n} places are taken")
+
+    made = bring_in(files.select("path", "source"), base, fill, check)
+    if move:
+        run_on(made.select(F.col("source").alias("path")), source_base, delete)
 
 
 def seed(spark: SparkSession, seeds: str, base: str) -> None:
@@ -194,5 +172,5 @@ def wipe(spark: SparkSession, base: str, force: bool = False, roots: tuple[str,
     kept = work_folder(spark, "wiped")
     found.write.parquet(kept)
     targets = spark.read.schema(found.schema).parquet(kept)
-    targets.select("path").write.format(NAME).mode("append").option("action", "wipe").save(base)
+    run_on(targets, base, delete)  # a task that runs twice finds nothing left to do
     return targets

@@ -227,3 +227,23 @@ def test_seed_and_wipe(spark, inbox):
     assert {r.path for r in V.wipe(spark, base, force=True).collect()} == gone
     assert files_below(inbox / "v") == kept and (inbox / "v/areas/a/b/c").is_dir()
     assert V.wipe(spark, base, force=True).count() == 0
+
+
+def test_files_of_a_vault_pass_the_driver_neither_way(spark, vault, tmp_path):
+    """Notes and terms are listed and read by tasks, hidden ones left out as
+    Spark's readers do, and a write returns nothing of its files."""
+    from corpusloom.sources import sidecar_files as S
+
+    for path in ("areas/_draft.md", "areas/.hidden.md", "areas/_folder/n.md", "areas/_k=v/n.md", "areas/x.md"):
+        (vault / path).parent.mkdir(exist_ok=True)
+        (vault / path).write_text("# n")
+    before = {r.source_file for r in N.read_notes(spark, str(vault)).collect()}
+    assert {"areas/_k=v/n.md", "areas/x.md"} <= before and not before & {"areas/_draft.md", "areas/.hidden.md", "areas/_folder/n.md"}
+    for rows in (N.read_notes(spark, str(vault)), N.read_glossary(spark, str(vault / "glossary"))):
+        assert "FileScan" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert N.read_notes(spark, str(vault), ()).count() == 0
+    made = S.bring_in(spark.range(9).selectExpr("concat('a/', id) AS path"), str(tmp_path / "out"), lambda out, row: out.write(b"x"))
+    assert sorted(r.path for r in made.collect()) == [f"a/{i}" for i in range(9)] == everything(tmp_path / "out")
+    S.register(spark)
+    with pytest.raises(Exception, match="write_files"):
+        made.selectExpr("path AS sidecar", "path AS json").write.format("sidecars").mode("append").save(str(tmp_path / "out"))
