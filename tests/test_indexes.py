@@ -107,3 +107,37 @@ def test_texts_are_read_once(spark, put, tmp_path):
     index = blocks.build(blocks.listed(spark.read.parquet(f"{tmp_path}/docs"), "doc_id", "text"), put)
     plan = blocks.top(spark.createDataFrame(ASKED, "query_id long, text string"), index, 5)._jdf.queryExecution().executedPlan().toString()
     assert f"{tmp_path}/docs" not in plan and "BatchEvalPython" not in plan
+
+
+def test_blocks_keep_the_best_of_all_blocks_and_no_more():
+    """Ties, copies, vectors without direction and with themselves, over blocks
+    that come one after another: the rows of all distances, given out once a block of queries."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    y = rng.standard_normal((900, 6))
+    y[::9], y[3], y[4], y[5, 0] = y[1], 0, np.nan, np.inf
+    ids = rng.permutation(900)
+    names = ["qids", "qm", "bids", "bm"]
+    block = lambda a, b: [pa.array([ids[a:b].tolist()], pa.list_(pa.int64())), pa.array([y[a:b].tobytes()], pa.binary())]
+    pairs = [pa.RecordBatch.from_arrays([*block(q, q + 300), *block(b, b + 180)], names) for q in (0, 300, 600) for b in range(0, 900, 180)]
+    for k, own in ((4, False), (4, True), (1000, False)):
+        with np.errstate(invalid="ignore"):
+            d = vectors.distances(y, y)
+        if own:
+            np.fill_diagonal(d, np.inf)
+        order = [sorted(np.flatnonzero(np.isfinite(d[q])).tolist(), key=lambda j: (d[q, j], ids[j]))[:k] for q in range(900)]  # noqa: B023
+        want = sorted((int(ids[q]), int(ids[j]), d[q, j] + 0.0) for q in range(900) for j in order[q])
+        found = list(vectors.meeting(k, own)(iter(pairs)))
+        assert sorted(tuple(r.values()) for b in found for r in b.to_pylist()) == want
+        assert len(found) == 3
+
+
+def test_a_grid_copies_blocks_as_often_as_the_root_of_the_tasks(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        rows = [spark.range(40).select(F.col("id").alias(n)) for n in ("a", "b")]
+        met = vectors.each_with_each(*rows, "a", "b", 40 * vectors.BLOCK, 40 * vectors.BLOCK)
+        assert met.distinct().count() == met.count() == 1600
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
