@@ -141,3 +141,18 @@ def test_a_grid_copies_blocks_as_often_as_the_root_of_the_tasks(spark):
         assert met.distinct().count() == met.count() == 1600
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_a_query_is_sent_once_to_a_bucket_of_cells():
+    """However many cells of a bucket a query visits, its vector travels there once."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    points = rng.standard_normal((200, 4))
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    known = cells.Centroids(np.arange(200), points, np.full(200, 3.2), np.full(200, 2))
+    x = rng.standard_normal((50, 4))
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 10)), pa.array(x[i : i + 10].tolist()), pa.nulls(10, pa.float64())], ["query_id", "vector", "bound"]) for i in range(0, 50, 10)]
+    visits = [r for b in known.others()(iter(batches)) for r in b.to_pylist()]
+    assert sum(r["n"] for r in visits) == 50 * 199  # all cells but the nearest
+    assert sum(len(r["qm"]) for r in visits) <= cells.BUCKETS * x.nbytes and len(visits) == cells.BUCKETS
