@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from .batches import slices, small_batches
+
 #: Terms of one automaton, which each worker holds; more terms take a reading of the texts for each so many.
 TERMS = 200_000
 
@@ -165,14 +167,15 @@ def in_groups(notes: DataFrame, terms: DataFrame | list[tuple[str, str]], size:
 
 def link(notes: DataFrame, terms: DataFrame | list[tuple[str, str]], id_: str, body: str, size: int = TERMS) -> DataFrame:
     """(id, new_body, linked) of every note; a group of terms sees the links of those before it."""
+    small_batches(notes.sparkSession)
     rows = notes.select(id_, F.coalesce(body, F.lit("")).alias("new_body"), F.array().cast("array<string>").alias("linked"))
     shape = StructType([rows.schema.fields[0], StructField("new_body", StringType()), StructField("linked", ArrayType(StringType()))])
     for name, group in in_groups(notes, terms, size):
 
         def run(batches: Iterator[pa.RecordBatch], name=name, group=group) -> Iterator[pa.RecordBatch]:
             known = vocabulary(name, group)
-            for batch in batches:
-                bodies, linked = zip(*(known.link(b) for b in batch.column(1).to_pylist()), strict=True) if batch.num_rows else ((), ())
+            for batch in (s for b in batches for s in slices(b)):
+                bodies, linked = zip(*(known.link(b) for b in batch.column(1).to_pylist()), strict=True)
                 before = batch.column(2).to_pylist()
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.string()), pa.array([a + b for a, b in zip(before, linked, strict=True)], pa.list_(pa.string()))], [id_, "new_body", "linked"])
 
@@ -182,6 +185,7 @@ def link(notes: DataFrame, terms: DataFrame | list[tuple[str, str]], id_: str, b
 
 def unlinked(notes: DataFrame, terms: DataFrame | list[tuple[str, str]], id_: str, body: str, size: int = TERMS) -> DataFrame:
     """(id, slug, surface) of terms that notes mention and don't link."""
+    small_batches(notes.sparkSession)
     rows = notes.select(id_, F.coalesce(body, F.lit("")).alias("body"))
     shape = StructType([rows.schema.fields[0], StructField("slug", StringType()), StructField("surface", StringType())])
     found = notes.sparkSession.createDataFrame([], shape)
@@ -189,7 +193,7 @@ def unlinked(notes: DataFrame, terms: DataFrame | list[tuple[str, str]], id_: st
 
         def run(batches: Iterator[pa.RecordBatch], name=name, group=group) -> Iterator[pa.RecordBatch]:
             known = vocabulary(name, group)
-            for batch in batches:
+            for batch in (s for b in batches for s in slices(b)):
                 at, terms = [], []
                 for i, b in enumerate(batch.column(1).to_pylist()):
                     said = known.mentioned(b)
