@@ -156,3 +156,57 @@ def test_a_query_is_sent_once_to_a_bucket_of_cells():
     visits = [r for b in known.others()(iter(batches)) for r in b.to_pylist()]
     assert sum(r["n"] for r in visits) == 50 * 199  # all cells but the nearest
     assert sum(len(r["qm"]) for r in visits) <= cells.BUCKETS * x.nbytes and len(visits) == cells.BUCKETS
+
+
+def test_few_vectors_meet_all_points_at_once():
+    """More vectors have more points, so what is held of both at once must not grow with them."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    points, x = rng.standard_normal((40, 4)), rng.standard_normal((1000, 4))
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(x.tolist())], ["id", "vector"])
+    made = list(cells.placing(points)(iter([batch])))
+    assert max(b.num_rows for b in made) <= 256
+    cosine = (x / np.linalg.norm(x, axis=1)[:, None]) @ points.T
+    assert [r["cell"] for b in made for r in b.to_pylist()] == cosine.argmax(axis=1).tolist()
+    assert np.allclose([r["cosine"] for b in made for r in b.to_pylist()], cosine.max(axis=1))
+
+
+def test_the_best_of_each_group_are_those_of_all_scores(spark, put):
+    """Groups without name, documents of several groups and of none; only what may count leaves a shard."""
+    docs = spark.createDataFrame(corpus(700), "doc_id long, text string").repartition(3)
+    index = blocks.build(blocks.listed(docs, "doc_id", "text"), put, shard=200, block=16)
+    queries = spark.createDataFrame(ASKED, "query_id long, text string")
+    ids = docs.select(F.col("doc_id").alias("id"))
+    groups = ids.where("id % 11 <> 0").select("id", F.when(F.col("id") % 5 > 0, F.concat(F.lit("g"), F.col("id") % 5)).alias("grp")).unionByName(ids.where("id % 7 = 0").withColumn("grp", F.lit("seven")))
+    every = {(r.query_id, r.id): r.score for r in blocks.top(queries, index, None).collect()}
+    of = {}
+    for r in groups.collect():
+        for q in {q for q, _ in ASKED}:
+            if (q, r.id) in every:
+                of.setdefault((q, r.grp), []).append((-every[q, r.id], r.id))
+    want = {(q, g, n + 1, i, -s) for (q, g), rows in of.items() for n, (s, i) in enumerate(sorted(rows)[:3])}
+    found = blocks.top_within(queries, index, groups, 3)
+    assert {tuple(r) for r in found.select("query_id", "grp", "rank", "id", "score").collect()} == want and {g for _, g, *_ in want} > {None, "seven"}
+    assert blocks.scored(queries.where("query_id = 6"), index, 3, groups=groups).count() < 100 < sum(q == 6 for q, _ in every)
+    assert blocks.top_within(queries, index, groups.limit(0), 3).count() == 0
+
+
+def test_asked_terms_do_not_move_the_postings(spark, put):
+    """The terms asked for go to the postings, of which only theirs are moved; their sizes are stored."""
+    index = blocks.build(blocks.listed(spark.createDataFrame(corpus(100), "doc_id long, text string"), "doc_id", "text"), put)
+    plan = blocks.scored(spark.createDataFrame(ASKED, "query_id long, text string"), index, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan.split("mapInArrow")[-1]
+    sizes = index.postings.where("term is not null").select("n", F.size("places").alias("size"))
+    assert sizes.where("n <> size").count() == 0 and index.postings.where("term is null").select(F.sum("n")).first()[0] == 105
+
+
+def test_joined_terms_are_the_tokens(spark):
+    texts = ["Café straße foo_bar x² 3.14 it's", "", None, " . ", "a", "Ünï  cödé—Ź", "日本語 テキスト", "x y\n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
+    from corpusloom.functions import text as T
+
+    rows = blocks.listed(df, "id", "t", F.lit("en")).join(df.select("id", T.index_tokens(F.col("t")).alias("want")), "id").collect()
+    assert len(rows) == len(texts) and all(r.terms.split(" ") == [*r.want, "en"] for r in rows)
+    assert {r.terms for r in blocks.listed(df.where("id in (1, 2, 3)"), "id", "t", "t").collect()} == {""}
