@@ -25,7 +25,9 @@ SCORE_DIGITS = 4
 def embed_notes(notes: DataFrame, stored: DataFrame | None = None, embedder: Embedder = HashEmbedder(), force: bool = False) -> DataFrame:
     """Vector rows (VECTOR_ROWS) of the notes (source_file, text) whose body or
     backend differs from what is ``stored``; the others are not embedded again."""
-    now = notes.select("source_file", F.lit(embedder.name).alias("backend"), T.content_hash(F.col("text")).alias("content_hash"), T.canonical_body(F.col("text")).alias("body"))
+    # The body is named twice here, so it is made once and not wherever it is used.
+    now = notes.select("source_file", T.canonical_body(F.col("text")).alias("body"))
+    now = now.select("source_file", F.lit(embedder.name).alias("backend"), T.raw_hash(F.col("body")).alias("content_hash"), "body")
     if stored is not None:
         now = _audit.change_gate(now, stored, ["source_file", "backend", "content_hash"], force)
     made = embedder.embed(now, "body", "vector", "document")
@@ -115,8 +117,10 @@ class NoteIndex:
 
     def build(self, notes: DataFrame, vectors: DataFrame, dim: int = 768) -> None:
         """Load everything anew; a vector of another length is refused."""
-        check_dimension(vectors, dim)
         draft, rows = self.table.draft(), self._rows(notes)
+        # Vectors are made once: what is refused is a draft, which no reader sees.
+        vectors = draft.put("made", vectors)
+        check_dimension(vectors, dim)
         keys = draft.put("keys", numbered(vectors.select("source_file").union(rows.select("source_file")).distinct()))
         put_cells(draft, draft.put("vectors", vectors.join(keys, "source_file")))
         bodies = draft.put("bodies", rows.join(keys, "source_file"))
@@ -143,8 +147,8 @@ class NoteIndex:
         put_cells(draft, draft.put("vectors", kept.unionByName(fresh.join(keys, "source_file").select(*kept.columns))))
         rows = self._rows(touched).join(keys, "source_file")
         bodies = old("bodies").join(net, "source_file", "left_anti")
-        draft.put("bodies", bodies.unionByName(rows.select(*bodies.columns)))
-        put_postings(draft, rows, "body", self._tags(), gone=known.unionByName(keys).join(net, "source_file", "left_semi").select("id").distinct())
+        bodies = draft.put("bodies", bodies.unionByName(rows.select(*bodies.columns)))
+        put_postings(draft, bodies.join(net, "source_file", "left_semi"), "body", self._tags(), gone=known.unionByName(keys).join(net, "source_file", "left_semi").select("id").distinct())
         draft.commit()
 
     def search(self, queries: DataFrame, settings: Settings = Settings(), embedder: Embedder = HashEmbedder()) -> DataFrame:
@@ -190,7 +194,7 @@ class PassageIndex:
 
     def update(self, rows: DataFrame, dim: int = 768) -> None:
         """Replace the passages of the sources that ``rows`` has."""
-        self._write(rows, rows.select("source_file").distinct(), dim)
+        self._write(rows, None, dim, update=True)
 
     def remove(self, sources: DataFrame) -> None:
         """Take out the passages of sources (source_file)."""
@@ -218,23 +222,27 @@ class PassageIndex:
         vectors = stored_cells(self.table) if stored else None
         return _search.search_passages(asked, self.read(), index, settings, mode, source, vectors=vectors).withColumn("score", F.round("score", SCORE_DIGITS))
 
-    def _write(self, rows: DataFrame, replaced: DataFrame | None, dim: int | None) -> None:
-        if dim is not None:
-            check_dimension(rows, dim)
+    def _write(self, rows: DataFrame, replaced: DataFrame | None, dim: int | None, update: bool = False) -> None:
+        """Write ``rows`` beside the passages of other sources than those
+        ``replaced``, or than their own in an ``update``; else alone."""
         draft = self.table.draft()
         names = [f.split()[0] for f in PASSAGE_ROWS.split(", ") if f != "id long"]
-        if replaced is None or draft.base is None:
-            passages = draft.put("passages", numbered(rows.select(*names), 1))
-            put_cells(draft, passages)
-            put_postings(draft, passages, "text")
+        alone = draft.base is None or (replaced is None and not update)
+        old = None if alone else self.table.read("passages", draft.base)
+        first = 1 if alone else max(next_number(old), 1)
+        # Passages are made once: what is refused is a draft, which no reader sees.
+        fresh = draft.put("passages" if alone else "fresh", numbered(rows.select(*names), first))
+        if dim is not None:
+            check_dimension(fresh, dim)
+        if alone:
+            put_cells(draft, fresh)
+            put_postings(draft, fresh, "text")
         else:
-            old = self.table.read("passages", draft.base)
-            first = next_number(old)
+            replaced = fresh.select("source_file").distinct() if update else replaced
             gone = old.join(replaced, "source_file", "left_semi").select("id")
             kept = old.join(replaced, "source_file", "left_anti")
-            passages = draft.put("passages", kept.unionByName(numbered(rows.select(*names), max(first, 1))))
-            put_cells(draft, passages)
-            put_postings(draft, passages.where(F.col("id") >= first), "text", gone=gone)
+            put_cells(draft, draft.put("passages", kept.unionByName(fresh)))
+            put_postings(draft, fresh, "text", gone=gone)
         draft.commit()
 
 

@@ -67,8 +67,8 @@ def strip_wikilinks(text: Column) -> Column:
 
 def canonical_body(text: Column) -> Column:
     """What a note says: no frontmatter, no link markup, one final newline."""
-    body = strip_wikilinks(F.regexp_replace(strip_frontmatter(text), r"\r\n?", "\n"))
-    body = F.regexp_replace(body, r"\A\n+|\n+\z", "")
+    plain = F.replace(F.replace(strip_frontmatter(text), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    body = F.btrim(strip_wikilinks(plain), F.lit("\n"))
     return F.when(body == "", "").otherwise(F.concat(body, F.lit("\n")))
 
 

@@ -227,3 +227,32 @@ def test_one_of_two_writers_gets_the_place(spark, tmp_path):
     table.replace(spark.range(4))
     assert table.read().count() == 4
 
+
+
+def test_an_index_embeds_each_text_once(spark, tmp_path):
+    """The check of the length, the numbers and the vectors come from one making."""
+    from corpusloom.functions.embedding import BatchEmbedder
+
+    seen = tmp_path / "seen"
+
+    def client(texts):
+        with open(seen, "a") as file:
+            file.write("x" * len(texts))
+        return [[1.0, float(len(t))] for t in texts]
+
+    def made():
+        n = seen.stat().st_size
+        seen.unlink()
+        return n
+
+    model = BatchEmbedder("model", client, dim=2)
+    notes = spark.createDataFrame([(f"vault/areas/n{i}.md", f"note {i}") for i in range(7)], "source_file string, text string")
+    notes_index = api.NoteIndex(spark, f"file://{tmp_path}/notes")
+    notes_index.build(notes, api.embed_notes(notes, embedder=model), dim=2)
+    assert made() == 7 == notes_index.vectors.read().count()
+    pages = spark.createDataFrame([(f"p{i}", 1, f"page {i}") for i in range(5)], "source_file string, page int, text string")
+    passages = api.PassageIndex(spark, f"file://{tmp_path}/passages")
+    passages.load(api.ingest_paged_source(pages, embedder=model), dim=2)
+    assert made() == 5
+    passages.update(api.ingest_paged_source(pages.where("source_file < 'p2'"), embedder=model), dim=2)
+    assert made() == 2 and passages.read().select("id").distinct().count() == 5
