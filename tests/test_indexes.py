@@ -210,3 +210,72 @@ def test_joined_terms_are_the_tokens(spark):
     rows = blocks.listed(df, "id", "t", F.lit("en")).join(df.select("id", T.index_tokens(F.col("t")).alias("want")), "id").collect()
     assert len(rows) == len(texts) and all(r.terms.split(" ") == [*r.want, "en"] for r in rows)
     assert {r.terms for r in blocks.listed(df.where("id in (1, 2, 3)"), "id", "t", "t").collect()} == {""}
+
+
+def test_a_text_is_hashed_once(monkeypatch):
+    """However many values a vector has; they are those of whole texts with a counter behind, and the rounding is SQL's."""
+    import hashlib
+    from types import SimpleNamespace
+
+    from corpusloom.functions import embedding
+
+    made = []
+    monkeypatch.setattr(embedding, "hashlib", SimpleNamespace(sha256=lambda text: made.append(text) or hashlib.sha256(text)))
+    texts = [b"", "Größe".encode(), b"x" * 1000]
+    got = embedding.hash_values(texts, 20)
+    assert made == texts
+    for text, values in zip(texts, got.tolist()):
+        words = b"".join(hashlib.sha256(text + c.to_bytes(4, "big")).digest() for c in range(3))
+        assert values == [int.from_bytes(words[i : i + 4], "big") / 2**32 * 2 - 1 for i in range(0, 80, 4)]
+    halves = np.array([0.0000005, -0.0000005, 0.1234565, 0.1234575, 0.0000004999, -0.0000001, 0.25])
+    assert embedding.rounded(halves).tolist() == [0.000001, -0.000001, 0.123457, 0.123458, 0.0, 0.0, 0.25]
+
+
+def test_spans_and_words_by_tables(spark):
+    import re
+
+    from corpusloom.functions import text as T
+    from corpusloom.operators import chunking
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("aé \n\t\u00a0\u2003\u3000\u3001\x1c\x85😀_.", k=rng.randrange(60))) for _ in range(200)] + ["".join(map(chr, range(256)))]
+    for t in texts:
+        words = [m.span() for m in re.finditer(r"\S+", t)]
+        want = [words[at : at + 3] for at in range(0, max(len(words) - 1, 1), 2)] if words else []
+        assert chunking.chunk_spans(t, 3, 0.25) == [(w[0][0], w[-1][1]) for w in want]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.index_words(F.col("t")).alias("words"), F.array_join(T.index_tokens(F.col("t")), " ").alias("want")).collect()
+    assert all(r.words == r.want for r in rows)
+    import pyarrow as pa
+
+    assert T.latin_words(pa.array(["Ünï_x ², ß", "日本", ""])).to_pylist() == ["uni x ² ß", None, ""]
+
+
+def test_few_queries_go_to_the_cells(spark, put, monkeypatch):
+    """The cells stay where they are, and the rows are those of queries that are sent to them."""
+    rows = clustered(600) + [(1000 + i, [1.0] * 12) for i in range(30)] + [(2000, [0.0] * 12), (2001, None)]
+    v = spark.createDataFrame(rows, "id long, vector array<double>").repartition(3)
+    index = cells.build(v, put)
+    q = v.withColumnRenamed("id", "query_id")
+    few = [index.nearest(q, 4), index.nearest(q, 4, exclude_self=True), index.nearest(q, 700), index.nearest(q, 4, probes=3), index.nearest(q.limit(0), 4)]
+    assert all("ShuffledHashJoin" not in df._jdf.queryExecution().executedPlan().toString() for df in few)
+    got = [rows_of(df) for df in few]
+    monkeypatch.setattr(cells, "FEW", 10)
+    many = [index.nearest(q, 4), index.nearest(q, 4, exclude_self=True), index.nearest(q, 700), index.nearest(q, 4, probes=3), index.nearest(q.limit(0), 4)]
+    assert "ShuffledHashJoin" in many[0]._jdf.queryExecution().executedPlan().toString()
+    assert got == [rows_of(df) for df in many] and len(got[0]) == 630 * 4 and got[4] == []
+
+
+def test_vectors_are_made_once(spark, tmp_path):
+    """While an index is stored, its vectors are made once and not for each pass over them."""
+    made = spark.sparkContext.accumulator(0)
+
+    def vectors_of(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[float(i % 7 + 1), float(i % 11), 1.0] for i in batch.column(0).to_pylist()], pa.list_(pa.float64()))], ["id", "vector"])
+
+    draft = VersionedTable(spark, f"file://{tmp_path}/index").draft()
+    index = cells.build(spark.range(500).mapInArrow(vectors_of, "id long, vector array<double>"), draft.put)
+    assert made.value == 500 and index.cells.agg(F.sum(F.size("ids"))).first()[0] == 500
