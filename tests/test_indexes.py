@@ -279,3 +279,49 @@ def test_vectors_are_made_once(spark, tmp_path):
     draft = VersionedTable(spark, f"file://{tmp_path}/index").draft()
     index = cells.build(spark.range(500).mapInArrow(vectors_of, "id long, vector array<double>"), draft.put)
     assert made.value == 500 and index.cells.agg(F.sum(F.size("ids"))).first()[0] == 500
+
+
+def sourced(spark, n=300):
+    """Passages of three sources and of none, some with the text of others."""
+    from corpusloom.functions.embedding import HashEmbedder
+
+    texts = dict(corpus(n))
+    rows = [(i, [None, "A", "B", "C"][i % 4] if i % 5 else "A", i, 1, texts[i % 90 if i % 3 == 0 else i]) for i in range(n)]
+    chunks = spark.createDataFrame(rows, "id long, source_file string, chunk_id int, page int, text string").repartition(3)
+    ask = spark.createDataFrame([a for a in ASKED if a[1]], "query_id long, text string")
+    return HashEmbedder(16).embed(chunks, "text", "vector"), HashEmbedder(16).embed(ask, "text", "vector")
+
+
+def test_ranks_within_a_source_are_counted_in_the_cells(spark, put, monkeypatch):
+    """Ties by equal vectors; vectors without direction; no passage of others is listed or moved."""
+    rng = np.random.default_rng(4)
+    mine, theirs = rng.integers(0, 5, (3, 4)) / 10, rng.integers(0, 5, (3, 9)) / 10
+    own, ids = np.array([50, 3, 20, 7]), rng.permutation(60)[:9]
+    want = [[sum((theirs[q, j], ids[j]) < (mine[q, i], own[i]) for j in range(9)) for i in range(4)] for q in range(3)]
+    assert vectors.before(mine, own, theirs, ids).tolist() == want
+    rows = [(i, [float(i % 5), float(i % 3), 1.0] if i % 50 else [0.0] * 3) for i in range(400)]
+    v = spark.createDataFrame(rows, "id long, vector array<double>").repartition(3)
+    q = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [0.0, 0.0, 1.0]), (3, [0.0] * 3)], "query_id long, vector array<double>")
+    index, some, others = cells.build(v, put), v.where("id % 40 < 2"), v.where("id % 40 >= 2")
+    key = lambda df: sorted(map(tuple, df.select("query_id", "id", "rank", "distance").collect()))
+    found = index.ranks_among(q, some, others)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    want = key(vectors.ranks_among(q, some, others))
+    assert key(found) == want and len(want) == 2 * 18
+    monkeypatch.setattr(cells, "FEW", 5)
+    assert key(index.ranks_among(q, some, others)) == want
+
+
+def test_passages_within_a_source_by_stored_indexes(spark, put):
+    from corpusloom.operators import search
+
+    chunks, ask = sourced(spark)
+    near, words = cells.build(chunks.select("id", "vector"), put), blocks.build(blocks.listed(chunks, "id", "text"), put, shard=50, block=16)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    for how in ({"source": "B"}, {"source": "B", "pool": 9, "mode": "all_chunks"}, {"source": "nowhere"}):
+        want = key(search.search_passages(ask, chunks, lexical.build_index(chunks, "id", "text"), **how))
+        assert key(search.search_passages(ask, chunks, words, vectors=near, **how)) == want
+        assert bool(want) == (how["source"] == "B")
+    own = chunks.where("source_file = 'B'").select("id", F.lit("").alias("grp"))
+    found = blocks.scored(ask, words, None, groups=own)
+    assert 0 < found.count() == found.join(own, "id", "left_semi").count()  # only its passages leave a shard
