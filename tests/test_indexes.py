@@ -325,3 +325,22 @@ def test_passages_within_a_source_by_stored_indexes(spark, put):
     own = chunks.where("source_file = 'B'").select("id", F.lit("").alias("grp"))
     found = blocks.scored(ask, words, None, groups=own)
     assert 0 < found.count() == found.join(own, "id", "left_semi").count()  # only its passages leave a shard
+
+
+def test_hits_go_to_the_passages(spark, put):
+    """The hits of few queries fetch their texts; neither texts nor vectors are moved to them."""
+    from corpusloom.operators import search
+
+    chunks, ask = sourced(spark)
+    kept, ask = put("passages", chunks), ask.where("query_id <> 2")  # no phrase, which has joins of its own
+    near, words = cells.build(kept.select("id", "vector"), put), blocks.build(blocks.listed(kept, "id", "text"), put)
+    index = lexical.build_index(kept, "id", "text")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for mode in search.MODES:
+            found = search.search_passages(ask, kept, words, mode=mode, vectors=near)
+            text = found._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in text and "ShuffledHashJoin" not in text
+            assert sorted(map(tuple, found.collect())) == sorted(map(tuple, search.search_passages(ask, kept, index, mode=mode).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
