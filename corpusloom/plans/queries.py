@@ -223,8 +223,8 @@ def bm25_within_source(spark, sf_dir):
 def rrf_hybrid_search(spark, sf_dir):
     # Embedding a text costs far more than moving it: the rows are spread out first.
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").repartition("id")
-    embedded = lambda draft: draft.put("vectors", HashEmbedder().embed(docs, "text", "vector").select("id", "vector"))
-    near = stored(spark, sf_dir, "documents", "document-vectors", lambda draft: cells.build(embedded(draft), draft.put))
+    embedded = HashEmbedder().embed(docs, "text", "vector").select("id", "vector")
+    near = stored(spark, sf_dir, "documents", "document-vectors", lambda draft: cells.build(embedded, draft.put))
     return search.search(benchmark_queries(spark, sf_dir), cells_of(near), stored_words(spark, sf_dir))
 
 

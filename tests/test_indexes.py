@@ -344,3 +344,18 @@ def test_hits_go_to_the_passages(spark, put):
             assert sorted(map(tuple, found.collect())) == sorted(map(tuple, search.search_passages(ask, kept, index, mode=mode).collect()))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_documents_of_hybrid_search_are_stored_once(spark):
+    """The vectors lie in blocks and cells; none is stored as a row besides, and none is moved to the queries."""
+    from pathlib import Path
+
+    from corpusloom.plans import queries as Q
+    from corpusloom.plans import stored
+
+    found = Q.QUERIES["rrf_hybrid_search"](spark, "/root/testdata/sf0.001")
+    (table,) = [t for k, t in stored._kept.items() if k[3] == "document-vectors" and k[0] == spark.sparkContext.applicationId]
+    parts = Path(table.folder(table.version).removeprefix("file://"))
+    assert {p.name for p in parts.iterdir()} == {"unsorted", "centroids", "cells"}
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" not in text and "SortMergeJoin" not in text
