@@ -359,3 +359,24 @@ def test_documents_of_hybrid_search_are_stored_once(spark):
     assert {p.name for p in parts.iterdir()} == {"unsorted", "centroids", "cells"}
     text = found._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" not in text and "SortMergeJoin" not in text
+
+
+def test_rounded_vectors_take_half_the_bytes():
+    """Values of six decimals are whole numbers; others stay as they are, and all come back equal."""
+    rng = np.random.default_rng(6)
+    x = np.round(rng.standard_normal((50, 16)), 6)
+    assert len(vectors.packed(x)) == 8 + x.nbytes // 2 and (vectors.unpacked(vectors.packed(x), 50) == x).all()
+    for y in (x + 1e-9, x * 1e5, x * 1e305):
+        assert len(vectors.packed(y)) == 8 + y.nbytes and (vectors.unpacked(vectors.packed(y), 50) == y).all()
+
+
+def test_embedded_texts_are_blocked_without_a_second_vector(spark):
+    """No filter on the vector, which would be made for the filter and once more for its use."""
+    from corpusloom.functions.embedding import HashEmbedder
+
+    texts = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "id long, text string").repartition("id")
+    made = vectors.in_blocks(HashEmbedder(8).embed(texts, "text", "vector"), "id", "vector", ("block", "ids", "matrix"), stored=True)
+    assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(i for r in made.collect() for i in r.ids) == [1, 3]
+    rows = spark.createDataFrame([(1, [1.0]), (2, None), (3, [0.0])], "id long, vector array<double>")
+    assert sorted(i for r in vectors.in_blocks(rows, "id", "vector", ("block", "ids", "matrix")).collect() for i in r.ids) == [1, 3]
